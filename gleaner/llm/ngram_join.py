@@ -89,7 +89,7 @@ def _stars(sigs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 _MID = "part int, sigs binary, ids binary"
-_OUT = "kind int, a long, b long"
+_OUT = "kind int, a long, b long, c long"
 
 
 def _entered(words: int, num: int, den: int, parts: int):
@@ -115,7 +115,8 @@ def _entered(words: int, num: int, den: int, parts: int):
             doc = rb.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for i, j, data, offsets in B.blocks(*B.utf8(rb.column("text"))):
                 sets = B.shingle_sets(data, offsets, words)
-                yield batch([(-1, doc[i:j].tobytes(), np.array([len(s) for s in sets], np.int64).tobytes())])
+                digest = [int(B.mix(B.mix(s, 9).sum(keepdims=True), len(s)).view(np.int64)[0]) for s in sets]
+                yield batch([(-1, doc[i:j].tobytes(), np.array([[len(s) for s in sets], digest], np.int64).tobytes())])
                 s, o = _signatures(sets, num, den, bounds)
                 sigs.append(s)
                 ids.append(doc[i:j][o])
@@ -130,22 +131,24 @@ def _entered(words: int, num: int, den: int, parts: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's signatures together: stars of those that met. Sizes and earlier edges pass through."""
+    """A partition's signatures together: stars of those that met. Sizes, digests and earlier edges pass through."""
 
-    def out(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+    def out(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], names=["kind", "a", "b", "c"])
 
     sigs, ids = [], []
     for rb in batches:
         for part, x, y in zip(*(c.to_pylist() for c in rb.columns), strict=True):
-            if part < 0:
-                yield out(1 if part == -1 else 0, np.frombuffer(x, np.int64), np.frombuffer(y, np.int64))
+            if part == -1:
+                yield out(1, np.frombuffer(x, np.int64), *np.frombuffer(y, np.int64).reshape(2, -1))
+            elif part < 0:
+                yield out(0, np.frombuffer(x, np.int64), b := np.frombuffer(y, np.int64), np.zeros(len(b), np.int64))
             else:
                 sigs.append(np.frombuffer(x, np.uint64))
                 ids.append(np.frombuffer(y, np.int64))
     if sigs:
         _, _, a, b = _stars(np.concatenate(sigs), np.concatenate(ids))
-        yield out(0, a, b)
+        yield out(0, a, b, np.zeros(len(a), np.int64))
 
 
 def _sets_of(words: int):
@@ -153,7 +156,7 @@ def _sets_of(words: int):
         for rb in batches:
             for i, j, data, offsets in B.blocks(*B.utf8(rb.column("text"))):
                 sets = [s.tobytes() for s in B.shingle_sets(data, offsets, words)]
-                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(i, j - i), rb.column("cluster").slice(i, j - i), pa.array(sets, pa.binary())], names=["doc_id", "cluster", "grams"])
+                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(i, j - i) for c in ("doc_id", "cluster", "blocks")), pa.array(sets, pa.binary())], names=["doc_id", "cluster", "blocks", "grams"])
 
     return run
 
@@ -262,18 +265,19 @@ def ngram_jaccard_components(documents: DataFrame, words: int = 4, num: int = 85
     entered = docs.mapInArrow(_entered(words, num, den, 4 * n), _MID)
     spread = F.when(F.col("part") < 0, F.xxhash64("ids")).otherwise(F.col("part").cast("long"))
     met = written(entered.repartition(n, spread).mapInArrow(_met, _OUT), "met")
-    sizes, edges = met.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles")), met.where("kind = 0")
+    sizes, edges = met.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("digest")), met.where("kind = 0").select("a", "b")
     clusters = written(components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
-    sets = docs.join(clusters, "doc_id").mapInArrow(_sets_of(words), "doc_id long, cluster long, grams binary")
-    sets = sets.withColumn("digest", F.sha2("grams", 256))
-    sets = written(sets, "sets")
-    same = sets.groupBy("cluster", "digest").agg(F.min("doc_id").alias("rep"))
-    equal = sets.select("doc_id", "cluster", "digest").join(same, ["cluster", "digest"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    distinct = sets.join(same.select(F.col("rep").alias("doc_id"), "cluster", "digest"), ["doc_id", "cluster", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    counts = distinct.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / block_sets).cast("int").alias("blocks"))
-    placed = distinct.join(counts, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    pairs = placed.select("cluster", "doc_id", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    # equal sets: of one cluster, size and digest; only the first of them is compared any further
+    kind = ["cluster", "n_shingles", "digest"]
+    members = sizes.join(clusters, "doc_id")
+    same = members.groupBy(*kind).agg(F.min("doc_id").alias("rep"))
+    equal = members.join(same, kind).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    counts = same.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / block_sets).cast("int").alias("blocks"))
+    placed = written(same.join(counts, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "blocks"), "placed")
+    grams = docs.join(placed, "doc_id").mapInArrow(_sets_of(words), "doc_id long, cluster long, blocks int, grams binary")
+    grams = grams.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    pairs = grams.select("cluster", "doc_id", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("cluster", "doc_id", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     links = pairs.groupBy("cluster", "i", "j").applyInArrow(_joined(num, den), "a long, b long")
     found = components(equal.unionByName(links))
