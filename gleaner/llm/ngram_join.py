@@ -3,9 +3,9 @@
 Prefix-tree join. A document is the sorted sequence of its distinct n-gram hashes (the global order is that of the
 64-bit hashes). Sets that can be similar are brought together without a count of n-grams and without pairs: sizes are
 put into classes of ratio 5/4, a class allows a symmetric difference of at most d, the hash range is cut into
-d + 1 + e segments, and two similar sets of which neither has more than e empty segments agree in at least one segment
-that is not empty (a set with more empty ones is also entered under these). Sets that agree in a segment are chained in
-stars, the stars' components are the clusters. Inside a cluster the distinct sets are stored in a trie and the other
+d + 1 + e segments, and two similar sets agree in at least e + 1 of them. Each set is entered under all segments but the
+e with the fewest n-grams: the largest segment in which two sets agree is left in both. (Small segments would bring sets
+together by a common line.) Sets that agree in a segment are chained in stars, the stars' components are the clusters. Inside a cluster the distinct sets are stored in a trie and the other
 sets of the block traverse it together: every node keeps the partial overlaps of all of them with the path so far, a
 subtree ends where no overlap can reach its bound with what remains, and a path without branches is intersected as one
 array. Large clusters are cut in blocks, and each pair of blocks is a task of its own; tasks emit spanning links only.
@@ -53,7 +53,7 @@ def _signatures(sets: list[np.ndarray], num: int, den: int, bounds: np.ndarray)
         kind = own + step
         enters = (size > 0) & ((step == 0) | (den * size >= num * bounds[kind]))
         d = (den - num) * 2 * (bounds[kind + 1] - 1) // (den + num)
-        spare = (d + 1) // 8 + 1
+        spare = (d + 1) // 3
         k = d + 1 + spare
         if not enters.any():
             continue
@@ -61,13 +61,16 @@ def _signatures(sets: list[np.ndarray], num: int, den: int, bounds: np.ndarray)
         t, o = tokens[use], of[use]
         segment = ((t >> np.uint64(32)) * k[o].astype(np.uint64)) >> np.uint64(32)
         new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (segment[1:] != segment[:-1]))))
-        sums = np.add.reduceat(salted[use], new)
-        tag = segment[new] * np.uint64(512) + kind[o[new]].astype(np.uint64)
-        out.append((B.mix(sums + B.mix(tag, 3), 5), o[new]))
-        filled = np.bincount(o[new], minlength=len(sets))
-        for i in np.flatnonzero(enters & (k - filled > spare)):
-            full = segment[new][o[new] == i]
-            empty = np.setdiff1d(np.arange(k[i], dtype=np.uint64), full)
+        sums, count, o, segment = np.add.reduceat(salted[use], new), np.diff(np.append(new, len(t))), o[new], segment[new]
+        sig = B.mix(sums + B.mix(segment * np.uint64(512) + kind[o].astype(np.uint64), 3), 5)
+        filled = np.bincount(o, minlength=len(sets))
+        few = np.flatnonzero(enters & (k - filled > spare))
+        rank = np.lexsort((sig, count, o))  # of each set the spare least segments go, the empty ones first
+        place = np.arange(len(rank)) - np.repeat(np.cumsum(filled) - filled, filled)
+        stays = rank[place >= (spare - (k - filled))[o[rank]]]
+        out.append((sig[stays], o[stays]))
+        for i in few:  # more empty segments than may go: some of them must be entered, so all are
+            empty = np.setdiff1d(np.arange(k[i], dtype=np.uint64), segment[o == i])
             out.append((B.mix(B.mix(empty * np.uint64(512) + np.uint64(kind[i]), 3), 11), np.full(len(empty), i)))
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
