@@ -125,4 +125,4 @@ def contained_items(documents: DataFrame, items: DataFrame, words: int = 5, num:
 def decontaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The rows of documents that hold no item; rows without an id stay."""
     bad = contained_items(documents, items, id_col=id_col, **settings).select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, F.col(id_col).cast("long") == F.col("bad_id"), "left_anti")
+    return documents.join(bad.hint("merge"), F.col(id_col).cast("long") == F.col("bad_id"), "left_anti")

@@ -278,7 +278,7 @@ def ngram_jaccard_components(documents: DataFrame, words: int = 4, num: int = 85
     equal = members.join(same, kind).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     counts = same.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / block_sets).cast("int").alias("blocks"))
     placed = written(same.join(counts, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "blocks"), "placed")
-    grams = docs.join(placed, "doc_id").mapInArrow(_sets_of(words), "doc_id long, cluster long, blocks int, grams binary")
+    grams = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets_of(words), "doc_id long, cluster long, blocks int, grams binary")
     grams = grams.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     pairs = grams.select("cluster", "doc_id", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("cluster", "doc_id", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))

@@ -142,4 +142,4 @@ def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def filtered(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents whose ids are kept; rows that share an id stay if one of them is kept."""
     kept = judged(documents, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(kept, F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")
+    return documents.join(kept.hint("merge"), F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")

@@ -258,18 +258,18 @@ def _cut(docs: DataFrame, length: int, width: int, texts: bool) -> DataFrame:
         rows = df.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
         return rows.select("doc_key", *[F.col(f"rows.{c}").alias(f"{c}s") for c in columns])
 
-    held = written(docs.select("doc_key", "text").join(listed(shared, "p", "name"), "doc_key"), "held")
+    held = written(docs.select("doc_key", "text").join(listed(shared, "p", "name").hint("merge"), "doc_key"), "held")
     named = written(held.mapInArrow(_contexts(length, width, False), "doc_key long, p long, name long, a long, b long, key long"), "named")
     kinds = named.groupBy("name", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_key", "p", "a", "b")).alias("rep"))
     settled = named.join(kinds.where("m > 1"), ["name", "key"], "left_semi").select("doc_key", F.col("a").alias("first"), (F.col("b") - length).alias("last"))
     unsettled = kinds.groupBy("name").agg(F.count("*").alias("contexts"), F.min("m").alias("least")).where("contexts > 1 AND least = 1")
     left = kinds.join(unsettled, "name").select("rep.doc_key", "rep.p", "name", "m", F.when(F.col("contexts") > HOT_CONTEXTS, 1).otherwise(0).cast("long").alias("hot"))
-    whole = held.select("doc_key", "text").join(listed(left, "p", "name", "m", "hot"), "doc_key")
+    whole = held.select("doc_key", "text").join(listed(left, "p", "name", "m", "hot").hint("merge"), "doc_key")
     whole = whole.mapInArrow(_contexts(length, width, True), "doc_key long, p long, name long, a long, b long, m long, hot long, context binary")
     whole = whole.withColumn("piece", F.explode(F.when(F.col("hot") == 1, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))))
     again = whole.repartition(n, "name", "piece").sortWithinPartitions("piece", "name").mapInArrow(_repeated(length, width, SLICES), "doc_key long, first long, last long")
     runs = listed(settled.unionByName(again), "first", "last")
-    cut = held.select("doc_key", "text").join(runs, "doc_key").mapInArrow(_removed(length, texts), "doc_key long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
+    cut = held.select("doc_key", "text").join(runs.hint("merge"), "doc_key").mapInArrow(_removed(length, texts), "doc_key long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
     return cut.dropDuplicates(["doc_key"])
 
 
@@ -286,5 +286,5 @@ def without_repeats(documents: DataFrame, length: int = 400, width: int = 128, i
     key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     docs = documents_of(documents, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
     cut = _cut(docs, length, width, True).select(F.col("doc_key").alias("cut_key"), "kept")
-    rows = documents.select(F.struct("*").alias("row"), F.when(F.col(id_col).isNotNull(), key).alias("row_key")).join(cut, F.col("row_key") == F.col("cut_key"), "left")
+    rows = documents.select(F.struct("*").alias("row"), F.when(F.col(id_col).isNotNull(), key).alias("row_key")).join(cut.hint("merge"), F.col("row_key") == F.col("cut_key"), "left")
     return rows.select(*[F.coalesce("kept", f"row.`{c}`").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in documents.columns])

@@ -191,7 +191,7 @@ def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None
     large = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
     first = large.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = large.join(first, "digest").where("page_id <> refers_to").distinct()
-    rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
+    rows = rows.join(revisits.hint("merge"), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
     return written(rows.mapInArrow(_writer(folder, most), "path string, records long"), "archives"), folder
 
 
