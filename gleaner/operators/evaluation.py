@@ -27,7 +27,7 @@ def judgment_quality(labels: DataFrame, grades: dict[str, int]) -> DataFrame:
     """One row of counts over the raw labels and their canonical form."""
     c = canonical_judgments(labels, grades)
     r = [F.count_if(F.col("resolution") == x).alias(x) for x in ("single", "identical_duplicate_collapse", "tie_highest_relevance", "majority_vote")]
-    return c.agg(F.sum("judgment_count").alias("original"), F.count("*").alias("canonical"), (F.sum("judgment_count") - F.count("*")).alias("repeated"), (F.sum("judgment_count") - F.sum("distinct_label_count")).alias("identical_duplicates"), F.count_if("distinct_label_count > 1").alias("conflicts"), *r)
+    return c.agg(F.sum("judgment_count").alias("original"), F.count("*").alias("canonical"), (F.sum("judgment_count") - F.count("*")).alias("repeated"), (F.sum("judgment_count") - F.sum("distinct_label_count")).alias("identical_duplicates"), F.count_if(F.col("distinct_label_count") > 1).alias("conflicts"), *r)
 
 
 def graded(ranking: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def known_relevant_evaluation(queries: DataFrame, ranking: DataFrame, judgments:
 def aggregate(evaluation: DataFrame, *metrics: str) -> DataFrame:
     """Means over all queries and over those with a relevant product; 0 where there is none."""
     zero = F.lit(0.0)
-    return evaluation.agg(F.count("*").alias("queries"), F.count_if("relevant > 0").alias("eligible"), *[F.round(F.coalesce(F.avg(m), zero), 6).alias(f"mean_{m}") for m in metrics], *[F.round(F.coalesce(F.avg(F.when(F.col("relevant") > 0, F.col(m))), zero), 6).alias(f"eligible_{m}") for m in metrics])
+    return evaluation.agg(F.count("*").alias("queries"), F.count_if(F.col("relevant") > 0).alias("eligible"), *[F.round(F.coalesce(F.avg(m), zero), 6).alias(f"mean_{m}") for m in metrics], *[F.round(F.coalesce(F.avg(F.when(F.col("relevant") > 0, F.col(m))), zero), 6).alias(f"eligible_{m}") for m in metrics])
 
 
 def diagnostics(evaluation: DataFrame, k: int = 10) -> DataFrame:

@@ -34,7 +34,7 @@ def assert_empty(violations: DataFrame, what: str) -> None:
 def duplicate_counts(labels: DataFrame) -> DataFrame:
     """Repeated rows and conflicting pairs of (query_id, product_id, label)."""
     pairs = labels.groupBy("query_id", "product_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("d"))
-    return pairs.agg(F.sum("n").alias("label_rows"), F.sum(F.col("n") - 1).alias("repeated_pairs"), F.count_if("d > 1").alias("conflicting_pairs"))
+    return pairs.agg(F.sum("n").alias("label_rows"), F.sum(F.col("n") - 1).alias("repeated_pairs"), F.count_if(F.col("d") > 1).alias("conflicting_pairs"))
 
 
 def foreign_key_violations(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
