@@ -33,7 +33,7 @@ from gleaner.llm._shared import documents_of, shuffle_partitions, written
 
 _PLACE = np.uint64((1 << 31) - 1)
 _BYTES = B.mix(np.arange(256, dtype=np.uint64), 21)
-_LEAF_BYTES = 6 << 20
+_LEAF_BYTES = 2 << 20
 #: Contexts of one name beyond which its offsets are dealt to SLICES tasks.
 HOT_CONTEXTS, SLICES = 20_000, 16
 
