@@ -20,54 +20,44 @@ from pyspark.sql import functions as F
 
 from gleaner.llm._shared import written
 
-SYMBOLS = "#*$%&|<>"
-_BLANK = " \t\n\x0b\f\r"
 WINDOW = 8
 
 
-def _windows(words: Column) -> Column:
-    """A hash of each run of WINDOW words, by its first place."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(F.size(words) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
-
+def figures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The base figures and some more, a row per document.
 
-def _covered(windows: Column) -> Column:
-    """Words inside windows that come twice or more, from the array of window hashes."""
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(placed)
-    near = F.zip_with(placed, F.slice(placed, F.lit(2), n), lambda x, y: F.struct(x["h"].alias("h"), x["i"].alias("i"), y["h"].eqNullSafe(x["h"]).alias("next")))
-    # the last of a run of equal hashes is known by its neighbour before it
-    again = F.aggregate(
-        near,
-        F.struct(F.lit(None).cast("bigint").alias("h"), F.array().cast("array<int>").alias("at")),
-        lambda s, x: F.struct(x["h"].alias("h"), F.when(x["next"] | x["h"].eqNullSafe(s["h"]), F.concat(s["at"], F.array(x["i"]))).otherwise(s["at"]).alias("at")),
-        lambda s: F.array_sort(s["at"]),
-    )
-    return F.aggregate(
-        again,
+    A lambda that named an array's expression would take the array anew for each element, so arrays become columns first,
+    each named more than once by what follows: the optimizer then leaves them their own projection.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    d = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    d = d.select("doc_id", "text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("lines"))
+    d = d.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    hashes, none = F.col("hashes"), F.array().cast("array<bigint>")
+    d = d.withColumn("windows", F.when(F.size(hashes) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))).otherwise(none))
+    # windows that come again, by hash and place; empty for most texts, and dear only for the others
+    windows = F.col("windows")
+    again = F.size(F.array_distinct(windows)) < F.size(windows)
+    d = d.withColumn("placed", F.when(again, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    placed = F.col("placed")
+    met = F.filter(placed, lambda x, k: (F.get(placed, k - 1)["h"] == x["h"]) | (F.get(placed, k + 1)["h"] == x["h"]))
+    covered = F.aggregate(
+        F.sort_array(F.transform(met, lambda x: x["i"])),
         F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")),
         lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(i - s["last"], F.lit(WINDOW))).alias("n")),
         lambda s: s["n"],
     )
-
-
-def figures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The base figures and some more, a row per document."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    d = d.select("doc_id", "text", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, _BLANK, "")) > 0).alias("lines"))
-    d = d.withColumn("windows", _windows(F.col("words")))
     return d.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        F.length(F.translate("text", _BLANK, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0).cast("long")).otherwise(_covered(F.col("windows"))).alias("n_repeat_words"),
+        F.when(F.size(placed) == 0, F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
-        F.length(F.regexp_replace("text", r"[^!?]", "")).cast("long").alias("n_shouts"),
-        F.length(F.regexp_replace("text", r"[^\p{Lu}]", "")).cast("long").alias("n_capitals"),
+        F.regexp_count("text", F.lit("[!?]")).cast("long").alias("n_shouts"),
+        F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
     )
 
 
