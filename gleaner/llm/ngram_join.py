@@ -8,7 +8,8 @@ e with the fewest n-grams: the largest segment in which two sets agree is left i
 together by a common line.) Sets that agree in a segment are chained in stars, the stars' components are the clusters. Inside a cluster the distinct sets are stored in a trie and the other
 sets of the block traverse it together: every node keeps the partial overlaps of all of them with the path so far, a
 subtree ends where no overlap can reach its bound with what remains, and a path without branches is intersected as one
-array. Large clusters are cut in blocks, and each pair of blocks is a task of its own; tasks emit spanning links only.
+array. Large clusters are cut in blocks by size and hash, and each pair of blocks
+that can hold similar sets is a task of its own; tasks emit spanning links only.
 
 Cases: a null text is empty; a document without n-grams is linked with nothing; rows without an id are left out; rows
 that share an id are one node (their links add up, each row is returned); equal sets that are not empty are linked.
@@ -28,7 +29,7 @@ from gleaner.llm._graph import components
 from gleaner.llm._shared import documents_of, shuffle_partitions, written
 
 #: Distinct sets of a cluster that one task holds on either side.
-BLOCK_SETS = 400
+BLOCK_SETS = 2000
 _FLUSH = 2_000_000
 
 
@@ -159,7 +160,7 @@ def _sets_of(words: int):
         for rb in batches:
             for i, j, data, offsets in B.blocks(*B.utf8(rb.column("text"))):
                 sets = [s.tobytes() for s in B.shingle_sets(data, offsets, words)]
-                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(i, j - i) for c in ("doc_id", "cluster", "blocks")), pa.array(sets, pa.binary())], names=["doc_id", "cluster", "blocks", "grams"])
+                yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(i, j - i) for c in ("doc_id", "cluster", "i", "j", "side")), pa.array(sets, pa.binary())], names=["doc_id", "cluster", "i", "j", "side", "grams"])
 
     return run
 
@@ -175,6 +176,7 @@ class _Union:
         return i
 
     def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
         i, j = self.root(i), self.root(j)
         self.up[max(i, j)] = min(i, j)
         return i != j
@@ -206,18 +208,16 @@ def trie_links(stored: list[np.ndarray], probes: list[np.ndarray], num: int, den
     while todo:
         lo, hi, depth, over, alive = todo.pop()
         if hi - lo == 1:
-            tail, s = sets[lo][depth:], order[lo]
-            need = -(-num * (sizes[lo] + psize[alive]) // (den + num))
-            for p, o, least in zip(alive.tolist(), over.tolist(), need.tolist(), strict=True):
-                if (same and p <= s) or met.root(s) == met.root(p + shift):
-                    continue
-                if o + min(len(tail), int(psize[p]) - o) < least:
-                    continue
-                if len(tail):
-                    o += len(np.intersect1d(tail, probes[p], assume_unique=True))
-                if o >= least:
-                    met.join(s, p + shift)
-                    links.append((p, s))
+            tail, k = sets[lo][depth:], order[lo]
+            total = np.zeros(len(probes), np.int64)
+            if len(tail):
+                first, count = np.searchsorted(tokens, tail, "left"), np.searchsorted(tokens, tail, "right")
+                count -= first
+                total += np.bincount(of[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())], minlength=len(probes))
+            similar = (total[alive] + over) * (den + num) >= num * (sizes[lo] + psize[alive])
+            for p in alive[similar].tolist():
+                if not (same and p <= k) and met.join(k, p + shift):
+                    links.append((p, k))
             continue
         deep = min(shared[lo + 1 : hi])
         for token in sets[lo][depth:deep]:
@@ -260,8 +260,39 @@ def _joined(num: int, den: int):
     return run
 
 
+def _placed(same: DataFrame, block_sets: int) -> DataFrame:
+    """(doc_id, cluster, i, j, side): the pairs of blocks (i, j), and the side there, that each distinct set goes to.
+
+    A cluster of at most block_sets sets is one block. A larger one has blocks by size class (of ratio 1.26, so similar
+    sets are in one class or in neighbours) and, where a class is larger, by hash; only those pairs of blocks are made
+    whose classes can hold similar sets.
+    """
+    sets = same.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").join(same, "cluster")
+    sets = sets.withColumn("class", F.when(F.col("n") <= block_sets, F.lit(0)).otherwise(F.floor(F.log("n_shingles") / F.log(F.lit(1.26))) + 1).cast("long"))
+    parts = sets.groupBy("cluster", "class").agg(F.ceil(F.count("*") / block_sets).cast("long").alias("parts"))
+    sets = sets.join(parts, ["cluster", "class"])
+    for name, step in (("above", 1), ("below", -1)):
+        sets = sets.join(parts.select("cluster", (F.col("class") - step).alias("class"), F.col("parts").alias(name)), ["cluster", "class"], "left")
+    wide = 1 << 32
+    own = F.col("class") * wide + F.pmod(F.xxhash64("rep"), F.col("parts"))
+    sets = sets.select(F.col("rep").alias("doc_id"), "cluster", "class", "parts", "above", "below", own.alias("own"))
+
+    def of(step: int, parts: str, place) -> object:
+        first = (F.col("class") + step) * wide
+        return F.when(F.col(parts).isNull(), F.array()).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1), lambda k: place(first + k)))
+
+    def struct(i, j, side) -> object:
+        return F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+
+    me = F.col("own")
+    pairs = F.concat(of(0, "parts", lambda x: struct(F.least(me, x), F.greatest(me, x), F.when(me <= x, 0).otherwise(1))), of(1, "above", lambda x: struct(me, x, F.lit(0))), of(-1, "below", lambda x: struct(x, me, F.lit(1))))
+    return sets.select("doc_id", "cluster", pairs.alias("x")).select("doc_id", "cluster", "x.i", "x.j", "x.side")
+
+
 def ngram_jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: size of its n-gram set, smallest id that links reach."""
+    if not 4 * den <= 5 * num <= 5 * den:
+        raise ValueError("num / den is from 0.8 to 1: similar sets are in one size class or in neighbours")
     spark = documents.sparkSession
     docs = documents_of(documents, id_col, text_col)
     n = shuffle_partitions(spark)
@@ -276,12 +307,9 @@ def ngram_jaccard_components(documents: DataFrame, words: int = 4, num: int = 85
     members = sizes.join(clusters, "doc_id")
     same = members.groupBy(*kind).agg(F.min("doc_id").alias("rep"))
     equal = members.join(same, kind).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    counts = same.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster", F.ceil(F.col("n") / block_sets).cast("int").alias("blocks"))
-    placed = written(same.join(counts, "cluster").select(F.col("rep").alias("doc_id"), "cluster", "blocks"), "placed")
-    grams = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets_of(words), "doc_id long, cluster long, blocks int, grams binary")
-    grams = grams.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    pairs = grams.select("cluster", "doc_id", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("cluster", "doc_id", "grams", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    placed = written(_placed(same, block_sets), "placed")
+    grams = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets_of(words), "doc_id long, cluster long, i array<long>, j array<long>, side array<int>, grams binary")
+    pairs = grams.select("cluster", "doc_id", "grams", F.explode(F.arrays_zip("i", "j", "side")).alias("x")).select("cluster", "doc_id", "grams", "x.*")
     links = pairs.groupBy("cluster", "i", "j").applyInArrow(_joined(num, den), "a long, b long")
     found = components(equal.unionByName(links))
     return sizes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
