@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm._shared import written
+
 #: Bytes of all wrappers together up to which they are sent to every task.
 BROADCAST_BYTES = 8 << 20
 
@@ -291,7 +293,7 @@ def wrappers(pages: DataFrame, least: int = 3) -> DataFrame:
     """(host, model, template) induced from all pages (host, html)."""
     seen = pages.select("host", "html").mapInArrow(_seen, _SEEN)
     seen = seen.select("host", "tree", "n", F.posexplode(F.arrays_zip("low", "high")).alias("node", "x"))
-    seen = seen.groupBy("host", "tree", "node").agg(F.sum("n").alias("n"), F.min("x.low").alias("low"), F.max("x.high").alias("high"))
+    seen = written(seen.groupBy("host", "tree", "node").agg(F.sum("n").alias("n"), F.min("x.low").alias("low"), F.max("x.high").alias("high")), "seen")  # else pages are parsed again for each use
     trees = seen.where("node = 0").groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("model"))
     seen = seen.groupBy("host", "tree").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("node", "low", "high"))).alias("x"))
     slots = seen.join(trees, "host").select("host", "tree", "model", "n", F.col("x.low").alias("low"), F.col("x.high").alias("high"))
@@ -303,8 +305,6 @@ def wrappers(pages: DataFrame, least: int = 3) -> DataFrame:
 
 def main_text(pages: DataFrame, least: int = 3, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages."""
-    from gleaner.llm._shared import written
-
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     found = written(wrappers(rows, least), "wrappers")
