@@ -4,7 +4,7 @@ The difference-cover scheme, cut off at `length` bytes: sort a sample of suffixe
 sample, compare neighbours. A periodic cover of v residues samples some sqrt(v) of every v positions (12 of 133, so 9 %
 of all bytes as rows); here the sample is a cover that the content sets: of the `length - width + 1` windows of `width`
 bytes inside any string of `length` bytes, that with the least hash. It has the property that the scheme rests on - two
-equal strings hold a sampled position at one and the same offset - with some 0.7 % of the positions.
+equal strings hold a sampled position at one and the same offset - with under 1 % of the positions.
 
 1. Sample: the positions of the cover in every text, named by a hash of their window that is built by doubling.
 2. Names met once end there: no string around them starts elsewhere. The others are named again by their whole context,
