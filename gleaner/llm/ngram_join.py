@@ -165,40 +165,30 @@ def _sets_of(words: int):
     return run
 
 
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        """Whether they were apart."""
-        i, j = self.root(i), self.root(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
 def trie_links(stored: list[np.ndarray], probes: list[np.ndarray], num: int, den: int, same: bool) -> list[tuple[int, int]]:
     """Spanning links (index of a probe, index of a stored set) among similar sets; same: both lists are one.
 
     The stored sets are sorted; a run of them that shares its first tokens is a subtree of the trie. While a path is
-    shared, over[p] is the overlap of probe p with it and passed[p] the number of p's tokens up to the path's last one.
+    shared, over holds the overlaps of the probes alive with it. Pairs that links have joined already are not compared: a
+    subtree drops the probes that its sets are all joined with, and a set tries one probe before it turns to all others.
     """
     n = len(stored)
-    order = sorted(range(n), key=lambda i: stored[i].tolist())
+    order = np.array(sorted(range(n), key=lambda i: stored[i].tolist()))
     sets = [stored[i] for i in order]
     sizes, psize = np.array([len(s) for s in sets]), np.array([len(p) for p in probes])
     tokens = np.concatenate(probes)
     of = np.repeat(np.arange(len(probes)), psize)
     rank = np.argsort(tokens, kind="stable")
     tokens, of = tokens[rank], of[rank]
-    met = _Union(n + (0 if same else len(probes)))
     shift = 0 if same else n
+    label = np.arange(n + (0 if same else len(probes)))  # of stored sets, then of probes: equal where links join them
     links: list[tuple[int, int]] = []
+
+    def link(p: int, k: int) -> None:
+        if label[p + shift] != label[k]:
+            label[label == label[p + shift]] = label[k]
+            links.append((p, k))
+
     shared = [0] * (n + 1)  # tokens that neighbours share from the start
     for i in range(1, n):
         m = min(len(sets[i - 1]), len(sets[i]))
@@ -207,8 +197,22 @@ def trie_links(stored: list[np.ndarray], probes: list[np.ndarray], num: int, den
     todo = [(0, n, 0, np.zeros(len(probes), np.int64), np.arange(len(probes)))]  # run, depth, overlaps, probes alive
     while todo:
         lo, hi, depth, over, alive = todo.pop()
+        held = label[order[lo:hi]]
+        if (held == held[0]).all():
+            apart = label[alive + shift] != held[0]
+            over, alive = over[apart], alive[apart]
+        if not len(alive):
+            continue
         if hi - lo == 1:
-            tail, k = sets[lo][depth:], order[lo]
+            tail, k = sets[lo][depth:], int(order[lo])
+            one = int(alive[0])
+            met = np.intersect1d(sets[lo], probes[one], assume_unique=True)
+            if len(met) * (den + num) >= num * (sizes[lo] + psize[one]):
+                link(one, k)
+                apart = label[alive + shift] != label[k]
+                over, alive = over[apart], alive[apart]
+                if not len(alive):
+                    continue
             total = np.zeros(len(probes), np.int64)
             if len(tail):
                 first, count = np.searchsorted(tokens, tail, "left"), np.searchsorted(tokens, tail, "right")
@@ -216,8 +220,7 @@ def trie_links(stored: list[np.ndarray], probes: list[np.ndarray], num: int, den
                 total += np.bincount(of[np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())], minlength=len(probes))
             similar = (total[alive] + over) * (den + num) >= num * (sizes[lo] + psize[alive])
             for p in alive[similar].tolist():
-                if not (same and p <= k) and met.join(k, p + shift):
-                    links.append((p, k))
+                link(p, k)
             continue
         deep = min(shared[lo + 1 : hi])
         for token in sets[lo][depth:deep]:
