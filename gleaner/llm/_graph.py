@@ -23,8 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         now = written(small, "edges")
-        inner = now.join(now.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
-        if not inner and now.groupBy("u").count().where("count > 1").limit(1).count() == 0:
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select("v", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 OR up > 0 AND down > 0").limit(1).count() == 0:
             break
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(nodes.select(F.col("component").alias("node"), "component").distinct())
