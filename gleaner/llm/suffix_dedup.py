@@ -11,7 +11,8 @@ equal strings hold a sampled position at one and the same offset - with under 1
    the bytes of all strings of `length` that hold the sampled window.
 3. A context met twice settles all its strings at once (equal ranks need no further sorting).
 4. The contexts that are left are gathered by the name they share; their suffixes, at each offset from the sampled
-   position, are sorted by a hash of `length` bytes, and neighbours compared: equal ones are repeats.
+   position, are sorted by a hash of `length` bytes, and neighbours compared: equal ones are repeats. Those of a name with
+   more than HOT_CONTEXTS contexts are counted by a grouping of their hashes instead, which no single task holds.
 5. Runs of repeated starts become byte spans of their texts.
 
 Cases: a null text is empty; texts shorter than `length` keep all; matches never cross texts; rows without an id are left
@@ -33,31 +34,32 @@ from gleaner.llm._shared import documents_of, shuffle_partitions, written
 
 _PLACE = np.uint64((1 << 31) - 1)
 _BYTES = B.mix(np.arange(256, dtype=np.uint64), 21)
-_LEAF_BYTES = 2 << 20
-#: Contexts of one name beyond which its offsets are dealt to SLICES tasks.
-HOT_CONTEXTS, SLICES = 20_000, 16
-
-
-def _doubled(data: np.ndarray, top: int) -> dict[int, np.ndarray]:
-    """Hashes of the 1, 2, 4 ... top bytes from each position; where fewer remain the array ends."""
-    out = {1: _BYTES[data]}
-    m = 1
-    while m < top:
-        h = out[m]
-        out[2 * m] = B.mix(h[: max(0, len(h) - m)] * np.uint64(0xC2B2AE3D27D4EB4F) + h[m:]) if len(h) > m else h[:0]
+_LEAF_BYTES, _STEP_ROWS = 2 << 20, 1000
+#: Contexts of one name beyond which they are not gathered in one task: their strings are counted by a grouping.
+HOT_CONTEXTS = 20_000
+
+
+def _doubled(data: np.ndarray, wanted: int) -> dict[int, np.ndarray]:
+    """Hashes of the m bytes from each position, for the powers of two m that add up to wanted; where fewer remain the
+    array ends."""
+    h, m, out = _BYTES[data], 1, {}
+    while True:
+        if wanted & m:
+            out[m] = h
+        if 2 * m > wanted:
+            return out
+        h = B.mix(h[: max(0, len(h) - m)] * np.uint64(0xC2B2AE3D27D4EB4F) + h[m:]) if len(h) > m else h[:0]
         m *= 2
-    return out
 
 
 def _window(data: np.ndarray, width: int) -> np.ndarray:
     """Hashes of width bytes from each position, from those of powers of two."""
-    top = 1 << (width.bit_length() - 1)
-    part = _doubled(data, top)
     n = len(data) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    part = _doubled(data, width)
     total, at = np.zeros(n, np.uint64), 0
-    for m in (m for m in sorted(part, reverse=True) if width & m):
+    for m in sorted(part, reverse=True):
         total = B.mix(total * np.uint64(0x9FB21C651E98DF25) + part[m][at : at + n])
         at += m
     return total
@@ -147,25 +149,44 @@ def _contexts(length: int, width: int, whole: bool):
     return run
 
 
-def _repeated(length: int, width: int, slices: int):
+def _starts(name: np.ndarray, p: np.ndarray, a: np.ndarray, raw: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each start of a string inside the contexts raw: its context, its place there, and the hash of the string with
+    its name and offset."""
+    size = np.array([len(x) for x in raw], np.int64)
+    starts = size - length + 1
+    cut = np.concatenate(([0], np.cumsum(starts)))
+    of = np.repeat(np.arange(len(raw), dtype=np.int32), starts)
+    at = (np.arange(len(of)) - np.repeat(cut[:-1], starts)).astype(np.int32)
+    one = np.empty(len(of), np.uint64)
+    for i, j, data, offsets in B.blocks(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum(size)))):
+        o, x = of[cut[i] : cut[j]], at[cut[i] : cut[j]]
+        delta = (p[o] - a[o] - x).astype(np.uint64)
+        one[cut[i] : cut[j]] = B.mix(_window(data, length)[offsets[o - i] + x] + B.mix(name[o].view(np.uint64) + delta * np.uint64(0xD1B54A32D192ED03)))
+    return of, at, one
+
+
+def _hashed(length: int):
+    """The starts (doc_key, first, one, m) in the contexts of names that too many contexts share for one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, _STEP_ROWS):
+                rb = whole.slice(k, _STEP_ROWS)
+                key, p, name, a, m = (rb.column(c).to_numpy() for c in ("doc_key", "p", "name", "a", "m"))
+                of, at, one = _starts(name, p, a, rb.column("context").to_pylist(), length)
+                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(a[of] + at), pa.array(one.view(np.int64)), pa.array(m[of])], names=["doc_key", "first", "one", "m"])
+
+    return run
+
+
+def _repeated(length: int):
     """Runs of starts (doc_key, first, last) whose string comes again among the contexts that share its name."""
 
-    def solve(name, key, p, a, m, hot, piece, raw) -> pa.RecordBatch:
-        size = np.array([len(x) for x in raw])
-        base = np.concatenate(([0], np.cumsum(size)[:-1]))
-        data = np.frombuffer(b"".join(raw), np.uint8)
-        h = _window(data, length)
-        starts = size - length + 1
-        of = np.repeat(np.arange(len(raw)), starts)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
-        delta = p[of] - a[of] - at
-        mine = (hot[of] == 0) | (delta % slices == piece[of])
-        of, at, delta = of[mine], at[mine], delta[mine]
-        one = B.mix(h[base[of] + at] + B.mix(name[of].view(np.uint64) + delta.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+    def solve(name, key, p, a, m, raw) -> pa.RecordBatch:
+        of, at, one = _starts(name, p, a, raw, length)
         order = np.argsort(one, kind="stable")
-        sorted_ = one[order]
-        new = np.concatenate(([True], sorted_[1:] != sorted_[:-1]))
-        group = np.cumsum(new) - 1
+        one = one[order]
+        group = np.cumsum(np.concatenate(([False], one[1:] != one[:-1])), dtype=np.int32)
         total = np.bincount(group, weights=m[of[order]])
         again = np.zeros(len(of), bool)
         again[order] = total[group] >= 2
@@ -183,9 +204,10 @@ def _repeated(length: int, width: int, slices: int):
 
         def done(rbs: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rbs).combine_chunks()
-            return solve(*(t.column(c).to_numpy() for c in ("name", "doc_key", "p", "a", "m", "hot", "piece")), t.column("context").to_pylist())
+            return solve(*(t.column(c).to_numpy() for c in ("name", "doc_key", "p", "a", "m")), t.column("context").to_pylist())
 
-        for rb in batches:  # sorted by name: what is held may end only between two names
+        for rb in (whole.slice(k, _STEP_ROWS) for whole in batches for k in range(0, whole.num_rows, _STEP_ROWS)):
+            # sorted by name: what is held may end only between two names
             names = rb.column("name").to_numpy(zero_copy_only=False)
             if size >= _LEAF_BYTES:
                 before = held[-1].column("name")[-1].as_py()
@@ -266,8 +288,11 @@ def _cut(docs: DataFrame, length: int, width: int, texts: bool) -> DataFrame:
     left = kinds.join(unsettled, "name").select("rep.doc_key", "rep.p", "name", "m", F.when(F.col("contexts") > HOT_CONTEXTS, 1).otherwise(0).cast("long").alias("hot"))
     whole = held.select("doc_key", "text").join(listed(left, "p", "name", "m", "hot").hint("merge"), "doc_key")
     whole = whole.mapInArrow(_contexts(length, width, True), "doc_key long, p long, name long, a long, b long, m long, hot long, context binary")
-    whole = whole.withColumn("piece", F.explode(F.when(F.col("hot") == 1, F.sequence(F.lit(0), F.lit(SLICES - 1))).otherwise(F.array(F.lit(0)))))
-    again = whole.repartition(n, "name", "piece").sortWithinPartitions("piece", "name").mapInArrow(_repeated(length, width, SLICES), "doc_key long, first long, last long")
+    whole = written(whole, "contexts")
+    again = whole.where("hot = 0").repartition(n, "name").sortWithinPartitions("name").mapInArrow(_repeated(length), "doc_key long, first long, last long")
+    strings = whole.where("hot = 1").mapInArrow(_hashed(length), "doc_key long, first long, one long, m long")
+    twice = strings.groupBy("one").agg(F.sum("m").alias("met")).where("met > 1")
+    again = again.unionByName(strings.where("m = 1").join(twice, "one", "left_semi").select("doc_key", "first", F.col("first").alias("last")))
     runs = listed(settled.unionByName(again), "first", "last")
     cut = held.select("doc_key", "text").join(runs.hint("merge"), "doc_key").mapInArrow(_removed(length, texts), "doc_key long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
     return cut.dropDuplicates(["doc_key"])
