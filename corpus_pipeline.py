@@ -14,7 +14,7 @@ from gleaner.llm.contamination import decontaminated
 from gleaner.llm.ngram_join import ngram_jaccard_components
 from gleaner.llm.quality_rules import filtered
 from gleaner.llm.queries import tokenizer
-from gleaner.llm.suffix_dedup import without_repeats
+from gleaner.llm.suffix_dedup import without_repeated_passages
 from gleaner.llm.viterbi import encode_documents
 
 
@@ -31,8 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the bytes of strings of 400 that come again; n_chars is that of what is left."""
-    cut = without_repeats(docs)
+    """The documents without passages of over 50 words, or of 400 bytes, that come again; n_chars is that of what is left."""
+    cut = without_repeated_passages(docs, words=51)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 

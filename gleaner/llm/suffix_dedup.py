@@ -22,7 +22,7 @@ out; rows that share an id are separate texts, and two whole copies of a row cou
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,8 @@ _BYTES = B.mix(np.arange(256, dtype=np.uint64), 21)
 _LEAF_BYTES, _STEP_ROWS = 2 << 20, 1000
 #: Contexts of one name beyond which they are not gathered in one task: their strings are counted by a grouping.
 HOT_CONTEXTS = 20_000
+#: Bytes a word has where texts are compared by words: 49 bits of its hash as ASCII.
+WORD_BYTES = 7
 
 
 def _doubled(data: np.ndarray, wanted: int) -> dict[int, np.ndarray]:
@@ -229,8 +231,13 @@ def _repeated(length: int):
 
 def spans(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal byte runs covered by strings of length that start in the runs first..last."""
+    return joined(zip(first.tolist(), (last + length).tolist(), strict=True))
+
+
+def joined(runs: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte runs in order, those that touch as one."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted(zip(first.tolist(), (last + length).tolist(), strict=True)):
+    for a, b in sorted(runs):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
@@ -268,32 +275,73 @@ def _removed(length: int, texts: bool):
     return run
 
 
-def _cut(docs: DataFrame, length: int, width: int, texts: bool) -> DataFrame:
-    """What goes from each text of docs (doc_key, text) that loses something: one row per doc_key."""
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as WORD_BYTES ASCII bytes a word, from the word's hash: equal words, and only those, have equal bytes."""
+    for rb in batches:
+        keys = rb.column("doc_key")
+        for i, j, data, offsets in B.blocks(*B.utf8(rb.column("text"))):
+            starts, ends, rows = B.words(data, offsets)
+            h = B.word_hashes(data, starts, ends)
+            code = ((h[:, None] >> np.arange(0, 7 * WORD_BYTES, 7, dtype=np.uint64)) & np.uint64(127)).astype(np.uint8)
+            cut = (np.searchsorted(rows, np.arange(j - i + 1)) * WORD_BYTES).astype(np.int32)
+            text = pa.StringArray.from_buffers(j - i, pa.py_buffer(cut.tobytes()), pa.py_buffer(code.tobytes()))
+            yield pa.RecordBatch.from_arrays([keys.slice(i, j - i), text], names=["doc_key", "text"])
+
+
+def word_spans(data: np.ndarray, first: np.ndarray, last: np.ndarray, words: int) -> list[tuple[int, int]]:
+    """Byte runs of the passages of that many words of a text that start in the runs first..last of its coded form."""
+    starts, ends, _ = B.words(data, np.array([0, len(data)]))
+    i, j = -(-first // WORD_BYTES), last // WORD_BYTES  # a start inside a word's code is none
+    whole = i <= j
+    return list(zip(starts[i[whole]].tolist(), ends[j[whole] + words - 1].tolist(), strict=True))
+
+
+def _without(length: int, words: int):
+    """What is left of each text without the repeats of length bytes and those of that many words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            keys, kept = [], []
+            for key, data, (first, last, word_first, word_last) in _rows([rb], "firsts", "lasts", "word_firsts", "word_lasts"):
+                cut = joined([*spans(first, last, length), *word_spans(data, word_first, word_last, words)])
+                keys.append(key)
+                kept.append(keep(data.tobytes(), cut, True).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(kept, pa.string())], names=["doc_key", "kept"])
+
+    return run
+
+
+def _listed(df: DataFrame, *columns: str) -> DataFrame:
+    rows = df.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
+    return rows.select("doc_key", *[F.col(f"rows.{c}").alias(f"{c}s") for c in columns])
+
+
+def _runs(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The texts of docs (doc_key, text) that may repeat, and (doc_key, firsts, lasts): runs of starts of repeats."""
     if not 0 < width <= length or length < 256:
         raise ValueError("0 < width <= length and length >= 256")
     n = shuffle_partitions(docs.sparkSession)
     sampled = written(docs.where(F.octet_length("text") >= length).select("doc_key", "text").mapInArrow(_cover(length, width), "doc_key long, p long, name long"), "cover")
     shared = sampled.join(sampled.groupBy("name").count().where("count > 1"), "name", "left_semi")
-
-    def listed(df: DataFrame, *columns: str) -> DataFrame:
-        rows = df.groupBy("doc_key").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("rows"))
-        return rows.select("doc_key", *[F.col(f"rows.{c}").alias(f"{c}s") for c in columns])
-
-    held = written(docs.select("doc_key", "text").join(listed(shared, "p", "name").hint("merge"), "doc_key"), "held")
+    held = written(docs.select("doc_key", "text").join(_listed(shared, "p", "name").hint("merge"), "doc_key"), "held")
     named = written(held.mapInArrow(_contexts(length, width, False), "doc_key long, p long, name long, a long, b long, key long"), "named")
     kinds = named.groupBy("name", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_key", "p", "a", "b")).alias("rep"))
     settled = named.join(kinds.where("m > 1"), ["name", "key"], "left_semi").select("doc_key", F.col("a").alias("first"), (F.col("b") - length).alias("last"))
     unsettled = kinds.groupBy("name").agg(F.count("*").alias("contexts"), F.min("m").alias("least")).where("contexts > 1 AND least = 1")
     left = kinds.join(unsettled, "name").select("rep.doc_key", "rep.p", "name", "m", F.when(F.col("contexts") > HOT_CONTEXTS, 1).otherwise(0).cast("long").alias("hot"))
-    whole = held.select("doc_key", "text").join(listed(left, "p", "name", "m", "hot").hint("merge"), "doc_key")
+    whole = held.select("doc_key", "text").join(_listed(left, "p", "name", "m", "hot").hint("merge"), "doc_key")
     whole = whole.mapInArrow(_contexts(length, width, True), "doc_key long, p long, name long, a long, b long, m long, hot long, context binary")
     whole = written(whole, "contexts")
     again = whole.where("hot = 0").repartition(n, "name").sortWithinPartitions("name").mapInArrow(_repeated(length), "doc_key long, first long, last long")
     strings = whole.where("hot = 1").mapInArrow(_hashed(length), "doc_key long, first long, one long, m long")
     twice = strings.groupBy("one").agg(F.sum("m").alias("met")).where("met > 1")
     again = again.unionByName(strings.where("m = 1").join(twice, "one", "left_semi").select("doc_key", "first", F.col("first").alias("last")))
-    runs = listed(settled.unionByName(again), "first", "last")
+    return held, _listed(settled.unionByName(again), "first", "last")
+
+
+def _cut(docs: DataFrame, length: int, width: int, texts: bool) -> DataFrame:
+    """What goes from each text of docs (doc_key, text) that loses something: one row per doc_key."""
+    held, runs = _runs(docs, length, width)
     cut = held.select("doc_key", "text").join(runs.hint("merge"), "doc_key").mapInArrow(_removed(length, texts), "doc_key long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
     return cut.dropDuplicates(["doc_key"])
 
@@ -306,10 +354,32 @@ def remove_repeats(documents: DataFrame, length: int = 400, width: int = 128, id
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
 
 
-def without_repeats(documents: DataFrame, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents with the repeats cut from their texts; a character that a cut would split stays whole."""
+def _replaced(documents: DataFrame, cut: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of documents with kept of cut (doc_key, kept) as their texts, where it has them."""
     key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    docs = documents_of(documents, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    cut = _cut(docs, length, width, True).select(F.col("doc_key").alias("cut_key"), "kept")
+    cut = cut.select(F.col("doc_key").alias("cut_key"), "kept")
     rows = documents.select(F.struct("*").alias("row"), F.when(F.col(id_col).isNotNull(), key).alias("row_key")).join(cut.hint("merge"), F.col("row_key") == F.col("cut_key"), "left")
     return rows.select(*[F.coalesce("kept", f"row.`{c}`").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+
+
+def without_repeats(documents: DataFrame, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents with the repeats cut from their texts; a character that a cut would split stays whole."""
+    docs = documents_of(documents, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    return _replaced(documents, _cut(docs, length, width, True), id_col, text_col)
+
+
+def without_repeated_passages(documents: DataFrame, words: int = 51, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of documents without the passages of that many words, or of length bytes, that come again.
+
+    Words are runs of bytes outside ASCII white space; what white space lies between them does not matter. They are
+    compared by the same scheme, over texts in which each word has WORD_BYTES bytes. Both kinds are found in the whole
+    texts, so that no cut of one kind hides a repeat of the other.
+    """
+    docs = documents_of(documents, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
+    _, strings = _runs(docs, length, width)
+    _, passages = _runs(docs.mapInArrow(_coded, "doc_key long, text string"), words * WORD_BYTES, words // 3 * WORD_BYTES)
+    runs = strings.join(passages.select("doc_key", F.col("firsts").alias("word_firsts"), F.col("lasts").alias("word_lasts")), "doc_key", "full")
+    none = F.array().cast("array<bigint>")
+    runs = runs.select("doc_key", *[F.coalesce(c, none).alias(c) for c in ("firsts", "lasts", "word_firsts", "word_lasts")])
+    cut = docs.join(runs.hint("merge"), "doc_key").mapInArrow(_without(length, words), "doc_key long, kept string").dropDuplicates(["doc_key"])
+    return _replaced(documents, cut, id_col, text_col)
