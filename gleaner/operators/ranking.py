@@ -6,6 +6,8 @@ go by product_id, so that the order of a sum cannot change a rank.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +85,15 @@ class LexicalIndex:
 
 
 def semantic_scores(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, product_id, score): cosine of every query with every product. Queries are the broadcast side, in one
-    block of a checked size; beyond it the caller splits them by hash and runs the blocks one after another."""
+    """(query_id, product_id, score): cosine of every query with every product. Queries are the broadcast side, beyond
+    QUERY_BLOCK rows in blocks by hash, half full on average, whose results are put together."""
     n = queries.count()
-    if n > QUERY_BLOCK:
-        raise ValueError(f"{n} queries: split them into blocks of at most {QUERY_BLOCK}")
+    many = 1 if n <= QUERY_BLOCK else -(-n // max(1, QUERY_BLOCK // 2))
     q = queries.where("vector IS NOT NULL AND trim(query) <> ''").select("query_id", l2_normalize(F.col("vector")).alias("qv"))
     p = catalog.select("product_id", l2_normalize(F.col("vector")).alias("pv"))
-    return p.join(F.broadcast(q), F.col("query_id") != F.col("product_id")).select("query_id", "product_id", dot(F.col("qv"), F.col("pv")).alias("score"))
+    blocks = [q] if many == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == k) for k in range(many)]
+    found = [p.join(F.broadcast(block), F.col("query_id") != F.col("product_id")) for block in blocks]
+    return reduce(DataFrame.unionByName, found).select("query_id", "product_id", dot(F.col("qv"), F.col("pv")).alias("score"))
 
 
 def semantic_search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
