@@ -29,10 +29,11 @@ def term_frequencies(documents: DataFrame, id_col: str, text: Column) -> DataFra
     return documents.select(id_col, F.explode(T.ngrams(T.index_tokens(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def term_stats(frequencies: DataFrame, min_df: int = 2, max_features: int = 20_000) -> DataFrame:
-    """(term, df, total_tf): the most frequent terms of at least min_df documents, ties by term (TakeOrdered)."""
+def term_stats(frequencies: DataFrame, min_df: int = 2, max_features: int | None = 20_000) -> DataFrame:
+    """(term, df, total_tf): the most frequent terms of at least min_df documents, ties by term (TakeOrdered); None: all."""
     stats = frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
-    return stats.where(F.col("df") >= min_df).orderBy(F.desc("total_tf"), "term").limit(max_features)
+    stats = stats.where(F.col("df") >= min_df)
+    return stats if max_features is None else stats.orderBy(F.desc("total_tf"), "term").limit(max_features)
 
 
 def with_idf(stats: DataFrame, n_documents: DataFrame) -> DataFrame:
@@ -50,7 +51,7 @@ def weights(frequencies: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
 class LexicalIndex:
     """Postings and terms of a catalog, as tables."""
 
-    def __init__(self, catalog: DataFrame, text: Column, min_df: int = 2, max_features: int = 20_000):
+    def __init__(self, catalog: DataFrame, text: Column, min_df: int = 2, max_features: int | None = 20_000):
         frequencies = term_frequencies(catalog, "product_id", text)
         self.terms = with_idf(term_stats(frequencies, min_df, max_features), catalog.agg(F.count("*").alias("n")))
         self.postings = weights(frequencies, self.terms, "product_id")

@@ -194,3 +194,14 @@ ORACLE = {
         SELECT query_id, product_id, rank, CASE WHEN t = '' THEN NULL WHEN length(t) <= 240 THEN t ELSE rtrim(t[1:237]) || '...' END AS short, array_to_string(list_filter(q, lambda w, i: list_contains(n, w) AND list_position(q, w) = i), ' ') AS matched FROM x""",
     "score_breakdown": f"WITH {_FUSED} SELECT query_id, product_id, round(0.1::DOUBLE * lexical_norm, 6) AS lexical_part, round(0.9::DOUBLE * semantic_norm, 6) AS semantic_part, lexical_rank, semantic_rank FROM hyb WHERE rank <= 10",
 }
+
+
+def _all(sql: str) -> str:
+    """The same over all terms of two documents or more."""
+    return sql.replace(" ORDER BY total_tf DESC, term LIMIT 20000", "")
+
+
+ORACLE |= {
+    "term_stats_all": _all(ORACLE["term_stats"]),
+    "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]).replace("rank <= 50", "rank <= 100"),
+}

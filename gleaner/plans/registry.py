@@ -15,6 +15,8 @@ from gleaner.plans.oracle import ORACLE  # noqa: F401
 from gleaner.sources.tables import fingerprint
 
 DEPTH = 50
+#: The reference's candidate depth, in the queries without cuts.
+DEEP = 100
 WEIGHTS = tuple(i / 10 for i in range(11))
 SYSTEMS = ("lexical", "semantic", "hybrid", "rerank")
 #: A fixed linear model for the reranker's SQL-checked form: logits of grades 0, 1, 2 from three features.
@@ -46,6 +48,13 @@ class _Plans:
     def text_index(self) -> R.LexicalIndex:
         return R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description"))
 
+    def deep(self, k: int = 10) -> DataFrame:
+        """Hybrid ranking over all terms, DEEP products of either engine."""
+        q, c = D.vector_queries(self.spark, self.dir), self.catalog()
+        index = R.LexicalIndex(c, F.col("product_description"), max_features=None)
+        lexical = R.top_k(index.scores(q).where("score > 0 AND query_id <> product_id"), DEEP)
+        return R.fuse(R.fused(lexical, R.semantic_search(q, c, DEEP)), R.weighted(0.9), k)
+
     def lexical(self, k: int = DEPTH) -> DataFrame:
         index = self.index()
         return R.top_k(index.scores(self.queries()).where("score > 0 AND query_id <> product_id"), k).select(*_PAIR, "rank", "score")
@@ -177,6 +186,8 @@ _FOUND = {
     "top_known_relevant": lambda p: p.judgments().where("relevance_grade >= 1").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_grade"), "product_id"))).where("place <= 3").join(p.catalog().select("product_id", "product_class"), "product_id").select(*_PAIR, "place", "relevance_grade", "product_class"),
     "enriched_results": lambda p: p.hybrid(10).join(p.catalog(), "product_id").join(p.queries().select("query_id", "query"), "query_id").select(*_PAIR, "rank", T.short_description(F.col("product_description")).alias("short"), F.array_join(T.matched_terms(T.feature_tokens(F.col("query")), T.feature_tokens(F.col("product_name"))), " ").alias("matched")),
     "score_breakdown": lambda p: p.hybrid(10).select(*_PAIR, F.round(0.1 * F.col("lexical_norm"), 6).alias("lexical_part"), F.round(0.9 * F.col("semantic_norm"), 6).alias("semantic_part"), "lexical_rank", "semantic_rank"),
+    "term_stats_all": lambda p: R.term_stats(R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description")), max_features=None),
+    "hybrid_weighted_deep": lambda p: _named(p.deep()),
     "rerank_trained": lambda p: _trained(p),
 }
 
