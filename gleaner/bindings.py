@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import feature_tokens
@@ -21,10 +21,14 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").cast("string").alias("product_id"), F.substring_index("text", "\n", 1).alias("product_name"), F.col("lang").alias("product_class"), F.col("source").alias("category_hierarchy"), F.col("text").alias("product_description"))
 
 
-def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries from the benchmark: its first eight feature tokens."""
+def _query(text: str, short: bool) -> Column:
+    return (F.array_join(F.slice(feature_tokens(F.col(text)), 1, 8), " ") if short else F.col(text)).alias("query")
+
+
+def text_queries(spark: SparkSession, sf_dir: str, short: bool = True) -> DataFrame:
+    """Queries from the benchmark: the item's whole text or, if short, its first eight feature tokens."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(feature_tokens(F.col("text")), 1, 8), " ").alias("query"))
+    return b.select(F.col("item_id").cast("string").alias("query_id"), _query("text", short))
 
 
 def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +37,10 @@ def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).join(e.select(F.col("vec_id").cast("string").alias("product_id"), doubles(F.col("embedding")).alias("vector"), "label"), "product_id")
 
 
-def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 25th text of the vector catalog as a query: its first eight feature tokens, its vector and label."""
+def vector_queries(spark: SparkSession, sf_dir: str, short: bool = True) -> DataFrame:
+    """Every 25th text of the vector catalog as a query: its text as in text_queries, its vector and label."""
     c = vector_catalog(spark, sf_dir).where("cast(product_id AS bigint) % 25 = 0")
-    return c.select(F.col("product_id").alias("query_id"), F.array_join(F.slice(feature_tokens(F.col("product_description")), 1, 8), " ").alias("query"), "vector", "label")
+    return c.select(F.col("product_id").alias("query_id"), _query("product_description", short), "vector", "label")
 
 
 def judgments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,5 +203,6 @@ def _all(sql: str) -> str:
 
 ORACLE |= {
     "term_stats_all": _all(ORACLE["term_stats"]),
-    "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]).replace("rank <= 50", "rank <= 100"),
+    "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]).replace("rank <= 50", "rank <= 100").replace(f"array_to_string({_TOK.format('body')}[1:8], ' ') AS query", "body AS query"),
+    "lexical_search_all": _all(ORACLE["lexical_search"]).replace(f"array_to_string({_TOK.format('text')}[1:8], ' ') AS query", "text AS query"),
 }

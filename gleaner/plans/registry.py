@@ -49,8 +49,8 @@ class _Plans:
         return R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description"))
 
     def deep(self, k: int = 10) -> DataFrame:
-        """Hybrid ranking over all terms, DEEP products of either engine."""
-        q, c = D.vector_queries(self.spark, self.dir), self.catalog()
+        """Hybrid ranking of whole texts over all terms, DEEP products of either engine."""
+        q, c = D.vector_queries(self.spark, self.dir, short=False), self.catalog()
         index = R.LexicalIndex(c, F.col("product_description"), max_features=None)
         lexical = R.top_k(index.scores(q).where("score > 0 AND query_id <> product_id"), DEEP)
         return R.fuse(R.fused(lexical, R.semantic_search(q, c, DEEP)), R.weighted(0.9), k)
@@ -188,6 +188,7 @@ _FOUND = {
     "score_breakdown": lambda p: p.hybrid(10).select(*_PAIR, F.round(0.1 * F.col("lexical_norm"), 6).alias("lexical_part"), F.round(0.9 * F.col("semantic_norm"), 6).alias("semantic_part"), "lexical_rank", "semantic_rank"),
     "term_stats_all": lambda p: R.term_stats(R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description")), max_features=None),
     "hybrid_weighted_deep": lambda p: _named(p.deep()),
+    "lexical_search_all": lambda p: _named(R.LexicalIndex(D.catalog(p.spark, p.dir), F.col("product_description"), max_features=None).search(D.text_queries(p.spark, p.dir, short=False))),
     "rerank_trained": lambda p: _trained(p),
 }
 

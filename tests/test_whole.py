@@ -12,3 +12,11 @@ def test_all_terms(spark):
     assert {r.term for r in R.term_stats(f, max_features=None).collect()} == {"x", "y"}
     assert R.term_stats(f, max_features=1).count() == 1
     assert registry.DEEP == 100 and {"term_stats_all", "hybrid_weighted_deep"} <= registry.QUERIES.keys() & registry.ORACLE.keys()
+
+
+def test_whole_query_texts(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(30))
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert D.text_queries(spark, str(tmp_path), short=False).first()["query"] == text
+    spark.createDataFrame([(7, "word20 word21 other", "en", "web"), (8, "word20 word21 again", "en", "web"), (9, "none of it", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.product_id for r in registry.QUERIES["lexical_search_all"](spark, str(tmp_path)).collect()} == {"7", "8"}
