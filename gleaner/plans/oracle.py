@@ -201,7 +201,12 @@ def _all(sql: str) -> str:
     return sql.replace(" ORDER BY total_tf DESC, term LIMIT 20000", "")
 
 
+_ALL = "cat AS (SELECT doc_id::VARCHAR AS product_id, text AS body FROM documents), qs AS (SELECT '' AS query_id, '' AS query)" + _all(_index("cat", "body", "qs"))
+
 ORACLE |= {
+    "tfidf_index_all": f"WITH {_ALL} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
+    "index_metadata_all": f"WITH {_ALL} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings FROM post",
+    "event_lookup_all": ORACLE["event_lookup"].replace("search_id % 100 = 3", "search_id IN (SELECT search_id FROM fb)"),
     "term_stats_all": _all(ORACLE["term_stats"]),
     "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]).replace("rank <= 50", "rank <= 100").replace(f"array_to_string({_TOK.format('body')}[1:8], ' ') AS query", "body AS query"),
     "lexical_search_all": _all(ORACLE["lexical_search"]).replace(f"array_to_string({_TOK.format('text')}[1:8], ' ') AS query", "text AS query"),

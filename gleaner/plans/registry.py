@@ -48,6 +48,9 @@ class _Plans:
     def text_index(self) -> R.LexicalIndex:
         return R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description"))
 
+    def whole_index(self) -> R.LexicalIndex:
+        return R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description"), max_features=None)
+
     def deep(self, k: int = 10) -> DataFrame:
         """Hybrid ranking of whole texts over all terms, DEEP products of either engine."""
         q, c = D.vector_queries(self.spark, self.dir, short=False), self.catalog()
@@ -188,7 +191,10 @@ _FOUND = {
     "score_breakdown": lambda p: p.hybrid(10).select(*_PAIR, F.round(0.1 * F.col("lexical_norm"), 6).alias("lexical_part"), F.round(0.9 * F.col("semantic_norm"), 6).alias("semantic_part"), "lexical_rank", "semantic_rank"),
     "term_stats_all": lambda p: R.term_stats(R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description")), max_features=None),
     "hybrid_weighted_deep": lambda p: _named(p.deep()),
-    "lexical_search_all": lambda p: _named(R.LexicalIndex(D.catalog(p.spark, p.dir), F.col("product_description"), max_features=None).search(D.text_queries(p.spark, p.dir, short=False))),
+    "lexical_search_all": lambda p: _named(p.whole_index().search(D.text_queries(p.spark, p.dir, short=False))),
+    "tfidf_index_all": lambda p: p.whole_index().postings.select("product_id", "term", "tf", _r("weight")),
+    "index_metadata_all": lambda p: p.whole_index().postings.agg(F.count_distinct("product_id").alias("products"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings")),
+    "event_lookup_all": lambda p: D.search_events(p.spark, p.dir).join(D.feedback(p.spark, p.dir).select("search_id").distinct(), "search_id", "left_semi").select("search_id", "mode", F.array_join("returned_product_ids", ",").alias("returned")),
     "rerank_trained": lambda p: _trained(p),
 }
 

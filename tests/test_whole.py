@@ -1,7 +1,5 @@
 """Queries over the whole job: all terms, whole query texts, all searches."""
 
-from pyspark.sql import functions as F
-
 from gleaner import bindings as D
 from gleaner.operators import ranking as R
 from gleaner.plans import registry
@@ -20,3 +18,11 @@ def test_whole_query_texts(spark, tmp_path):
     assert D.text_queries(spark, str(tmp_path), short=False).first()["query"] == text
     spark.createDataFrame([(7, "word20 word21 other", "en", "web"), (8, "word20 word21 again", "en", "web"), (9, "none of it", "en", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.product_id for r in registry.QUERIES["lexical_search_all"](spark, str(tmp_path)).collect()} == {"7", "8"}
+
+
+def test_all_documents_and_requested_searches(spark, tmp_path):
+    spark.createDataFrame([(i, f"same words {i % 2}x", "en", "web") for i in range(5)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert registry.QUERIES["index_metadata_all"](spark, str(tmp_path)).first().products == 5  # no vectors needed
+    events = [(1, "view"), (2, "click"), (3, "view"), (4, "purchase"), (5, "view"), (103, "view")]
+    spark.createDataFrame([(i, k, "t", 1.0, '{"k": 1}', 9) for i, k in events], "event_id long, event_type string, ts string, value double, props string, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.search_id for r in registry.QUERIES["event_lookup_all"](spark, str(tmp_path)).collect()} == {1, 3}
