@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_ROOT: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master (tests), where both are one
+    process, may leave it unset; it then gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir is unset: on {master} it has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="spark-gleaner-")
@@ -41,3 +46,21 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows_by_id(documents: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of documents whose id is in the one column of ids (left_semi) or not in it (left_anti, null ids stay).
+
+    A merge join, so that texts are never broadcast and plans are alike at every size. The rows travel as one struct, so no
+    column of theirs can clash with the join's own.
+    """
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"))
+    other = ids.toDF("other_id")
+    return rows.join(other.hint("merge"), F.col("row_id") == F.col("other_id"), how).select("row.*")
+
+
+def one_row_per_id(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of rows that share an id the one with the least text, of these that with the least hash; null ids are left out."""
+    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id")).where("row_id IS NOT NULL")
+    first = Window.partitionBy("row_id").orderBy(F.col(f"row.`{text_col}`"), F.xxhash64("row"))
+    return rows.withColumn("row_place", F.row_number().over(first)).where("row_place = 1").select("row.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _blocks as B
-from gleaner.llm._shared import documents_of
+from gleaner.llm._shared import documents_of, rows_by_id
 
 BLOCK_BYTES = 16 << 20
 _OUT = "doc_id long, item_id long, n_shingles long, n_shared long"
@@ -124,5 +124,5 @@ def contained_items(documents: DataFrame, items: DataFrame, words: int = 5, num:
 
 def decontaminated(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
     """The rows of documents that hold no item; rows without an id stay."""
-    bad = contained_items(documents, items, id_col=id_col, **settings).select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad.hint("merge"), F.col(id_col).cast("long") == F.col("bad_id"), "left_anti")
+    bad = contained_items(documents, items, id_col=id_col, **settings).select("doc_id").distinct()
+    return rows_by_id(documents, id_col, bad, "left_anti")

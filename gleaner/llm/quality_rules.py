@@ -2,10 +2,11 @@
 
 Base figures of a text (words are runs of other characters than ASCII white space):
 word_chars, n_symbols, n_dup_lines and n_repeat_words as the columns say. Each rule of RULES votes 1 (good), 0 (bad) or
-abstains. Rules are taken as independent given the unknown label; EM over the counts of the vote patterns (at most
-3 ** rules rows, whatever the number of documents) finds the prior and each rule's rates of the votes for good and for
-bad texts, with a start that trusts each rule and one pseudo-count of it. A text is kept if the posterior probability of
-good is at least 0.5 and the base rules did not fail it.
+abstains. Rules are taken as independent given the unknown label, which is good or one of the faults that rules look at;
+EM over the counts of the vote patterns (at most 3 ** rules rows, whatever the number of documents) finds the labels'
+priors and each rule's accuracy under each of them, from a start that trusts each vote for bad. All estimates depend on
+the shares of the patterns alone, not on the size of the table. A text is kept if the posterior probability of good is
+at least 0.5 and the base rules did not fail it.
 
 DataFrame functions throughout. Cases: a null text has no words (all figures 0) and fails the base; a text of one line
 or of fewer than eight words has no repeats; with no documents nothing is estimated; repeated rows count each.
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._shared import written
+from gleaner.llm._shared import rows_by_id, written
 
 WINDOW = 8
 
@@ -67,69 +68,91 @@ def _vote(good: str, bad: str) -> Column:
 
 _SHOWN = ("100 * n_symbols {0} * n_words", "100 * n_shouts {1} * n_words", "100 * n_capitals {2} * word_chars", "100 * n_repeat_words {3} * n_words")
 
-#: name: (votes good where, votes bad where); abstains elsewhere, as most do where they see no fault of their kind: that a
-#: text has no symbols doesn't speak for it. Whole numbers, so that no rounding decides.
+#: name: (votes good where, votes bad where); abstains between the two. Each rule looks at a fault of its own kind, so that
+#: no threshold counts twice. Whole numbers, so that no rounding decides.
 RULES = {
-    "symbols": ("FALSE", _SHOWN[0].format("> 10")),
-    "shouts": ("FALSE", _SHOWN[1].format("", "> 20")),
-    "capitals": ("FALSE", _SHOWN[2].format("", "", "> 30")),
-    "lines": ("FALSE", "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines"),
-    "windows": ("FALSE", _SHOWN[3].format("", "", "", "> 25")),
-    "variety": ("FALSE", "n_words < 500 AND 100 * n_distinct_words < 25 * n_words"),
+    "symbols": (_SHOWN[0].format("<= 2"), _SHOWN[0].format("> 10")),
+    "shouts": (_SHOWN[1].format("", "<= 5"), _SHOWN[1].format("", "> 20")),
+    "capitals": (_SHOWN[2].format("", "", "<= 15"), _SHOWN[2].format("", "", "> 30")),
+    "lines": ("10 * n_dup_lines <= n_lines", "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines"),
+    "windows": (_SHOWN[3].format("", "", "", "<= 10"), _SHOWN[3].format("", "", "", "> 25")),
+    "variety": ("n_words < 500 AND 100 * n_distinct_words >= 40 * n_words", "n_words < 500 AND 100 * n_distinct_words < 25 * n_words"),
     "word_length": ("word_chars >= 3 * n_words AND word_chars <= 9 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
-    "clean": (" AND ".join(_SHOWN).format("<= 2", "<= 5", "<= 15", "<= 25"), " OR ".join(_SHOWN[:3]).format("> 10", "> 20", "> 30")),
 }
 
+#: How far a vote is trusted at the start; no estimate of a rule's accuracy on its own fault, or on good texts, is less.
+TRUST = 0.8
+#: Pseudo-counts as shares of the table, so that a table and a hundred copies of it are estimated alike: of the start, which
+#: keeps rates off 0, and of right votes on good texts. Where a rule sees a fault alone, the data fit as well if it errs on
+#: good texts; the second decides for the rule.
+PSEUDO, RIGHT = 1e-6, 0.05
+Votes = tuple[int | None, ...]
 
-def estimate(counts: list[tuple[tuple[int | None, ...], int]], steps: int = 50) -> tuple[float, list[dict]]:
-    """EM over (votes, count): the prior of good, and by rule {(label, vote): rate} of the votes 0, 1 and None."""
-    if not counts:
-        return 0.5, []
-    rules = len(counts[0][0])
-    kinds = (0, 1, None)
-    prior, rates = 0.8, [{(y, v): 0.2 if v is None else 0.64 if v == y else 0.16 for y in (0, 1) for v in kinds} for _ in range(rules)]
+
+def estimate(counts: list[tuple[Votes, int]], steps: int = 50) -> tuple[list[float], list[list[float]]]:
+    """EM over (votes, count): the priors of the classes, and by class and rule the rate of bad among the votes given.
+
+    Class 0 is good, class r + 1 has the fault that rule r looks at: texts are bad in many ways, and with one class for all
+    of them the commonest way would make the others good. The first labels trust each vote for bad, and take texts without
+    one for good.
+    """
+    rules = len(counts[0][0]) if counts else 0
+    total = sum(n for _, n in counts)
+    start = [[1 - TRUST] * rules] + [[TRUST if r == c else 1 - TRUST for r in range(rules)] for c in range(rules)]
+    weights = [TRUST] + [(1 - TRUST) / max(1, rules)] * rules
+    if not total:
+        return weights, start
+    shares = [(votes, n / total) for votes, n in sorted(counts, key=str)]
+    labels = []
+    for votes, _ in shares:
+        bad = [r for r, v in enumerate(votes) if v == 0]
+        labels.append([1 - TRUST if bad else 1.0] + [TRUST / len(bad) if r in bad else 0.0 for r in range(rules)])
     for _ in range(steps):
-        post = [posterior(votes, prior, rates) for votes, _ in counts]
-        total = sum(n for _, n in counts)
-        prior = (sum(p * n for p, (_, n) in zip(post, counts, strict=True)) + 0.8) / (total + 1)
-        for r in range(rules):
-            for y in (0, 1):
-                weight = {v: 0.2 if v is None else 0.64 if v == y else 0.16 for v in kinds}
-                for p, (votes, n) in zip(post, counts, strict=True):
-                    weight[votes[r]] += n * (p if y else 1 - p)
-                whole = sum(weight.values())
-                for v in kinds:
-                    rates[r][y, v] = weight[v] / whole
-    return prior, rates
-
-
-def posterior(votes: tuple[int | None, ...], prior: float, rates: list[dict]) -> float:
-    """Of good; an abstention says nothing."""
-    logit = math.log(prior / (1 - prior))
-    for v, rate in zip(votes, rates, strict=True):
-        if v is not None:
-            logit += math.log(rate[1, v] / (rate[1, 0] + rate[1, 1])) - math.log(rate[0, v] / (rate[0, 0] + rate[0, 1]))
-    return 1 / (1 + math.exp(-max(-500.0, min(500.0, logit))))
+        mass = [sum(label[c] * n for label, (_, n) in zip(labels, shares, strict=True)) for c in range(rules + 1)]
+        priors = [(m + PSEUDO * w) / (1 + PSEUDO) for m, w in zip(mass, weights, strict=True)]
+        rates = []
+        for c in range(rules + 1):
+            row = []
+            for r in range(rules):
+                cast = sum(label[c] * n for label, (votes, n) in zip(labels, shares, strict=True) if votes[r] is not None)
+                bad = sum(label[c] * n for label, (votes, n) in zip(labels, shares, strict=True) if votes[r] == 0)
+                rate = (bad + PSEUDO * start[c][r]) / (cast + PSEUDO + (0 if c else RIGHT))
+                row.append(min(rate, 1 - TRUST) if c == 0 else max(rate, TRUST) if c == r + 1 else rate)
+            rates.append(row)
+        labels = [class_posteriors(votes, priors, rates) for votes, _ in shares]
+    return priors, rates
+
+
+def class_posteriors(votes: Votes, priors: list[float], rates: list[list[float]]) -> list[float]:
+    """The probability of each class; a rule that abstains says nothing."""
+    logs = [math.log(p) + sum(math.log(b if v == 0 else 1 - b) for v, b in zip(votes, row, strict=True) if v is not None) for p, row in zip(priors, rates, strict=True)]
+    parts = [math.exp(x - max(logs)) for x in logs]
+    return [x / sum(parts) for x in parts]
+
+
+def posterior(votes: Votes, priors: list[float], rates: list[list[float]]) -> float:
+    """The probability of good."""
+    return class_posteriors(votes, priors, rates)[0]
 
 
 def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, posterior) of each row."""
     base = F.expr("n_words < 20 OR 100 * n_repeat_words > 30 * n_words")
-    votes = [f"vote_{r}" for r in RULES]
+    votes = [_vote(*x) for x in RULES.values()]
     f = written(figures(documents, id_col, text_col), "figures")  # else every vote would take the figures anew
-    f = f.withColumn("base_failed", base).withColumns({f"vote_{r}": _vote(*x) for r, x in RULES.items()})
-    counts = [(tuple(r[v] for v in votes), r["count"]) for r in f.groupBy(*votes).count().collect()]  # 3 ** rules rows at most
-    prior, rates = estimate(counts)
-    logit = F.lit(math.log(prior / (1 - prior)))
-    for v, rate in zip(votes, rates, strict=False):
-        for x in (0, 1):
-            weight = math.log(rate[1, x] / (rate[1, 0] + rate[1, 1])) - math.log(rate[0, x] / (rate[0, 0] + rate[0, 1]))
-            logit = logit + F.when(F.col(v) == x, F.lit(weight)).otherwise(F.lit(0.0))
-    good = 1 / (1 + F.exp(-logit))
-    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (good >= 0.5)).alias("kept"), good.alias("posterior"))
+    pattern = sum((F.coalesce(v, F.lit(2)) * 3**r for r, v in enumerate(votes)), F.lit(0))
+    f = f.withColumn("base_failed", base).withColumn("pattern", pattern.cast("int"))
+    counts = {r["pattern"]: r["count"] for r in f.groupBy("pattern").count().collect()}  # 3 ** rules rows at most
+    cast = {k: tuple((0, 1, None)[k // 3**r % 3] for r in range(len(RULES))) for k in counts}
+    priors, rates = estimate([(cast[k], n) for k, n in counts.items()])
+    rows = [(k, posterior(v, priors, rates)) for k, v in sorted(cast.items())]
+    known = documents.sparkSession.createDataFrame(rows, "pattern int, posterior double")
+    f = f.join(F.broadcast(known), "pattern")
+    good = F.col("posterior")
+    return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (good >= 0.5)).alias("kept"), good)
 
 
 def filtered(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents whose ids are kept; rows that share an id stay if one of them is kept."""
-    kept = judged(documents, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return documents.join(kept.hint("merge"), F.col(id_col).cast("long") == F.col("kept_id"), "left_semi")
+    kept = judged(documents, id_col, text_col).where("kept").select("doc_id").distinct()
+    return rows_by_id(documents, id_col, kept)
