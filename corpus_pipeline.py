@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm._shared import table, written
+from gleaner.llm._shared import one_row_per_id, rows_by_id, table, written
 from gleaner.llm.contamination import decontaminated
 from gleaner.llm.ngram_join import ngram_jaccard_components
 from gleaner.llm.quality_rules import filtered
@@ -24,10 +24,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram similarity (five words, 0.8) links: that with the smallest id."""
+    """One document of each group that n-gram similarity (five words, 0.8) links: that with the smallest id; of rows that
+    share this id, that with the least text."""
     groups = ngram_jaccard_components(docs, words=5, num=80, den=100)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long") == F.col("first_id"), "left_semi").dropDuplicates(["doc_id"])
+    first = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return one_row_per_id(rows_by_id(docs, "doc_id", first))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
