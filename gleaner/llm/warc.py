@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _blocks as B
-from gleaner.llm._shared import shared_root, written
+from gleaner.llm._shared import shared_root, shuffle_partitions, written
 
 CHUNK = 1 << 20
 ARCHIVE_BYTES = 256 << 20
@@ -196,8 +196,10 @@ def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None
 
 
 def read_archives(archives: DataFrame, folder: str, payload: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """The chunked record table of archives (path)."""
-    return archives.select("path").repartition("path").mapInArrow(_reader(folder, payload, chunk), CHUNKS)
+    """The chunked record table of archives (path). Their paths are dealt over a given number of tasks, which adaptive
+    execution leaves apart: by the bytes of the paths it would read all archives in one."""
+    n = shuffle_partitions(archives.sparkSession)
+    return archives.select("path").repartition(n, "path").mapInArrow(_reader(folder, payload, chunk), CHUNKS)
 
 
 def record_digests(chunks: DataFrame) -> DataFrame:
