@@ -125,7 +125,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         for i, j, data, offsets in B.blocks(*B.utf8(rb.column("text")), rows=_ROWS):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([rb.column("label").slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "counts"])
+            yield pa.RecordBatch.from_arrays([*(rb.column(c).slice(i, j - i) for c in ("doc_id", "label")), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "counts"])
 
 
 def _scored(space, neighbours: int, temperature: float):
@@ -144,8 +144,8 @@ def knn_scores(documents: DataFrame, labels: DataFrame, label: str, usable: Colu
     docs = documents_of(documents, id_col, text_col)
     rows = labels.where(F.lit(True) if usable is None else usable).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     rows = rows.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text").orderBy(F.xxhash64("doc_id"), "text").limit(sample)
-    held = known.select("label", "text").mapInArrow(_counts, "label int, counts binary").collect()
+    known = docs.join(F.broadcast(rows), "doc_id").select("doc_id", "label", "text").mapInArrow(_counts, "doc_id long, label int, counts binary")
+    held = known.orderBy(F.xxhash64("doc_id"), "counts").limit(sample).select("label", "counts").collect()  # of WIDTH floats each, however long the texts
     counts = np.stack([np.frombuffer(r["counts"], np.float32) for r in held]) if held else np.zeros((0, WIDTH), np.float32)
     space = spark.sparkContext.broadcast(Space(counts, np.array([r["label"] for r in held]), rank))
     return docs.mapInArrow(_scored(space, neighbours, temperature), "doc_id long, score double")
