@@ -11,15 +11,19 @@ from gleaner.llm._shared import written
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): every node of the edges with the smallest node that it reaches. Each step is two shuffles by
     node with map-side minima; the steps end when every
-    edge points at a node that points nowhere: the smallest of its component."""
+    edge points at a node that points nowhere: the smallest of its component.
+
+    The minima are written before they are joined: both sides of the join are then plain shuffles, and adaptive execution
+    splits the edges of a hot node over tasks."""
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     now = edges.select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).where("u <> v").distinct()
     now = written(now, "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large, "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         now = written(small, "edges")

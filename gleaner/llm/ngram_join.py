@@ -28,8 +28,10 @@ from gleaner.llm import _blocks as B
 from gleaner.llm._graph import components
 from gleaner.llm._shared import documents_of, shuffle_partitions, written
 
-#: Distinct sets of a cluster that one task holds on either side.
-BLOCK_SETS = 2000
+#: Distinct sets of a cluster, and n-grams of them all, that one task holds on either side (one set may have more).
+BLOCK_SETS, BLOCK_GRAMS = 2000, 1_000_000
+#: Parts of the signatures for each shuffle partition: a task holds one of its parts at a time.
+PARTS = 32
 _FLUSH = 2_000_000
 
 
@@ -135,14 +137,23 @@ def _entered(words: int, num: int, den: int, parts: int):
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's signatures together: stars of those that met. Sizes, digests and earlier edges pass through."""
+    """Each part's signatures together: stars of those that met. Rows come sorted by part, so one part is held at a time.
+    Sizes, digests and earlier edges pass through."""
 
     def out(kind: int, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(c)], names=["kind", "a", "b", "c"])
 
-    sigs, ids = [], []
+    def done() -> pa.RecordBatch:
+        _, _, a, b = _stars(np.concatenate(sigs), np.concatenate(ids))
+        return out(0, a, b, np.zeros(len(a), np.int64))
+
+    sigs, ids, now = [], [], None
     for rb in batches:
         for part, x, y in zip(*(c.to_pylist() for c in rb.columns), strict=True):
+            if part != now and sigs:
+                yield done()
+                sigs, ids = [], []
+            now = part
             if part == -1:
                 yield out(1, np.frombuffer(x, np.int64), *np.frombuffer(y, np.int64).reshape(2, -1))
             elif part < 0:
@@ -151,8 +162,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs.append(np.frombuffer(x, np.uint64))
                 ids.append(np.frombuffer(y, np.int64))
     if sigs:
-        _, _, a, b = _stars(np.concatenate(sigs), np.concatenate(ids))
-        yield out(0, a, b, np.zeros(len(a), np.int64))
+        yield done()
 
 
 def _sets_of(words: int):
@@ -173,7 +183,7 @@ def trie_links(stored: list[np.ndarray], probes: list[np.ndarray], num: int, den
     subtree drops the probes that its sets are all joined with, and a set tries one probe before it turns to all others.
     """
     n = len(stored)
-    order = np.array(sorted(range(n), key=lambda i: stored[i].tolist()))
+    order = np.array(sorted(range(n), key=lambda i: stored[i].astype(">u8").tobytes()))  # bytes of this order compare as the numbers do
     sets = [stored[i] for i in order]
     sizes, psize = np.array([len(s) for s in sets]), np.array([len(p) for p in probes])
     tokens = np.concatenate(probes)
@@ -263,16 +273,19 @@ def _joined(num: int, den: int):
     return run
 
 
-def _placed(same: DataFrame, block_sets: int) -> DataFrame:
+def _placed(same: DataFrame, block_sets: int, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_id, cluster, i, j, side): the pairs of blocks (i, j), and the side there, that each distinct set goes to.
 
-    A cluster of at most block_sets sets is one block. A larger one has blocks by size class (of ratio 1.26, so similar
+    A cluster of at most block_sets sets and block_grams n-grams is one block. A larger one has blocks by size class (of ratio 1.26, so similar
     sets are in one class or in neighbours) and, where a class is larger, by hash; only those pairs of blocks are made
     whose classes can hold similar sets.
     """
-    sets = same.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").join(same, "cluster")
-    sets = sets.withColumn("class", F.when(F.col("n") <= block_sets, F.lit(0)).otherwise(F.floor(F.log("n_shingles") / F.log(F.lit(1.26))) + 1).cast("long"))
-    parts = sets.groupBy("cluster", "class").agg(F.ceil(F.count("*") / block_sets).cast("long").alias("parts"))
+    # tables of clusters are written before they are joined, so that adaptive execution can split a large cluster's sets
+    sets = written(same.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams")).where("n > 1"), "large").join(same, "cluster")
+    one = (F.col("n") <= block_sets) & (F.col("grams") <= block_grams)
+    sets = sets.withColumn("class", F.when(one, F.lit(0)).otherwise(F.floor(F.log("n_shingles") / F.log(F.lit(1.26))) + 1).cast("long"))
+    parts = sets.groupBy("cluster", "class").agg(F.ceil(F.greatest(F.count("*") / block_sets, F.sum("n_shingles") / block_grams)).cast("long").alias("parts"))
+    parts = written(parts, "parts")
     sets = sets.join(parts, ["cluster", "class"])
     for name, step in (("above", 1), ("below", -1)):
         sets = sets.join(parts.select("cluster", (F.col("class") - step).alias("class"), F.col("parts").alias(name)), ["cluster", "class"], "left")
@@ -299,9 +312,9 @@ def ngram_jaccard_components(documents: DataFrame, words: int = 4, num: int = 85
     spark = documents.sparkSession
     docs = documents_of(documents, id_col, text_col)
     n = shuffle_partitions(spark)
-    entered = docs.mapInArrow(_entered(words, num, den, 4 * n), _MID)
+    entered = docs.mapInArrow(_entered(words, num, den, PARTS * n), _MID)
     spread = F.when(F.col("part") < 0, F.xxhash64("ids")).otherwise(F.col("part").cast("long"))
-    met = written(entered.repartition(n, spread).mapInArrow(_met, _OUT), "met")
+    met = written(entered.repartition(n, spread).sortWithinPartitions("part").mapInArrow(_met, _OUT), "met")
     sizes, edges = met.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("digest")), met.where("kind = 0").select("a", "b")
     clusters = written(components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
 
