@@ -1,19 +1,25 @@
 """Suffix-array dedup: removes every byte that a string of `length` bytes covers which starts anywhere else, too.
 
-The difference-cover scheme, cut off at `length` bytes: sort a sample of suffixes, name them, sort the rest by the
-sample, compare neighbours. A periodic cover of v residues samples some sqrt(v) of every v positions (12 of 133, so 9 %
-of all bytes as rows); here the sample is a cover that the content sets: of the `length - width + 1` windows of `width`
-bytes inside any string of `length` bytes, that with the least hash. It has the property that the scheme rests on - two
-equal strings hold a sampled position at one and the same offset - with under 1 % of the positions.
+The difference-cover scheme, cut off at `length` bytes. A periodic cover of v residues samples some sqrt(v) of every v
+positions (12 of 133, so 9 % of all bytes as rows); here the sample is a cover that the content sets: of the
+`length - width + 1` windows of `width` bytes inside any string of `length` bytes, that with the least hash. It has the
+property that the scheme rests on - two equal strings hold a sampled position at one and the same offset - with under
+1 % of the positions.
 
 1. Sample: the positions of the cover in every text, named by a hash of their window that is built by doubling.
-2. Names met once end there: no string around them starts elsewhere. The others are named again by their whole context,
-   the bytes of all strings of `length` that hold the sampled window.
-3. A context met twice settles all its strings at once (equal ranks need no further sorting).
-4. The contexts that are left are gathered by the name they share; their suffixes, at each offset from the sampled
-   position, are sorted by a hash of `length` bytes, and neighbours compared: equal ones are repeats. Those of a name with
-   more than HOT_CONTEXTS contexts are counted by a grouping of their hashes instead, which no single task holds.
-5. Runs of repeated starts become byte spans of their texts.
+2. Names met once end there: no string around them starts elsewhere. The others are named again, by triples: the windows
+   at the start, in the middle and at the end of their context, the bytes of all strings of `length` that hold the
+   sampled window. A triple spans all that a string can reach, so the recursion ends at this level; a triple met twice
+   settles all its strings at once.
+3. The contexts that are left are gathered by the name they share and their sampled suffixes sorted and ranked. The other
+   suffixes are merged in by (rank of the bytes before the sampled place, rank of the sampled suffix), to `length` bytes,
+   and neighbours compared: equal ranks are repeats. The strings of a name with more than HOT_CONTEXTS contexts are
+   counted by a grouping of their hashes instead, which no single task holds.
+4. Runs of repeated starts become byte spans of their texts.
+
+Names across the cluster are hashes in place of ranks, so no level waits for a sort of the whole table; a hash that names
+two windows alike only brings their contexts together, as step 3 compares bytes. Two hashes of 64 bits (window and triple,
+window and string) decide in step 2 and for hot names, one (id and text) tells rows apart.
 
 Cases: a null text is empty; texts shorter than `length` keep all; matches never cross texts; rows without an id are left
 out; rows that share an id are separate texts, and two whole copies of a row count as two texts, each a copy of the other.
@@ -168,7 +174,7 @@ def _starts(name: np.ndarray, p: np.ndarray, a: np.ndarray, raw: list[bytes], le
 
 
 def _hashed(length: int):
-    """The starts (doc_key, first, one, m) in the contexts of names that too many contexts share for one task."""
+    """The starts (doc_key, first, name, one, m) in the contexts of names that too many contexts share for one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -176,24 +182,66 @@ def _hashed(length: int):
                 rb = whole.slice(k, _STEP_ROWS)
                 key, p, name, a, m = (rb.column(c).to_numpy() for c in ("doc_key", "p", "name", "a", "m"))
                 of, at, one = _starts(name, p, a, rb.column("context").to_pylist(), length)
-                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(a[of] + at), pa.array(one.view(np.int64)), pa.array(m[of])], names=["doc_key", "first", "one", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[of]), pa.array(a[of] + at), pa.array(name[of]), pa.array(one.view(np.int64)), pa.array(m[of])], names=["doc_key", "first", "name", "one", "m"])
 
     return run
 
 
-def _repeated(length: int):
+def _sorted(rows: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicographic order of byte rows (zeros beyond size), and the bytes that neighbours in it share."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    keys = wide.view(">u8").astype(np.uint64)
+    order = np.lexsort((size, *keys.T[::-1]))
+    now, n = rows[order], size[order]
+    differs = now[1:] != now[:-1]
+    shared = np.where(differs.any(1), differs.argmax(1), rows.shape[1])
+    return order, np.minimum(shared, np.minimum(n[1:], n[:-1]))
+
+
+def _ranks(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """The rank of each row by its first depth bytes: neighbours that share as many have one rank."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate(([0], np.cumsum(shared < depth)))
+    return out
+
+
+def merged(p: np.ndarray, a: np.ndarray, m: np.ndarray, raw: list[bytes], length: int, width: int) -> np.ndarray:
+    """again[i, d]: whether the string of length bytes that starts d bytes before the sampled place of context i comes
+    again among the contexts (each met m times).
+
+    The sampled suffixes are sorted to that length, and so are the bytes before them, read backwards. The other suffixes
+    are merged in by (rank of their first d bytes, rank of the sampled suffix that follows): neighbours with equal ranks
+    agree in length bytes. Everything is compared by its bytes; a hash that names two windows alike does no harm.
+    """
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    size = np.array([len(x) for x in raw], np.int64)
+    back, before = length - width, p - a
+    after = np.minimum(size - before, length)
+    place = (np.cumsum(size) - size + before)[:, None]
+
+    def bytes_at(at: np.ndarray, held: np.ndarray) -> np.ndarray:
+        return np.where(np.arange(at.shape[1]) < held[:, None], data[np.clip(at, 0, len(data) - 1)], 0).astype(np.uint8)
+
+    right = _sorted(bytes_at(place + np.arange(length), after), after)
+    left = _sorted(bytes_at(place - 1 - np.arange(max(1, back)), before), before)
+    again = np.zeros((len(raw), back + 1), bool)
+    for d in range(back + 1):
+        inside = np.flatnonzero((before >= d) & (after >= length - d))
+        if len(inside):
+            pair = _ranks(*left, d)[inside] * len(raw) + _ranks(*right, length - d)[inside]
+            _, same = np.unique(pair, return_inverse=True)
+            again[inside, d] = np.bincount(same, weights=m[inside])[same] >= 2
+    return again
+
+
+def _repeated(length: int, width: int):
     """Runs of starts (doc_key, first, last) whose string comes again among the contexts that share its name."""
 
-    def solve(name, key, p, a, m, raw) -> pa.RecordBatch:
-        of, at, one = _starts(name, p, a, raw, length)
-        order = np.argsort(one, kind="stable")
-        one = one[order]
-        group = np.cumsum(np.concatenate(([False], one[1:] != one[:-1])), dtype=np.int32)
-        total = np.bincount(group, weights=m[of[order]])
-        again = np.zeros(len(of), bool)
-        again[order] = total[group] >= 2
-        again &= m[of] == 1  # contexts met twice are settled
-        of, start = of[again], a[of[again]] + at[again]
+    def solve(key, p, a, m, raw) -> pa.RecordBatch:
+        again = merged(p, a, m, raw, length, width) & (m == 1)[:, None]  # contexts met twice are settled
+        of, start = np.nonzero(again)
+        start = p[of] - start
         rank = np.lexsort((start, of))
         of, start = of[rank], start[rank]
         first = np.concatenate(([True], (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1)))[: len(of)]
@@ -206,7 +254,7 @@ def _repeated(length: int):
 
         def done(rbs: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rbs).combine_chunks()
-            return solve(*(t.column(c).to_numpy() for c in ("name", "doc_key", "p", "a", "m")), t.column("context").to_pylist())
+            return solve(*(t.column(c).to_numpy() for c in ("doc_key", "p", "a", "m")), t.column("context").to_pylist())
 
         for rb in (whole.slice(k, _STEP_ROWS) for whole in batches for k in range(0, whole.num_rows, _STEP_ROWS)):
             # sorted by name: what is held may end only between two names
@@ -259,18 +307,22 @@ def keep(raw: bytes, cut: list[tuple[int, int]], characters: bool = False) -> by
     return b"".join([*out, raw[at:]])
 
 
-def _removed(length: int, texts: bool):
-    names = ["doc_key", "n_removed", "n_spans", "kept_sha256", "kept"]
-    schema = pa.schema([("doc_key", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), *[("kept", pa.string())] * texts])
+def _removed(length: int):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in batches:
-            out: list[list] = [[] for _ in names]
-            for key, data, (first, last) in _rows([rb], "firsts", "lasts"):
-                cut, raw = spans(first, last, length), data.tobytes()
-                for store, x in zip(out, (key, sum(b - a for a, b in cut), len(cut), hashlib.sha256(keep(raw, cut)).hexdigest(), keep(raw, cut, True).decode() if texts else None), strict=True):
-                    store.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=False)], schema=schema)
+        for whole in batches:
+            for k in range(0, whole.num_rows, _STEP_ROWS):
+                rb = whole.slice(k, _STEP_ROWS)
+                out: list[list] = [[] for _ in names[1:]]
+                for _, data, (first, last) in _rows([rb], "firsts", "lasts"):
+                    cut, raw = spans(first, last, length), data.tobytes()
+                    kept = keep(raw, cut)
+                    text = keep(raw, cut, True).decode() if cut else raw.decode()
+                    for store, x in zip(out, (len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(kept).hexdigest(), text), strict=True):
+                        store.append(x)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([rb.column("doc_id"), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], names=names)
 
     return run
 
@@ -322,7 +374,8 @@ def _runs(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFram
         raise ValueError("0 < width <= length and length >= 256")
     n = shuffle_partitions(docs.sparkSession)
     sampled = written(docs.where(F.octet_length("text") >= length).select("doc_key", "text").mapInArrow(_cover(length, width), "doc_key long, p long, name long"), "cover")
-    shared = sampled.join(sampled.groupBy("name").count().where("count > 1"), "name", "left_semi")
+    again = written(sampled.groupBy("name").count().where("count > 1").select("name"), "names")  # a plain table: adaptive execution splits the places of a hot name
+    shared = sampled.join(again, "name", "left_semi")
     held = written(docs.select("doc_key", "text").join(_listed(shared, "p", "name").hint("merge"), "doc_key"), "held")
     named = written(held.mapInArrow(_contexts(length, width, False), "doc_key long, p long, name long, a long, b long, key long"), "named")
     kinds = named.groupBy("name", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_key", "p", "a", "b")).alias("rep"))
@@ -332,26 +385,24 @@ def _runs(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFram
     whole = held.select("doc_key", "text").join(_listed(left, "p", "name", "m", "hot").hint("merge"), "doc_key")
     whole = whole.mapInArrow(_contexts(length, width, True), "doc_key long, p long, name long, a long, b long, m long, hot long, context binary")
     whole = written(whole, "contexts")
-    again = whole.where("hot = 0").repartition(n, "name").sortWithinPartitions("name").mapInArrow(_repeated(length), "doc_key long, first long, last long")
-    strings = whole.where("hot = 1").mapInArrow(_hashed(length), "doc_key long, first long, one long, m long")
-    twice = strings.groupBy("one").agg(F.sum("m").alias("met")).where("met > 1")
-    again = again.unionByName(strings.where("m = 1").join(twice, "one", "left_semi").select("doc_key", "first", F.col("first").alias("last")))
+    again = whole.where("hot = 0").repartition(n, "name").sortWithinPartitions("name").mapInArrow(_repeated(length, width), "doc_key long, first long, last long")
+    strings = whole.where("hot = 1").mapInArrow(_hashed(length), "doc_key long, first long, name long, one long, m long")
+    twice = strings.groupBy("name", "one").agg(F.sum("m").alias("met")).where("met > 1")
+    again = again.unionByName(strings.where("m = 1").join(twice, ["name", "one"], "left_semi").select("doc_key", "first", F.col("first").alias("last")))
     return held, _listed(settled.unionByName(again), "first", "last")
 
 
-def _cut(docs: DataFrame, length: int, width: int, texts: bool) -> DataFrame:
-    """What goes from each text of docs (doc_key, text) that loses something: one row per doc_key."""
-    held, runs = _runs(docs, length, width)
-    cut = held.select("doc_key", "text").join(runs.hint("merge"), "doc_key").mapInArrow(_removed(length, texts), "doc_key long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts)
-    return cut.dropDuplicates(["doc_key"])
-
-
 def remove_repeats(documents: DataFrame, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of documents with an id."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row of documents with an id.
+
+    kept_sha256 is of the bytes that are left; text is what is left of the text, where a character that a cut only splits
+    stays whole.
+    """
     docs = documents_of(documents, id_col, text_col).withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    cut, zero = _cut(docs.select("doc_key", "text"), length, width, False), F.lit(0).cast("long")
-    out = docs.select("doc_id", "doc_key", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole")).join(cut, "doc_key", "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "whole").alias("kept_sha256"))
+    _, runs = _runs(docs.select("doc_key", "text"), length, width)
+    none = F.array().cast("array<bigint>")
+    rows = docs.join(runs.hint("merge"), "doc_key", "left").select("doc_key", "doc_id", "text", *[F.coalesce(c, none).alias(c) for c in ("firsts", "lasts")])
+    return rows.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
 
 
 def _replaced(documents: DataFrame, cut: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -362,12 +413,6 @@ def _replaced(documents: DataFrame, cut: DataFrame, id_col: str, text_col: str)
     return rows.select(*[F.coalesce("kept", f"row.`{c}`").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
 
 
-def without_repeats(documents: DataFrame, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of documents with the repeats cut from their texts; a character that a cut would split stays whole."""
-    docs = documents_of(documents, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    return _replaced(documents, _cut(docs, length, width, True), id_col, text_col)
-
-
 def without_repeated_passages(documents: DataFrame, words: int = 51, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of documents without the passages of that many words, or of length bytes, that come again.
 
