@@ -1,14 +1,16 @@
-"""Edit-aware token counts: a segment tree per document over leaves of pre-tokens, re-encoded only where edits touch.
+"""Edit-aware token counts: a segment tree per document over leaves of a few pre-tokens, re-encoded only where edits touch.
 
-A text is cut into leaves at places where a byte-pair tokenizer's pre-token pattern always starts anew - before a space
-that stands between two letters - so the tokens of a text are the sum over its leaves. The tree keeps characters and
-tokens of every subtree; an edit descends by characters to the leaves that it touches, takes one leaf more on either
-side as context (the cut towards it may no longer be a valid one), cuts and encodes only that region, and carries the
-changed sums up.
+A pre-token pattern cuts a text from left to right, and what follows a cut depends on nothing before it. So the tokens of
+a text are the sum over its pre-tokens, and an edit changes none that end REACH characters or more before it (no match
+looks further ahead), nor any after the first old cut behind the edit that the new text is cut at again. The tree keeps
+characters and tokens of every subtree; an edit descends by characters to the leaf REACH before its start, cuts and counts
+again from there to the first leaf whose start is a cut as before, and carries the changed sums up.
+
+A pre-token's tokens are kept by its text (up to KEPT of them in a worker), so each is encoded once, not once a mention.
 
 Cases: a null or empty text has no tokens and one empty leaf; edits apply one after another, each to the text as the
-ones before left it; bounds outside that text are moved to its ends, a null bound or text counts as 0 or empty; a text
-without places to cut (no spaces) is one leaf; rows without an id are left out, repeated rows are each counted.
+ones before left it; bounds outside that text are moved to its ends, a null bound or text counts as 0 or empty; a long
+pre-token is a leaf alone; rows without an id are left out, repeated rows are each counted.
 """
 
 from __future__ import annotations
@@ -21,53 +23,54 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 1024
-_CUT = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+#: Pre-tokens of a leaf when a tree is built; a leaf that edits have made FULL times as long has the tree built anew.
+LEAF, FULL = 4, 32
+REACH = 2
+KEPT = 1_000_000
 #: Fixed value: the published pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_LOADED: dict[str, Callable[[str], int]] = {}
+_CUT = regex.compile(PATTERN)
+_LOADED: dict[str, Callable[[list[str]], int]] = {}
 
 
-def counter(path: str) -> Callable[[str], int]:
-    """Number of tokens of a text by the ranks file at path; loaded once a worker."""
+def counter(path: str) -> Callable[[list[str]], int]:
+    """Number of tokens of a list of pre-tokens by the ranks file at path; loaded once a worker."""
     if path not in _LOADED:
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encode = tiktoken.Encoding(path.rsplit("/", 1)[-1], pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _LOADED[path] = lambda text: len(encode(text))
+        class Kept(dict):
+            def __missing__(self, word: str) -> int:
+                if len(self) >= KEPT:
+                    self.clear()
+                n = len(encode(word))
+                if len(word) <= 64:
+                    self[word] = n
+                return n
+
+        kept = Kept()
+        _LOADED[path] = lambda words: sum(map(kept.__getitem__, words))
     return _LOADED[path]
 
 
-def leaves(text: str, size: int = LEAF) -> list[str]:
-    out, at = [], 0
-    while len(text) - at > size and (m := _CUT.search(text, at + size)):
-        out.append(text[at : m.start()])
-        at = m.start()
-    return [*out, text[at:]]
-
-
 class CountedText:
     """A text as leaves under a binary tree of (characters, tokens)."""
 
-    def __init__(self, text: str, count: Callable[[str], int], size: int = LEAF):
-        self.count, self.size = count, size
-        self.leaf = leaves(text, size)
-        self.top = 1 << (len(self.leaf) - 1).bit_length()
-        self.chars, self.tokens = [0] * (2 * self.top), [0] * (2 * self.top)
-        self.encoded = 0
-        for i, x in enumerate(self.leaf):
-            self._set(i, x)
-        self.encoded = 0
-        for k in range(self.top - 1, 0, -1):
+    def __init__(self, text: str, count: Callable[[list[str]], int], size: int = LEAF):
+        self.count, self.size, self.encoded = count, size, 0
+        words = _CUT.findall(text)
+        groups = [words[k : k + size] for k in range(0, len(words), size)] or [[]]
+        self._build(["".join(g) for g in groups], [count(g) for g in groups])
+
+    def _build(self, leaf: list[str], tokens: list[int]) -> None:
+        self.leaf, self.tops = leaf, 1 << (len(leaf) - 1).bit_length()
+        rest = [0] * (self.tops - len(leaf))
+        self.chars, self.tokens = [0] * self.tops + [*map(len, leaf), *rest], [0] * self.tops + [*tokens, *rest]
+        for k in range(self.tops - 1, 0, -1):
             self._sum(k)
 
-    def _set(self, i: int, text: str) -> None:
-        self.leaf[i] = text
-        self.chars[self.top + i], self.tokens[self.top + i] = len(text), self.count(text) if text else 0
-        self.encoded += len(text)
-
     def _sum(self, k: int) -> None:
         self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
         self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
@@ -82,35 +85,68 @@ class CountedText:
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf with character at (the last one that has any, at the end), and at's place in it."""
         k = 1
-        while k < self.top:
+        while k < self.tops:
             k *= 2
             if at >= self.chars[k] and self.chars[k + 1]:
                 at -= self.chars[k]
                 k += 1
-        return k - self.top, at
+        return k - self.tops, at
 
     def edit(self, start: int, stop: int, new: str) -> None:
         """Puts new in place of the characters start..stop."""
         start = min(max(start, 0), self.chars[1])
         stop = min(max(stop, start), self.chars[1])
-        i, a = self._find(start)
-        j, b = self._find(stop)
-        head, tail = self.leaf[i][:a], self.leaf[j][b:]
-        low, high = i, j
-        while low > 0 and (low == i or not self.leaf[low]):
-            low -= 1
-        while high < len(self.leaf) - 1 and (high == j or not self.leaf[high]):
-            high += 1
-        region = "".join(self.leaf[low:i]) + head + new + tail + "".join(self.leaf[j + 1 : high + 1])
-        parts, slots = leaves(region, self.size), high - low + 1
-        step = -(-len(parts) // slots)
+        back = min(REACH, start)
+        low, a = self._find(start - back)
+        a += back  # counted from the start of leaf low, maybe beyond it
+        high, b = self._find(stop)
+        head = "".join(self.leaf[low : high + 1])[:a]
+        region, behind, words, at = head + new + self.leaf[high][b:], high, [], 0
+        text = region
+        while True:
+            # words from the start of leaf low until the region's end is a cut; else the next leaf joins the region
+            while behind < len(self.leaf) - 1 and len(text) < len(region) + REACH:
+                behind += 1
+                text += self.leaf[behind]
+            last = behind == len(self.leaf) - 1
+            while at < len(region):
+                m = _CUT.match(text, at)
+                if m.end() + REACH > len(text) and not last:
+                    break  # more text may change this match
+                words.append(m[0])
+                at = m.end()
+            if at == len(region):
+                break
+            if at > len(region):
+                high += 1
+                if high > behind:
+                    behind, text = high, text + self.leaf[high]
+                region += self.leaf[high]
+            else:
+                behind += 1
+                text += self.leaf[behind]
+        self.encoded += len(region)
+        slots = high - low + 1
+        step = max(1, -(-len(words) // slots))
+        dirty = set()
         for s in range(slots):
-            self._set(low + s, "".join(parts[s * step : (s + 1) * step]))
-        dirty = {(self.top + s) // 2 for s in range(low, high + 1)} - {0}
-        while dirty:
+            own = words[s * step : (s + 1) * step]
+            k = self.tops + low + s
+            self.leaf[low + s] = "".join(own)
+            self.chars[k], self.tokens[k] = len(self.leaf[low + s]), self.count(own)
+            dirty.add(k // 2)
+        while dirty := dirty - {0}:
             for k in dirty:
                 self._sum(k)
-            dirty = {k // 2 for k in dirty} - {0}
+            dirty = {k // 2 for k in dirty}
+        if step > FULL * self.size:
+            self._grow()
+
+    def _grow(self) -> None:
+        """Leaves of `size` pre-tokens again, where edits have put too many in one; known counts are looked up."""
+        words = _CUT.findall(self.text())
+        groups = [words[k : k + self.size] for k in range(0, len(words), self.size)] or [[]]
+        self._build(["".join(g) for g in groups], [self.count(g) for g in groups])
 
 
 def _counted(path: str, size: int):
@@ -122,11 +158,11 @@ def _counted(path: str, size: int):
             out = []
             for doc, text, edits in zip(*(rb.column(c).to_pylist() for c in ("doc_id", "text", "edits")), strict=True):
                 t = CountedText(text, count, size)
-                n = t.n_tokens
+                n, leaves = t.n_tokens, len(t.leaf)
                 for e in edits or []:
                     if e is not None:
                         t.edit(e["start"] or 0, e["stop"] or 0, e["new"] or "")
-                out.append((doc, n, len(t.leaf), len(edits or []), t.n_tokens, t.chars[1], t.encoded))
+                out.append((doc, n, leaves, len(edits or []), t.n_tokens, t.chars[1], t.encoded))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 7, names=names)
 
     return run

@@ -184,19 +184,49 @@ def own_ids(own, t):
     return np.frombuffer(own.encode([t])[0], "<i4").tolist()
 
 
+def encoder(path):
+    import base64
+
+    import tiktoken
+
+    from gleaner.llm.token_counts import PATTERN
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def test_token_counts(docs):
     from gleaner.llm.token_counts import CountedText, counter
 
-    count, r = counter(Q.tokenizer("byte_bpe_50k.tiktoken")), random.Random(3)
-    for t in texts(docs).values():
-        c, now = CountedText(t, count, 40), t
-        assert c.n_tokens == count(t)
-        for _ in range(6):
-            a = r.randrange(len(now) + 1)
-            b, new = min(len(now), a + r.choice([0, 2, 90])), r.choice(["", " ", "'s x", "\n\n", t[:70]])
-            c.edit(a, b, new)
+    path = Q.tokenizer("byte_bpe_50k.tiktoken")
+    count, whole, r = counter(path), encoder(path), random.Random(3)
+    for t in [*texts(docs).values(), "a'll b'", "x   \n\n  y", "'''s ''re 'r"]:
+        for size in (1, 4):
+            c, now = CountedText(t, count, size), t
+            assert c.n_tokens == len(whole(t))
+            for _ in range(6):
+                a = r.randrange(len(now) + 1)
+                b, new = min(len(now), a + r.choice([0, 1, 2, 90])), r.choice(["", " ", "'s x", "\n\n", "'", t[:70] * 9])
+                c.edit(a, b, new)
+                now = now[:a] + new + now[b:]
+                assert c.text() == now and c.n_tokens == len(whole(now))
+
+
+def test_token_counts_query(spark):
+    """The registered edits against whole encodings of the edited texts, and what they had to encode again."""
+    whole = encoder(Q.tokenizer("byte_bpe_50k.tiktoken"))
+    got = {r.doc_id: r for r in Q.op2_token_counts(spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    for d in rows:
+        t = now = d.text or ""
+        n = len(t)
+        for a, b, new in ((n // 3, n // 3 + 9, f" {d.lang or ''} "), (n // 2, n // 2, f"\n{d.source or ''}\n"), (n - 5, n + 100, "")):
+            a = min(max(a, 0), len(now))
+            b = min(max(b, a), len(now))
             now = now[:a] + new + now[b:]
-            assert c.text() == now and c.n_tokens == count(now)
+        r = got[d.doc_id]
+        assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited, r.n_edits) == (len(whole(t)), len(whole(now)), len(now), 3)
+    assert len(rows) == len(got) and sum(r.n_chars_encoded for r in got.values()) < 0.05 * 3 * sum(len(d.text or "") for d in rows)
 
 
 def test_warc(spark, tmp_path):
