@@ -269,7 +269,8 @@ def test_wrapper(spark):
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(4)] + [(i, f"http://g.example/{i}", page(i, "<div class='text'>{}</div>")) for i in range(4, 8)] + [(8, None, None), (9, "http://h.example/9", page(1))]
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {**{i: f"Title {i}\n\nA & b c d {i}\n\ntwo" for i in range(8)}, 8: "", 9: "Title 1\n\nA & b c d 1\n\ntwo"}
-    assert aligned("0 #\n1 a\n1 b\n2 c", "0 #\n1 b\n2 c\n1 d") == ("#", "#/a", "#/b", "#/b/c")
+    assert aligned("0 #\n1 a\n1 b\n2 c", "0 #\n1 b\n2 c\n1 d") == [0, -1, 1, 2]
+    assert aligned("0 #\n1 b\n1 a\n2 x\n2 y", "0 #\n1 a\n2 x\n2 y\n1 b") == [0, -1, 1, 2, 3]  # the heavier of two that cross
 
 
 def test_knn_quality_held_out(spark):
