@@ -29,9 +29,9 @@ from gleaner.llm._graph import components
 from gleaner.llm._shared import documents_of, shuffle_partitions, written
 
 #: Distinct sets of a cluster, and n-grams of them all, that one task holds on either side (one set may have more).
-BLOCK_SETS, BLOCK_GRAMS = 2000, 1_000_000
+BLOCK_SETS, BLOCK_GRAMS = 2000, 4_000_000
 #: Parts of the signatures for each shuffle partition: a task holds one of its parts at a time.
-PARTS = 32
+PARTS = 8
 _FLUSH = 2_000_000
 
 
