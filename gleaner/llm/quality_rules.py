@@ -145,8 +145,9 @@ def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     counts = {r["pattern"]: r["count"] for r in f.groupBy("pattern").count().collect()}  # 3 ** rules rows at most
     cast = {k: tuple((0, 1, None)[k // 3**r % 3] for r in range(len(RULES))) for k in counts}
     priors, rates = estimate([(cast[k], n) for k, n in counts.items()])
-    rows = [(k, posterior(v, priors, rates)) for k, v in sorted(cast.items())]
-    known = documents.sparkSession.createDataFrame(rows, "pattern int, posterior double")
+    rows = [F.struct(F.lit(k).alias("pattern"), F.lit(posterior(v, priors, rates)).alias("posterior")) for k, v in sorted(cast.items())]
+    none = F.array().cast("array<struct<pattern:int,posterior:double>>")
+    known = documents.sparkSession.range(1).select(F.inline(F.array(*rows) if rows else none))
     f = f.join(F.broadcast(known), "pattern")
     good = F.col("posterior")
     return f.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (good >= 0.5)).alias("kept"), good)
