@@ -379,8 +379,10 @@ def _runs(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFram
     held = written(docs.select("doc_key", "text").join(_listed(shared, "p", "name").hint("merge"), "doc_key"), "held")
     named = written(held.mapInArrow(_contexts(length, width, False), "doc_key long, p long, name long, a long, b long, key long"), "named")
     kinds = named.groupBy("name", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_key", "p", "a", "b")).alias("rep"))
+    kinds = written(kinds, "kinds")
     settled = named.join(kinds.where("m > 1"), ["name", "key"], "left_semi").select("doc_key", F.col("a").alias("first"), (F.col("b") - length).alias("last"))
     unsettled = kinds.groupBy("name").agg(F.count("*").alias("contexts"), F.min("m").alias("least")).where("contexts > 1 AND least = 1")
+    unsettled = written(unsettled, "unsettled")  # joined as a plain table, so that a hot name's contexts are split
     left = kinds.join(unsettled, "name").select("rep.doc_key", "rep.p", "name", "m", F.when(F.col("contexts") > HOT_CONTEXTS, 1).otherwise(0).cast("long").alias("hot"))
     whole = held.select("doc_key", "text").join(_listed(left, "p", "name", "m", "hot").hint("merge"), "doc_key")
     whole = whole.mapInArrow(_contexts(length, width, True), "doc_key long, p long, name long, a long, b long, m long, hot long, context binary")
