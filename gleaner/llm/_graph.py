@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._shared import written
+from gleaner.llm._shared import cleared, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,10 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = written(large, "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(least, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = written(small, "edges")
+        before, now = now, written(small, "edges")
+        cleared(before, low, large, least)
         ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select("v", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
         if ends.where("up > 1 OR up > 0 AND down > 0").limit(1).count() == 0:

@@ -32,7 +32,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def cleared(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more: all that was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -48,19 +58,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unique(label: str) -> str:
+    """A column name that no table has."""
+    return f"{label}_{uuid.uuid4().hex}"
+
+
 def rows_by_id(documents: DataFrame, id_col: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     """The rows of documents whose id is in the one column of ids (left_semi) or not in it (left_anti, null ids stay).
 
-    A merge join, so that texts are never broadcast and plans are alike at every size. The rows travel as one struct, so no
-    column of theirs can clash with the join's own.
+    A merge join, so that texts are never broadcast and plans are alike at every size.
     """
-    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id"))
-    other = ids.toDF("other_id")
-    return rows.join(other.hint("merge"), F.col("row_id") == F.col("other_id"), how).select("row.*")
+    other = unique("id")
+    return documents.join(ids.toDF(other).hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col(other), how)
 
 
 def one_row_per_id(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of rows that share an id the one with the least text, of these that with the least hash; null ids are left out."""
-    rows = documents.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("row_id")).where("row_id IS NOT NULL")
-    first = Window.partitionBy("row_id").orderBy(F.col(f"row.`{text_col}`"), F.xxhash64("row"))
-    return rows.withColumn("row_place", F.row_number().over(first)).where("row_place = 1").select("row.*")
+    key, place = unique("key"), unique("place")
+    first = Window.partitionBy(key).orderBy(F.col(f"`{text_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
+    rows = documents.withColumn(key, F.col(f"`{id_col}`").cast("long")).where(F.col(key).isNotNull())
+    return rows.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(key, place)

@@ -28,6 +28,10 @@ def tokenizer(name: str) -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record for every page, read back from the archives: sizes, digests, responses and revisits.
+
+    Null html is an empty payload; repeated rows of a page are all the response or all revisits; an empty table gives no rows.
+    """
     archives, folder = write_archives(table(spark, sf_dir, "pages"))
     return record_digests(read_archives(archives, folder, payload=False))
 
@@ -48,38 +52,68 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by votes of labelled neighbours; rows whose crc32(doc_id) mod 3 is 1 are never learnt from.
+
+    Empty and null texts, and texts that share nothing with the sample, get the sample's share of good labels; without labels
+    all scores are 0.5; repeated rows are each scored.
+    """
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     scored = knn_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", ~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation through the role machine and the template, read back; conversation -7 holds control strings.
+
+    Null roles and texts are empty; turns of one number are ordered by role and text; valid tells whether roles take turns.
+    """
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_SAID).alias("text"))
     return chat_digests(said.unionByName(added))
 
 
 def op5_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page by its host's wrapper; null html gives the empty text, repeated rows are pages each."""
     return main_text(table(spark, sf_dir, "pages"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to strings of 400 bytes that come again, in it or elsewhere, and what is left of it.
+
+    A null text is empty; repeated rows are copies of each other; an empty table gives no rows.
+    """
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the installed model and decoded again: ids, digests, and whether the text came back.
+
+    Null and empty texts have no ids; repeated rows are each encoded.
+    """
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of every document, the verdict of the base rules and that of weak supervision.
+
+    A null text has no words and fails the base; EM is over the whole table; an empty table gives no rows.
+    """
     return judged(table(spark, sf_dir, "documents"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item of which it holds four fifths of the shingles.
+
+    Null and empty texts hold nothing; items without words are in no document; repeated rows are each judged.
+    """
     return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its set of 4-word shingles and the smallest id that links of 0.85 reach.
+
+    A document without words is linked with nothing; rows that share an id are one node.
+    """
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _blocks as B
-from gleaner.llm._shared import documents_of, shuffle_partitions, written
+from gleaner.llm._shared import cleared, documents_of, shuffle_partitions, unique, written
 
 _PLACE = np.uint64((1 << 31) - 1)
 _BYTES = B.mix(np.arange(256, dtype=np.uint64), 21)
@@ -368,14 +368,14 @@ def _listed(df: DataFrame, *columns: str) -> DataFrame:
     return rows.select("doc_key", *[F.col(f"rows.{c}").alias(f"{c}s") for c in columns])
 
 
-def _runs(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """The texts of docs (doc_key, text) that may repeat, and (doc_key, firsts, lasts): runs of starts of repeats."""
+def _runs(docs: DataFrame, length: int, width: int) -> DataFrame:
+    """(doc_key, firsts, lasts) of docs (doc_key, text): runs of starts of repeats."""
     if not 0 < width <= length or length < 256:
         raise ValueError("0 < width <= length and length >= 256")
     n = shuffle_partitions(docs.sparkSession)
     sampled = written(docs.where(F.octet_length("text") >= length).select("doc_key", "text").mapInArrow(_cover(length, width), "doc_key long, p long, name long"), "cover")
-    again = written(sampled.groupBy("name").count().where("count > 1").select("name"), "names")  # a plain table: adaptive execution splits the places of a hot name
-    shared = sampled.join(again, "name", "left_semi")
+    names = written(sampled.groupBy("name").count().where("count > 1").select("name"), "names")  # a plain table: adaptive execution splits the places of a hot name
+    shared = sampled.join(names, "name", "left_semi")
     held = written(docs.select("doc_key", "text").join(_listed(shared, "p", "name").hint("merge"), "doc_key"), "held")
     named = written(held.mapInArrow(_contexts(length, width, False), "doc_key long, p long, name long, a long, b long, key long"), "named")
     kinds = named.groupBy("name", "key").agg(F.count("*").alias("m"), F.min(F.struct("doc_key", "p", "a", "b")).alias("rep"))
@@ -391,7 +391,9 @@ def _runs(docs: DataFrame, length: int, width: int) -> tuple[DataFrame, DataFram
     strings = whole.where("hot = 1").mapInArrow(_hashed(length), "doc_key long, first long, name long, one long, m long")
     twice = strings.groupBy("name", "one").agg(F.sum("m").alias("met")).where("met > 1")
     again = again.unionByName(strings.where("m = 1").join(twice, ["name", "one"], "left_semi").select("doc_key", "first", F.col("first").alias("last")))
-    return held, _listed(settled.unionByName(again), "first", "last")
+    runs = written(_listed(settled.unionByName(again), "first", "last"), "runs")
+    cleared(sampled, names, held, named, kinds, unsettled, whole)
+    return runs
 
 
 def remove_repeats(documents: DataFrame, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -401,7 +403,7 @@ def remove_repeats(documents: DataFrame, length: int = 400, width: int = 128, id
     stays whole.
     """
     docs = documents_of(documents, id_col, text_col).withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    _, runs = _runs(docs.select("doc_key", "text"), length, width)
+    runs = _runs(docs.select("doc_key", "text"), length, width)
     none = F.array().cast("array<bigint>")
     rows = docs.join(runs.hint("merge"), "doc_key", "left").select("doc_key", "doc_id", "text", *[F.coalesce(c, none).alias(c) for c in ("firsts", "lasts")])
     return rows.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
@@ -409,10 +411,11 @@ def remove_repeats(documents: DataFrame, length: int = 400, width: int = 128, id
 
 def _replaced(documents: DataFrame, cut: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of documents with kept of cut (doc_key, kept) as their texts, where it has them."""
-    key = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    cut = cut.select(F.col("doc_key").alias("cut_key"), "kept")
-    rows = documents.select(F.struct("*").alias("row"), F.when(F.col(id_col).isNotNull(), key).alias("row_key")).join(cut.hint("merge"), F.col("row_key") == F.col("cut_key"), "left")
-    return rows.select(*[F.coalesce("kept", f"row.`{c}`").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in documents.columns])
+    row_key, cut_key, kept = unique("key"), unique("key"), unique("kept")
+    key = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    cut = cut.select(F.col("doc_key").alias(cut_key), F.col("kept").alias(kept))
+    rows = documents.withColumn(row_key, F.when(F.col(f"`{id_col}`").isNotNull(), key)).join(cut.hint("merge"), F.col(row_key) == F.col(cut_key), "left")
+    return rows.select(*[F.coalesce(F.col(kept), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in documents.columns])
 
 
 def without_repeated_passages(documents: DataFrame, words: int = 51, length: int = 400, width: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -423,8 +426,8 @@ def without_repeated_passages(documents: DataFrame, words: int = 51, length: int
     texts, so that no cut of one kind hides a repeat of the other.
     """
     docs = documents_of(documents, id_col, text_col).select(F.xxhash64("doc_id", "text").alias("doc_key"), "text")
-    _, strings = _runs(docs, length, width)
-    _, passages = _runs(docs.mapInArrow(_coded, "doc_key long, text string"), words * WORD_BYTES, words // 3 * WORD_BYTES)
+    strings = _runs(docs, length, width)
+    passages = _runs(docs.mapInArrow(_coded, "doc_key long, text string"), words * WORD_BYTES, words // 3 * WORD_BYTES)
     runs = strings.join(passages.select("doc_key", F.col("firsts").alias("word_firsts"), F.col("lasts").alias("word_lasts")), "doc_key", "full")
     none = F.array().cast("array<bigint>")
     runs = runs.select("doc_key", *[F.coalesce(c, none).alias(c) for c in ("firsts", "lasts", "word_firsts", "word_lasts")])
