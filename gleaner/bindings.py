@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import feature_tokens
+from gleaner.functions.text import feature_tokens, product_text
 from gleaner.functions.vectors import doubles
 
 GRADES = {"Exact": 2, "Partial": 1, "Irrelevant": 0}
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts: product_id, product_name (first line), product_class, category_hierarchy, product_description."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").cast("string").alias("product_id"), F.substring_index("text", "\n", 1).alias("product_name"), F.col("lang").alias("product_class"), F.col("source").alias("category_hierarchy"), F.col("text").alias("product_description"))
+    return d.select(F.col("doc_id").cast("string").alias("product_id"), F.substring_index("text", "\n", 1).alias("product_name"), F.col("lang").alias("product_class"), F.col("source").alias("category_hierarchy"), F.col("text").alias("product_description")).withColumn("product_text", product_text(*[F.col(c) for c in ("product_name", "product_class", "category_hierarchy", "product_description")]))
 
 
 def _query(text: str, short: bool) -> Column:
@@ -38,8 +38,8 @@ def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str, short: bool = True) -> DataFrame:
-    """Every 25th text of the vector catalog as a query: its text as in text_queries, its vector and label."""
-    c = vector_catalog(spark, sf_dir).where("cast(product_id AS bigint) % 25 = 0")
+    """Every 50th text of the vector catalog as a query: its text as in text_queries, its vector and label."""
+    c = vector_catalog(spark, sf_dir).where("cast(product_id AS bigint) % 50 = 0")
     return c.select(F.col("product_id").alias("query_id"), _query("product_description", short), "vector", "label")
 
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.vectors import dot, l2_normalize
+from gleaner.sources.scratch import written
 
 #: Rows of queries whose vectors are sent to all tasks at once.
 QUERY_BLOCK = 20_000
@@ -24,9 +25,31 @@ def top_k(scored: DataFrame, k: int, *more: Column, group: str = "query_id") ->
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def term_arrays(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
+    """(id, terms): the unigrams and bigrams of each row with their counts, array<struct<term, tf>>.
+
+    Counted inside the row - sorted, then by the lengths of runs - so no n-gram is shuffled to be counted.
+    """
+    grams = documents.select(id_col, F.sort_array(T.ngrams(T.index_tokens(text))).alias("grams"))
+    g = F.col("grams")
+    starts = F.filter(F.transform(g, lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda s: (s["at"] == 0) | (F.get(g, s["at"] - 1) != s["term"]))
+    runs = grams.select(id_col, F.size("grams").alias("size"), starts.alias("starts"))
+    ends = F.transform("starts", lambda s, i: F.struct(s["term"].alias("term"), (F.coalesce(F.get(F.col("starts"), i + 1)["at"], F.col("size")) - s["at"]).cast("long").alias("tf")))
+    return runs.select(id_col, ends.alias("terms"))
+
+
+def term_rows(arrays: DataFrame, id_col: str) -> DataFrame:
+    """(id, term, tf) of arrays (id, terms).
+
+    The outer form, as the other would have the optimizer filter by the size of the arrays before they are columns, and
+    take the arrays anew for each of their elements.
+    """
+    return arrays.select(id_col, F.inline_outer("terms")).where("term IS NOT NULL")
+
+
 def term_frequencies(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf) of unigrams and bigrams."""
-    return documents.select(id_col, F.explode(T.ngrams(T.index_tokens(text))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf) of unigrams and bigrams; ids are unique, a row's terms are counted by themselves."""
+    return term_rows(term_arrays(documents, id_col, text), id_col)
 
 
 def term_stats(frequencies: DataFrame, min_df: int = 2, max_features: int | None = 20_000) -> DataFrame:
@@ -41,9 +64,16 @@ def with_idf(stats: DataFrame, n_documents: DataFrame) -> DataFrame:
     return stats.crossJoin(F.broadcast(n_documents)).withColumn("idf", F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).drop("n")
 
 
-def weights(frequencies: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
-    """(id, term, tf, weight): (1 + ln tf) * idf, unit length per id; terms out of the vocabulary are gone."""
-    raw = frequencies.join(terms.select("term", "idf"), "term").withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
+#: Terms up to which a vocabulary is sent to all tasks (some 60 bytes each); beyond it terms are joined by a shuffle.
+BROADCAST_TERMS = 150_000
+
+
+def weights(frequencies: DataFrame, terms: DataFrame, id_col: str, bound: int | None = None) -> DataFrame:
+    """(id, term, tf, weight): (1 + ln tf) * idf, unit length per id; terms out of the vocabulary are gone. bound: a number
+    that terms is known not to exceed."""
+    known = terms.select("term", "idf")
+    raw = frequencies.join(F.broadcast(known) if bound is not None and bound <= BROADCAST_TERMS else known, "term")
+    raw = raw.withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
     return raw.select(id_col, "term", "tf", (F.col("raw") / norm).alias("weight"))
 
@@ -52,12 +82,41 @@ class LexicalIndex:
     """Postings and terms of a catalog, as tables."""
 
     def __init__(self, catalog: DataFrame, text: Column, min_df: int = 2, max_features: int | None = 20_000):
-        frequencies = term_frequencies(catalog, "product_id", text)
-        self.terms = with_idf(term_stats(frequencies, min_df, max_features), catalog.agg(F.count("*").alias("n")))
-        self.postings = weights(frequencies, self.terms, "product_id")
+        self.min_df, self.max_features = min_df, max_features
+        arrays = written(term_arrays(catalog, "product_id", text), "terms-of-rows")  # texts are tokenised once
+        frequencies = term_rows(arrays, "product_id")
+        self.terms = written(with_idf(term_stats(frequencies, min_df, max_features), arrays.agg(F.count("*").alias("n"))), "terms")
+        self.postings = written(weights(frequencies, self.terms, "product_id", max_features), "postings")
+
+    def write(self, folder: str, force: bool = False) -> None:
+        """Keeps the index as tables with one row of metadata; refuses to overwrite unless force."""
+        mode = "overwrite" if force else "errorifexists"
+        meta = self.metadata().withColumns({"min_df": F.lit(self.min_df), "max_features": F.lit(self.max_features).cast("long")})
+        checks = self.postings.agg(F.expr("bit_xor(xxhash64(product_id, term, tf))").alias("postings_checksum")).crossJoin(self.terms.agg(F.expr("bit_xor(xxhash64(term, df))").alias("terms_checksum")))
+        self.terms.write.mode(mode).parquet(f"{folder}/terms")
+        self.postings.write.mode(mode).parquet(f"{folder}/postings")
+        meta.crossJoin(checks).write.mode(mode).json(f"{folder}/metadata")
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> LexicalIndex:
+        """An index as it was written; raises where its tables are not those that its metadata tells of."""
+        index = cls.__new__(cls)
+        index.terms, index.postings = spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/postings")
+        meta = spark.read.json(f"{folder}/metadata").first().asDict()
+        index.min_df, index.max_features = meta["min_df"], meta.get("max_features")
+        now = index.postings.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(product_id, term, tf))").alias("c")).first()
+        terms = index.terms.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(term, df))").alias("c")).first()
+        if (now.n, now.c, terms.n, terms.c) != (meta["postings"], meta.get("postings_checksum"), meta["vocabulary"], meta.get("terms_checksum")):
+            raise ValueError(f"the index at {folder} is not the one that its metadata tells of")
+        return index
+
+    def metadata(self) -> DataFrame:
+        """One row: products with a posting, terms of the vocabulary, terms with a posting, and postings."""
+        p = self.postings.agg(F.count_distinct("product_id").alias("products"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
+        return p.crossJoin(F.broadcast(self.terms.agg(F.count("*").alias("vocabulary"))))
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
-        return weights(term_frequencies(queries, "query_id", F.col("query")), self.terms, "query_id")
+        return weights(term_frequencies(queries, "query_id", F.col("query")), self.terms, "query_id", self.max_features)
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """(query_id, product_id, score) of all pairs that share a term."""
@@ -115,8 +174,9 @@ def min_max(score: Column, by: str = "query_id") -> Column:
     return F.when(score.isNotNull(), F.when(high - low <= 1e-12, F.lit(1.0)).otherwise((score - low) / (high - low)))
 
 
-def fused(lexical: DataFrame, semantic: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """The components of two rankings side by side; absent scores are 0 and absent ranks 0 in the named columns."""
+def fused(lexical: DataFrame, semantic: DataFrame, pairs: DataFrame | None = None, rrf_k: int = 60) -> DataFrame:
+    """The ten components of two rankings side by side - scores, ranks, scores scaled per query, reciprocal ranks, presence -
+    to which fuse() adds the fused score; absent ones are 0. With pairs, all of them and no others are kept."""
     a = lexical.select("query_id", "product_id", F.col("score").alias("ls"), F.col("rank").alias("lr"))
     b = semantic.select("query_id", "product_id", F.col("score").alias("ss"), F.col("rank").alias("sr"))
     key = ["query_id", "product_id"]
@@ -125,7 +185,7 @@ def fused(lexical: DataFrame, semantic: DataFrame, pairs: DataFrame | None = Non
         both = pairs.select(*key).distinct().join(both, key, "left")
     both = both.withColumns({"ln": min_max(F.round("ls", 9)), "sn": min_max(F.round("ss", 9))})
     zero = F.lit(0.0)
-    return both.select(*key, *[F.coalesce(c, zero).alias(n) for c, n in (("ls", "lexical_score"), ("ss", "semantic_score"), ("ln", "lexical_norm"), ("sn", "semantic_norm"))], *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("lr", "lexical_rank"), ("sr", "semantic_rank"))])
+    return both.select(*key, *[F.coalesce(c, zero).alias(n) for c, n in (("ls", "lexical_score"), ("ss", "semantic_score"), ("ln", "lexical_norm"), ("sn", "semantic_norm"))], *[F.coalesce(c, F.lit(0)).alias(n) for c, n in (("lr", "lexical_rank"), ("sr", "semantic_rank"))], *[F.when(F.col(c).isNotNull(), 1.0 / (rrf_k + F.col(c))).otherwise(zero).alias(n) for c, n in (("lr", "lexical_rrf"), ("sr", "semantic_rrf"))], *[F.col(c).isNotNull().cast("double").alias(n) for c, n in (("lr", "lexical_present"), ("sr", "semantic_present"))])
 
 
 def weighted(w: float | Column) -> Column:
@@ -138,33 +198,70 @@ def reciprocal(k: int = 60) -> Column:
     return sum((F.when(F.col(r) > 0, 0.5 / (F.lit(k) + F.col(r))).otherwise(F.lit(0.0)) for r in ("lexical_rank", "semantic_rank")), F.lit(0.0))
 
 
+def hybrid_candidates(index: LexicalIndex, queries: DataFrame, catalog: DataFrame, pairs: DataFrame, score: Column, k: int | None = None) -> DataFrame:
+    """The listed pairs ranked by both engines and fused: all components, score and rank of every pair (of the k best)."""
+    lexical, semantic = index.candidates(queries, pairs), semantic_candidates(queries, catalog, pairs)
+    return fuse(fused(lexical, semantic, pairs), score, k or 1 << 30)
+
+
 def fuse(components: DataFrame, score: Column, k: int = 10) -> DataFrame:
     return top_k(components.withColumn("score", score), k)
 
 
-#: The reranker's features, in the model's order.
-FEATURES = ("lexical_score", "semantic_score", "hybrid_score", "lexical_rank_f", "semantic_rank_f", "title_overlap", "description_overlap", "exact_phrase", "title_coverage", "text_coverage", "query_length", "title_length", "score_gap")
-_FORBIDDEN = ("query_id", "product_id", "relevance_grade", "label", "grade")
+#: The reranker's features in the model's order, and columns that none of them may be.
+FEATURES = (
+    "lexical_similarity",
+    "semantic_similarity",
+    "hybrid_score",
+    "lexical_rank",
+    "semantic_rank",
+    "query_title_token_overlap",
+    "query_description_token_overlap",
+    "exact_phrase_in_title",
+    "query_title_token_coverage",
+    "query_product_text_token_coverage",
+    "query_length",
+    "title_length",
+    "product_text_length",
+)
+FORBIDDEN = frozenset("query_id product_id query_class label relevance_grade selected_label_count judgment_count distinct_label_count observed_labels resolution".split())
 
 
 def check_features(names: list[str]) -> None:
-    """Refuses features that are out of order or that tell the label."""
-    if any(f in n for n in names for f in _FORBIDDEN) or tuple(names) != FEATURES:
-        raise ValueError("features must be those of the schema, in order, none derived from ids or labels")
+    """Refuses features that tell the label or an id, that are missing or out of order."""
+    if told := sorted(set(names) & FORBIDDEN):
+        raise ValueError(f"features that tell ids or labels: {', '.join(told)}")
+    if tuple(names) != FEATURES:
+        raise ValueError("features are not those of the schema, in its order")
 
 
 def rerank_features(hybrid: DataFrame, queries: DataFrame, catalog: DataFrame, depth: int = 50) -> DataFrame:
-    """Thirteen features of each pair of a hybrid ranking; an absent rank counts as depth + 1."""
+    """Thirteen features of each pair of a hybrid ranking; an absent rank counts as depth + 1. Title, description and whole
+    text are product_name, product_description and product_text of the catalog; what is null is empty."""
     q = queries.select("query_id", T.feature_tokens(F.col("query")).alias("q"))
-    p = catalog.select("product_id", T.feature_tokens(F.col("product_name")).alias("t"), T.feature_tokens(F.col("product_description")).alias("d"))
-    x = hybrid.join(p, "product_id").join(q, "query_id")
+    p = catalog.select("product_id", *[T.feature_tokens(F.col(c)).alias(a) for c, a in (("product_name", "t"), ("product_description", "d"), ("product_text", "x"))])
+    rows = hybrid.join(p, "product_id").join(q, "query_id")
 
     def rank(c: str) -> Column:
         return F.when(F.col(c) > 0, F.col(c)).otherwise(depth + 1).cast("double")
 
-    qt, tt, dt = F.col("q"), F.col("t"), F.col("d")
-    values = (F.col("lexical_score"), F.col("semantic_score"), F.col("score"), rank("lexical_rank"), rank("semantic_rank"), T.jaccard(qt, tt), T.jaccard(qt, dt), T.exact_phrase(qt, tt), T.coverage(qt, tt), T.coverage(qt, dt), F.size(qt).cast("double"), F.size(tt).cast("double"), F.abs(F.col("lexical_norm") - F.col("semantic_norm")))
-    return x.select("query_id", "product_id", F.col("rank").alias("hybrid_rank"), *[v.alias(n) for v, n in zip(values, FEATURES, strict=True)])
+    q, t, d, x = (F.col(c) for c in "qtdx")
+    values = (
+        F.col("lexical_score"),
+        F.col("semantic_score"),
+        F.col("score"),
+        rank("lexical_rank"),
+        rank("semantic_rank"),
+        T.jaccard(q, t),
+        T.jaccard(q, d),
+        T.exact_phrase(q, t),
+        T.coverage(q, t),
+        T.coverage(q, x),
+        F.size(q).cast("double"),
+        F.size(t).cast("double"),
+        F.size(x).cast("double"),
+    )
+    return rows.select("query_id", "product_id", F.col("rank").alias("hybrid_rank"), *[v.alias(n) for v, n in zip(values, FEATURES, strict=True)])
 
 
 def rerank(scored: DataFrame, probabilities: Column, k: int = 10) -> DataFrame:
@@ -181,6 +278,66 @@ def softmax(logits: list[Column]) -> Column:
     return F.array(*[p / sum(parts[1:], parts[0]) for p in parts])
 
 
+def training_rows(features: DataFrame, queries: DataFrame, judgments: DataFrame, splits: DataFrame, split: str) -> DataFrame:
+    """Features and relevance_grade of a split's candidates. A query of the split without a text or without judgments is an
+    error, when it runs; rows of other splits never come in."""
+    own = splits.where(F.col("split") == split).select("query_id").distinct()
+    judged = judgments.select("query_id").distinct().withColumn("judged", F.lit(True))
+    known = own.join(queries.select("query_id", "query"), "query_id", "left").join(judged, "query_id", "left")
+    fault = F.when(F.trim(F.coalesce("query", F.lit(""))) == "", "feature query has no text: ").when(F.col("judged").isNull(), "feature query has no judgments: ")
+    ids = known.select(F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("query_id")))).otherwise(F.col("query_id")).alias("query_id"))
+    return ids.join(features, "query_id").join(judgments.select("query_id", "product_id", "relevance_grade"), ["query_id", "product_id"])
+
+
+def precomputed_ranking(scores: DataFrame, k: int = 10) -> DataFrame:
+    """Ranks of a stored table (query_id, product_id, hybrid_rank, expected_relevance), as rerank() would give them."""
+    ranked = top_k(scores.withColumn("score", F.col("expected_relevance")), k, F.asc("hybrid_rank"))
+    return ranked.select("query_id", "product_id", "rank", "expected_relevance", "hybrid_rank")
+
+
+def reranker_decision(summary: DataFrame) -> DataFrame:
+    """(hybrid_ndcg, rerank_ndcg, improved, mode) from summary (system, ndcg): the reranker only where it is strictly better."""
+    one = summary.agg(*[F.max(F.when(F.col("system") == s, F.col("ndcg"))).alias(f"{s}_ndcg") for s in ("hybrid", "rerank")])
+    better = F.col("rerank_ndcg") > F.col("hybrid_ndcg")
+    return one.select("hybrid_ndcg", "rerank_ndcg", better.alias("improved"), F.when(better, "rerank").otherwise("hybrid").alias("mode"))
+
+
+#: The grid of the reranker's settings.
+C_GRID, CLASS_WEIGHTS, MAX_ITER = (0.1, 1.0, 10.0), ("none", "balanced"), 500
+
+
+def reranker_grid(features: DataFrame, queries: DataFrame, judgments: DataFrame, splits: DataFrame, k: int = 10):
+    """The grid (setting, c_value, class_weight, ndcg, recall, rr, macro_f1, chosen) and the chosen model.
+
+    Each setting is fitted on the training queries and judged on the validation queries: by nDCG, then recall, reciprocal
+    rank and macro-F1, then the grid's order. The rows are features of judged candidates, a table for each split; the six
+    fits are Spark ML's own loops over it.
+    """
+    from pyspark.ml.functions import vector_to_array
+
+    from gleaner.operators import evaluation as E
+
+    train = written(training_rows(features, queries, judgments, splits, "train"), "train")
+    validation = written(training_rows(features, queries, judgments, splits, "validation"), "validation")
+    own = splits.where("split = 'validation'").select("query_id")
+    judged = judgments.join(own, "query_id", "left_semi")
+    classes = train.sparkSession.createDataFrame([(0.0,), (1.0,), (2.0,)], "class double")
+    models, rows = [], []
+    for c in C_GRID:
+        for kind in CLASS_WEIGHTS:
+            model = train_reranker(train, c, kind == "balanced", MAX_ITER)
+            scored = model.transform(validation)
+            ranking = rerank(scored, vector_to_array(F.col("probability")), k).select("query_id", "product_id", "rank", F.lit("rerank").alias("system"))
+            means = E.comparison(own, ranking, judged, (k,)).first()
+            said = scored.select(F.col("relevance_grade").cast("double").alias("label"), F.col("prediction").alias("predicted"))
+            f1 = E.classification_summary(said, classes).first().macro_f1
+            rows.append((len(models), c, kind, *[float(means[f"mean_{m}"]) if means else 0.0 for m in ("ndcg", "recall", "rr")], float(f1)))
+            models.append(model)
+    best = max(rows, key=lambda r: (*r[3:], -r[0]))[0]
+    found = train.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "setting int, c_value double, class_weight string, ndcg double, recall double, rr double, macro_f1 double, chosen boolean")
+    return found, models[best]
+
+
 def train_reranker(rows: DataFrame, c_value: float = 1.0, balanced: bool = True, max_iter: int = 100):
     """StandardScaler and multinomial logistic regression; regParam = 1 / (C * sum of weights) is scikit-learn's C."""
     from pyspark.ml import Pipeline
@@ -188,16 +345,16 @@ def train_reranker(rows: DataFrame, c_value: float = 1.0, balanced: bool = True,
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     check_features(list(FEATURES))
-    total = rows.count()
     counts = rows.groupBy("relevance_grade").agg(F.count("*").alias("class_count"))
-    classes = counts.count()
+    seen = counts.collect()  # a row a grade
+    total, classes = sum(r.class_count for r in seen), len(seen)
     weight = F.lit(float(total)) / (classes * F.col("class_count")) if balanced else F.lit(1.0)
     rows = rows.join(F.broadcast(counts), "relevance_grade").withColumn("weight", weight)
     stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="relevance_grade", weightCol="weight", family="multinomial", regParam=1.0 / (c_value * total), standardization=False, maxIter=max_iter)]
     return Pipeline(stages=stages).fit(rows)
 
 
-def coefficients(model) -> list[tuple[int, str, float]]:
-    """(class, feature, standardised coefficient)."""
+def coefficients(model, spark: SparkSession) -> DataFrame:
+    """(class, feature, coefficient): the standardised coefficients, a row for each class and feature."""
     m = model.stages[-1].coefficientMatrix.toArray()
-    return [(c, f, float(m[c][i])) for c in range(m.shape[0]) for i, f in enumerate(FEATURES)]
+    return spark.createDataFrame([(c, f, float(m[c][i])) for c in range(m.shape[0]) for i, f in enumerate(FEATURES)], "class int, feature string, coefficient double")

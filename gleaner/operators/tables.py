@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.sources.scratch import written
 
 
 def missing_counts(df: DataFrame, blank: bool = False) -> DataFrame:
@@ -31,6 +32,20 @@ def assert_empty(violations: DataFrame, what: str) -> None:
         raise ValueError(f"{what}: {[r.asDict() for r in rows]}")
 
 
+def key_duplicates(table: DataFrame, key: str, name: str) -> DataFrame:
+    """(table_name, key_name, n): rows beyond the first of each key."""
+    by = table.groupBy(key).agg(F.count("*").alias("n"))
+    return by.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")).select(F.lit(name).alias("table_name"), F.lit(key).alias("key_name"), "n")
+
+
+def missing_values(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(table_name, column_name, n): required columns with values that are null or only white space; none where all are
+    there."""
+    counts = df.agg(*[F.count_if(T.normalize(F.col(c)) == "").alias(c) for c in columns])
+    rows = counts.select(F.inline(F.array(*[F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.col(c).alias("n")) for c in columns])))
+    return rows.where("n > 0")
+
+
 def duplicate_counts(labels: DataFrame) -> DataFrame:
     """Repeated rows and conflicting pairs of (query_id, product_id, label)."""
     pairs = labels.groupBy("query_id", "product_id").agg(F.count("*").alias("n"), F.count_distinct("label").alias("d"))
@@ -44,25 +59,56 @@ def foreign_key_violations(child: DataFrame, key: str, parent: DataFrame, parent
     return lost.agg(F.count("*").alias("n")).crossJoin(F.broadcast(few)).select(F.lit(name).alias("check_name"), "n", "examples")
 
 
-def split_queries(queries: DataFrame, seed: int, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
-    """(query_id, split): a seeded order by hash, cut by largest remainders (ties in the order of the splits).
+def global_place(rows: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """Rows with their place, from 1 on, in the order: ranges of it are numbered by tasks of their own, and the number of
+    rows before each range is added. No task holds more than a range."""
+    ranged = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    own = ranged.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
+    parts = ranged.groupBy("part").agg(F.count("*").alias("n"))  # a row for each task
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("before"))
+    return own.join(F.broadcast(parts), "part").select(*rows.columns, (F.col("own") + F.col("before")).alias(name))
 
-    The query table is small next to the catalog; its order is one window. Ids decide, so input order does not matter.
-    """
+
+def split_queries(queries: DataFrame, seed: int, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
+    """(query_id, split): a seeded order by hash, cut by largest remainders (ties in the order of the splits). Ids decide,
+    so input order does not matter."""
     if abs(sum(proportions) - 1) > 1e-9 or any(isinstance(p, bool) or p < 0 for p in proportions):
         raise ValueError("proportions are non-negative and sum to 1")
-    n = queries.select("query_id").distinct().count()
+    ids = queries.select("query_id").distinct()
+    n = ids.count()
     exact = [p * n for p in proportions]
     counts = [int(x + 1e-9) for x in exact]
     for i in sorted(range(3), key=lambda i: (-(exact[i] - counts[i]), i))[: n - sum(counts)]:
         counts[i] += 1
-    w = Window.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query_id")), 256), "query_id")
-    place = F.row_number().over(w)
-    return queries.select("query_id").distinct().select("query_id", F.when(place <= counts[0], "train").when(place <= counts[0] + counts[1], "validation").otherwise("test").alias("split"))
+    keyed = ids.withColumn("key", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query_id")), 256))
+    place = F.col("place")
+    return global_place(keyed, "key", "query_id").select("query_id", F.when(place <= counts[0], "train").when(place <= counts[0] + counts[1], "validation").otherwise("test").alias("split"))
+
+
+def ordered_digest(rows: DataFrame, by: str, number: Column, block: int = 1000) -> DataFrame:
+    """(by, n, ids_sha256): a digest of each group's whole numbers in order: that of the digests of blocks of numbers, so no
+    task holds a group's numbers, only its blocks' digests."""
+    x = rows.select(by, number.cast("long").alias("number")).withColumn("block", F.expr(f"number div {int(block)}"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("number")), lambda v: v.cast("string")), ",")
+    x = x.groupBy(by, "block").agg(F.sha2(listed, 256).alias("digest"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "digest"))), lambda v: v["digest"]), ",")
+    return x.groupBy(by).agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias("ids_sha256"))
+
+
+def split_manifest(splits: DataFrame, seed: int, proportions: dict[str, float], sources: DataFrame) -> DataFrame:
+    """(split, n, requested, actual, seed, ids_sha256, source_rows): what a split was made of. sources: one row (source_rows)."""
+    total = splits.agg(F.count("*").alias("total"))
+    x = ordered_digest(splits, "split", F.col("query_id")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(sources))
+    asked = F.element_at(F.create_map(*[F.lit(v) for p in proportions.items() for v in p]), F.col("split"))
+    return x.select("split", "n", asked.alias("requested"), F.round(F.col("n") / F.col("total"), 6).alias("actual"), F.lit(seed).alias("seed"), "ids_sha256", "source_rows")
 
 
 def stratified_sample(queries: DataFrame, size: int, seed: int) -> DataFrame:
-    """(query_id, bucket): a sample with the buckets' shares: floors, then largest remainders, ties by bucket."""
+    """(query_id, bucket): a sample with the buckets' shares: floors, then largest remainders, ties by bucket.
+
+    No bucket's quota is above size, so each task passes on the size least hashes of a bucket at most.
+    """
     q = queries.select("query_id", T.length_bucket(F.col("query")).alias("bucket"))
     counts = q.groupBy("bucket").count().withColumn("total", F.sum("count").over(Window.partitionBy(F.lit(1))))  # four rows at most
     take = F.least(F.lit(size), F.col("total"))
@@ -71,13 +117,25 @@ def stratified_sample(queries: DataFrame, size: int, seed: int) -> DataFrame:
     counts = counts.withColumn("extra", (F.row_number().over(w) <= F.col("take") - F.sum("floor").over(Window.partitionBy(F.lit(1)))).cast("int"))
     quota = counts.select("bucket", (F.col("floor") + F.col("extra")).alias("quota"))
     place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("query_id")), 256), "query_id"))
-    return q.withColumn("place", place).join(F.broadcast(quota), "bucket").where("place <= quota").select("query_id", "bucket")
+    first = q.withColumn("place", place).where(F.col("place") <= size)  # a number, so that Spark limits each task
+    return first.join(F.broadcast(quota), "bucket").where("place <= quota").select("query_id", "bucket")
+
+
+def label_distribution(labels: DataFrame, domain: tuple[str, ...], column: str = "label") -> DataFrame:
+    """(label, n): how often each label of the domain occurs, zeros too."""
+    found = labels.groupBy(column).agg(F.count("*").alias("n"))
+    known = labels.sparkSession.createDataFrame([(x,) for x in domain], f"{column} string")
+    return F.broadcast(known).join(found, column, "left").select(column, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def provenance_mismatches(recorded: DataFrame, actual: DataFrame) -> DataFrame:
-    """(owner, key, recorded, actual) where two tables (owner, key, value) differ or lack a row."""
+def provenance_mismatches(recorded: DataFrame, actual: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """(owner, key, recorded, actual) where two tables (owner, key, value) differ or lack a row; values that are floating
+    point numbers may differ by the tolerance."""
     a, b = recorded.withColumnRenamed("value", "recorded"), actual.withColumnRenamed("value", "actual")
-    return a.join(b, ["owner", "key"], "full").where(~F.col("recorded").eqNullSafe(F.col("actual"))).select("owner", "key", "recorded", "actual")
+    same = F.col("recorded").eqNullSafe(F.col("actual"))
+    if {dict(a.dtypes)["recorded"], dict(b.dtypes)["actual"]} & {"double", "float"}:
+        same = same | F.coalesce(F.abs(F.col("recorded") - F.col("actual")) <= tolerance, F.lit(False))
+    return a.join(b, ["owner", "key"], "full").where(~same).select("owner", "key", "recorded", "actual")
 
 
 def validated_requests(requests: DataFrame, modes: tuple[str, ...], most: int = 100, longest: int = 500) -> DataFrame:

@@ -20,8 +20,10 @@ _CANON = _LABELS + """,
 
 _PAIRS = f"""pairs AS (SELECT doc_id, {_TOK.format('b.text')} AS q, {_TOK.format('d.text')} AS t FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT max(item_id) + 1 FROM benchmark))"""
 
-_CAT = f"""cat AS (SELECT doc_id::VARCHAR AS product_id, string_split(text, chr(10))[1] AS product_name, lang AS product_class, text AS body, embedding::DOUBLE[] AS v, label FROM documents JOIN embeddings ON doc_id = vec_id),
-    qs AS (SELECT product_id AS query_id, array_to_string({_TOK.format('body')}[1:8], ' ') AS query, v AS qv, label FROM cat WHERE product_id::BIGINT % 25 = 0),
+_PRODUCT_TEXT = "concat_ws(' ', " + ", ".join(f"nullif({_NORM.format(c)}, '')" for c in ("string_split(text, chr(10))[1]", "lang", "source", "text")) + ")"
+
+_CAT = f"""cat AS (SELECT doc_id::VARCHAR AS product_id, string_split(text, chr(10))[1] AS product_name, lang AS product_class, text AS body, {_PRODUCT_TEXT} AS product_text, embedding::DOUBLE[] AS v, label FROM documents JOIN embeddings ON doc_id = vec_id),
+    qs AS (SELECT product_id AS query_id, array_to_string({_TOK.format('body')}[1:8], ' ') AS query, v AS qv, label FROM cat WHERE product_id::BIGINT % 50 = 0),
     judged AS (SELECT query_id, product_id, 2 - abs(q.label - c.label) AS grade FROM qs q JOIN cat c ON abs(q.label - c.label) <= 2 AND query_id <> product_id)"""
 
 
@@ -58,18 +60,54 @@ _FUSED = (
     wscore AS (SELECT *, (1 - 0.9::DOUBLE) * lexical_norm + 0.9::DOUBLE * semantic_norm AS score FROM comp),
     hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM wscore QUALIFY rank <= 50)"""
 )
-_FEATURES = (
-    _FUSED
-    + f""",
-    ftok AS (SELECT h.*, {_TOK.format('q.query')} AS q, {_TOK.format('c.product_name')} AS t, {_TOK.format('c.body')} AS d FROM hyb h JOIN qs q USING (query_id) JOIN cat c USING (product_id)),
-    fset AS (SELECT *, list_distinct(q) AS uq, len(list_distinct(list_concat(q, t))) AS qt, len(list_distinct(list_concat(q, d))) AS qd, len(list_intersect(list_distinct(q), list_distinct(t))) AS it, len(list_intersect(list_distinct(q), list_distinct(d))) AS idd FROM ftok),
-    feat AS (SELECT query_id, product_id, rank AS hybrid_rank, lexical_score, semantic_score, score AS hybrid_score, CASE WHEN lexical_rank > 0 THEN lexical_rank ELSE 51 END::DOUBLE AS lexical_rank_f, CASE WHEN semantic_rank > 0 THEN semantic_rank ELSE 51 END::DOUBLE AS semantic_rank_f,
-        CASE WHEN qt > 0 THEN it / qt ELSE 0 END AS title_overlap, CASE WHEN qd > 0 THEN idd / qd ELSE 0 END AS description_overlap,
-        CASE WHEN len(q) > 0 AND contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') THEN 1.0 ELSE 0.0 END::DOUBLE AS exact_phrase,
-        CASE WHEN len(uq) > 0 THEN it / len(uq) ELSE 0 END AS title_coverage, CASE WHEN len(uq) > 0 THEN idd / len(uq) ELSE 0 END AS text_coverage, len(q)::DOUBLE AS query_length, len(t)::DOUBLE AS title_length, abs(lexical_norm - semantic_norm) AS score_gap FROM fset),
-    logit AS (SELECT *, 0.3 - lexical_score - 0.5 * semantic_score - 0.2 * title_coverage AS z0, 0.1 + 0.2 * lexical_score + 0.4 * semantic_score + 0.1 * title_coverage AS z1, -0.4 + 1.5 * lexical_score + semantic_score + 0.6 * title_coverage AS z2 FROM feat),
-    rer AS (SELECT query_id, product_id, hybrid_rank, (exp(z1) + 2 * exp(z2)) / (exp(z0) + exp(z1) + exp(z2)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hybrid_rank, product_id) AS rank FROM logit QUALIFY rank <= 10)"""
+#: The reranker's features, in order, and the fixed model's logits over them.
+FEATURE_NAMES = "lexical_similarity semantic_similarity hybrid_score lexical_rank semantic_rank query_title_token_overlap query_description_token_overlap exact_phrase_in_title query_title_token_coverage query_product_text_token_coverage query_length title_length product_text_length".split()
+
+
+def _features(source: str, depth: int, rer: str = "rer") -> str:
+    """feat: the features of the pairs of a fused ranking up to a depth; rer: their order by the fixed model."""
+    return f""",
+    ftok AS (SELECT h.*, {_TOK.format('q.query')} AS q, {_TOK.format('c.product_name')} AS t, {_TOK.format('c.body')} AS d, {_TOK.format('c.product_text')} AS x
+        FROM {source} h JOIN qs q USING (query_id) JOIN cat c USING (product_id) WHERE rank <= {depth}),
+    fset AS (SELECT *, list_distinct(q) AS uq, len(list_distinct(list_concat(q, t))) AS qt, len(list_distinct(list_concat(q, d))) AS qd,
+        len(list_intersect(list_distinct(q), list_distinct(t))) AS it, len(list_intersect(list_distinct(q), list_distinct(d))) AS idd, len(list_intersect(list_distinct(q), list_distinct(x))) AS ix FROM ftok),
+    feat AS (SELECT query_id, product_id, rank AS hybrid_rank, lexical_score AS lexical_similarity, semantic_score AS semantic_similarity, score AS hybrid_score,
+        CASE WHEN lexical_rank > 0 THEN lexical_rank ELSE {depth + 1} END::DOUBLE AS lexical_rank, CASE WHEN semantic_rank > 0 THEN semantic_rank ELSE {depth + 1} END::DOUBLE AS semantic_rank,
+        CASE WHEN qt > 0 THEN it / qt ELSE 0 END AS query_title_token_overlap, CASE WHEN qd > 0 THEN idd / qd ELSE 0 END AS query_description_token_overlap,
+        CASE WHEN len(q) > 0 AND contains(' ' || array_to_string(t, ' ') || ' ', ' ' || array_to_string(q, ' ') || ' ') THEN 1.0 ELSE 0.0 END::DOUBLE AS exact_phrase_in_title,
+        CASE WHEN len(uq) > 0 THEN it / len(uq) ELSE 0 END AS query_title_token_coverage, CASE WHEN len(uq) > 0 THEN ix / len(uq) ELSE 0 END AS query_product_text_token_coverage,
+        len(q)::DOUBLE AS query_length, len(t)::DOUBLE AS title_length, len(x)::DOUBLE AS product_text_length FROM fset),
+    logit AS (SELECT *, 0.3 - lexical_similarity - 0.5 * semantic_similarity - 0.2 * query_title_token_coverage AS z0, 0.1 + 0.2 * lexical_similarity + 0.4 * semantic_similarity + 0.1 * query_title_token_coverage AS z1,
+        -0.4 + 1.5 * lexical_similarity + semantic_similarity + 0.6 * query_title_token_coverage AS z2 FROM feat),
+    {rer} AS (SELECT query_id, product_id, hybrid_rank, (exp(z1) + 2 * exp(z2)) / (exp(z0) + exp(z1) + exp(z2)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hybrid_rank, product_id) AS rank FROM logit QUALIFY rank <= 10)"""
+
+
+_FEATURES = _FUSED + _features("hyb", 50)
+_POOL = (
+    _LEX
+    + _SEM
+    + """,
+    lc AS (SELECT query_id, product_id, coalesce(score, 0) AS score FROM judged LEFT JOIN lscore USING (query_id, product_id) WHERE query_id IN (SELECT query_id FROM qvec)),
+    lcr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM lc),
+    scd AS (SELECT s.* FROM sscore s JOIN judged USING (query_id, product_id)),
+    scr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM scd),
+    psides AS (SELECT j.query_id, j.product_id, l.score AS lraw, round(l.score, 9) AS ls, l.rank AS lr, s.score AS sraw, round(s.score, 9) AS ss, s.rank AS sr FROM judged j LEFT JOIN lcr l USING (query_id, product_id) LEFT JOIN scr s USING (query_id, product_id)),
+    pspans AS (SELECT *, min(ls) OVER w AS l0, max(ls) OVER w AS l1, min(ss) OVER w AS s0, max(ss) OVER w AS s1 FROM psides WINDOW w AS (PARTITION BY query_id)),
+    pcomp AS (SELECT query_id, product_id, coalesce(lraw, 0) AS lexical_score, coalesce(sraw, 0) AS semantic_score, coalesce(lr, 0) AS lexical_rank, coalesce(sr, 0) AS semantic_rank,
+        CASE WHEN ls IS NULL THEN 0 WHEN l1 - l0 <= 1e-12 THEN 1 ELSE (ls - l0) / (l1 - l0) END AS lexical_norm, CASE WHEN ss IS NULL THEN 0 WHEN s1 - s0 <= 1e-12 THEN 1 ELSE (ss - s0) / (s1 - s0) END AS semantic_norm,
+        coalesce(1::DOUBLE / (60 + lr), 0) AS lexical_rrf, coalesce(1::DOUBLE / (60 + sr), 0) AS semantic_rrf, (lr IS NOT NULL)::INT::DOUBLE AS lexical_present, (sr IS NOT NULL)::INT::DOUBLE AS semantic_present FROM pspans),
+    pscore AS (SELECT *, (1 - 0.9::DOUBLE) * lexical_norm + 0.9::DOUBLE * semantic_norm AS score FROM pcomp),
+    pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM pscore)"""
 )
+#: The four systems on judged candidates: jl, js, jh, jr.
+_JUDGED = (
+    _POOL
+    + _features("pool", 100, "jr")
+    + """,
+    jl AS (SELECT query_id, product_id, lexical_rank AS rank FROM pool WHERE lexical_rank BETWEEN 1 AND 10), js AS (SELECT query_id, product_id, semantic_rank AS rank FROM pool WHERE semantic_rank BETWEEN 1 AND 10),
+    jh AS (SELECT query_id, product_id, rank FROM pool WHERE rank <= 10)"""
+)
+_RANKED = {"lexical": "jl", "semantic": "js", "hybrid": "jh", "rerank": "jr"}
 
 
 def _evaluated(name: str, ranking: str, k: int = 10) -> str:
@@ -81,15 +119,28 @@ def _evaluated(name: str, ranking: str, k: int = 10) -> str:
         round(coalesce(hits, 0) / {k}, 6) AS precision, round(CASE WHEN relevant > 0 THEN coalesce(hits, 0) / relevant ELSE 0 END, 6) AS recall, round(coalesce(1 / first, 0), 6) AS rr FROM qs LEFT JOIN {name}_i USING (query_id) LEFT JOIN {name}_f USING (query_id))"""
 
 
+_RUNS = _JUDGED + "".join(_evaluated(f"e_{x}", r) for x, r in _RANKED.items())
+_TOPS = ", ".join(f"coalesce((SELECT max(grade) FROM {r} r JOIN judged j USING (query_id, product_id) WHERE r.query_id = x.query_id AND rank = 1), 0)::INT AS {x}_top_grade" for x, r in _RANKED.items())
 _RECORDS = (
-    _FEATURES
-    + "".join(_evaluated(f"e_{s}", r) for s, r in (("lexical", "lex"), ("semantic", "sem"), ("hybrid", "hyb"), ("rerank", "rer")))
-    + ", rec AS (SELECT query_id, "
-    + ", ".join(f"e_{s}.ndcg AS {s}_ndcg, coalesce((SELECT any_value(grade) FROM {r} r JOIN judged j USING (query_id, product_id) WHERE r.query_id = qs.query_id AND rank = 1), 0) AS {s}_top_grade" for s, r in (("lexical", "lex"), ("semantic", "sem"), ("hybrid", "hyb"), ("rerank", "rer")))
-    + " FROM qs "
-    + " ".join(f"JOIN e_{s} USING (query_id)" for s in ("lexical", "semantic", "hybrid", "rerank"))
+    _RUNS
+    + ", exact AS (SELECT query_id, count(*) FILTER (WHERE grade = 2) AS exact_count FROM judged GROUP BY query_id)"
+    + ", rec AS (SELECT x.query_id, exact_count, "
+    + ", ".join(f"e_{x}.ndcg AS {x}_ndcg" for x in _RANKED)
+    + f", {_TOPS}, (SELECT max(product_id) FROM jr WHERE jr.query_id = x.query_id AND rank = 1) AS top_product_id, (SELECT min(rank) FROM jr JOIN judged j USING (query_id, product_id) WHERE jr.query_id = x.query_id AND grade = 2)::INT AS first_exact_rank FROM exact x "
+    + " ".join(f"JOIN e_{x} USING (query_id)" for x in _RANKED)
     + ")"
 )
+_CASES = (
+    ("lexical_better_than_semantic", "lexical_ndcg > semantic_ndcg", "semantic_ndcg - lexical_ndcg", "lexical_ndcg - semantic_ndcg", 3),
+    ("semantic_better_than_lexical", "semantic_ndcg > lexical_ndcg", "lexical_ndcg - semantic_ndcg", "semantic_ndcg - lexical_ndcg", 3),
+    ("hybrid_better_than_both", "hybrid_ndcg > greatest(lexical_ndcg, semantic_ndcg)", "greatest(lexical_ndcg, semantic_ndcg) - hybrid_ndcg", "hybrid_ndcg - greatest(lexical_ndcg, semantic_ndcg)", 3),
+    ("reranking_helps", "rerank_ndcg > hybrid_ndcg", "hybrid_ndcg - rerank_ndcg", "rerank_ndcg - hybrid_ndcg", 3),
+    ("reranking_hurts", "rerank_ndcg < hybrid_ndcg", "rerank_ndcg - hybrid_ndcg", "hybrid_ndcg - rerank_ndcg", 3),
+    ("partial_vs_exact_confusion", "exact_count > 0 AND rerank_top_grade = 1", "(first_exact_rank IS NULL)::INT", "0.0", 3),
+)
+_CATEGORIES = " UNION ALL ".join(f"(SELECT '{n}' AS category, count(*) OVER () AS n, row_number() OVER (ORDER BY {k}, query_id)::INT AS place, query_id, round({m}, 6) AS margin FROM rec WHERE {c} QUALIFY place <= {most})" for n, c, k, m, most in _CASES)
+_TAIL = "(SELECT 'failed_tail_queries' AS category, least(5, count(*) OVER ()) AS n, row_number() OVER (ORDER BY rerank_ndcg, query_id)::INT AS place, query_id, 0.0 AS margin FROM rec QUALIFY place <= 5)"
+_MARGINS = (("lexical_wins", "l - greatest(s, h)"), ("semantic_wins", "s - greatest(l, h)"), ("hybrid_improves_both", "h - greatest(l, s)"), ("fusion_hurts", "least(l, s) - h"))
 _CONFIGS = ", ".join(f"('w{i:02d}', {i / 10}::DOUBLE)" for i in range(11))
 _GRID = (
     _FUSED
@@ -126,7 +177,8 @@ ORACLE = {
     "short_description": f"WITH n AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents) SELECT doc_id, CASE WHEN t = '' THEN NULL WHEN length(t) <= 240 THEN t ELSE rtrim(t[1:237]) || '...' END AS short FROM n",
     "length_buckets": f"WITH n AS (SELECT {_NORM.format('text')} AS t FROM documents) SELECT {_BUCKET.format('t')} AS bucket, count(*) AS n FROM n GROUP BY ALL",
     "l2_normalize": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))) AS x, unnest(range(len(v)))::INT AS place FROM e) SELECT vec_id, place, round(x, 6) AS x FROM u",
-    "sample_hash": "SELECT source, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS ids_sha256 FROM documents GROUP BY source",
+    "sample_hash": """WITH b AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY ALL)
+        SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(digest, ',' ORDER BY block)) AS ids_sha256 FROM b GROUP BY source""",
     "missing_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL" + (f" OR trim({c}) = ''" if c in ("text", "lang", "source") else "") + ") AS missing FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "duplicate_counts": f"WITH {_LABELS}, p AS (SELECT query_id, product_id, count(*) AS n, count(DISTINCT label) AS d FROM labels_ GROUP BY ALL) SELECT sum(n)::BIGINT AS label_rows, sum(n - 1)::BIGINT AS repeated_pairs, count(*) FILTER (WHERE d > 1) AS conflicting_pairs FROM p",
     "invalid_labels": "SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY event_type",
@@ -137,7 +189,7 @@ ORACLE = {
     "request_validation": """SELECT item_id::VARCHAR AS request_id, CASE WHEN item_id % 7 = 0 OR trim(text) = '' THEN 'blank_query' WHEN length(trim(text)) > 500 THEN 'query_too_long' WHEN item_id * 9 < 1 OR item_id * 9 > 100 THEN 'bad_top_k' WHEN item_id % 4 = 3 THEN 'unknown_mode' ELSE '' END AS reason FROM benchmark""",
     "provenance_audit": """WITH a AS (SELECT lang AS owner, source AS key, count(*) AS recorded FROM documents GROUP BY ALL), b AS (SELECT lang AS owner, source AS key, count(*) AS actual FROM documents WHERE doc_id % 10 <> 0 GROUP BY ALL)
         SELECT owner, key, recorded, actual FROM a FULL JOIN b USING (owner, key) WHERE recorded IS DISTINCT FROM actual""",
-    "source_manifest": "SELECT 'part' AS table_name, count(*) AS n_rows, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' AS columns FROM part UNION ALL SELECT 'supplier', count(*), (SELECT string_agg(column_name, ',' ORDER BY column_index) FROM duckdb_columns() WHERE table_name = 'supplier') FROM supplier",
+    "source_manifest": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, (SELECT string_agg(column_name, ',' ORDER BY ordinal_position) FROM information_schema.columns WHERE table_name = '{t}') AS columns FROM {t}" for t in "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()),
     "canonical_judgments": f"WITH {_CANON} SELECT * FROM canon",
     "judgment_quality": f"WITH {_CANON} SELECT sum(judgment_count)::BIGINT AS original, count(*) AS canonical, (sum(judgment_count) - count(*))::BIGINT AS repeated, (sum(judgment_count) - sum(distinct_label_count))::BIGINT AS identical_duplicates, count(*) FILTER (WHERE distinct_label_count > 1) AS conflicts, "
     + ", ".join(f"count(*) FILTER (WHERE resolution = '{r}') AS {r}" for r in ("single", "identical_duplicate_collapse", "tie_highest_relevance", "majority_vote"))
@@ -146,7 +198,8 @@ ORACLE = {
     "class_distribution": f"WITH {_CAT} SELECT " + ", ".join(f"count(*) FILTER (WHERE grade = {g}) AS grade_{g}" for g in (0, 1, 2)) + " FROM judged",
     "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, CASE WHEN count(*) >= 100 THEN round(quantile_cont(value, 0.99), 6) END AS p99 FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 0 GROUP BY event_type",
     "query_splits": f"WITH {_SPLITS} SELECT * FROM split",
-    "split_manifest": f"WITH {_SPLITS} SELECT split, count(*) AS n, string_agg(query_id, ',' ORDER BY query_id) AS ids FROM split GROUP BY split",
+    "split_manifest": f"""WITH {_SPLITS}, b AS (SELECT split, query_id::BIGINT // 1000 AS block, sha256(string_agg(query_id, ',' ORDER BY query_id::BIGINT)) AS digest, count(*) AS n FROM split GROUP BY ALL)
+        SELECT split, sum(n)::BIGINT AS n, CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END::DOUBLE AS requested, round(sum(n) / (SELECT count(*) FROM split), 6) AS actual, 42 AS seed, sha256(string_agg(digest, ',' ORDER BY block)) AS ids_sha256, (SELECT count(*) FROM benchmark) AS source_rows FROM b GROUP BY split""",
     "stratified_sample": f"""WITH q AS (SELECT p_partkey::VARCHAR AS query_id, {_BUCKET.format(_NORM.format('p_name'))} AS bucket FROM part), c AS (SELECT bucket, count(*) AS n, sum(count(*)) OVER () AS total FROM q GROUP BY bucket),
         f AS (SELECT *, least(100, total) AS take, (least(100, total) * n // total)::BIGINT AS lo, least(100, total) * n % total AS rest FROM c), g AS (SELECT *, row_number() OVER (ORDER BY rest DESC, bucket) AS place, take - sum(lo) OVER () AS more FROM f),
         h AS (SELECT bucket, lo + CASE WHEN place <= more THEN 1 ELSE 0 END AS quota FROM g)
@@ -154,7 +207,7 @@ ORACLE = {
     "term_stats": f"WITH cat AS (SELECT doc_id AS product_id, text AS body FROM documents), qs AS (SELECT '' AS query_id, '' AS query){_index('cat', 'body', 'qs')} SELECT * FROM stats",
     "tfidf_index": f"WITH {_LEX} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
     "query_vectors": f"WITH {_LEX} SELECT query_id, term, tf, round(weight, 6) AS weight FROM qvec",
-    "index_metadata": f"WITH {_LEX} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings FROM post",
+    "index_metadata": f"WITH {_LEX} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary FROM post",
     "vocabulary_analysis": f"""WITH {_LEX}, bq AS (SELECT item_id::VARCHAR AS query_id, {_IDX.format(f"array_to_string({_TOK.format('text')}[1:8], ' ')")} AS w FROM benchmark), bg AS (SELECT query_id, unnest({_GRAMS.format('w')}) AS term, unnest(range(len({_GRAMS.format('w')}))) AS place FROM bq),
         bk AS (SELECT bg.*, terms.term IS NOT NULL AS known FROM bg LEFT JOIN terms USING (term))
         SELECT query_id, coalesce(string_agg(term, '|' ORDER BY place) FILTER (WHERE known), '') AS indexed, coalesce(string_agg(term, '|' ORDER BY place) FILTER (WHERE NOT known), '') AS unknown, round(count(*) FILTER (WHERE NOT known AND NOT contains(term, ' ')) / count(*) FILTER (WHERE NOT contains(term, ' ')), 6) AS oov_fraction FROM bk GROUP BY query_id""",
@@ -167,21 +220,19 @@ ORACLE = {
     "hybrid_rrf": f"WITH {_FUSED}, rs AS (SELECT *, CASE WHEN lexical_rank > 0 THEN 0.5::DOUBLE / (60 + lexical_rank) ELSE 0 END + CASE WHEN semantic_rank > 0 THEN 0.5::DOUBLE / (60 + semantic_rank) ELSE 0 END AS score FROM comp){_ranked('r', 'rs', 10)} {_SCORE} r",
     "fusion_grid": f"WITH {_GRID} SELECT * FROM grid",
     "fusion_best": f"WITH {_GRID} SELECT * FROM grid ORDER BY ndcg DESC, recall DESC, rr DESC, config LIMIT 1",
-    "rerank_features": f"WITH {_FEATURES} SELECT query_id, product_id, hybrid_rank, " + ", ".join(f"round({f}, 6) AS {f}" for f in ("lexical_score", "semantic_score", "hybrid_score", "lexical_rank_f", "semantic_rank_f", "title_overlap", "description_overlap", "exact_phrase", "title_coverage", "text_coverage", "query_length", "title_length", "score_gap")) + " FROM feat",
+    "rerank_features": f"WITH {_FEATURES} SELECT query_id, product_id, hybrid_rank, " + ", ".join(f"round({f}, 6) AS {f}" for f in FEATURE_NAMES) + " FROM feat",
     "rerank_fixed_model": f"WITH {_FEATURES} SELECT query_id, product_id, rank, round(score, 6) AS expected_relevance FROM rer",
     "judged_eval": f"WITH {_FUSED}{_evaluated('e', 'hyb')} SELECT * FROM e",
     "known_relevant_eval": f"WITH {_LEX}{_ranked('lex', 'lown', 10)}{_evaluated('e', 'lex')} SELECT query_id, relevant, round(recall * relevant)::BIGINT AS recovered, recall, rr FROM e",
     "eval_aggregate": f"WITH {_LEX}{_ranked('lex', 'lown', 10)}{_evaluated('e', 'lex')} SELECT count(*) AS queries, count(*) FILTER (WHERE relevant > 0) AS eligible, {_MEANS} FROM e",
     "eval_diagnostics": f"""WITH {_LEX}{_ranked('lex', 'lown', 3)}{_evaluated('e', 'lex')} SELECT query_id, 'no_relevant_judgments' AS code FROM e WHERE relevant = 0
         UNION ALL SELECT query_id, CASE WHEN retrieved = 0 THEN 'no_results' ELSE 'fewer_results_than_requested' END FROM e WHERE retrieved = 0 OR retrieved < least(10, candidates)""",
-    "eval_errors": f"""WITH {_LEX}{_ranked('lex', 'lown', 10)}, bad AS (SELECT DISTINCT query_id FROM lex WHERE query_id::BIGINT % 2 = 0), ok AS (SELECT * FROM lex WHERE query_id NOT IN (SELECT query_id FROM bad)){_evaluated('e', 'ok')}
-        SELECT query_id, ndcg, precision, recall, rr, CASE WHEN b.query_id IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN b.query_id IS NULL THEN '' ELSE 'ranks_not_contiguous' END AS fault FROM e LEFT JOIN bad b USING (query_id)""",
+    "eval_errors": f"""WITH {_LEX}{_ranked('lex', 'lown', 10)}, bad AS (SELECT DISTINCT query_id FROM lex WHERE query_id::BIGINT % 100 = 0), ok AS (SELECT * FROM lex WHERE query_id NOT IN (SELECT query_id FROM bad)){_evaluated('e', 'ok')}
+        SELECT query_id, relevant, ndcg, precision, recall, rr, CASE WHEN b.query_id IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN b.query_id IS NULL THEN '' ELSE 'ranks_not_contiguous' END AS fault FROM e LEFT JOIN bad b USING (query_id)""",
     "system_comparison": f"WITH {_FEATURES}" + "".join(_evaluated(f"e{k}_{s}", r, k) for k in (5, 10) for s, r in (("lexical", "lex"), ("semantic", "sem"), ("hybrid", "hyb"), ("rerank", "rer"))) + " " + " UNION ALL ".join(f"SELECT '{s}' AS system, {k} AS k, {_MEANS} FROM e{k}_{s}" for k in (5, 10) for s in ("lexical", "semantic", "hybrid", "rerank")),
     "quality_records": f"WITH {_RECORDS} SELECT * FROM rec",
-    "error_categories": f"WITH {_RECORDS} "
-    + " UNION ALL ".join(f"SELECT query_id, '{n}' AS category FROM rec WHERE {c}" for n, c in (("lexical_best", "lexical_ndcg > semantic_ndcg AND lexical_ndcg > hybrid_ndcg"), ("semantic_best", "semantic_ndcg > lexical_ndcg AND semantic_ndcg > hybrid_ndcg"), ("hybrid_best", "hybrid_ndcg > lexical_ndcg AND hybrid_ndcg > semantic_ndcg"), ("reranker_helps", "rerank_ndcg > hybrid_ndcg"), ("reranker_hurts", "rerank_ndcg < hybrid_ndcg"), ("partial_on_top", "rerank_top_grade = 1")))
-    + " UNION ALL SELECT query_id, 'tail' FROM (SELECT query_id FROM rec ORDER BY rerank_ndcg, query_id LIMIT 5)",
-    "fusion_win_loss": f"WITH {_RECORDS}, m AS (SELECT *, lexical_ndcg AS l, semantic_ndcg AS s, hybrid_ndcg AS h FROM rec) SELECT query_id, 'lexical_wins' AS category, round(l - s, 6) AS margin FROM m WHERE l > s UNION ALL SELECT query_id, 'semantic_wins', round(s - l, 6) FROM m WHERE s > l UNION ALL SELECT query_id, 'improves_both', round(h - greatest(l, s), 6) FROM m WHERE h > l AND h > s UNION ALL SELECT query_id, 'fusion_hurts', round(greatest(l, s) - h, 6) FROM m WHERE h < greatest(l, s)",
+    "error_categories": f"WITH {_RECORDS} {_CATEGORIES} UNION ALL {_TAIL}",
+    "fusion_win_loss": f"WITH {_RECORDS}, m AS (SELECT *, lexical_ndcg AS l, semantic_ndcg AS s, hybrid_ndcg AS h FROM rec) " + " UNION ALL ".join(f"SELECT query_id, '{n}' AS category, round({m}, 6) AS margin FROM m WHERE {m} > 0" for n, m in _MARGINS),
     "confusion_matrix": "SELECT lang AS label, CASE WHEN strlen(text) > length(text) THEN 'de' ELSE 'en' END AS predicted, count(*) AS n FROM documents GROUP BY ALL",
     "classification_report": """WITH r AS (SELECT lang AS label, CASE WHEN strlen(text) > length(text) THEN 'de' ELSE 'en' END AS predicted FROM documents), c AS (SELECT DISTINCT lang AS class FROM documents),
         x AS (SELECT class, (SELECT count(*) FROM r WHERE label = class) AS support, (SELECT count(*) FROM r WHERE predicted = class) AS said, (SELECT count(*) FROM r WHERE label = class AND predicted = class) AS hit FROM c),
@@ -196,6 +247,102 @@ ORACLE = {
 }
 
 
+_SUMMARY = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in ("ndcg", "precision", "recall", "rr"))
+_JUDGED_10 = " UNION ALL ".join(f"SELECT '{x}' AS system, * FROM e_{x}" for x in _RANKED)
+_FLAWED = """, flawed AS (SELECT * FROM (SELECT query_id, split FROM split UNION ALL SELECT query_id, 'test' FROM split WHERE split = 'train' AND query_id::BIGINT % 10 = 0) WHERE query_id <> '1')"""
+#: The same split of the vector queries.
+_QSPLITS = _SPLITS.replace("item_id::VARCHAR", "query_id").replace("FROM benchmark", "FROM qs")
+_REQUESTS = """, req AS (SELECT 'r' || query_id AS request_id, query_id, query, (query_id::BIGINT / 50)::INT % 9 AS top_k, ['default', 'lexical', 'semantic', 'hybrid', 'rerank', 'fuzzy'][(query_id::BIGINT / 50)::INT % 6 + 1] AS mode FROM qs),
+    res AS (SELECT *, CASE mode WHEN 'default' THEN 'hybrid' ELSE mode END AS resolved_mode, CASE WHEN trim(query) = '' THEN 'blank_query' WHEN top_k < 1 THEN 'bad_top_k' WHEN mode = 'fuzzy' THEN 'unknown_mode' ELSE '' END AS reason FROM req)"""
+_SYSTEMS = """, systems AS (SELECT 'lexical' AS system, query_id, product_id, rank, score FROM lex WHERE rank <= 10 UNION ALL SELECT 'semantic', query_id, product_id, rank, score FROM sem WHERE rank <= 10
+    UNION ALL SELECT 'hybrid', query_id, product_id, rank, score FROM hyb WHERE rank <= 10 UNION ALL SELECT 'rerank', query_id, product_id, rank, score FROM rer)"""
+_FOUND = f"{_FEATURES}{_SYSTEMS}{_REQUESTS}, found AS (SELECT request_id, resolved_mode, product_id, rank, score FROM res JOIN systems s ON s.query_id = res.query_id AND s.system = res.resolved_mode WHERE reason = '' AND rank <= top_k)"
+_CHECK = "SELECT '{0}' AS check_name, ({1})::BIGINT AS n"
+
+
+def _checks(source: str, **checks: str) -> str:
+    return f"WITH {source} " + " UNION ALL ".join(_CHECK.format(n, q) for n, q in checks.items())
+
+
+ORACLE |= {
+    "hybrid_candidates": f"WITH {_POOL} SELECT query_id, product_id, rank, lexical_rank, semantic_rank, " + ", ".join(f"round({c}, 6) AS {c}" for c in "lexical_score semantic_score lexical_norm semantic_norm lexical_rrf semantic_rrf lexical_present semantic_present score".split()) + " FROM pool",
+    "lexical_error_categories": f"""WITH {_RUNS}, qg AS (SELECT query_id, unnest({_IDX.format('query')}) AS term FROM qs),
+        oov AS (SELECT query_id, count(*) FILTER (WHERE terms.term IS NULL) / count(*) AS oov FROM qg LEFT JOIN terms USING (term) GROUP BY query_id),
+        top AS (SELECT jl.query_id, grade AS top_grade, lower(product_text) AS body_ FROM jl JOIN judged USING (query_id, product_id) JOIN cat USING (product_id) WHERE rank = 1),
+        qw AS (SELECT query_id, lower(query) AS low, list_distinct({_IDX.format('query')}) AS w FROM qs),
+        ov AS (SELECT query_id, max(CASE WHEN len(w) > 0 THEN len(list_intersect(w, list_distinct(string_split({_NORM.format('lower(product_name)')}, ' ')))) / len(w) ELSE 0 END) AS ov FROM judged JOIN cat USING (product_id) JOIN qw USING (query_id) WHERE grade >= 1 GROUP BY query_id),
+        r AS (SELECT query_id, ndcg, round(coalesce(oov, 0), 6) AS oov, coalesce(top_grade, -1) AS g, coalesce(contains(body_, low), FALSE) AS phrase, coalesce(ov, 0) AS ov FROM e_lexical JOIN qw USING (query_id) LEFT JOIN oov USING (query_id) LEFT JOIN top USING (query_id) LEFT JOIN ov USING (query_id) WHERE relevant > 0) """
+    + " UNION ALL ".join(
+        f"(SELECT '{n}' AS category, row_number() OVER (ORDER BY {k}, query_id)::INT AS place, query_id, ndcg FROM r WHERE {c} QUALIFY place <= 3)"
+        for n, c, k in (("high_performing", "TRUE", "-ndcg"), ("poorly_performing", "TRUE", "ndcg"), ("vocabulary_mismatch", "oov > 0", "-oov, ndcg"), ("exact_keyword_success", "g >= 1 AND phrase", "-ndcg"), ("synonym_failure", "ndcg < 0.5 AND g < 1 AND ov = 0", "ndcg"))
+    ),
+    "low_overlap_successes": f"""WITH {_RECORDS}, d AS (SELECT query_id, semantic_ndcg - lexical_ndcg AS delta FROM rec WHERE semantic_ndcg > lexical_ndcg), many AS (SELECT query_id, count(*) AS m FROM judged GROUP BY query_id),
+        c AS (SELECT p.query_id, product_id, semantic_rank, CASE WHEN lexical_rank > 0 THEN lexical_rank ELSE m + 1 END AS lexical_rank, delta, {_TOK.format('query')} AS q, {_TOK.format('product_name')} AS t FROM pool p JOIN judged USING (query_id, product_id) JOIN d ON d.query_id = p.query_id JOIN many ON many.query_id = p.query_id JOIN qs ON qs.query_id = p.query_id JOIN cat USING (product_id) WHERE grade >= 1 AND semantic_rank BETWEEN 1 AND 10),
+        o AS (SELECT *, CASE WHEN len(q) > 0 THEN len(list_intersect(list_distinct(q), list_distinct(t))) / len(list_distinct(q)) ELSE 0 END AS overlap FROM c),
+        f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic_rank) AS k FROM o WHERE overlap <= 0.25 AND semantic_rank < lexical_rank QUALIFY k = 1)
+        SELECT row_number() OVER (ORDER BY round(delta, 9) DESC, query_id)::INT AS place, query_id, product_id, semantic_rank, lexical_rank, round(overlap, 6) AS overlap, round(delta, 6) AS delta FROM f QUALIFY place <= 5""",
+    "top_judged_results": f"WITH {_JUDGED} SELECT query_id, product_id, rank, grade AS relevance_grade, product_class FROM jl JOIN judged USING (query_id, product_id) JOIN cat USING (product_id) WHERE rank <= 3",
+    "judged_comparison": f"WITH {_JUDGED}" + "".join(_evaluated(f"e{k}_{x}", r, k) for k in (5, 10) for x, r in _RANKED.items()) + " " + " UNION ALL ".join(f"SELECT '{x}' AS system, {k} AS k, {_MEANS} FROM e{k}_{x}" for k in (5, 10) for x in _RANKED),
+    "aligned_runs": f"WITH {_FEATURES}".replace(", ftok AS", ", ftok AS")
+    + _POOL[len(_LEX + _SEM) :]
+    + _features("pool", 100, "jr").replace("ftok", "pftok").replace("fset", "pfset").replace("feat ", "pfeat ").replace("logit", "plogit").replace("FROM feat)", "FROM pfeat)")
+    + _JUDGED[_JUDGED.index(",\n    jl AS") :]
+    + ", known AS (SELECT * FROM judged WHERE grade >= 1)"
+    + "".join(_evaluated(f"e{k}_{x}", r, k) for k in (5, 10) for x, r in _RANKED.items())
+    + "".join(_evaluated(f"k_{x}", r).replace("judged", "known") for x, r in (("lexical", "lex"), ("semantic", "sem"), ("hybrid", "hyb"), ("rerank", "rer")))
+    + " "
+    + " UNION ALL ".join(f"SELECT '{x}' AS system, query_id, a.ndcg AS ndcg_5, b.ndcg AS ndcg_10, a.precision AS precision_5, b.precision AS precision_10, a.recall AS recall_5, b.recall AS recall_10, b.rr AS rr_10, c.recall AS known_recall_10, c.rr AS known_rr_10 FROM e5_{x} a JOIN e10_{x} b USING (query_id) JOIN k_{x} c USING (query_id)" for x in _RANKED),
+    "select_default": f"WITH {_SEARCHES}, lat AS (SELECT mode AS system, round(quantile_cont(latency_ms, 0.5), 6) AS latency FROM ev WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) AND latency_ms >= 0 GROUP BY mode), {_RUNS}, m AS (SELECT system, round(avg(ndcg), 6) AS ndcg FROM ({_JUDGED_10}) GROUP BY system) SELECT system, ndcg, latency FROM m JOIN lat USING (system) ORDER BY ndcg DESC, latency, list_position(['lexical', 'semantic', 'hybrid', 'rerank'], system) LIMIT 1",
+    "metric_deltas": f"WITH {_RUNS}, m AS (SELECT system, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr FROM ({_JUDGED_10}) GROUP BY system), "
+    + "long AS ("
+    + " UNION ALL ".join(f"SELECT system, '{m}' AS metric, {m} AS value FROM m" for m in ("ndcg", "precision", "recall", "rr"))
+    + ") SELECT a.system, metric, b.value AS base_value, a.value, round(a.value - b.value, 6) AS delta FROM long a JOIN long b USING (metric) WHERE a.system <> 'lexical' AND b.system = 'lexical'",
+    "five_number_summary": f"WITH {_RUNS} SELECT system, " + ", ".join(f"round(quantile_cont(ndcg, {x}), 6) AS {n}" for n, x in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("greatest", 1))) + f" FROM ({_JUDGED_10}) GROUP BY system",
+    "search_errors": f"WITH {_LEX}{_ranked('lex', 'lown', 10)} SELECT DISTINCT query_id, 'search_error' AS code, 'ranks_not_contiguous' AS message FROM lex WHERE query_id::BIGINT % 100 = 0",
+    "ranking_contract": f"WITH {_CAT}{_SEM}{_ranked('r', 'sscore', 10)} SELECT DISTINCT query_id, 'not_a_candidate' AS fault FROM r WHERE (query_id, product_id) NOT IN (SELECT (query_id, product_id) FROM judged WHERE grade >= 1)",
+    "label_distribution": f"WITH {_LABELS}, d AS (SELECT unnest(['Exact', 'Partial', 'Irrelevant', 'Unknown']) AS label) SELECT label, (SELECT count(*) FROM labels_ l WHERE l.label = d.label) AS n FROM d",
+    "classification_summary": ORACLE["classification_report"].replace("SELECT class, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1, support FROM y", "SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg((label = predicted)::INT), 6) FROM r) AS accuracy, round(avg(round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6)), 6) AS macro_f1 FROM y"),
+    "judgment_contract": _checks(_LABELS, missing="SELECT count(*) FROM labels_ WHERE query_id IS NULL OR product_id IS NULL", repeated_pairs="SELECT count(*) - count(DISTINCT (query_id, product_id)) FROM labels_", bad_grade="0"),
+    "catalog_contract": _checks(
+        f"c AS (SELECT doc_id::VARCHAR AS id, {_PRODUCT_TEXT} AS t FROM documents), a AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE id::BIGINT % 40 = 0)",
+        missing_id="SELECT count(*) FROM a WHERE id IS NULL", blank_id="SELECT count(*) FROM a WHERE trim(id) = ''", missing_text="SELECT count(*) FROM a WHERE t IS NULL",
+        blank_text="SELECT count(*) FROM a WHERE trim(t) = ''", repeated_id="SELECT count(*) - count(DISTINCT id) FROM a", no_rows="SELECT (count(*) = 0)::INT FROM a",
+    ),
+    "candidate_contract": _checks(_CAT, repeated_candidates="SELECT count(*) FROM judged WHERE grade = 2", unknown_candidates="SELECT count(*) FROM judged WHERE product_id NOT IN (SELECT product_id FROM cat WHERE label <> 3)"),
+    "split_contract": _checks(
+        _SPLITS + _FLAWED,
+        in_two_splits="SELECT count(*) FROM (SELECT query_id FROM flawed GROUP BY query_id HAVING count(DISTINCT split) > 1)", in_no_split="SELECT count(*) FROM split WHERE query_id NOT IN (SELECT query_id FROM flawed)",
+        unknown_query="SELECT count(DISTINCT query_id) FROM flawed WHERE query_id NOT IN (SELECT query_id FROM split)", empty_splits="SELECT 3 - count(DISTINCT split) FROM flawed",
+    ),
+    "split_overlaps": f"WITH {_SPLITS}{_FLAWED} SELECT a.split AS first, b.split AS second, count(*) AS n FROM flawed a JOIN flawed b USING (query_id) WHERE a.split < b.split GROUP BY ALL",
+    "split_filter": f"WITH {_SPLITS} SELECT query_id, length(text)::INT AS n_chars FROM split JOIN benchmark ON item_id::VARCHAR = query_id WHERE split = 'validation'",
+    "norm_contract": _checks(
+        "e AS (SELECT embedding::DOUBLE[] AS v FROM embeddings)",
+        missing="SELECT count(*) FROM e WHERE v IS NULL", not_finite="SELECT count(*) FROM e WHERE len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0",
+        other_dimensions="SELECT count(DISTINCT len(v)) - 1 FROM e", not_unit="SELECT count(*) FROM e WHERE abs(sqrt(list_inner_product(v, v)) - 1) > 1e-5",
+    ),
+    "missing_values": "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) FILTER (WHERE {_NORM.format(f'{c}::VARCHAR')} = '') AS n FROM {t}" for t, cs in (("documents", ("doc_id", "text", "lang", "source")), ("conversations", ("conv_id", "role", "text"))) for c in cs)
+    + ") WHERE n > 0",
+    "key_duplicates": " UNION ALL ".join(f"SELECT '{n}' AS table_name, '{k}' AS key_name, count(*) - count(DISTINCT {k}) AS n FROM {t}" for t, k, n in (("part", "p_partkey", "product"), ("benchmark", "item_id", "query"), ("lineitem", "l_orderkey", "label"))),
+    "dense_index": f"WITH {_CAT}, u AS (SELECT product_id, unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))) AS x, unnest(range(len(v)))::INT AS place FROM cat) SELECT product_id, place, round(x, 6) AS x FROM u",
+    "dense_index_hashed": f"""WITH c AS (SELECT doc_id::VARCHAR AS product_id, {_TOK.format(_PRODUCT_TEXT)} AS t FROM documents), p AS (SELECT product_id, list_transform(t, lambda x: ('0x' || md5(x)[1:8])::BIGINT % 32) AS p FROM c WHERE len(t) > 0),
+        n AS (SELECT product_id, place, count(*) AS n FROM (SELECT product_id, unnest(p) AS place FROM p) GROUP BY ALL), l AS (SELECT product_id, sqrt(sum(n * n)) AS len FROM n GROUP BY product_id)
+        SELECT product_id, r.place::INT AS place, round(coalesce(n, 0) / len, 6) AS x FROM l CROSS JOIN range(32) r(place) LEFT JOIN n USING (product_id, place)""",
+    "dense_metadata": f"WITH {_CAT} SELECT 'given' AS model, count(*) AS vectors, max(len(v))::INT AS dimension, 'double' AS dtype, 'l2' AS normalization FROM cat",
+    "training_rows": f"WITH {_JUDGED}, {_QSPLITS} SELECT query_id, product_id, hybrid_rank, grade AS relevance_grade, " + ", ".join(f"round({f}, 6) AS {f}" for f in FEATURE_NAMES) + " FROM feat JOIN judged USING (query_id, product_id) WHERE query_id IN (SELECT query_id FROM split WHERE split = 'train')",
+    "precomputed_ranking": f"WITH {_JUDGED}, sc AS (SELECT query_id, product_id, hybrid_rank, round(lexical_similarity + 2 * query_title_token_coverage, 4) AS expected_relevance FROM feat) SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY round(expected_relevance, 9) DESC, hybrid_rank, product_id) AS rank, expected_relevance, hybrid_rank FROM sc QUALIFY rank <= 10",
+    "reranker_decision": f"WITH {_RUNS}, m AS (SELECT (SELECT round(avg(ndcg), 6) FROM e_hybrid) AS hybrid_ndcg, (SELECT round(avg(ndcg), 6) FROM e_rerank) AS rerank_ndcg) SELECT *, rerank_ndcg > hybrid_ndcg AS improved, CASE WHEN rerank_ndcg > hybrid_ndcg THEN 'rerank' ELSE 'hybrid' END AS mode FROM m",
+    "batch_search": f"WITH {_FOUND} SELECT request_id, resolved_mode, product_id, rank, round(score, 6) AS score FROM found",
+    "rejected_requests": f"WITH {_CAT}{_REQUESTS} SELECT request_id, mode, reason FROM res WHERE reason <> ''",
+    "search_events": f"WITH {_FOUND} SELECT request_id AS search_id, resolved_mode AS mode, top_k, coalesce((SELECT string_agg(product_id, ',' ORDER BY rank) FROM found f WHERE f.request_id = res.request_id), '') AS returned, '' AS reason FROM res WHERE reason = ''",
+    "score_breakdown_by_mode": f"""WITH {_FEATURES}{_SYSTEMS} SELECT system, query_id, product_id, s.rank, CASE WHEN system <> 'semantic' THEN round(lexical_score, 6) END AS lexical_value, CASE WHEN system <> 'lexical' THEN round(semantic_score, 6) END AS semantic_value,
+        round(CASE system WHEN 'lexical' THEN lexical_score WHEN 'semantic' THEN NULL ELSE (1 - 0.9::DOUBLE) * lexical_norm END, 6) AS lexical_part, round(CASE system WHEN 'semantic' THEN semantic_score WHEN 'lexical' THEN NULL ELSE 0.9::DOUBLE * semantic_norm END, 6) AS semantic_part FROM systems s JOIN comp USING (query_id, product_id)""",
+    "score_breakdown_rrf": f"""WITH {_FUSED}, rs AS (SELECT *, CASE WHEN lexical_rank > 0 THEN 0.5::DOUBLE / (60 + lexical_rank) ELSE 0 END AS lp, CASE WHEN semantic_rank > 0 THEN 0.5::DOUBLE / (60 + semantic_rank) ELSE 0 END AS sp FROM comp), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(lp + sp, 9) DESC, product_id) AS rank FROM rs QUALIFY rank <= 10)
+        SELECT query_id, product_id, rank, round(lexical_score, 6) AS lexical_value, round(semantic_score, 6) AS semantic_value, round(lp, 6) AS lexical_part, round(sp, 6) AS semantic_part FROM r""",
+}
+
+
 def _all(sql: str) -> str:
     """The same over all terms of two documents or more."""
     return sql.replace(" ORDER BY total_tf DESC, term LIMIT 20000", "")
@@ -205,7 +352,7 @@ _ALL = "cat AS (SELECT doc_id::VARCHAR AS product_id, text AS body FROM document
 
 ORACLE |= {
     "tfidf_index_all": f"WITH {_ALL} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
-    "index_metadata_all": f"WITH {_ALL} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings FROM post",
+    "index_metadata_all": f"WITH {_ALL} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary FROM post",
     "event_lookup_all": ORACLE["event_lookup"].replace("search_id % 100 = 3", "search_id IN (SELECT search_id FROM fb)"),
     "term_stats_all": _all(ORACLE["term_stats"]),
     "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]).replace("rank <= 50", "rank <= 100").replace(f"array_to_string({_TOK.format('body')}[1:8], ' ') AS query", "body AS query"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner import bindings as D
@@ -10,14 +12,18 @@ from gleaner.functions import text as T
 from gleaner.functions.vectors import flaws, l2_normalize
 from gleaner.operators import evaluation as E
 from gleaner.operators import ranking as R
+from gleaner.operators import serving
 from gleaner.operators import tables as V
+from gleaner.plans import judged
 from gleaner.plans.oracle import ORACLE  # noqa: F401
+from gleaner.sources.scratch import written
 from gleaner.sources.tables import fingerprint
 
 DEPTH = 50
 #: The reference's candidate depth, in the queries without cuts.
 DEEP = 100
 WEIGHTS = tuple(i / 10 for i in range(11))
+TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
 SYSTEMS = ("lexical", "semantic", "hybrid", "rerank")
 #: A fixed linear model for the reranker's SQL-checked form: logits of grades 0, 1, 2 from three features.
 LOGITS = ((0.3, -1.0, -0.5, -0.2), (0.1, 0.2, 0.4, 0.1), (-0.4, 1.5, 1.0, 0.6))
@@ -25,10 +31,16 @@ _PAIR = ["query_id", "product_id"]
 
 
 class _Plans:
-    """The intermediate tables that queries share, built when asked for."""
+    """The intermediate tables that queries share, built when asked for; an index, the components of a fusion and the
+    systems' rankings are written once and read by all that follows."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.made = spark, sf_dir, {}
+
+    def once(self, name: str, make):
+        if name not in self.made:
+            self.made[name] = make()
+        return self.made[name]
 
     def table(self, name: str) -> DataFrame:
         return D.table(self.spark, self.dir, name)
@@ -43,13 +55,13 @@ class _Plans:
         return D.judgments(self.spark, self.dir)
 
     def index(self) -> R.LexicalIndex:
-        return R.LexicalIndex(self.catalog(), F.col("product_description"))
+        return self.once("index", lambda: R.LexicalIndex(self.catalog(), F.col("product_description")))
 
     def text_index(self) -> R.LexicalIndex:
-        return R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description"))
+        return self.once("text_index", lambda: R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description")))
 
     def whole_index(self) -> R.LexicalIndex:
-        return R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description"), max_features=None)
+        return self.once("whole_index", lambda: R.LexicalIndex(D.catalog(self.spark, self.dir), F.col("product_description"), max_features=None))
 
     def deep(self, k: int = 10) -> DataFrame:
         """Hybrid ranking of whole texts over all terms, DEEP products of either engine."""
@@ -59,14 +71,13 @@ class _Plans:
         return R.fuse(R.fused(lexical, R.semantic_search(q, c, DEEP)), R.weighted(0.9), k)
 
     def lexical(self, k: int = DEPTH) -> DataFrame:
-        index = self.index()
-        return R.top_k(index.scores(self.queries()).where("score > 0 AND query_id <> product_id"), k).select(*_PAIR, "rank", "score")
+        return R.top_k(self.index().scores(self.queries()).where("score > 0 AND query_id <> product_id"), k).select(*_PAIR, "rank", "score")
 
     def semantic(self, k: int = DEPTH) -> DataFrame:
         return R.semantic_search(self.queries(), self.catalog(), k)
 
     def components(self) -> DataFrame:
-        return R.fused(self.lexical(), self.semantic())
+        return self.once("components", lambda: written(R.fused(self.lexical(), self.semantic()), "components"))
 
     def hybrid(self, k: int = DEPTH) -> DataFrame:
         return R.fuse(self.components(), R.weighted(0.9), k)
@@ -75,16 +86,40 @@ class _Plans:
         return R.rerank_features(self.hybrid(), self.queries(), self.catalog(), DEPTH)
 
     def reranked(self, k: int = 10) -> DataFrame:
-        x = (F.col("lexical_score"), F.col("semantic_score"), F.col("title_coverage"))
-        p = R.softmax([F.lit(b) + sum((F.lit(w) * c for w, c in zip(ws, x, strict=True)), F.lit(0.0)) for b, *ws in LOGITS])
-        return R.rerank(self.features(), p, k)
+        return R.rerank(self.features(), fixed_model(), k)
+
+    def rankings(self, k: int = 10) -> DataFrame:
+        """(system, query_id, product_id, rank, score) of the four systems over the whole catalog."""
+
+        def make() -> DataFrame:
+            c, columns = self.components(), [*_PAIR, "rank", "score"]
+            lexical = c.where(f"lexical_rank BETWEEN 1 AND {k}").select(*_PAIR, F.col("lexical_rank").alias("rank"), F.col("lexical_score").alias("score"))
+            semantic = c.where(f"semantic_rank BETWEEN 1 AND {k}").select(*_PAIR, F.col("semantic_rank").alias("rank"), F.col("semantic_score").alias("score"))
+            found = {"lexical": lexical, "semantic": semantic, "hybrid": self.hybrid(k), "rerank": self.reranked(k).withColumnRenamed("expected_relevance", "score")}
+            return written(reduce(DataFrame.unionByName, [r.select(*columns, F.lit(s).alias("system")) for s, r in found.items()]), "rankings")
+
+        return self.once("rankings", make)
+
+    def pool(self) -> DataFrame:
+        """All judged candidates with the components of both engines, and their hybrid score and rank."""
+        return self.once("pool", lambda: written(R.hybrid_candidates(self.index(), self.queries(), self.catalog(), self.judgments().select(*_PAIR), R.weighted(0.9)), "pool"))
+
+    def pool_features(self) -> DataFrame:
+        return R.rerank_features(self.pool().where(F.col("rank") <= DEEP), self.queries(), self.catalog(), DEEP)
 
-    def systems(self, k: int = 10) -> dict[str, DataFrame]:
-        hybrid = self.hybrid(k).select(*_PAIR, "rank", "score")
-        return {"lexical": self.lexical(k), "semantic": self.semantic(k), "hybrid": hybrid, "rerank": self.reranked(k).withColumnRenamed("expected_relevance", "score")}
+    def judged_rankings(self, k: int = 10) -> DataFrame:
+        """(system, query_id, product_id, rank) of the four systems over each query's judged candidates."""
+
+        def make() -> DataFrame:
+            c = self.pool()
+            found = {s: c.where(f"{s}_rank BETWEEN 1 AND {k}").select(*_PAIR, F.col(f"{s}_rank").alias("rank")) for s in ("lexical", "semantic")}
+            found |= {"hybrid": c.where(F.col("rank") <= k), "rerank": R.rerank(self.pool_features(), fixed_model(), k)}
+            return written(reduce(DataFrame.unionByName, [r.select(*_PAIR, "rank", F.lit(s).alias("system")) for s, r in found.items()]), "judged-rankings")
+
+        return self.once("judged_rankings", make)
 
     def records(self) -> DataFrame:
-        return E.quality_records(self.queries(), self.systems(), self.judgments())
+        return E.quality_records(self.queries(), self.judged_rankings(), self.judgments(), SYSTEMS, "rerank")
 
     def pairs(self) -> DataFrame:
         """Each document with one benchmark item, as a query and a text to measure."""
@@ -103,6 +138,12 @@ class _Plans:
         return self.table("documents").select(F.col("lang").alias("label"), F.when(F.octet_length("text") > F.length("text"), "de").otherwise("en").alias("predicted"))
 
 
+def fixed_model() -> Column:
+    """Probabilities of the grades by the fixed model."""
+    x = [F.col(c) for c in ("lexical_similarity", "semantic_similarity", "query_title_token_coverage")]
+    return R.softmax([F.lit(b) + sum((F.lit(w) * c for w, c in zip(ws, x, strict=True)), F.lit(0.0)) for b, *ws in LOGITS])
+
+
 def _r(c: str) -> object:
     return F.round(c, 6).alias(c)
 
@@ -112,16 +153,15 @@ def _digest(c) -> object:
 
 
 def _grid(p: _Plans) -> DataFrame:
-    """Every weight and the reciprocal form, each query and configuration ranked in one job."""
-    c = p.components()
-    wide = c.select(*_PAIR, F.explode(F.array(*[F.struct(F.lit(f"w{int(w * 10):02d}").alias("config"), R.weighted(w).alias("score")) for w in WEIGHTS], F.struct(F.lit("rrf").alias("config"), R.reciprocal().alias("score")))).alias("x")).select(*_PAIR, "x.*")
-    key = F.concat_ws(":", "config", "query_id")
-    ranking = R.top_k(wide.withColumn("key", key), 10, group="key").select(F.col("key").alias("query_id"), "product_id", "rank", "score")
-    configs = wide.select("config").distinct()
-    q = p.queries().select("query_id").crossJoin(F.broadcast(configs)).select("config", F.concat_ws(":", "config", "query_id").alias("query_id"))
-    j = p.judgments().crossJoin(F.broadcast(configs)).select(F.concat_ws(":", "config", "query_id").alias("query_id"), "product_id", "relevance_grade")
-    e = E.judged_evaluation(q, ranking, j).join(q, "query_id")
-    return e.groupBy("config").agg(*[F.round(F.avg(m), 4).alias(m) for m in ("ndcg", "recall", "rr")])
+    """Every weight and the reciprocal form, each query and configuration ranked in one job: grades are joined before a pair
+    is taken by every configuration, and a query's ideal gain is that of all of them."""
+    c = E.graded(p.components(), p.judgments())
+    configs = [F.struct(F.lit(f"w{int(w * 10):02d}").alias("system"), R.weighted(w).alias("score")) for w in WEIGHTS]
+    wide = c.select(*_PAIR, "relevance_grade", F.inline(F.array(*configs, F.struct(F.lit("rrf").alias("system"), R.reciprocal().alias("score")))))
+    first = Window.partitionBy("system", "query_id").orderBy(F.desc(F.round("score", 9)), "product_id")
+    ranked = wide.withColumn("rank", F.row_number().over(first)).where("rank <= 10")
+    e = E.system_evaluation(p.queries(), ranked, p.judgments(), (10,), known_grades=True)
+    return e.groupBy(F.col("system").alias("config")).agg(*[F.round(F.avg(m), 4).alias(m) for m in ("ndcg", "recall", "rr")])
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -139,7 +179,7 @@ _FOUND = {
     "short_description": lambda p: p.table("documents").select("doc_id", T.short_description(F.col("text")).alias("short")),
     "length_buckets": lambda p: p.table("documents").select(T.length_bucket(F.col("text")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")),
     "l2_normalize": lambda p: p.table("embeddings").select("vec_id", l2_normalize(F.col("embedding")).alias("v")).select("vec_id", F.posexplode("v").alias("place", "x")).select("vec_id", "place", F.round("x", 6).alias("x")),
-    "sample_hash": lambda p: p.table("documents").groupBy("source").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), ","), 256).alias("ids_sha256")),
+    "sample_hash": lambda p: V.ordered_digest(p.table("documents"), "source", F.col("doc_id")),
     "missing_counts": lambda p: V.missing_counts(p.table("documents"), blank=True),
     "duplicate_counts": lambda p: V.duplicate_counts(D.raw_labels(p.spark, p.dir)),
     "invalid_labels": lambda p: p.table("events").where(~F.col("event_type").isin("click", "view", "purchase")).groupBy("event_type").agg(F.count("*").alias("n")),
@@ -147,20 +187,20 @@ _FOUND = {
     "vector_contract": lambda p: p.table("embeddings").groupBy(F.coalesce(flaws(F.col("embedding"), 64), F.lit("ok")).alias("flaw")).agg(F.count("*").alias("n")),
     "request_validation": lambda p: V.validated_requests(p.requests(), SYSTEMS).select("request_id", "reason"),
     "provenance_audit": lambda p: V.provenance_mismatches(p.table("documents").groupBy(F.col("lang").alias("owner"), F.col("source").alias("key")).agg(F.count("*").alias("value")), p.table("documents").where("doc_id % 10 <> 0").groupBy(F.col("lang").alias("owner"), F.col("source").alias("key")).agg(F.count("*").alias("value"))),
-    "source_manifest": lambda p: fingerprint(p.table("part"), "part").unionByName(fingerprint(p.table("supplier"), "supplier")).drop("checksum"),
+    "source_manifest": lambda p: reduce(DataFrame.unionByName, [fingerprint(p.table(t), t) for t in TABLES]).drop("checksum"),
     "canonical_judgments": lambda p: E.canonical_judgments(D.raw_labels(p.spark, p.dir), D.GRADES),
     "judgment_quality": lambda p: E.judgment_quality(D.raw_labels(p.spark, p.dir), D.GRADES),
     "conflict_combinations": lambda p: E.canonical_judgments(D.raw_labels(p.spark, p.dir), D.GRADES).where("distinct_label_count > 1").groupBy("observed_labels").agg(F.count("*").alias("n")),
     "class_distribution": lambda p: p.judgments().agg(*[F.count_if(F.col("relevance_grade") == g).alias(f"grade_{g}") for g in (0, 1, 2)]),
     "latency_summary": lambda p: E.latency_summary(p.table("events"), "event_type", "value"),
     "query_splits": lambda p: V.split_queries(D.text_queries(p.spark, p.dir), 42),
-    "split_manifest": lambda p: V.split_queries(D.text_queries(p.spark, p.dir), 42).groupBy("split").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("query_id")), ",").alias("ids")),
+    "split_manifest": lambda p: V.split_manifest(V.split_queries(D.text_queries(p.spark, p.dir), 42), 42, {"train": 0.7, "validation": 0.15, "test": 0.15}, p.table("benchmark").agg(F.count("*").alias("source_rows"))),
     "stratified_sample": lambda p: V.stratified_sample(p.table("part").select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("query")), 100, 42),
     "term_stats": lambda p: R.term_stats(R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description"))),
     "tfidf_index": lambda p: p.index().postings.select("product_id", "term", "tf", _r("weight")),
     "query_vectors": lambda p: p.index().query_vectors(p.queries()).select("query_id", "term", "tf", _r("weight")),
     "vocabulary_analysis": lambda p: p.index().vocabulary_analysis(D.text_queries(p.spark, p.dir)),
-    "index_metadata": lambda p: p.index().postings.agg(F.count_distinct("product_id").alias("products"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings")),
+    "index_metadata": lambda p: p.index().metadata(),
     "lexical_search": lambda p: _named(p.text_index().search(D.text_queries(p.spark, p.dir))),
     "lexical_candidates": lambda p: _named(p.index().candidates(p.queries(), p.judgments().select(*_PAIR), 10)),
     "semantic_search": lambda p: _named(p.semantic(10)),
@@ -172,12 +212,12 @@ _FOUND = {
     "fusion_best": lambda p: _grid(p).orderBy(F.desc("ndcg"), F.desc("recall"), F.desc("rr"), "config").limit(1),
     "rerank_features": lambda p: p.features().select(*_PAIR, "hybrid_rank", *[_r(f) for f in R.FEATURES]),
     "rerank_fixed_model": lambda p: p.reranked().select(*_PAIR, "rank", _r("expected_relevance")),
-    "judged_eval": lambda p: E.judged_evaluation(p.queries(), p.systems()["hybrid"], p.judgments()),
+    "judged_eval": lambda p: E.judged_evaluation(p.queries(), p.hybrid(10), p.judgments()),
     "known_relevant_eval": lambda p: E.known_relevant_evaluation(p.queries(), p.lexical(10), p.judgments()),
     "eval_aggregate": lambda p: E.aggregate(E.judged_evaluation(p.queries(), p.lexical(10), p.judgments()), "ndcg", "precision", "recall", "rr"),
     "eval_diagnostics": lambda p: E.diagnostics(E.judged_evaluation(p.queries(), R.fuse(R.fused(p.lexical(3), p.lexical(3)), R.weighted(0.5), 10), p.judgments())),
-    "eval_errors": lambda p: E.isolated_evaluation(p.queries(), p.lexical(10).withColumn("rank", F.when(F.col("query_id").cast("long") % 2 == 0, F.col("rank") + 1).otherwise(F.col("rank"))), p.judgments()),
-    "system_comparison": lambda p: E.comparison(p.queries(), p.systems(), p.judgments()).drop("queries", "eligible"),
+    "eval_errors": lambda p: E.isolated_evaluation(p.queries(), p.lexical(10).withColumn("rank", F.when(F.col("query_id").cast("long") % 100 == 0, F.col("rank") + 1).otherwise(F.col("rank"))), p.judgments()),
+    "system_comparison": lambda p: E.comparison(p.queries(), p.rankings(), p.judgments()),
     "quality_records": lambda p: p.records(),
     "error_categories": lambda p: E.error_categories(p.records()),
     "fusion_win_loss": lambda p: E.fusion_win_loss(p.records()),
@@ -187,27 +227,18 @@ _FOUND = {
     "analytics_summary": lambda p: V.analytics_summary(D.search_events(p.spark, p.dir), V.validated_feedback(D.feedback(p.spark, p.dir), D.search_events(p.spark, p.dir)).where("reason = ''")),
     "event_lookup": lambda p: D.search_events(p.spark, p.dir).where("search_id % 100 = 3").select("search_id", "mode", F.array_join("returned_product_ids", ",").alias("returned")),
     "top_known_relevant": lambda p: p.judgments().where("relevance_grade >= 1").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_grade"), "product_id"))).where("place <= 3").join(p.catalog().select("product_id", "product_class"), "product_id").select(*_PAIR, "place", "relevance_grade", "product_class"),
-    "enriched_results": lambda p: p.hybrid(10).join(p.catalog(), "product_id").join(p.queries().select("query_id", "query"), "query_id").select(*_PAIR, "rank", T.short_description(F.col("product_description")).alias("short"), F.array_join(T.matched_terms(T.feature_tokens(F.col("query")), T.feature_tokens(F.col("product_name"))), " ").alias("matched")),
+    "enriched_results": lambda p: serving.enriched(p.hybrid(10).join(p.queries().select("query_id", "query"), "query_id"), p.catalog()).select(*_PAIR, "rank", "short", "matched"),
     "score_breakdown": lambda p: p.hybrid(10).select(*_PAIR, F.round(0.1 * F.col("lexical_norm"), 6).alias("lexical_part"), F.round(0.9 * F.col("semantic_norm"), 6).alias("semantic_part"), "lexical_rank", "semantic_rank"),
     "term_stats_all": lambda p: R.term_stats(R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description")), max_features=None),
     "hybrid_weighted_deep": lambda p: _named(p.deep()),
     "lexical_search_all": lambda p: _named(p.whole_index().search(D.text_queries(p.spark, p.dir, short=False))),
     "tfidf_index_all": lambda p: p.whole_index().postings.select("product_id", "term", "tf", _r("weight")),
-    "index_metadata_all": lambda p: p.whole_index().postings.agg(F.count_distinct("product_id").alias("products"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings")),
+    "index_metadata_all": lambda p: p.whole_index().metadata(),
     "event_lookup_all": lambda p: D.search_events(p.spark, p.dir).join(D.feedback(p.spark, p.dir).select("search_id").distinct(), "search_id", "left_semi").select("search_id", "mode", F.array_join("returned_product_ids", ",").alias("returned")),
-    "rerank_trained": lambda p: _trained(p),
 }
 
 
-def _trained(p: _Plans) -> DataFrame:
-    """Fits the reranker on the hybrid pool's graded features and ranks with it."""
-    from pyspark.ml.functions import vector_to_array
-
-    rows = p.features().join(p.judgments(), _PAIR).cache()
-    model = R.train_reranker(rows)
-    scored = model.transform(rows.drop("relevance_grade"))
-    return R.rerank(scored, vector_to_array(F.col("probability"))).select(*_PAIR, "rank", _r("expected_relevance"))
-
+_FOUND |= judged.FOUND
 
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(_Plans(spark, sf_dir))) for name, f in _FOUND.items()}
 
