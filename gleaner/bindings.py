@@ -25,7 +25,7 @@ def _query(text: str, short: bool) -> Column:
     return (F.array_join(F.slice(feature_tokens(F.col(text)), 1, 8), " ") if short else F.col(text)).alias("query")
 
 
-def text_queries(spark: SparkSession, sf_dir: str, short: bool = True) -> DataFrame:
+def text_queries(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
     """Queries from the benchmark: the item's whole text or, if short, its first eight feature tokens."""
     b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").cast("string").alias("query_id"), _query("text", short))
@@ -37,7 +37,7 @@ def vector_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog(spark, sf_dir).join(e.select(F.col("vec_id").cast("string").alias("product_id"), doubles(F.col("embedding")).alias("vector"), "label"), "product_id")
 
 
-def vector_queries(spark: SparkSession, sf_dir: str, short: bool = True) -> DataFrame:
+def vector_queries(spark: SparkSession, sf_dir: str, short: bool = False) -> DataFrame:
     """Every 50th text of the vector catalog as a query: its text as in text_queries, its vector and label."""
     c = vector_catalog(spark, sf_dir).where("cast(product_id AS bigint) % 50 = 0")
     return c.select(F.col("product_id").alias("query_id"), _query("product_description", short), "vector", "label")

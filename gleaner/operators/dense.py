@@ -45,7 +45,13 @@ def embedded(rows: DataFrame, factory: Callable[[], EmbeddingProvider], id_col:
 def hashed_vector(text: Column, dimension: int) -> Column:
     """A vector without a model, in the JVM: each token adds 1 at the place that its MD5 names."""
     places = F.transform(T.feature_tokens(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dimension)
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("double"))
+    every = F.sequence(F.lit(0), F.lit(dimension - 1))
+
+    def counted(held: Column) -> Column:
+        return F.transform(every, lambda i: F.size(F.filter(held, lambda p: p == i)).cast("double"))
+
+    # the places as the one element of an array: named in the lambda itself, they would be taken anew for each number
+    return F.aggregate(F.array(places), F.array_repeat(F.lit(0.0), dimension), lambda _, held: counted(held))
 
 
 def dense_index(vectors: DataFrame, dimension: int, id_col: str = "product_id", column: str = "vector") -> DataFrame:

@@ -52,7 +52,7 @@ def term_frequencies(documents: DataFrame, id_col: str, text: Column) -> DataFra
     return term_rows(term_arrays(documents, id_col, text), id_col)
 
 
-def term_stats(frequencies: DataFrame, min_df: int = 2, max_features: int | None = 20_000) -> DataFrame:
+def term_stats(frequencies: DataFrame, min_df: int = 2, max_features: int | None = 100_000) -> DataFrame:
     """(term, df, total_tf): the most frequent terms of at least min_df documents, ties by term (TakeOrdered); None: all."""
     stats = frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
     stats = stats.where(F.col("df") >= min_df)
@@ -81,7 +81,7 @@ def weights(frequencies: DataFrame, terms: DataFrame, id_col: str, bound: int |
 class LexicalIndex:
     """Postings and terms of a catalog, as tables."""
 
-    def __init__(self, catalog: DataFrame, text: Column, min_df: int = 2, max_features: int | None = 20_000):
+    def __init__(self, catalog: DataFrame, text: Column, min_df: int = 2, max_features: int | None = 100_000):
         self.min_df, self.max_features = min_df, max_features
         arrays = written(term_arrays(catalog, "product_id", text), "terms-of-rows")  # texts are tokenised once
         frequencies = term_rows(arrays, "product_id")

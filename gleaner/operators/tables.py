@@ -52,6 +52,11 @@ def duplicate_counts(labels: DataFrame) -> DataFrame:
     return pairs.agg(F.sum("n").alias("label_rows"), F.sum(F.col("n") - 1).alias("repeated_pairs"), F.count_if(F.col("d") > 1).alias("conflicting_pairs"))
 
 
+def invalid_labels(rows: DataFrame, column: str, allowed: tuple[str, ...]) -> DataFrame:
+    """(column, n): the values that are not allowed; a null is none of them."""
+    return rows.where(~F.col(column).isin(*allowed)).groupBy(column).agg(F.count("*").alias("n"))
+
+
 def foreign_key_violations(child: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
     """(check_name, n, examples): distinct keys without a parent, with the five least."""
     lost = child.select(F.col(key).cast("string").alias("k")).dropna().distinct().join(parent.select(F.col(parent_key).cast("string").alias("k")).distinct(), "k", "left_anti")

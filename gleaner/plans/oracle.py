@@ -23,7 +23,7 @@ _PAIRS = f"""pairs AS (SELECT doc_id, {_TOK.format('b.text')} AS q, {_TOK.format
 _PRODUCT_TEXT = "concat_ws(' ', " + ", ".join(f"nullif({_NORM.format(c)}, '')" for c in ("string_split(text, chr(10))[1]", "lang", "source", "text")) + ")"
 
 _CAT = f"""cat AS (SELECT doc_id::VARCHAR AS product_id, string_split(text, chr(10))[1] AS product_name, lang AS product_class, text AS body, {_PRODUCT_TEXT} AS product_text, embedding::DOUBLE[] AS v, label FROM documents JOIN embeddings ON doc_id = vec_id),
-    qs AS (SELECT product_id AS query_id, array_to_string({_TOK.format('body')}[1:8], ' ') AS query, v AS qv, label FROM cat WHERE product_id::BIGINT % 50 = 0),
+    qs AS (SELECT product_id AS query_id, body AS query, v AS qv, label FROM cat WHERE product_id::BIGINT % 50 = 0),
     judged AS (SELECT query_id, product_id, 2 - abs(q.label - c.label) AS grade FROM qs q JOIN cat c ON abs(q.label - c.label) <= 2 AND query_id <> product_id)"""
 
 
@@ -31,7 +31,7 @@ def _index(catalog: str, text: str, queries: str) -> str:
     """Postings and query vectors over a catalog's terms."""
     return f""",
     ptok AS (SELECT product_id, {_IDX.format(text)} AS w FROM {catalog}), ptf AS (SELECT product_id, term, count(*) AS tf FROM (SELECT product_id, unnest({_GRAMS.format('w')}) AS term FROM ptok) GROUP BY ALL),
-    stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM ptf GROUP BY term HAVING count(*) >= 2 ORDER BY total_tf DESC, term LIMIT 20000),
+    stats AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS total_tf FROM ptf GROUP BY term HAVING count(*) >= 2 ORDER BY total_tf DESC, term LIMIT 100000),
     terms AS (SELECT *, ln((1.0 + (SELECT count(*) FROM {catalog})) / (1.0 + df)) + 1 AS idf FROM stats),
     praw AS (SELECT product_id, term, tf, (1 + ln(tf)) * idf AS raw FROM ptf JOIN terms USING (term)), post AS (SELECT product_id, term, tf, raw / sqrt(sum(raw * raw) OVER (PARTITION BY product_id)) AS weight FROM praw),
     qtok AS (SELECT query_id, {_IDX.format('query')} AS w FROM {queries}), qtf AS (SELECT query_id, term, count(*) AS tf FROM (SELECT query_id, unnest({_GRAMS.format('w')}) AS term FROM qtok) GROUP BY ALL),
@@ -44,21 +44,23 @@ def _ranked(name: str, source: str, k: int) -> str:
     {name} AS (SELECT query_id, product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM {source} QUALIFY rank <= {k})"""
 
 
+#: All documents as the catalog, the benchmark's items as queries.
+_TEXT = "cat AS (SELECT doc_id::VARCHAR AS product_id, text AS body FROM documents), qs AS (SELECT item_id::VARCHAR AS query_id, text AS query FROM benchmark)" + _index("cat", "body", "qs")
 _LEX = _CAT + _index("cat", "body", "qs") + ", lown AS (SELECT * FROM lscore WHERE query_id <> product_id AND score > 0)"
 _SEM = """,
     sscore AS (SELECT query_id, product_id, list_inner_product(qv, v) / sqrt(list_inner_product(qv, qv)) / sqrt(list_inner_product(v, v)) AS score FROM qs, cat WHERE query_id <> product_id AND trim(query) <> '')"""
 _FUSED = (
     _LEX
     + _SEM
-    + _ranked("lex", "lown", 50)
-    + _ranked("sem", "sscore", 50)
+    + _ranked("lex", "lown", 100)
+    + _ranked("sem", "sscore", 100)
     + """,
     sides AS (SELECT query_id, product_id, round(l.score, 9) AS ls, l.score AS lraw, l.rank AS lr, round(s.score, 9) AS ss, s.score AS sraw, s.rank AS sr FROM lex l FULL JOIN sem s USING (query_id, product_id)),
     spans AS (SELECT *, min(ls) OVER w AS l0, max(ls) OVER w AS l1, min(ss) OVER w AS s0, max(ss) OVER w AS s1 FROM sides WINDOW w AS (PARTITION BY query_id)),
     comp AS (SELECT query_id, product_id, coalesce(lraw, 0) AS lexical_score, coalesce(sraw, 0) AS semantic_score, coalesce(lr, 0) AS lexical_rank, coalesce(sr, 0) AS semantic_rank,
         CASE WHEN ls IS NULL THEN 0 WHEN l1 - l0 <= 1e-12 THEN 1 ELSE (ls - l0) / (l1 - l0) END AS lexical_norm, CASE WHEN ss IS NULL THEN 0 WHEN s1 - s0 <= 1e-12 THEN 1 ELSE (ss - s0) / (s1 - s0) END AS semantic_norm FROM spans),
     wscore AS (SELECT *, (1 - 0.9::DOUBLE) * lexical_norm + 0.9::DOUBLE * semantic_norm AS score FROM comp),
-    hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM wscore QUALIFY rank <= 50)"""
+    hyb AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS rank FROM wscore QUALIFY rank <= 100)"""
 )
 #: The reranker's features, in order, and the fixed model's logits over them.
 FEATURE_NAMES = "lexical_similarity semantic_similarity hybrid_score lexical_rank semantic_rank query_title_token_overlap query_description_token_overlap exact_phrase_in_title query_title_token_coverage query_product_text_token_coverage query_length title_length product_text_length".split()
@@ -82,7 +84,7 @@ def _features(source: str, depth: int, rer: str = "rer") -> str:
     {rer} AS (SELECT query_id, product_id, hybrid_rank, (exp(z1) + 2 * exp(z2)) / (exp(z0) + exp(z1) + exp(z2)) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, hybrid_rank, product_id) AS rank FROM logit QUALIFY rank <= 10)"""
 
 
-_FEATURES = _FUSED + _features("hyb", 50)
+_FEATURES = _FUSED + _features("hyb", 100)
 _POOL = (
     _LEX
     + _SEM
@@ -205,17 +207,17 @@ ORACLE = {
         h AS (SELECT bucket, lo + CASE WHEN place <= more THEN 1 ELSE 0 END AS quota FROM g)
         SELECT query_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY sha256('42:' || query_id), query_id) AS rn FROM q) JOIN h USING (bucket) WHERE rn <= quota""",
     "term_stats": f"WITH cat AS (SELECT doc_id AS product_id, text AS body FROM documents), qs AS (SELECT '' AS query_id, '' AS query){_index('cat', 'body', 'qs')} SELECT * FROM stats",
-    "tfidf_index": f"WITH {_LEX} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
-    "query_vectors": f"WITH {_LEX} SELECT query_id, term, tf, round(weight, 6) AS weight FROM qvec",
-    "index_metadata": f"WITH {_LEX} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary FROM post",
-    "vocabulary_analysis": f"""WITH {_LEX}, bq AS (SELECT item_id::VARCHAR AS query_id, {_IDX.format(f"array_to_string({_TOK.format('text')}[1:8], ' ')")} AS w FROM benchmark), bg AS (SELECT query_id, unnest({_GRAMS.format('w')}) AS term, unnest(range(len({_GRAMS.format('w')}))) AS place FROM bq),
+    "tfidf_index": f"WITH {_TEXT} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
+    "query_vectors": f"WITH {_TEXT} SELECT query_id, term, tf, round(weight, 6) AS weight FROM qvec",
+    "index_metadata": f"WITH {_TEXT} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary FROM post",
+    "vocabulary_analysis": f"""WITH {_TEXT}, bq AS (SELECT query_id, {_IDX.format('query')} AS w FROM qs), bg AS (SELECT query_id, unnest({_GRAMS.format('w')}) AS term, unnest(range(len({_GRAMS.format('w')}))) AS place FROM bq),
         bk AS (SELECT bg.*, terms.term IS NOT NULL AS known FROM bg LEFT JOIN terms USING (term))
         SELECT query_id, coalesce(string_agg(term, '|' ORDER BY place) FILTER (WHERE known), '') AS indexed, coalesce(string_agg(term, '|' ORDER BY place) FILTER (WHERE NOT known), '') AS unknown, round(count(*) FILTER (WHERE NOT known AND NOT contains(term, ' ')) / count(*) FILTER (WHERE NOT contains(term, ' ')), 6) AS oov_fraction FROM bk GROUP BY query_id""",
-    "lexical_search": f"WITH cat AS (SELECT doc_id::VARCHAR AS product_id, text AS body FROM documents), qs AS (SELECT item_id::VARCHAR AS query_id, array_to_string({_TOK.format('text')}[1:8], ' ') AS query FROM benchmark){_index('cat', 'body', 'qs')}{_ranked('lex', 'lscore', 10)} {_SCORE} lex",
+    "lexical_search": f"WITH {_TEXT}{_ranked('lex', 'lscore', 10)} {_SCORE} lex",
     "lexical_candidates": f"WITH {_LEX}, cs AS (SELECT query_id, product_id, coalesce(score, 0) AS score FROM judged LEFT JOIN lscore USING (query_id, product_id) WHERE query_id IN (SELECT query_id FROM qvec)){_ranked('r', 'cs', 10)} {_SCORE} r",
     "semantic_search": f"WITH {_CAT}{_SEM}{_ranked('r', 'sscore', 10)} {_SCORE} r",
     "semantic_candidates": f"WITH {_CAT}{_SEM}, cs AS (SELECT s.* FROM sscore s JOIN judged USING (query_id, product_id)){_ranked('r', 'cs', 10)} {_SCORE} r",
-    "minmax_normalize": f"WITH {_LEX}{_ranked('lex', 'lown', 50)}, m AS (SELECT *, min(round(score, 9)) OVER w AS a, max(round(score, 9)) OVER w AS b FROM lex WINDOW w AS (PARTITION BY query_id)) SELECT query_id, product_id, round(CASE WHEN b - a <= 1e-12 THEN 1 ELSE (round(score, 9) - a) / (b - a) END, 6) AS scaled FROM m",
+    "minmax_normalize": f"WITH {_LEX}{_ranked('lex', 'lown', 100)}, m AS (SELECT *, min(round(score, 9)) OVER w AS a, max(round(score, 9)) OVER w AS b FROM lex WINDOW w AS (PARTITION BY query_id)) SELECT query_id, product_id, round(CASE WHEN b - a <= 1e-12 THEN 1 ELSE (round(score, 9) - a) / (b - a) END, 6) AS scaled FROM m",
     "hybrid_weighted": f"WITH {_FUSED} {_SCORE} hyb WHERE rank <= 10",
     "hybrid_rrf": f"WITH {_FUSED}, rs AS (SELECT *, CASE WHEN lexical_rank > 0 THEN 0.5::DOUBLE / (60 + lexical_rank) ELSE 0 END + CASE WHEN semantic_rank > 0 THEN 0.5::DOUBLE / (60 + semantic_rank) ELSE 0 END AS score FROM comp){_ranked('r', 'rs', 10)} {_SCORE} r",
     "fusion_grid": f"WITH {_GRID} SELECT * FROM grid",
@@ -239,7 +241,7 @@ ORACLE = {
         y AS (SELECT *, CASE WHEN said > 0 THEN hit / said ELSE 0 END AS p, CASE WHEN support > 0 THEN hit / support ELSE 0 END AS q FROM x) SELECT class, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1, support FROM y""",
     "feedback_validation": f"WITH {_SEARCHES} SELECT feedback_id, reason FROM fv",
     "analytics_summary": f"WITH {_SEARCHES} SELECT 'total' AS measure, 'searches' AS name, count(*)::DOUBLE AS value FROM ev UNION ALL SELECT 'total', 'mean_latency_ms', round(avg(latency_ms), 6) FROM ev UNION ALL SELECT 'mode', mode, count(*) FROM ev GROUP BY mode UNION ALL SELECT 'feedback', kind, count(*) FROM fv WHERE reason = '' GROUP BY kind",
-    "event_lookup": f"WITH {_SEARCHES} SELECT search_id, mode, array_to_string(returned, ',') AS returned FROM ev WHERE search_id % 100 = 3",
+    "event_lookup": f"WITH {_SEARCHES} SELECT search_id, mode, array_to_string(returned, ',') AS returned FROM ev WHERE search_id IN (SELECT search_id FROM fb)",
     "top_known_relevant": f"WITH {_CAT}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, product_id) AS place FROM judged WHERE grade >= 1) SELECT query_id, product_id, place, grade AS relevance_grade, product_class FROM r JOIN cat USING (product_id) WHERE place <= 3",
     "enriched_results": f"""WITH {_FUSED}, x AS (SELECT h.query_id, product_id, rank, {_NORM.format('body')} AS t, {_TOK.format('query')} AS q, {_TOK.format('product_name')} AS n FROM hyb h JOIN cat USING (product_id) JOIN qs ON qs.query_id = h.query_id WHERE rank <= 10)
         SELECT query_id, product_id, rank, CASE WHEN t = '' THEN NULL WHEN length(t) <= 240 THEN t ELSE rtrim(t[1:237]) || '...' END AS short, array_to_string(list_filter(q, lambda w, i: list_contains(n, w) AND list_position(q, w) = i), ' ') AS matched FROM x""",
@@ -345,16 +347,16 @@ ORACLE |= {
 
 def _all(sql: str) -> str:
     """The same over all terms of two documents or more."""
-    return sql.replace(" ORDER BY total_tf DESC, term LIMIT 20000", "")
+    return sql.replace(" ORDER BY total_tf DESC, term LIMIT 100000", "")
 
 
-_ALL = "cat AS (SELECT doc_id::VARCHAR AS product_id, text AS body FROM documents), qs AS (SELECT '' AS query_id, '' AS query)" + _all(_index("cat", "body", "qs"))
+_ALL = _all(_TEXT)
 
 ORACLE |= {
     "tfidf_index_all": f"WITH {_ALL} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
     "index_metadata_all": f"WITH {_ALL} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary FROM post",
-    "event_lookup_all": ORACLE["event_lookup"].replace("search_id % 100 = 3", "search_id IN (SELECT search_id FROM fb)"),
+    "event_lookup_all": ORACLE["event_lookup"],
     "term_stats_all": _all(ORACLE["term_stats"]),
-    "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]).replace("rank <= 50", "rank <= 100").replace(f"array_to_string({_TOK.format('body')}[1:8], ' ') AS query", "body AS query"),
-    "lexical_search_all": _all(ORACLE["lexical_search"]).replace(f"array_to_string({_TOK.format('text')}[1:8], ' ') AS query", "text AS query"),
+    "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]),
+    "lexical_search_all": _all(ORACLE["lexical_search"]),
 }

@@ -4,26 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import bindings as D
 from gleaner.functions import text as T
-from gleaner.functions.vectors import flaws, l2_normalize
 from gleaner.operators import evaluation as E
 from gleaner.operators import ranking as R
-from gleaner.operators import serving
-from gleaner.operators import tables as V
-from gleaner.plans import judged
+from gleaner.plans import base, judged
 from gleaner.plans.oracle import ORACLE  # noqa: F401
 from gleaner.sources.scratch import written
-from gleaner.sources.tables import fingerprint
 
-DEPTH = 50
-#: The reference's candidate depth, in the queries without cuts.
-DEEP = 100
-WEIGHTS = tuple(i / 10 for i in range(11))
-TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+#: Products of either engine that are fused and reranked.
+DEPTH = DEEP = 100
+TABLES = base.TABLES
 SYSTEMS = ("lexical", "semantic", "hybrid", "rerank")
 #: A fixed linear model for the reranker's SQL-checked form: logits of grades 0, 1, 2 from three features.
 LOGITS = ((0.3, -1.0, -0.5, -0.2), (0.1, 0.2, 0.4, 0.1), (-0.4, 1.5, 1.0, 0.6))
@@ -144,105 +138,9 @@ def fixed_model() -> Column:
     return R.softmax([F.lit(b) + sum((F.lit(w) * c for w, c in zip(ws, x, strict=True)), F.lit(0.0)) for b, *ws in LOGITS])
 
 
-def _r(c: str) -> object:
-    return F.round(c, 6).alias(c)
-
-
-def _digest(c) -> object:
-    return F.sha2(F.array_join(c, " "), 256)
-
-
-def _grid(p: _Plans) -> DataFrame:
-    """Every weight and the reciprocal form, each query and configuration ranked in one job: grades are joined before a pair
-    is taken by every configuration, and a query's ideal gain is that of all of them."""
-    c = E.graded(p.components(), p.judgments())
-    configs = [F.struct(F.lit(f"w{int(w * 10):02d}").alias("system"), R.weighted(w).alias("score")) for w in WEIGHTS]
-    wide = c.select(*_PAIR, "relevance_grade", F.inline(F.array(*configs, F.struct(F.lit("rrf").alias("system"), R.reciprocal().alias("score")))))
-    first = Window.partitionBy("system", "query_id").orderBy(F.desc(F.round("score", 9)), "product_id")
-    ranked = wide.withColumn("rank", F.row_number().over(first)).where("rank <= 10")
-    e = E.system_evaluation(p.queries(), ranked, p.judgments(), (10,), known_grades=True)
-    return e.groupBy(F.col("system").alias("config")).agg(*[F.round(F.avg(m), 4).alias(m) for m in ("ndcg", "recall", "rr")])
-
-
-def _named(df: DataFrame) -> DataFrame:
-    return df.select(*_PAIR, "rank", F.round("score", 6).alias("score"))
-
-
-_FOUND = {
-    "normalize_text": lambda p: p.table("documents").select("doc_id", F.sha2(T.normalize(F.col("text")), 256).alias("text_sha256")),
-    "product_text": lambda p: p.table("part").select("p_partkey", T.product_text(F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.lit(None).cast("string")).alias("product_text")),
-    "label_grade": lambda p: D.raw_labels(p.spark, p.dir).select("label", T.grade(F.col("label"), D.GRADES).alias("grade")).groupBy("label", "grade").agg(F.count("*").alias("n")),
-    "feature_tokens": lambda p: p.table("documents").select("doc_id", T.feature_tokens(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("n_tokens"), _digest(F.col("t")).alias("tokens_sha256")),
-    "word_ngrams": lambda p: p.table("documents").select("doc_id", T.ngrams(T.index_tokens(F.col("text"))).alias("t")).select("doc_id", F.size("t").alias("n_grams"), F.sha2(F.array_join("t", "|"), 256).alias("grams_sha256")),
-    "token_measures": lambda p: p.pairs().select("doc_id", F.round(T.jaccard(F.col("q"), F.col("t")), 6).alias("jaccard"), F.round(T.coverage(F.col("q"), F.col("t")), 6).alias("coverage"), T.exact_phrase(F.col("q"), F.col("t")).alias("phrase")),
-    "matched_terms": lambda p: p.pairs().select("doc_id", F.array_join(T.matched_terms(F.col("q"), F.col("t")), " ").alias("matched")),
-    "short_description": lambda p: p.table("documents").select("doc_id", T.short_description(F.col("text")).alias("short")),
-    "length_buckets": lambda p: p.table("documents").select(T.length_bucket(F.col("text")).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")),
-    "l2_normalize": lambda p: p.table("embeddings").select("vec_id", l2_normalize(F.col("embedding")).alias("v")).select("vec_id", F.posexplode("v").alias("place", "x")).select("vec_id", "place", F.round("x", 6).alias("x")),
-    "sample_hash": lambda p: V.ordered_digest(p.table("documents"), "source", F.col("doc_id")),
-    "missing_counts": lambda p: V.missing_counts(p.table("documents"), blank=True),
-    "duplicate_counts": lambda p: V.duplicate_counts(D.raw_labels(p.spark, p.dir)),
-    "invalid_labels": lambda p: p.table("events").where(~F.col("event_type").isin("click", "view", "purchase")).groupBy("event_type").agg(F.count("*").alias("n")),
-    "fk_violations": lambda p: V.foreign_key_violations(p.table("labels"), "doc_id", p.table("embeddings"), "vec_id", "label_vector").unionByName(V.foreign_key_violations(p.table("lineitem"), "l_partkey", p.table("part"), "p_partkey", "item_part")),
-    "vector_contract": lambda p: p.table("embeddings").groupBy(F.coalesce(flaws(F.col("embedding"), 64), F.lit("ok")).alias("flaw")).agg(F.count("*").alias("n")),
-    "request_validation": lambda p: V.validated_requests(p.requests(), SYSTEMS).select("request_id", "reason"),
-    "provenance_audit": lambda p: V.provenance_mismatches(p.table("documents").groupBy(F.col("lang").alias("owner"), F.col("source").alias("key")).agg(F.count("*").alias("value")), p.table("documents").where("doc_id % 10 <> 0").groupBy(F.col("lang").alias("owner"), F.col("source").alias("key")).agg(F.count("*").alias("value"))),
-    "source_manifest": lambda p: reduce(DataFrame.unionByName, [fingerprint(p.table(t), t) for t in TABLES]).drop("checksum"),
-    "canonical_judgments": lambda p: E.canonical_judgments(D.raw_labels(p.spark, p.dir), D.GRADES),
-    "judgment_quality": lambda p: E.judgment_quality(D.raw_labels(p.spark, p.dir), D.GRADES),
-    "conflict_combinations": lambda p: E.canonical_judgments(D.raw_labels(p.spark, p.dir), D.GRADES).where("distinct_label_count > 1").groupBy("observed_labels").agg(F.count("*").alias("n")),
-    "class_distribution": lambda p: p.judgments().agg(*[F.count_if(F.col("relevance_grade") == g).alias(f"grade_{g}") for g in (0, 1, 2)]),
-    "latency_summary": lambda p: E.latency_summary(p.table("events"), "event_type", "value"),
-    "query_splits": lambda p: V.split_queries(D.text_queries(p.spark, p.dir), 42),
-    "split_manifest": lambda p: V.split_manifest(V.split_queries(D.text_queries(p.spark, p.dir), 42), 42, {"train": 0.7, "validation": 0.15, "test": 0.15}, p.table("benchmark").agg(F.count("*").alias("source_rows"))),
-    "stratified_sample": lambda p: V.stratified_sample(p.table("part").select(F.col("p_partkey").cast("string").alias("query_id"), F.col("p_name").alias("query")), 100, 42),
-    "term_stats": lambda p: R.term_stats(R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description"))),
-    "tfidf_index": lambda p: p.index().postings.select("product_id", "term", "tf", _r("weight")),
-    "query_vectors": lambda p: p.index().query_vectors(p.queries()).select("query_id", "term", "tf", _r("weight")),
-    "vocabulary_analysis": lambda p: p.index().vocabulary_analysis(D.text_queries(p.spark, p.dir)),
-    "index_metadata": lambda p: p.index().metadata(),
-    "lexical_search": lambda p: _named(p.text_index().search(D.text_queries(p.spark, p.dir))),
-    "lexical_candidates": lambda p: _named(p.index().candidates(p.queries(), p.judgments().select(*_PAIR), 10)),
-    "semantic_search": lambda p: _named(p.semantic(10)),
-    "semantic_candidates": lambda p: _named(R.semantic_candidates(p.queries(), p.catalog(), p.judgments().select(*_PAIR), 10)),
-    "minmax_normalize": lambda p: p.lexical().select(*_PAIR, F.round(R.min_max(F.round("score", 9)), 6).alias("scaled")),
-    "hybrid_weighted": lambda p: _named(p.hybrid(10)),
-    "hybrid_rrf": lambda p: _named(R.fuse(p.components(), R.reciprocal(), 10)),
-    "fusion_grid": lambda p: _grid(p),
-    "fusion_best": lambda p: _grid(p).orderBy(F.desc("ndcg"), F.desc("recall"), F.desc("rr"), "config").limit(1),
-    "rerank_features": lambda p: p.features().select(*_PAIR, "hybrid_rank", *[_r(f) for f in R.FEATURES]),
-    "rerank_fixed_model": lambda p: p.reranked().select(*_PAIR, "rank", _r("expected_relevance")),
-    "judged_eval": lambda p: E.judged_evaluation(p.queries(), p.hybrid(10), p.judgments()),
-    "known_relevant_eval": lambda p: E.known_relevant_evaluation(p.queries(), p.lexical(10), p.judgments()),
-    "eval_aggregate": lambda p: E.aggregate(E.judged_evaluation(p.queries(), p.lexical(10), p.judgments()), "ndcg", "precision", "recall", "rr"),
-    "eval_diagnostics": lambda p: E.diagnostics(E.judged_evaluation(p.queries(), R.fuse(R.fused(p.lexical(3), p.lexical(3)), R.weighted(0.5), 10), p.judgments())),
-    "eval_errors": lambda p: E.isolated_evaluation(p.queries(), p.lexical(10).withColumn("rank", F.when(F.col("query_id").cast("long") % 100 == 0, F.col("rank") + 1).otherwise(F.col("rank"))), p.judgments()),
-    "system_comparison": lambda p: E.comparison(p.queries(), p.rankings(), p.judgments()),
-    "quality_records": lambda p: p.records(),
-    "error_categories": lambda p: E.error_categories(p.records()),
-    "fusion_win_loss": lambda p: E.fusion_win_loss(p.records()),
-    "confusion_matrix": lambda p: E.confusion(p.labelled()),
-    "classification_report": lambda p: E.classification_report(p.labelled(), p.table("documents").select(F.col("lang").alias("class")).distinct()),
-    "feedback_validation": lambda p: V.validated_feedback(D.feedback(p.spark, p.dir), D.search_events(p.spark, p.dir)).select("feedback_id", "reason"),
-    "analytics_summary": lambda p: V.analytics_summary(D.search_events(p.spark, p.dir), V.validated_feedback(D.feedback(p.spark, p.dir), D.search_events(p.spark, p.dir)).where("reason = ''")),
-    "event_lookup": lambda p: D.search_events(p.spark, p.dir).where("search_id % 100 = 3").select("search_id", "mode", F.array_join("returned_product_ids", ",").alias("returned")),
-    "top_known_relevant": lambda p: p.judgments().where("relevance_grade >= 1").withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("relevance_grade"), "product_id"))).where("place <= 3").join(p.catalog().select("product_id", "product_class"), "product_id").select(*_PAIR, "place", "relevance_grade", "product_class"),
-    "enriched_results": lambda p: serving.enriched(p.hybrid(10).join(p.queries().select("query_id", "query"), "query_id"), p.catalog()).select(*_PAIR, "rank", "short", "matched"),
-    "score_breakdown": lambda p: p.hybrid(10).select(*_PAIR, F.round(0.1 * F.col("lexical_norm"), 6).alias("lexical_part"), F.round(0.9 * F.col("semantic_norm"), 6).alias("semantic_part"), "lexical_rank", "semantic_rank"),
-    "term_stats_all": lambda p: R.term_stats(R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description")), max_features=None),
-    "hybrid_weighted_deep": lambda p: _named(p.deep()),
-    "lexical_search_all": lambda p: _named(p.whole_index().search(D.text_queries(p.spark, p.dir, short=False))),
-    "tfidf_index_all": lambda p: p.whole_index().postings.select("product_id", "term", "tf", _r("weight")),
-    "index_metadata_all": lambda p: p.whole_index().metadata(),
-    "event_lookup_all": lambda p: D.search_events(p.spark, p.dir).join(D.feedback(p.spark, p.dir).select("search_id").distinct(), "search_id", "left_semi").select("search_id", "mode", F.array_join("returned_product_ids", ",").alias("returned")),
-}
-
-
-_FOUND |= judged.FOUND
-
-QUERIES = {name: (lambda spark, sf_dir, f=f: f(_Plans(spark, sf_dir))) for name, f in _FOUND.items()}
+QUERIES = {name: (lambda spark, sf_dir, f=f: f(_Plans(spark, sf_dir))) for name, f in (base.FOUND | judged.FOUND).items()}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search: ten products for each query, lexical and vector scores fused."""
-    return _named(_Plans(spark, sf_dir).hybrid(10))
+    return base.scored(_Plans(spark, sf_dir).hybrid(10))
