@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -31,14 +32,20 @@ def index_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value taken once however often use names it: it is the one element of an array there. What is named
+    several times below a lambda is otherwise taken anew each time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def ngrams(tokens: Column, low: int = 1, high: int = 2) -> Column:
     """All runs of low..high tokens joined by a space, shorter ones first."""
 
-    def of(n: int) -> Column:
-        count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-        return reduce(lambda left, k: F.zip_with(left, F.slice(tokens, F.lit(k + 1), count), lambda a, b: F.concat(a, F.lit(" "), b)), range(1, n), F.slice(tokens, F.lit(1), count))
+    def of(t: Column, n: int) -> Column:
+        count = F.greatest(F.size(t) - (n - 1), F.lit(0))
+        return reduce(lambda left, k: F.zip_with(left, F.slice(t, F.lit(k + 1), count), lambda a, b: F.concat(a, F.lit(" "), b)), range(1, n), F.slice(t, F.lit(1), count))
 
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    return once(tokens, lambda t: F.concat(*[of(t, n) for n in range(low, high + 1)]))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,8 +6,12 @@ go by product_id, so that the order of a sum cannot change a rank.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -144,20 +148,76 @@ class LexicalIndex:
         return known.groupBy("query_id").agg(listed(F.col("known").isNotNull()).alias("indexed"), listed(F.col("known").isNull()).alias("unknown"), F.round(missing / F.count_if("single"), 6).alias("oov_fraction"))
 
 
-def semantic_scores(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(query_id, product_id, score): cosine of every query with every product. Queries are the broadcast side, beyond
-    QUERY_BLOCK rows in blocks by hash, half full on average, whose results are put together."""
-    n = queries.count()
-    many = 1 if n <= QUERY_BLOCK else -(-n // max(1, QUERY_BLOCK // 2))
-    q = queries.where("vector IS NOT NULL AND trim(query) <> ''").select("query_id", l2_normalize(F.col("vector")).alias("qv"))
-    p = catalog.select("product_id", l2_normalize(F.col("vector")).alias("pv"))
-    blocks = [q] if many == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(many)) == k) for k in range(many)]
-    found = [p.join(F.broadcast(block), F.col("query_id") != F.col("product_id")) for block in blocks]
-    return reduce(DataFrame.unionByName, found).select("query_id", "product_id", dot(F.col("qv"), F.col("pv")).alias("score"))
+#: Queries whose scores against a batch of products are held at once.
+_QUERY_ROWS = 256
+
+
+def _nearest(block, k: int):
+    """(query_id, product_id, score) of the k best products of a partition for each query of the block (ids, unit vectors).
+
+    A batch of products is one matrix product; what reaches the k-th best score so far joins the best, ties by product_id.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = block.value
+        dimension = vectors.shape[1]
+        own = {q: i for i, q in enumerate(ids)}
+        queries = np.array(ids, object)
+        at, names, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+        floor = np.full(len(ids), -np.inf)
+        for rb in batches:
+            held = pc.fill_null(pc.equal(pc.list_value_length(rb.column("pv")), dimension), False)
+            rb = rb.filter(held)
+            if not rb.num_rows:
+                continue
+            products = np.array(rb.column("product_id").to_pylist(), object)
+            matrix = rb.column("pv").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension).T
+            self_of = [(own[p], j) for j, p in enumerate(products) if p in own]
+            new = [(at, names, scores)]
+            for low in range(0, len(ids), _QUERY_ROWS):
+                found = np.round(vectors[low : low + _QUERY_ROWS] @ matrix, 9)
+                for q, j in self_of:
+                    if low <= q < low + _QUERY_ROWS:
+                        found[q - low, j] = -np.inf
+                least = floor[low : low + _QUERY_ROWS]
+                if found.shape[1] > k:
+                    least = np.maximum(least, np.partition(found, found.shape[1] - k, 1)[:, found.shape[1] - k])
+                q, j = np.nonzero((found >= least[:, None]) & (found > -np.inf))
+                new.append((q + low, products[j], found[q, j]))
+            at, names, scores = (np.concatenate(x) for x in zip(*new, strict=True))
+            order = np.lexsort((names.astype(str), -scores, at))
+            at, names, scores = at[order], names[order], scores[order]
+            place = np.arange(len(at)) - np.searchsorted(at, at)
+            at, names, scores, place = (x[place < k] for x in (at, names, scores, place))
+            last = place == k - 1
+            floor[at[last]] = scores[last]
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(queries[at], pa.string()), pa.array(names, pa.string()), pa.array(scores)], names=["query_id", "product_id", "score"])
+
+    return run
 
 
 def semantic_search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> DataFrame:
-    return top_k(semantic_scores(queries, catalog), k).select("query_id", "product_id", "rank", "score")
+    """The k products of greatest cosine for each query, itself excepted; negative scores count, blank queries have none.
+
+    The queries are the stated side: they are sent to the tasks in blocks by hash of QUERY_BLOCK rows at most (half full on
+    average), by dimension, and each block is run against the whole catalog, whose partitions keep k products a query.
+    """
+    spark = queries.sparkSession
+    q = queries.where("vector IS NOT NULL AND trim(query) <> ''").select(F.col("query_id").cast("string").alias("query_id"), l2_normalize(F.col("vector")).alias("qv")).where("qv IS NOT NULL")
+    sizes = {r.d: r.n for r in q.groupBy(F.size("qv").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
+    p = catalog.select(F.col("product_id").cast("string").alias("product_id"), l2_normalize(F.col("vector")).alias("pv")).where("pv IS NOT NULL")
+    schema = "query_id string, product_id string, score double"
+    found = []
+    for d, n in sorted(sizes.items()):
+        many = 1 if n <= QUERY_BLOCK else -(-n // max(1, QUERY_BLOCK // 2))
+        for b in range(many):
+            rows = q.where((F.size("qv") == d) & (F.pmod(F.xxhash64("query_id"), F.lit(many)) == b)).orderBy("query_id").collect()
+            if rows:
+                block = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.qv for r in rows])))
+                found.append(p.mapInArrow(_nearest(block, k), schema))
+    scored = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+    return top_k(scored, k).select("query_id", "product_id", "rank", "score")
 
 
 def semantic_candidates(queries: DataFrame, catalog: DataFrame, pairs: DataFrame, k: int | None = None) -> DataFrame:
