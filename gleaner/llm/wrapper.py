@@ -55,6 +55,8 @@ _FURNITURE = frozenset(
 _NEUTRAL = frozenset("list box bar links area section container wrapper block".split())
 #: Elements that hold the text of a section, and are none.
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hgroup details summary address".split())
+#: How much more a character counts inside an article or main where the main slot is looked for.
+ARTICLE = 4
 #: What a section holds directly, by the highest of its kinds: nothing, sections, lists, text.
 _KINDS = ("", "s", "l", "t")
 _HEADINGS = frozenset("h1 h2 h3 hgroup".split())
@@ -340,14 +342,15 @@ def decide(labels: list[str], parents: list[int], n: list[int], constant: list[b
     size = len(labels)
     tags = [tag_of(x) for x in labels]
     text = [c - k for c, k in zip(chars, links, strict=True)]
-    named = [False] * size  # it or a node around it says template
+    named, article = [False] * size, [False] * size  # it or a node around it says template, or is an article
     for k in range(1, size):
         named[k] = named[parents[k]] or says_template(labels[k])
+        article[k] = article[parents[k]] or tags[k] in ("article", "main")
     mass, all_chars, all_links = list(text), list(chars), list(links)
     for k in range(size - 1, 0, -1):
         for whole in (mass, all_chars, all_links):
             whole[parents[k]] += whole[k]
-    main = max(range(size), key=lambda k: (text[k] > 0, not named[k], text[k], -k))
+    main = max(range(size), key=lambda k: (text[k] > 0, not named[k], text[k] * (ARTICLE if article[k] else 1), -k))
     if text[main] <= 0:
         main = max(range(size), key=lambda k: (chars[k], -k))
     around = [main]

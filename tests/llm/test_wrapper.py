@@ -58,3 +58,9 @@ def test_deep_and_unclosed():
         content(Page(html), None, None)
     assert time.time() - began < 60
     assert content(Page("a < b &lt; c <p>d</p"), None, None) == "a < b < c\n\nd"
+
+
+def test_article_beside_longer_text():
+    """Reader posts longer than the article, in a section of no telling name."""
+    html = "<body><article><h1>Title</h1><p>" + "The article. " * 20 + "</p></article><div class='user-posts'><p>" + "A post. " * 60 + "</p></div></body>"
+    assert content(Page(html), None, None) == "Title\n\n" + ("The article. " * 20).strip()
