@@ -61,8 +61,8 @@ def aggregate(evaluation: DataFrame, *metrics: str) -> DataFrame:
     the number of failed queries."""
     zero = F.lit(0.0)
     failed = [F.count_if(F.col("status") == "error").alias("failed")] if "status" in evaluation.columns else []
-    means = [F.round(F.coalesce(F.avg(m), zero), 6).alias(f"mean_{m}") for m in metrics]
-    eligible = [F.round(F.coalesce(F.avg(F.when(F.col("relevant") > 0, F.col(m))), zero), 6).alias(f"eligible_{m}") for m in metrics]
+    means = [F.round(F.coalesce(F.avg(m), zero), 4).alias(f"mean_{m}") for m in metrics]
+    eligible = [F.round(F.coalesce(F.avg(F.when(F.col("relevant") > 0, F.col(m))), zero), 4).alias(f"eligible_{m}") for m in metrics]
     return evaluation.agg(F.count("*").alias("queries"), F.count_if(F.col("relevant") > 0).alias("eligible"), *failed, *means, *eligible)
 
 
@@ -130,7 +130,7 @@ def system_evaluation(queries: DataFrame, rankings: DataFrame, judgments: DataFr
 def comparison(queries: DataFrame, rankings: DataFrame, judgments: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
     """(system, k, mean metrics) over all queries and over those with a relevant product."""
     zero = F.lit(0.0)
-    means = [F.round(F.avg(m), 6).alias(f"mean_{m}") for m in METRICS] + [F.round(F.coalesce(F.avg(F.when(F.col("relevant") > 0, F.col(m))), zero), 6).alias(f"eligible_{m}") for m in METRICS]
+    means = [F.round(F.avg(m), 4).alias(f"mean_{m}") for m in METRICS] + [F.round(F.coalesce(F.avg(F.when(F.col("relevant") > 0, F.col(m))), zero), 4).alias(f"eligible_{m}") for m in METRICS]
     return system_evaluation(queries, rankings, judgments, ks).groupBy("system", "k").agg(*means)
 
 
@@ -164,7 +164,7 @@ def metric_deltas(summary: DataFrame, base: str, metrics: tuple[str, ...]) -> Da
 def five_number_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Least, quartiles and greatest value of each group, as linear interpolation has them."""
     p = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return rows.groupBy(by).agg(p.alias("p")).select(by, *[F.round(F.get("p", F.lit(i)), 6).alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "greatest"))])
+    return rows.groupBy(by).agg(p.alias("p")).select(by, *[F.round(F.get("p", F.lit(i)), 4).alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "greatest"))])
 
 
 def quality_records(queries: DataFrame, rankings: DataFrame, judgments: DataFrame, systems: tuple[str, ...], last: str, k: int = 10) -> DataFrame:

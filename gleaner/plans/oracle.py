@@ -164,7 +164,7 @@ _SPLITS = """sp AS (SELECT item_id::VARCHAR AS query_id, row_number() OVER (ORDE
     sw AS (SELECT *, a + CASE WHEN extra >= 1 AND ra >= rb OR extra >= 3 THEN 1 ELSE 0 END AS na, b + CASE WHEN extra >= 1 AND ra < rb OR extra >= 2 THEN 1 ELSE 0 END AS nb FROM sz),
     split AS (SELECT query_id, CASE WHEN rn <= na THEN 'train' WHEN rn <= na + nb THEN 'validation' ELSE 'test' END AS split FROM sw)"""
 _SCORE = "SELECT query_id, product_id, rank, round(score, 6) AS score FROM "
-_MEANS = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in ("ndcg", "precision", "recall", "rr")) + ", " + ", ".join(f"round(coalesce(avg(CASE WHEN relevant > 0 THEN {m} END), 0), 6) AS eligible_{m}" for m in ("ndcg", "precision", "recall", "rr"))
+_MEANS = ", ".join(f"round(avg({m}), 4) AS mean_{m}" for m in ("ndcg", "precision", "recall", "rr")) + ", " + ", ".join(f"round(coalesce(avg(CASE WHEN relevant > 0 THEN {m} END), 0), 4) AS eligible_{m}" for m in ("ndcg", "precision", "recall", "rr"))
 
 ORACLE = {
     "normalize_text": f"SELECT doc_id, sha256({_NORM.format('text')}) AS text_sha256 FROM documents",
@@ -249,7 +249,6 @@ ORACLE = {
 }
 
 
-_SUMMARY = ", ".join(f"round(avg({m}), 6) AS mean_{m}" for m in ("ndcg", "precision", "recall", "rr"))
 _JUDGED_10 = " UNION ALL ".join(f"SELECT '{x}' AS system, * FROM e_{x}" for x in _RANKED)
 _FLAWED = """, flawed AS (SELECT * FROM (SELECT query_id, split FROM split UNION ALL SELECT query_id, 'test' FROM split WHERE split = 'train' AND query_id::BIGINT % 10 = 0) WHERE query_id <> '1')"""
 #: The same split of the vector queries.
@@ -294,12 +293,12 @@ ORACLE |= {
     + "".join(_evaluated(f"k_{x}", r).replace("judged", "known") for x, r in (("lexical", "lex"), ("semantic", "sem"), ("hybrid", "hyb"), ("rerank", "rer")))
     + " "
     + " UNION ALL ".join(f"SELECT '{x}' AS system, query_id, a.ndcg AS ndcg_5, b.ndcg AS ndcg_10, a.precision AS precision_5, b.precision AS precision_10, a.recall AS recall_5, b.recall AS recall_10, b.rr AS rr_10, c.recall AS known_recall_10, c.rr AS known_rr_10 FROM e5_{x} a JOIN e10_{x} b USING (query_id) JOIN k_{x} c USING (query_id)" for x in _RANKED),
-    "select_default": f"WITH {_SEARCHES}, lat AS (SELECT mode AS system, round(quantile_cont(latency_ms, 0.5), 6) AS latency FROM ev WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) AND latency_ms >= 0 GROUP BY mode), {_RUNS}, m AS (SELECT system, round(avg(ndcg), 6) AS ndcg FROM ({_JUDGED_10}) GROUP BY system) SELECT system, ndcg, latency FROM m JOIN lat USING (system) ORDER BY ndcg DESC, latency, list_position(['lexical', 'semantic', 'hybrid', 'rerank'], system) LIMIT 1",
-    "metric_deltas": f"WITH {_RUNS}, m AS (SELECT system, round(avg(ndcg), 6) AS ndcg, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr FROM ({_JUDGED_10}) GROUP BY system), "
+    "select_default": f"WITH {_SEARCHES}, lat AS (SELECT mode AS system, round(quantile_cont(latency_ms, 0.5), 6) AS latency FROM ev WHERE latency_ms IS NOT NULL AND NOT isnan(latency_ms) AND latency_ms >= 0 GROUP BY mode), {_RUNS}, m AS (SELECT system, round(avg(ndcg), 4) AS ndcg FROM ({_JUDGED_10}) GROUP BY system) SELECT system, ndcg, latency FROM m JOIN lat USING (system) ORDER BY ndcg DESC, latency, list_position(['lexical', 'semantic', 'hybrid', 'rerank'], system) LIMIT 1",
+    "metric_deltas": f"WITH {_RUNS}, m AS (SELECT system, round(avg(ndcg), 4) AS ndcg, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(rr), 4) AS rr FROM ({_JUDGED_10}) GROUP BY system), "
     + "long AS ("
     + " UNION ALL ".join(f"SELECT system, '{m}' AS metric, {m} AS value FROM m" for m in ("ndcg", "precision", "recall", "rr"))
     + ") SELECT a.system, metric, b.value AS base_value, a.value, round(a.value - b.value, 6) AS delta FROM long a JOIN long b USING (metric) WHERE a.system <> 'lexical' AND b.system = 'lexical'",
-    "five_number_summary": f"WITH {_RUNS} SELECT system, " + ", ".join(f"round(quantile_cont(ndcg, {x}), 6) AS {n}" for n, x in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("greatest", 1))) + f" FROM ({_JUDGED_10}) GROUP BY system",
+    "five_number_summary": f"WITH {_RUNS} SELECT system, " + ", ".join(f"round(quantile_cont(ndcg, {x}), 4) AS {n}" for n, x in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("greatest", 1))) + f" FROM ({_JUDGED_10}) GROUP BY system",
     "search_errors": f"WITH {_LEX}{_ranked('lex', 'lown', 10)} SELECT DISTINCT query_id, 'search_error' AS code, 'ranks_not_contiguous' AS message FROM lex WHERE query_id::BIGINT % 100 = 0",
     "ranking_contract": f"WITH {_CAT}{_SEM}{_ranked('r', 'sscore', 10)} SELECT DISTINCT query_id, 'not_a_candidate' AS fault FROM r WHERE (query_id, product_id) NOT IN (SELECT (query_id, product_id) FROM judged WHERE grade >= 1)",
     "label_distribution": f"WITH {_LABELS}, d AS (SELECT unnest(['Exact', 'Partial', 'Irrelevant', 'Unknown']) AS label) SELECT label, (SELECT count(*) FROM labels_ l WHERE l.label = d.label) AS n FROM d",
@@ -334,7 +333,7 @@ ORACLE |= {
     "dense_metadata": f"WITH {_CAT} SELECT 'given' AS model, count(*) AS vectors, max(len(v))::INT AS dimension, 'double' AS dtype, 'l2' AS normalization FROM cat",
     "training_rows": f"WITH {_JUDGED}, {_QSPLITS} SELECT query_id, product_id, hybrid_rank, grade AS relevance_grade, " + ", ".join(f"round({f}, 6) AS {f}" for f in FEATURE_NAMES) + " FROM feat JOIN judged USING (query_id, product_id) WHERE query_id IN (SELECT query_id FROM split WHERE split = 'train')",
     "precomputed_ranking": f"WITH {_JUDGED}, sc AS (SELECT query_id, product_id, hybrid_rank, round(lexical_similarity + 2 * query_title_token_coverage, 4) AS expected_relevance FROM feat) SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY round(expected_relevance, 9) DESC, hybrid_rank, product_id) AS rank, expected_relevance, hybrid_rank FROM sc QUALIFY rank <= 10",
-    "reranker_decision": f"WITH {_RUNS}, m AS (SELECT (SELECT round(avg(ndcg), 6) FROM e_hybrid) AS hybrid_ndcg, (SELECT round(avg(ndcg), 6) FROM e_rerank) AS rerank_ndcg) SELECT *, rerank_ndcg > hybrid_ndcg AS improved, CASE WHEN rerank_ndcg > hybrid_ndcg THEN 'rerank' ELSE 'hybrid' END AS mode FROM m",
+    "reranker_decision": f"WITH {_RUNS}, m AS (SELECT (SELECT round(avg(ndcg), 4) FROM e_hybrid) AS hybrid_ndcg, (SELECT round(avg(ndcg), 4) FROM e_rerank) AS rerank_ndcg) SELECT *, rerank_ndcg > hybrid_ndcg AS improved, CASE WHEN rerank_ndcg > hybrid_ndcg THEN 'rerank' ELSE 'hybrid' END AS mode FROM m",
     "batch_search": f"WITH {_FOUND} SELECT request_id, resolved_mode, product_id, rank, round(score, 6) AS score FROM found",
     "rejected_requests": f"WITH {_CAT}{_REQUESTS} SELECT request_id, mode, reason FROM res WHERE reason <> ''",
     "search_events": f"WITH {_FOUND} SELECT request_id AS search_id, resolved_mode AS mode, top_k, coalesce((SELECT string_agg(product_id, ',' ORDER BY rank) FROM found f WHERE f.request_id = res.request_id), '') AS returned, '' AS reason FROM res WHERE reason = ''",
