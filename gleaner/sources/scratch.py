@@ -26,8 +26,19 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a Parquet table of its own and reads it again, so that each of its uses reads what was made once."""
+    """Writes df as a Parquet table of its own and reads it again: each use reads what was made once, lineage is cut, and
+    the table outlives executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def cleared(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more: all that was made of them is written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
