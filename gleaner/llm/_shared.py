@@ -1,48 +1,15 @@
-"""Shared folder, written tables and small plan helpers used by the operators of this subpackage."""
+"""Small plan helpers used by the operators of this subpackage, and the scratch tables of the library."""
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master (tests), where both are one
-    process, may leave it unset; it then gets a folder of its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.fullmatch(r"local(\[.*\])?", master):
-        raise ValueError(f"spark.checkpoint.dir is unset: on {master} it has to name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOT:
-        _OWN_ROOT[app] = tempfile.mkdtemp(prefix="spark-gleaner-")
-    return _OWN_ROOT[app]
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: a lineage cut that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch = path
-    return out
-
-
-def cleared(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more: all that was made of them is written itself."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+from gleaner.sources.scratch import cleared, scratch_root, written
+
+__all__ = ["cleared", "documents_of", "one_row_per_id", "rows_by_id", "scratch_root", "shuffle_partitions", "table", "unique", "written"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

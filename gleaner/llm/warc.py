@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _blocks as B
-from gleaner.llm._shared import shared_root, shuffle_partitions, written
+from gleaner.llm._shared import scratch_root, shuffle_partitions, written
 
 CHUNK = 1 << 20
 ARCHIVE_BYTES = 256 << 20
@@ -185,7 +185,7 @@ def _reader(folder: str, payload: bool, size: int):
 def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", most: int = ARCHIVE_BYTES) -> tuple[DataFrame, str]:
     """Writes a record for every row; returns the table (path, records) of the archives, and their folder."""
     spark = pages.sparkSession
-    folder = folder or f"{shared_root(spark)}/warc-{uuid.uuid4().hex}"
+    folder = folder or f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     large = rows.where(F.octet_length("html") >= least).select("page_id", "digest")

@@ -211,6 +211,6 @@ def test_a_cluster_needs_a_shared_folder():
         conf, sparkContext = Conf, Context
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        _shared.shared_root(Session)
+        _shared.scratch_root(Session)
     Context.master = "local[2]"
-    assert _shared.shared_root(Session)
+    assert _shared.scratch_root(Session)
