@@ -32,7 +32,8 @@ from gleaner.llm._shared import documents_of, shuffle_partitions, written
 BLOCK_SETS, BLOCK_GRAMS = 2000, 4_000_000
 #: Parts of the signatures for each shuffle partition: a task holds one of its parts at a time.
 PARTS = 8
-_FLUSH = 2_000_000
+#: Signatures that a task holds before it sorts and passes them on.
+_FLUSH = 1_000_000
 
 
 def _bounds() -> np.ndarray:

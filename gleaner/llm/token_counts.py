@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Pre-tokens of a leaf when a tree is built; a leaf that edits have made FULL times as long has the tree built anew.
 LEAF, FULL = 4, 32
 REACH = 2
-KEPT = 1_000_000
+KEPT = 300_000
 #: Fixed value: the published pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CUT = regex.compile(PATTERN)

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from gleaner.llm import _blocks as B
 from gleaner.llm._shared import documents_of
 
-KEPT = 400_000
+#: Stretches whose ids a worker keeps, some 200 bytes each.
+KEPT = 100_000
 _SHORT = 48  # characters of a stretch that is searched in lockstep
 _STRETCH = re.compile(r" +[^ \n]*|[^ \n]+|\n")
 _ODD, _UNODD = np.uint64(0xA24BAED4963EE407), np.uint64(pow(0xA24BAED4963EE407, -1, 1 << 64))
