@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage, op1 to op10, over whole tables with production parameters, and their SQL."""
+"""The registered queries of this subpackage, op1 to op13, over whole tables with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.llm._shared import table
 from gleaner.llm.chat_format import chat_digests
 from gleaner.llm.contamination import contained_items
+from gleaner.llm.hard_negatives import hard_negatives
 from gleaner.llm.knn_quality import knn_scores
 from gleaner.llm.ngram_join import ngram_jaccard_components
 from gleaner.llm.quality_rules import judged
@@ -117,7 +118,16 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_knn_quality, op4_chat_format, op5_wrapper, op6_suffix_dedup, op7_sentencepiece, op8_quality_rules, op9_decontamination, op10_ngram_join)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives for each of five positives of every 50th vector, against all rows.
+
+    A row without an id, a label or a whole vector takes no part; of rows that share an id the least one does.
+    """
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_knn_quality, op4_chat_format, op5_wrapper, op6_suffix_dedup, op7_sentencepiece, op8_quality_rules, op9_decontamination, op10_ngram_join, op13_hard_negatives)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || '0'), '</turn>', chr(92) || '1'), '###', chr(92) || '2')"
@@ -147,4 +157,15 @@ ORACLE = {
         n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
         SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, round(count(*) / n_shingles, 6) AS containment
         FROM i JOIN d USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 5 * count(*) >= 4 * n_shingles""",
+    "op13_hard_negatives": """
+        WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                   AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+              FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        QUALIFY rank <= 3""",
 }
