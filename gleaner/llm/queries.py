@@ -14,6 +14,7 @@ from gleaner.llm.ngram_join import ngram_jaccard_components
 from gleaner.llm.quality_rules import judged
 from gleaner.llm.suffix_dedup import remove_repeats
 from gleaner.llm.token_counts import count_tokens
+from gleaner.llm.vector_codes import compressed, with_label_errors
 from gleaner.llm.viterbi import encode_documents
 from gleaner.llm.warc import read_archives, record_digests, write_archives
 from gleaner.llm.wrapper import main_text
@@ -118,6 +119,14 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector: 16 parts, 64 entries a part, two rounds; errors by row and by label, the codebooks' digest.
+
+    Rows without a whole vector are left out; rows without a label share one label error; an empty table gives no rows.
+    """
+    return with_label_errors(*compressed(table(spark, sf_dir, "embeddings")))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hard negatives for each of five positives of every 50th vector, against all rows.
 
@@ -127,10 +136,16 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_knn_quality, op4_chat_format, op5_wrapper, op6_suffix_dedup, op7_sentencepiece, op8_quality_rules, op9_decontamination, op10_ngram_join, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_knn_quality, op4_chat_format, op5_wrapper, op6_suffix_dedup, op7_sentencepiece, op8_quality_rules, op9_decontamination, op10_ngram_join, op11_vector_codes, op13_hard_negatives)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || '0'), '</turn>', chr(92) || '1'), '###', chr(92) || '2')"
+#: Nearest entries, then means rounded down: DuckDB's // cuts towards zero, so the remainder is taken off first.
+_SQUARE = "list_sum(list_transform(list_zip(x, e), lambda t: (t[1] - t[2]) * (t[1] - t[2])))"
+_ROUND = f"""a{{now}} AS (SELECT row, part, min({{{{'d': {_SQUARE}, 'entry': entry}}}}) AS m FROM p JOIN b{{now}} USING (part) GROUP BY row, part),
+        s{{next}} AS (SELECT part, (m).entry AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{{now}} JOIN p USING (row, part), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i) GROUP BY ALL),
+        m{{next}} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{{next}} GROUP BY part, entry),
+        b{{next}} AS (SELECT part, entry, coalesce(m{{next}}.e, b{{now}}.e) AS e FROM b{{now}} LEFT JOIN m{{next}} USING (part, entry))"""
 
 ORACLE = {
     "op1_warc": """
@@ -157,6 +172,16 @@ ORACLE = {
         n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
         SELECT doc_id, item_id, n_shingles, count(*) AS n_shared, round(count(*) / n_shingles, 6) AS containment
         FROM i JOIN d USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id, n_shingles HAVING 5 * count(*) >= 4 * n_shingles""",
+    "op11_vector_codes": f"""
+        WITH r AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v, len(embedding) // 16 AS w, row_number() OVER (ORDER BY vec_id, embedding) AS row
+                   FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT row, vec_id, label, k AS part, v[k * w + 1 : (k + 1) * w] AS x FROM r, range(16) t(k)),
+        b0 AS (SELECT part, row - 1 AS entry, x AS e FROM p WHERE row <= 64),
+        {_ROUND.format(now=0, next=1)}, {_ROUND.format(now=1, next=2)},
+        a2 AS (SELECT row, part, min({{'d': {_SQUARE}, 'entry': entry}}) AS m FROM p JOIN b2 USING (part) GROUP BY row, part),
+        c AS (SELECT row, string_agg(printf('%02x', (m).entry), '' ORDER BY part) AS code, sum((m).d)::BIGINT AS error FROM a2 GROUP BY row),
+        h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+        SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN r USING (row), h""",
     "op13_hard_negatives": """
         WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
                    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL

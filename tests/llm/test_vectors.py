@@ -68,3 +68,84 @@ def test_hard_negatives_without_rows(spark):
     big = spark.createDataFrame([(1, 0, [3e6] * 16), (2, 0, [1.0] * 16)], "vec_id long, label int, embedding array<double>")
     with pytest.raises(Exception, match="too large for exact products"):
         hard_negatives(big, F.col("vec_id") == 2).collect()
+
+
+def quantised(rows, parts, entries, rounds):
+    """Lloyd rounds in plain Python: {place of row: (code, error)}, codebooks."""
+    kept = [(k, i, whole(v)) for k, (i, _, v, *_) in enumerate(rows) if whole(v) is not None]
+    kept.sort(key=lambda x: (x[1] is None, x[1] or 0, x[2]))
+    width = len(kept[0][2]) // parts
+    cut = {k: [tuple(q[p * width : (p + 1) * width]) for p in range(parts)] for k, _, q in kept}
+    books = [[cut[k][p] for k, _, _ in kept[:entries]] for p in range(parts)]
+
+    def nearest(p, x):
+        return min((sum((a - b) ** 2 for a, b in zip(x, e, strict=True)), j) for j, e in enumerate(books[p]))
+
+    for _ in range(rounds):
+        for p in range(parts):
+            own = {}
+            for x in cut.values():
+                own.setdefault(nearest(p, x[p])[1], []).append(x[p])
+            books[p] = [tuple(sum(c) // len(c) for c in zip(*own[j], strict=True)) if j in own else e for j, e in enumerate(books[p])]
+    out = {k: [nearest(p, x[p]) for p in range(parts)] for k, x in cut.items()}
+    return {k: ("".join(f"{j:02x}" for _, j in x), sum(d for d, _ in x)) for k, x in out.items()}, books
+
+
+@pytest.mark.parametrize(("hot", "block", "entries"), [(0, 4096, 64), (80, 50, 20), (0, 7, 200)])
+def test_vector_codes(spark, monkeypatch, hot, block, entries):
+    from gleaner.llm import vector_codes as V
+
+    monkeypatch.setattr(V, "BLOCK_ROWS", block)
+    r = random.Random(9)
+    rows = rows_of(300, hot=hot) + rows_of(5)[:3]
+    rows += [(1000 + i, None if i % 9 == 0 else i % 4, [r.gauss(0, 0.2) for _ in range(16)], *rows[0][3:]) for i in range(500)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    coded, books = V.compressed(df, 4, entries, 2)
+    want, want_books = quantised(rows, 4, entries, 2)
+    assert books.tolist() == [[list(e) for e in b] for b in want_books]
+    got = [(x.vec_id, x.code, x.error) for x in coded.collect()]
+    assert sorted(got, key=repr) == sorted(((rows[k][0], *x) for k, x in want.items()), key=repr)
+    by = {}
+    for k, (_, error) in want.items():
+        by[rows[k][1]] = by.get(rows[k][1], 0) + error
+    label = {rows[k][0]: rows[k][1] for k in want if rows[k][0] is not None and rows[k][0] >= 1000}
+    found = V.with_label_errors(coded, books).collect()
+    assert len(found) == len(want) and all(x.label_error == by[label[x.vec_id]] for x in found if x.vec_id in label)
+
+
+def test_vector_codes_cases(spark):
+    from gleaner.llm.vector_codes import compressed, with_label_errors
+
+    df = spark.createDataFrame(rows_of(3), SCHEMA)
+    coded, books = compressed(df.limit(0), 4)
+    assert with_label_errors(coded, books).count() == 0
+    assert with_label_errors(*compressed(df.where("vec_id = 1 AND embedding IS NULL"), 4)).count() == 0
+    with pytest.raises(ValueError, match="divides"):
+        compressed(df, 5)
+    for v, said in (([1.0] * 8, "not a vector of 16"), ([1e9] * 16, "within")):
+        odd = spark.createDataFrame([(1, 1, [1.0] * 16), (9, 1, v)], "vec_id long, label int, embedding array<double>")
+        with pytest.raises(Exception, match=said):
+            compressed(odd, 4, 1)
+
+
+def test_balls_own_points_without_distances():
+    """In points that lie in clumps most balls are owned wholly, and every assignment is the nearest entry."""
+    from gleaner.llm.vector_codes import owners, tree
+
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-2000, 2000, (40, 4))
+    points = (centres[rng.integers(0, 40, 4000)] + rng.integers(-20, 20, (4000, 4))).astype(np.int64)
+    order, low, up, sums, away = tree(points)
+    assert sorted(order.tolist()) == list(range(4000)) and low[0].tolist() == [0, 4000]
+    entries = np.concatenate([centres[:30], centres[:3], rng.integers(-2000, 2000, (20, 4))]).astype(np.int64)
+    now = points[order]
+    assert all((now[a:b].sum(0) == s).all() for (a, b), s in zip(low.tolist(), sums, strict=True))
+    balls, owner, places, nearest, taken = owners(now, low, up, sums, away, entries)
+    got = np.full(4000, -1)
+    for b, o in zip(balls.tolist(), owner.tolist(), strict=True):
+        assert (got[low[b, 0] : low[b, 1]] == -1).all()
+        got[low[b, 0] : low[b, 1]] = o
+    assert (got[places] == -1).all()
+    got[places] = nearest
+    assert (got == ((now[:, None] - entries[None]) ** 2).sum(2).argmin(1)).all()
+    assert taken < 4000 * len(entries) / 8
