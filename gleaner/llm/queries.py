@@ -11,6 +11,7 @@ from gleaner.llm.contamination import contained_items
 from gleaner.llm.hard_negatives import hard_negatives
 from gleaner.llm.knn_quality import knn_scores
 from gleaner.llm.ngram_join import ngram_jaccard_components
+from gleaner.llm.passage_index import without_earlier_passages
 from gleaner.llm.quality_rules import judged
 from gleaner.llm.suffix_dedup import remove_repeats
 from gleaner.llm.token_counts import count_tokens
@@ -127,6 +128,15 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_label_errors(*compressed(table(spark, sf_dir, "embeddings")))
 
 
+def op12_fm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to passages of 13 words that start in a document of smaller id, too, and what is left.
+
+    A null text has no words; rows that share an id aren't copies of each other; an empty table gives no rows.
+    """
+    left = without_earlier_passages(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three hard negatives for each of five positives of every 50th vector, against all rows.
 
@@ -136,7 +146,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_knn_quality, op4_chat_format, op5_wrapper, op6_suffix_dedup, op7_sentencepiece, op8_quality_rules, op9_decontamination, op10_ngram_join, op11_vector_codes, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_counts, op3_knn_quality, op4_chat_format, op5_wrapper, op6_suffix_dedup, op7_sentencepiece, op8_quality_rules, op9_decontamination, op10_ngram_join, op11_vector_codes, op12_fm_dedup, op13_hard_negatives)}
 
 _WORDS = "list_filter(regexp_split_to_array(lower({}), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
 _ESCAPED = "replace(replace(replace({}, chr(92), chr(92) || '0'), '</turn>', chr(92) || '1'), '###', chr(92) || '2')"
@@ -182,6 +192,15 @@ ORACLE = {
         c AS (SELECT row, string_agg(printf('%02x', (m).entry), '' ORDER BY part) AS code, sum((m).d)::BIGINT AS error FROM a2 GROUP BY row),
         h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
         SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM c JOIN r USING (row), h""",
+    "op12_fm_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+        p AS (SELECT row, doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+        s AS (SELECT row, doc_id, i, sha256(array_to_string(w[i : i + 12], ' ')) AS s FROM p),
+        e AS (SELECT row, i FROM s QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+        g AS (SELECT DISTINCT row, unnest(range(i, i + 13)) AS i FROM e),
+        r AS (SELECT row, list(i) AS gone FROM g GROUP BY row),
+        k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, w, list_transform(range(1, len(w) + 1), lambda i: NOT coalesce(list_contains(gone, i), FALSE)) AS stays FROM d LEFT JOIN r USING (row))
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(coalesce(array_to_string(list_where(w, stays), ' '), '')) AS kept_sha256 FROM k""",
     "op13_hard_negatives": """
         WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
                    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
