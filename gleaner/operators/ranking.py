@@ -1,4 +1,4 @@
-"""TF-IDF index and search, vector search, fusion and reranking over tables of queries.
+"""Vector search, fusion and reranking over tables of queries; lexical.py has the TF-IDF index and its search.
 
 A ranking is (query_id, product_id, rank, score, ...); scores are rounded to nine places before they are ordered, ties
 go by product_id, so that the order of a sum cannot change a rank.
@@ -17,137 +17,14 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.functions.vectors import dot, l2_normalize
+from gleaner.operators.best import Best
+from gleaner.operators.contracts import check_parameters
+from gleaner.operators.lexical import LexicalIndex, term_blocks, term_frequencies, term_stats, top_k  # noqa: F401
 from gleaner.sources.scratch import written
 
 #: Rows of queries whose vectors are sent to all tasks at once.
 QUERY_BLOCK = 20_000
 
-
-def top_k(scored: DataFrame, k: int, *more: Column, group: str = "query_id") -> DataFrame:
-    """The k best of each group with ranks from 1; Spark limits each partition before the shuffle."""
-    w = Window.partitionBy(group).orderBy(F.desc(F.round("score", 9)), *more, F.asc("product_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def term_arrays(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, terms): the unigrams and bigrams of each row with their counts, array<struct<term, tf>>.
-
-    Counted inside the row - sorted, then by the lengths of runs - so no n-gram is shuffled to be counted.
-    """
-    grams = documents.select(id_col, F.sort_array(T.ngrams(T.index_tokens(text))).alias("grams"))
-    g = F.col("grams")
-    starts = F.filter(F.transform(g, lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda s: (s["at"] == 0) | (F.get(g, s["at"] - 1) != s["term"]))
-    runs = grams.select(id_col, F.size("grams").alias("size"), starts.alias("starts"))
-    ends = F.transform("starts", lambda s, i: F.struct(s["term"].alias("term"), (F.coalesce(F.get(F.col("starts"), i + 1)["at"], F.col("size")) - s["at"]).cast("long").alias("tf")))
-    return runs.select(id_col, ends.alias("terms"))
-
-
-def term_rows(arrays: DataFrame, id_col: str) -> DataFrame:
-    """(id, term, tf) of arrays (id, terms).
-
-    The outer form, as the other would have the optimizer filter by the size of the arrays before they are columns, and
-    take the arrays anew for each of their elements.
-    """
-    return arrays.select(id_col, F.inline_outer("terms")).where("term IS NOT NULL")
-
-
-def term_frequencies(documents: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(id, term, tf) of unigrams and bigrams; ids are unique, a row's terms are counted by themselves."""
-    return term_rows(term_arrays(documents, id_col, text), id_col)
-
-
-def term_stats(frequencies: DataFrame, min_df: int = 2, max_features: int | None = 100_000) -> DataFrame:
-    """(term, df, total_tf): the most frequent terms of at least min_df documents, ties by term (TakeOrdered); None: all."""
-    stats = frequencies.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total_tf"))
-    stats = stats.where(F.col("df") >= min_df)
-    return stats if max_features is None else stats.orderBy(F.desc("total_tf"), "term").limit(max_features)
-
-
-def with_idf(stats: DataFrame, n_documents: DataFrame) -> DataFrame:
-    """idf = ln((1 + n) / (1 + df)) + 1; n_documents is a table of one row (n)."""
-    return stats.crossJoin(F.broadcast(n_documents)).withColumn("idf", F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).drop("n")
-
-
-#: Terms up to which a vocabulary is sent to all tasks (some 60 bytes each); beyond it terms are joined by a shuffle.
-BROADCAST_TERMS = 150_000
-
-
-def weights(frequencies: DataFrame, terms: DataFrame, id_col: str, bound: int | None = None) -> DataFrame:
-    """(id, term, tf, weight): (1 + ln tf) * idf, unit length per id; terms out of the vocabulary are gone. bound: a number
-    that terms is known not to exceed."""
-    known = terms.select("term", "idf")
-    raw = frequencies.join(F.broadcast(known) if bound is not None and bound <= BROADCAST_TERMS else known, "term")
-    raw = raw.withColumn("raw", (1 + F.log("tf")) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(id_col)))
-    return raw.select(id_col, "term", "tf", (F.col("raw") / norm).alias("weight"))
-
-
-class LexicalIndex:
-    """Postings and terms of a catalog, as tables."""
-
-    def __init__(self, catalog: DataFrame, text: Column, min_df: int = 2, max_features: int | None = 100_000):
-        self.min_df, self.max_features = min_df, max_features
-        arrays = written(term_arrays(catalog, "product_id", text), "terms-of-rows")  # texts are tokenised once
-        frequencies = term_rows(arrays, "product_id")
-        self.terms = written(with_idf(term_stats(frequencies, min_df, max_features), arrays.agg(F.count("*").alias("n"))), "terms")
-        self.postings = written(weights(frequencies, self.terms, "product_id", max_features), "postings")
-
-    def write(self, folder: str, force: bool = False) -> None:
-        """Keeps the index as tables with one row of metadata; refuses to overwrite unless force."""
-        mode = "overwrite" if force else "errorifexists"
-        meta = self.metadata().withColumns({"min_df": F.lit(self.min_df), "max_features": F.lit(self.max_features).cast("long")})
-        checks = self.postings.agg(F.expr("bit_xor(xxhash64(product_id, term, tf))").alias("postings_checksum")).crossJoin(self.terms.agg(F.expr("bit_xor(xxhash64(term, df))").alias("terms_checksum")))
-        self.terms.write.mode(mode).parquet(f"{folder}/terms")
-        self.postings.write.mode(mode).parquet(f"{folder}/postings")
-        meta.crossJoin(checks).write.mode(mode).json(f"{folder}/metadata")
-
-    @classmethod
-    def load(cls, spark: SparkSession, folder: str) -> LexicalIndex:
-        """An index as it was written; raises where its tables are not those that its metadata tells of."""
-        index = cls.__new__(cls)
-        index.terms, index.postings = spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/postings")
-        meta = spark.read.json(f"{folder}/metadata").first().asDict()
-        index.min_df, index.max_features = meta["min_df"], meta.get("max_features")
-        now = index.postings.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(product_id, term, tf))").alias("c")).first()
-        terms = index.terms.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(term, df))").alias("c")).first()
-        if (now.n, now.c, terms.n, terms.c) != (meta["postings"], meta.get("postings_checksum"), meta["vocabulary"], meta.get("terms_checksum")):
-            raise ValueError(f"the index at {folder} is not the one that its metadata tells of")
-        return index
-
-    def metadata(self) -> DataFrame:
-        """One row: products with a posting, terms of the vocabulary, terms with a posting, and postings."""
-        p = self.postings.agg(F.count_distinct("product_id").alias("products"), F.count_distinct("term").alias("terms"), F.count("*").alias("postings"))
-        return p.crossJoin(F.broadcast(self.terms.agg(F.count("*").alias("vocabulary"))))
-
-    def query_vectors(self, queries: DataFrame) -> DataFrame:
-        return weights(term_frequencies(queries, "query_id", F.col("query")), self.terms, "query_id", self.max_features)
-
-    def scores(self, queries: DataFrame) -> DataFrame:
-        """(query_id, product_id, score) of all pairs that share a term."""
-        q = self.query_vectors(queries).select("query_id", "term", F.col("weight").alias("wq"))
-        return q.join(self.postings, "term").groupBy("query_id", "product_id").agg(F.sum(F.col("wq") * F.col("weight")).alias("score"))
-
-    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        return top_k(self.scores(queries).where("score > 0"), k).select("query_id", "product_id", "rank", "score")
-
-    def candidates(self, queries: DataFrame, pairs: DataFrame, k: int | None = None) -> DataFrame:
-        """Scores listed (query_id, product_id) pairs, zeros kept; a query without a vector has no rows."""
-        known = self.query_vectors(queries).select("query_id").distinct()
-        scored = pairs.join(known, "query_id", "left_semi").join(self.scores(queries), ["query_id", "product_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        return top_k(scored, k or 1 << 30).select("query_id", "product_id", "rank", "score")
-
-    def vocabulary_analysis(self, queries: DataFrame) -> DataFrame:
-        """(query_id, indexed, unknown, oov_fraction): a query's n-grams in order, by whether the index has them."""
-        grams = queries.select("query_id", F.posexplode(T.ngrams(T.index_tokens(F.col("query")))).alias("at", "term"))
-        known = grams.join(self.terms.select("term", F.lit(True).alias("known")), "term", "left").withColumn("single", ~F.contains("term", F.lit(" ")))
-
-        def listed(c: Column) -> Column:
-            return F.array_join(F.transform(F.sort_array(F.collect_list(F.when(c, F.struct("at", "term")))), lambda x: x["term"]), "|")
-
-        missing = F.count_if(F.col("single") & F.col("known").isNull())
-        return known.groupBy("query_id").agg(listed(F.col("known").isNotNull()).alias("indexed"), listed(F.col("known").isNull()).alias("unknown"), F.round(missing / F.count_if("single"), 6).alias("oov_fraction"))
-
-
 #: Queries whose scores against a batch of products are held at once.
 _QUERY_ROWS = 256
 
@@ -162,37 +39,20 @@ def _nearest(block, k: int):
         ids, vectors = block.value
         dimension = vectors.shape[1]
         own = {q: i for i, q in enumerate(ids)}
-        queries = np.array(ids, object)
-        at, names, scores = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
-        floor = np.full(len(ids), -np.inf)
+        best = Best(len(ids), k)
         for rb in batches:
-            held = pc.fill_null(pc.equal(pc.list_value_length(rb.column("pv")), dimension), False)
-            rb = rb.filter(held)
+            rb = rb.filter(pc.fill_null(pc.equal(pc.list_value_length(rb.column("pv")), dimension), False))
             if not rb.num_rows:
                 continue
             products = np.array(rb.column("product_id").to_pylist(), object)
             matrix = rb.column("pv").flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension).T
-            self_of = [(own[p], j) for j, p in enumerate(products) if p in own]
-            new = [(at, names, scores)]
+            itself = np.array([(own[p], j) for j, p in enumerate(products) if p in own], np.int64).reshape(-1, 2)
             for low in range(0, len(ids), _QUERY_ROWS):
                 found = np.round(vectors[low : low + _QUERY_ROWS] @ matrix, 9)
-                for q, j in self_of:
-                    if low <= q < low + _QUERY_ROWS:
-                        found[q - low, j] = -np.inf
-                least = floor[low : low + _QUERY_ROWS]
-                if found.shape[1] > k:
-                    least = np.maximum(least, np.partition(found, found.shape[1] - k, 1)[:, found.shape[1] - k])
-                q, j = np.nonzero((found >= least[:, None]) & (found > -np.inf))
-                new.append((q + low, products[j], found[q, j]))
-            at, names, scores = (np.concatenate(x) for x in zip(*new, strict=True))
-            order = np.lexsort((names.astype(str), -scores, at))
-            at, names, scores = at[order], names[order], scores[order]
-            place = np.arange(len(at)) - np.searchsorted(at, at)
-            at, names, scores, place = (x[place < k] for x in (at, names, scores, place))
-            last = place == k - 1
-            floor[at[last]] = scores[last]
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(queries[at], pa.string()), pa.array(names, pa.string()), pa.array(scores)], names=["query_id", "product_id", "score"])
+                here = itself[(itself[:, 0] >= low) & (itself[:, 0] < low + _QUERY_ROWS)]
+                found[here[:, 0] - low, here[:, 1]] = -np.inf
+                best.offer_all(low, products, found)
+        yield best.batch(np.array(ids, object))
 
     return run
 

@@ -199,18 +199,18 @@ def stratified_sample(p) -> DataFrame:
 # --- index and search -----------------------------------------------------------------------------------------------
 
 
-def _frequencies(p) -> DataFrame:
-    return R.term_frequencies(D.catalog(p.spark, p.dir), "product_id", F.col("product_description"))
+def _term_blocks(p) -> DataFrame:
+    return R.term_blocks(D.catalog(p.spark, p.dir), "product_id", F.col("product_description"))
 
 
 def term_stats(p) -> DataFrame:
     """The vocabulary: the most frequent terms of two documents or more."""
-    return R.term_stats(_frequencies(p))
+    return R.term_stats(_term_blocks(p))
 
 
 def term_stats_all(p) -> DataFrame:
     """The vocabulary without a bound."""
-    return R.term_stats(_frequencies(p), max_features=None)
+    return R.term_stats(_term_blocks(p), max_features=None)
 
 
 def tfidf_index(p) -> DataFrame:

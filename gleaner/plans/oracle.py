@@ -166,6 +166,9 @@ _SPLITS = """sp AS (SELECT item_id::VARCHAR AS query_id, row_number() OVER (ORDE
 _SCORE = "SELECT query_id, product_id, rank, round(score, 6) AS score FROM "
 _MEANS = ", ".join(f"round(avg({m}), 4) AS mean_{m}" for m in ("ndcg", "precision", "recall", "rr")) + ", " + ", ".join(f"round(coalesce(avg(CASE WHEN relevant > 0 THEN {m} END), 0), 4) AS eligible_{m}" for m in ("ndcg", "precision", "recall", "rr"))
 
+_META = """SELECT (SELECT count(*) FROM cat) AS documents, count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary,
+        2::BIGINT AS min_df, {}::BIGINT AS max_features, '1-2' AS ngrams, 'sublinear' AS tf, 'l2' AS norm FROM post"""
+
 ORACLE = {
     "normalize_text": f"SELECT doc_id, sha256({_NORM.format('text')}) AS text_sha256 FROM documents",
     "product_text": f"SELECT p_partkey, concat_ws(' ', nullif({_NORM.format('p_name')}, ''), nullif({_NORM.format('p_type')}, ''), nullif({_NORM.format('p_brand')}, '')) AS product_text FROM part",
@@ -209,7 +212,7 @@ ORACLE = {
     "term_stats": f"WITH cat AS (SELECT doc_id AS product_id, text AS body FROM documents), qs AS (SELECT '' AS query_id, '' AS query){_index('cat', 'body', 'qs')} SELECT * FROM stats",
     "tfidf_index": f"WITH {_TEXT} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
     "query_vectors": f"WITH {_TEXT} SELECT query_id, term, tf, round(weight, 6) AS weight FROM qvec",
-    "index_metadata": f"WITH {_TEXT} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary FROM post",
+    "index_metadata": f"WITH {_TEXT} {_META.format('100000')}",
     "vocabulary_analysis": f"""WITH {_TEXT}, bq AS (SELECT query_id, {_IDX.format('query')} AS w FROM qs), bg AS (SELECT query_id, unnest({_GRAMS.format('w')}) AS term, unnest(range(len({_GRAMS.format('w')}))) AS place FROM bq),
         bk AS (SELECT bg.*, terms.term IS NOT NULL AS known FROM bg LEFT JOIN terms USING (term))
         SELECT query_id, coalesce(string_agg(term, '|' ORDER BY place) FILTER (WHERE known), '') AS indexed, coalesce(string_agg(term, '|' ORDER BY place) FILTER (WHERE NOT known), '') AS unknown, round(count(*) FILTER (WHERE NOT known AND NOT contains(term, ' ')) / count(*) FILTER (WHERE NOT contains(term, ' ')), 6) AS oov_fraction FROM bk GROUP BY query_id""",
@@ -353,7 +356,7 @@ _ALL = _all(_TEXT)
 
 ORACLE |= {
     "tfidf_index_all": f"WITH {_ALL} SELECT product_id, term, tf, round(weight, 6) AS weight FROM post",
-    "index_metadata_all": f"WITH {_ALL} SELECT count(DISTINCT product_id) AS products, count(DISTINCT term) AS terms, count(*) AS postings, (SELECT count(*) FROM terms) AS vocabulary FROM post",
+    "index_metadata_all": f"WITH {_ALL} {_META.format('NULL')}",
     "event_lookup_all": ORACLE["event_lookup"],
     "term_stats_all": _all(ORACLE["term_stats"]),
     "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]),

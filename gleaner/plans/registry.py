@@ -60,12 +60,11 @@ class _Plans:
     def deep(self, k: int = 10) -> DataFrame:
         """Hybrid ranking of whole texts over all terms, DEEP products of either engine."""
         q, c = D.vector_queries(self.spark, self.dir, short=False), self.catalog()
-        index = R.LexicalIndex(c, F.col("product_description"), max_features=None)
-        lexical = R.top_k(index.scores(q).where("score > 0 AND query_id <> product_id"), DEEP)
+        lexical = R.LexicalIndex(c, F.col("product_description"), max_features=None).search(q, DEEP, but_itself=True)
         return R.fuse(R.fused(lexical, R.semantic_search(q, c, DEEP)), R.weighted(0.9), k)
 
     def lexical(self, k: int = DEPTH) -> DataFrame:
-        return R.top_k(self.index().scores(self.queries()).where("score > 0 AND query_id <> product_id"), k).select(*_PAIR, "rank", "score")
+        return self.index().search(self.queries(), k, but_itself=True)
 
     def semantic(self, k: int = DEPTH) -> DataFrame:
         return R.semantic_search(self.queries(), self.catalog(), k)

@@ -1,13 +1,15 @@
 """Queries over the whole job: all terms, whole query texts, all searches."""
 
+from pyspark.sql import functions as F
+
 from gleaner import bindings as D
 from gleaner.operators import ranking as R
 from gleaner.plans import registry
 
 
 def test_all_terms(spark):
-    f = spark.createDataFrame([("a", t, 1) for t in ("x", "y", "z")] + [("b", t, 2) for t in ("x", "y", "q")], "product_id string, term string, tf long")
-    assert {r.term for r in R.term_stats(f, max_features=None).collect()} == {"x", "y"}
+    f = R.term_blocks(spark.createDataFrame([("a", "xx zz yy"), ("b", "xx qq yy")], "product_id string, t string"), "product_id", F.col("t"))
+    assert {r.term for r in R.term_stats(f, max_features=None).collect()} == {"xx", "yy"}
     assert R.term_stats(f, max_features=1).count() == 1
     assert registry.DEEP == 100 and {"term_stats_all", "hybrid_weighted_deep"} <= registry.QUERIES.keys() & registry.ORACLE.keys()
 
