@@ -17,6 +17,16 @@ def normalize(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), WHITE, " "))
 
 
+def stripped(c: Column) -> Column:
+    """Without the white space at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), f"^{WHITE}|{WHITE}$", "")
+
+
+def blank(c: Column) -> Column:
+    """Whether a value is null or nothing but white space."""
+    return normalize(c) == ""
+
+
 def product_text(*fields: Column) -> Column:
     """The normalised fields that are not empty, in order, joined by a space (concat_ws keeps empty strings, so nullif)."""
     return F.concat_ws(" ", *[F.nullif(normalize(f), F.lit("")) for f in fields])

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions import text as T
 from gleaner.operators.tables import require_columns
 
 PAIR = ["query_id", "product_id"]
@@ -19,7 +20,7 @@ def _counts(row: DataFrame) -> DataFrame:
 
 
 def _blank(c: str) -> Column:
-    return F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) == "")
+    return F.col(c).isNotNull() & T.blank(F.col(c))
 
 
 def judgment_contract(judgments: DataFrame, grades: tuple[int, ...] | None = None) -> DataFrame:

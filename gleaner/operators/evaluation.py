@@ -73,9 +73,18 @@ def diagnostics(evaluation: DataFrame, k: int = 10) -> DataFrame:
 
 
 def ranking_faults(ranking: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """(query_id, fault) of rankings that break the contract."""
-    x = ranking.groupBy("query_id").agg(F.count("*").alias("n"), F.count_distinct("product_id").alias("d"), F.min("rank").alias("low"), F.max("rank").alias("high"), F.count_if(F.col("score").isNull() | F.isnan("score")).alias("odd"))
-    fault = F.when(F.col("n") > k, "too_many").when(F.col("d") < F.col("n"), "repeated_product").when((F.col("low") != 1) | (F.col("high") != F.col("n")), "ranks_not_contiguous").when(F.col("odd") > 0, "score_not_finite")
+    """(query_id, fault) of rankings that break the contract: at most k rows a query, no product twice, ranks 1, 2, 3 and so
+    on without a gap, a repeat or a null, scores that are finite numbers."""
+    odd = F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))
+    counts = {"n": F.count("*"), "products": F.count_distinct("product_id"), "ranks": F.count_distinct("rank"), "low": F.min("rank"), "high": F.max("rank"), "odd": F.count_if(odd)}
+    x = ranking.groupBy("query_id").agg(*[c.alias(n) for n, c in counts.items()])
+    contiguous = (F.col("ranks") == F.col("n")) & (F.col("low") == 1) & (F.col("high") == F.col("n"))  # null ranks count as none
+    fault = (
+        F.when(F.col("n") > k, "too_many")
+        .when(F.col("products") < F.col("n"), "repeated_product")
+        .when(~F.coalesce(contiguous, F.lit(False)), "ranks_not_contiguous")
+        .when(F.col("odd") > 0, "score_not_finite")
+    )
     found = x.select("query_id", fault.alias("fault")).where("fault IS NOT NULL")
     if allowed is not None:
         found = found.unionByName(ranking.join(allowed, PAIR, "left_anti").select("query_id", F.lit("not_a_candidate").alias("fault")).distinct())
@@ -163,8 +172,8 @@ def metric_deltas(summary: DataFrame, base: str, metrics: tuple[str, ...]) -> Da
 
 def five_number_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Least, quartiles and greatest value of each group, as linear interpolation has them."""
-    p = F.percentile(value, F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return rows.groupBy(by).agg(p.alias("p")).select(by, *[F.round(F.get("p", F.lit(i)), 4).alias(n) for i, n in enumerate(("least", "q1", "median", "q3", "greatest"))])
+    names = {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "greatest": 1.0}
+    return order_statistics(rows.where(F.col(value).isNotNull()), by, value, names).select(by, *[F.round(n, 4).alias(n) for n in names])
 
 
 def quality_records(queries: DataFrame, rankings: DataFrame, judgments: DataFrame, systems: tuple[str, ...], last: str, k: int = 10) -> DataFrame:
@@ -243,22 +252,22 @@ def classification_summary(rows: DataFrame, classes: DataFrame, label: str = "la
     return hits.crossJoin(F.broadcast(report))
 
 
-def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """n, mean and exact percentiles per group; p99 only from a hundred values on.
+def order_statistics(rows: DataFrame, by: str, value: str, cuts: dict[str, float]) -> DataFrame:
+    """(by, n, mean, a column for each cut): exact percentiles of each group's values, as linear interpolation has them.
 
     A percentile is read off the counts of the distinct values, so that equal ones shrink before the shuffle; a value's
-    place is a running count over tasks that each hold a range of a group's values, whatever the size of the group.
+    place is a running count over tasks that each hold a range of a group's values, whatever the size of the group. What
+    came before a range is a row for each task and group.
     """
-    good = rows.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0)).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"))
-    counted = good.groupBy("g", "v").agg(F.count("*").alias("c")).repartitionByRange("g", "v")
-    counted = written(counted.withColumn("part", F.spark_partition_id()), "counted")
+    counted = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("*").alias("c"))
+    counted = written(counted.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "counted")
     placed = counted.withColumn("upto", F.sum("c").over(Window.partitionBy("part", "g").orderBy("v")))
-    parts = placed.groupBy("g", "part").agg(F.sum("c").alias("part_n"))  # a row for each task and group
-    before = parts.withColumn("before", F.sum("part_n").over(Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    totals = placed.groupBy("g").agg(F.sum("c").alias("n"), (F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("mean"))
-    ends = placed.join(F.broadcast(before.select("g", "part", F.coalesce("before", F.lit(0)).alias("before"))), ["g", "part"]).join(F.broadcast(totals), "g")
+    parts = counted.groupBy("g", "part").agg(F.sum("c").alias("part_n"), F.sum(F.col("c") * F.col("v")).alias("part_sum"))
+    own, ahead = Window.partitionBy("g"), Window.partitionBy("g").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("g").alias("of"), F.col("part").alias("of_part"), F.coalesce(F.sum("part_n").over(ahead), F.lit(0)).alias("before"), F.sum("part_n").over(own).alias("n"), (F.sum("part_sum").over(own) / F.sum("part_n").over(own)).alias("mean"))
+    before = written(before, "before")
+    ends = placed.join(before, F.col("g").eqNullSafe(F.col("of")) & (F.col("part") == F.col("of_part")))
     last = F.col("upto") + F.col("before")
-    cuts = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
     def at(fraction: float, up: int) -> Column:
         spot = fraction * (F.col("n") - 1)
@@ -269,6 +278,13 @@ def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 
     def between(p: str, fraction: float) -> Column:
         spot = F.round(fraction * (F.col("n") - 1), 9)
-        return F.round(F.col(f"{p}_0") + (F.col(f"{p}_1") - F.col(f"{p}_0")) * (spot - F.floor(spot)), 6)
+        return F.col(f"{p}_0") + (F.col(f"{p}_1") - F.col(f"{p}_0")) * (spot - F.floor(spot))
+
+    return found.select(F.col("g").alias(by), "n", "mean", *[between(p, f).alias(p) for p, f in cuts.items()])
 
-    return found.select(F.col("g").alias(by), "n", F.round("mean", 6).alias("mean"), between("p50", 0.5).alias("p50"), between("p95", 0.95).alias("p95"), F.when(F.col("n") >= 100, between("p99", 0.99)).alias("p99"))
+
+def latency_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """n, mean and exact percentiles per group; p99 only from a hundred values on. Values that are no times are left out."""
+    good = rows.where(F.col(by).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0))
+    s = order_statistics(good, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return s.select(by, "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95")], F.when(F.col("n") >= 100, F.round("p99", 6)).alias("p99"))

@@ -7,7 +7,9 @@ go by product_id, so that the order of a sum cannot change a rank.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from gleaner.functions import text as T
 from gleaner.functions.vectors import dot, l2_normalize
 from gleaner.operators.best import Best
 from gleaner.operators.contracts import check_parameters
+from gleaner.operators.relevance import LinearRelevance, softmax  # noqa: F401
 from gleaner.operators.lexical import LexicalIndex, term_blocks, term_frequencies, term_stats, top_k  # noqa: F401
 from gleaner.sources.scratch import written
 
@@ -64,7 +67,7 @@ def semantic_search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> Data
     average), by dimension, and each block is run against the whole catalog, whose partitions keep k products a query.
     """
     spark = queries.sparkSession
-    q = queries.where("vector IS NOT NULL AND trim(query) <> ''").select(F.col("query_id").cast("string").alias("query_id"), l2_normalize(F.col("vector")).alias("qv")).where("qv IS NOT NULL")
+    q = queries.where(F.col("vector").isNotNull() & ~T.blank(F.col("query"))).select(F.col("query_id").cast("string").alias("query_id"), l2_normalize(F.col("vector")).alias("qv")).where("qv IS NOT NULL")
     sizes = {r.d: r.n for r in q.groupBy(F.size("qv").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
     p = catalog.select(F.col("product_id").cast("string").alias("product_id"), l2_normalize(F.col("vector")).alias("pv")).where("pv IS NOT NULL")
     schema = "query_id string, product_id string, score double"
@@ -82,7 +85,7 @@ def semantic_search(queries: DataFrame, catalog: DataFrame, k: int = 10) -> Data
 
 def semantic_candidates(queries: DataFrame, catalog: DataFrame, pairs: DataFrame, k: int | None = None) -> DataFrame:
     """Cosine of listed pairs only."""
-    q = queries.where("vector IS NOT NULL AND trim(query) <> ''").select("query_id", l2_normalize(F.col("vector")).alias("qv"))
+    q = queries.where(F.col("vector").isNotNull() & ~T.blank(F.col("query"))).select("query_id", l2_normalize(F.col("vector")).alias("qv"))
     scored = pairs.join(catalog.select("product_id", l2_normalize(F.col("vector")).alias("pv")), "product_id").join(q, "query_id")
     return top_k(scored.select("query_id", "product_id", dot(F.col("qv"), F.col("pv")).alias("score")), k or 1 << 30).select("query_id", "product_id", "rank", "score")
 
@@ -97,6 +100,7 @@ def min_max(score: Column, by: str = "query_id") -> Column:
 def fused(lexical: DataFrame, semantic: DataFrame, pairs: DataFrame | None = None, rrf_k: int = 60) -> DataFrame:
     """The ten components of two rankings side by side - scores, ranks, scores scaled per query, reciprocal ranks, presence -
     to which fuse() adds the fused score; absent ones are 0. With pairs, all of them and no others are kept."""
+    check_parameters(rrf_k=rrf_k)
     a = lexical.select("query_id", "product_id", F.col("score").alias("ls"), F.col("rank").alias("lr"))
     b = semantic.select("query_id", "product_id", F.col("score").alias("ss"), F.col("rank").alias("sr"))
     key = ["query_id", "product_id"]
@@ -109,12 +113,15 @@ def fused(lexical: DataFrame, semantic: DataFrame, pairs: DataFrame | None = Non
 
 
 def weighted(w: float | Column) -> Column:
+    if not isinstance(w, Column):
+        check_parameters(weight=w)
     w = w if isinstance(w, Column) else F.lit(float(w))
     return (1 - w) * F.col("lexical_norm") + w * F.col("semantic_norm")
 
 
 def reciprocal(k: int = 60) -> Column:
     """0.5 / (k + rank) of each side that has the product."""
+    check_parameters(rrf_k=k)
     return sum((F.when(F.col(r) > 0, 0.5 / (F.lit(k) + F.col(r))).otherwise(F.lit(0.0)) for r in ("lexical_rank", "semantic_rank")), F.lit(0.0))
 
 
@@ -157,10 +164,15 @@ def check_features(names: list[str]) -> None:
 
 def rerank_features(hybrid: DataFrame, queries: DataFrame, catalog: DataFrame, depth: int = 50) -> DataFrame:
     """Thirteen features of each pair of a hybrid ranking; an absent rank counts as depth + 1. Title, description and whole
-    text are product_name, product_description and product_text of the catalog; what is null is empty."""
+    text are product_name, product_description and product_text of the catalog; what is null is empty. A pair whose query
+    or product is unknown is an error, when it runs."""
+    check_parameters(depth=depth)
     q = queries.select("query_id", T.feature_tokens(F.col("query")).alias("q"))
     p = catalog.select("product_id", *[T.feature_tokens(F.col(c)).alias(a) for c, a in (("product_name", "t"), ("product_description", "d"), ("product_text", "x"))])
-    rows = hybrid.join(p, "product_id").join(q, "query_id")
+    rows = hybrid.join(p, "product_id", "left").join(q, "query_id", "left")
+    for column, of in (("product_id", "x"), ("query_id", "q")):
+        told = F.raise_error(F.concat(F.lit(f"features of an unknown {column}: "), F.coalesce(column, F.lit("null"))))
+        rows = rows.withColumn(column, F.when(F.col(of).isNull(), told).otherwise(F.col(column)))
 
     def rank(c: str) -> Column:
         return F.when(F.col(c) > 0, F.col(c)).otherwise(depth + 1).cast("double")
@@ -192,19 +204,13 @@ def rerank(scored: DataFrame, probabilities: Column, k: int = 10) -> DataFrame:
     return top_k(pool, k, F.asc("hybrid_rank")).select("query_id", "product_id", "rank", F.col("score").alias("expected_relevance"), "hybrid_rank")
 
 
-def softmax(logits: list[Column]) -> Column:
-    top = F.greatest(*logits)
-    parts = [F.exp(x - top) for x in logits]
-    return F.array(*[p / sum(parts[1:], parts[0]) for p in parts])
-
-
 def training_rows(features: DataFrame, queries: DataFrame, judgments: DataFrame, splits: DataFrame, split: str) -> DataFrame:
     """Features and relevance_grade of a split's candidates. A query of the split without a text or without judgments is an
     error, when it runs; rows of other splits never come in."""
     own = splits.where(F.col("split") == split).select("query_id").distinct()
     judged = judgments.select("query_id").distinct().withColumn("judged", F.lit(True))
     known = own.join(queries.select("query_id", "query"), "query_id", "left").join(judged, "query_id", "left")
-    fault = F.when(F.trim(F.coalesce("query", F.lit(""))) == "", "feature query has no text: ").when(F.col("judged").isNull(), "feature query has no judgments: ")
+    fault = F.when(T.blank(F.col("query")), "feature query has no text: ").when(F.col("judged").isNull(), "feature query has no judgments: ")
     ids = known.select(F.when(fault.isNotNull(), F.raise_error(F.concat(fault, F.col("query_id")))).otherwise(F.col("query_id")).alias("query_id"))
     return ids.join(features, "query_id").join(judgments.select("query_id", "product_id", "relevance_grade"), ["query_id", "product_id"])
 
@@ -224,6 +230,8 @@ def reranker_decision(summary: DataFrame) -> DataFrame:
 
 #: The grid of the reranker's settings.
 C_GRID, CLASS_WEIGHTS, MAX_ITER = (0.1, 1.0, 10.0), ("none", "balanced"), 500
+#: Settings of the grid whose jobs run side by side.
+PARALLEL_FITS = 3
 
 
 def reranker_grid(features: DataFrame, queries: DataFrame, judgments: DataFrame, splits: DataFrame, k: int = 10):
@@ -233,48 +241,86 @@ def reranker_grid(features: DataFrame, queries: DataFrame, judgments: DataFrame,
     rank and macro-F1, then the grid's order. The rows are features of judged candidates, a table for each split; the six
     fits are Spark ML's own loops over it.
     """
-    from pyspark.ml.functions import vector_to_array
-
     from gleaner.operators import evaluation as E
 
+    check_parameters(k=k, c_grid=C_GRID, class_weights=CLASS_WEIGHTS)
     train = written(training_rows(features, queries, judgments, splits, "train"), "train")
     validation = written(training_rows(features, queries, judgments, splits, "validation"), "validation")
     own = splits.where("split = 'validation'").select("query_id")
     judged = judgments.join(own, "query_id", "left_semi")
     classes = train.sparkSession.createDataFrame([(0.0,), (1.0,), (2.0,)], "class double")
-    models, rows = [], []
-    for c in C_GRID:
-        for kind in CLASS_WEIGHTS:
-            model = train_reranker(train, c, kind == "balanced", MAX_ITER)
-            scored = model.transform(validation)
-            ranking = rerank(scored, vector_to_array(F.col("probability")), k).select("query_id", "product_id", "rank", F.lit("rerank").alias("system"))
-            means = E.comparison(own, ranking, judged, (k,)).first()
-            said = scored.select(F.col("relevance_grade").cast("double").alias("label"), F.col("prediction").alias("predicted"))
-            f1 = E.classification_summary(said, classes).first().macro_f1
-            rows.append((len(models), c, kind, *[float(means[f"mean_{m}"]) if means else 0.0 for m in ("ndcg", "recall", "rr")], float(f1)))
-            models.append(model)
+    judged = written(judged, "judged")
+    settings = [(c, kind) for c in C_GRID for kind in CLASS_WEIGHTS]
+    prepared = prepare_training(train)
+
+    def judge(i: int) -> tuple:
+        c, kind = settings[i]
+        model = LinearRelevance.of(fit_reranker(prepared, c, kind == "balanced", MAX_ITER), FEATURES)
+        scored = model.transform(validation)
+        ranking = rerank(scored, F.col("probability"), k).select("query_id", "product_id", "rank", F.lit("rerank").alias("system"))
+        means = E.comparison(own, ranking, judged, (k,)).first()
+        p = F.col("probability")
+        best = (F.array_position(p, F.array_max(p)) - 1).cast("double")
+        said = scored.select(F.col("relevance_grade").cast("double").alias("label"), best.alias("predicted"))
+        f1 = E.classification_summary(said, classes).first().macro_f1
+        return model, (i, c, kind, *[float(means[f"mean_{m}"]) if means else 0.0 for m in ("ndcg", "recall", "rr")], float(f1))
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:  # the driver only waits: fits and rankings are Spark jobs
+        models, rows = zip(*pool.map(judge, range(len(settings))), strict=True)
+    prepared.table.unpersist()
     best = max(rows, key=lambda r: (*r[3:], -r[0]))[0]
     found = train.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "setting int, c_value double, class_weight string, ndcg double, recall double, rr double, macro_f1 double, chosen boolean")
     return found, models[best]
 
 
-def train_reranker(rows: DataFrame, c_value: float = 1.0, balanced: bool = True, max_iter: int = 100):
-    """StandardScaler and multinomial logistic regression; regParam = 1 / (C * sum of weights) is scikit-learn's C."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
+class Prepared(NamedTuple):
+    """A training table that several fits read: scaled features, weights of balanced classes, and how it was made."""
+
+    table: DataFrame
+    stages: list
+    total: int
+
+
+def prepare_training(rows: DataFrame) -> Prepared:
+    """Features assembled and scaled once, persisted for all fits (spills to disk where memory is short)."""
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.storagelevel import StorageLevel
 
     check_features(list(FEATURES))
     counts = rows.groupBy("relevance_grade").agg(F.count("*").alias("class_count"))
     seen = counts.collect()  # a row a grade
-    total, classes = sum(r.class_count for r in seen), len(seen)
-    weight = F.lit(float(total)) / (classes * F.col("class_count")) if balanced else F.lit(1.0)
-    rows = rows.join(F.broadcast(counts), "relevance_grade").withColumn("weight", weight)
-    stages = [VectorAssembler(inputCols=list(FEATURES), outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), LogisticRegression(featuresCol="features", labelCol="relevance_grade", weightCol="weight", family="multinomial", regParam=1.0 / (c_value * total), standardization=False, maxIter=max_iter)]
-    return Pipeline(stages=stages).fit(rows)
+    total = sum(r.class_count for r in seen)
+    known = F.create_map(*[F.lit(x) for r in seen for x in (r.relevance_grade, float(total) / (len(seen) * r.class_count))])
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="raw")
+    whole = assembler.transform(rows.withColumns({"balanced": F.element_at(known, F.col("relevance_grade")), "even": F.lit(1.0)}))
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(whole)
+    table = scaler.transform(whole).select("features", F.col("relevance_grade").cast("double").alias("label"), "balanced", "even")
+    return Prepared(table.persist(StorageLevel.MEMORY_AND_DISK), [assembler, scaler], total)
+
+
+def fit_reranker(prepared: Prepared, c_value: float = 1.0, balanced: bool = True, max_iter: int = 100):
+    """Multinomial logistic regression over a prepared table, as a pipeline with the assembler and the scaler before it;
+    regParam = 1 / (C * sum of weights) is what a penalty of 1 / C on the sum of losses comes to."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import LogisticRegression
 
+    fit = LogisticRegression(
+        featuresCol="features", labelCol="label", weightCol="balanced" if balanced else "even", family="multinomial",
+        regParam=1.0 / (c_value * prepared.total), standardization=False, maxIter=max_iter,
+    )
+    return PipelineModel([*prepared.stages, fit.fit(prepared.table)])
 
-def coefficients(model, spark: SparkSession) -> DataFrame:
-    """(class, feature, coefficient): the standardised coefficients, a row for each class and feature."""
-    m = model.stages[-1].coefficientMatrix.toArray()
-    return spark.createDataFrame([(c, f, float(m[c][i])) for c in range(m.shape[0]) for i, f in enumerate(FEATURES)], "class int, feature string, coefficient double")
+
+def train_reranker(rows: DataFrame, c_value: float = 1.0, balanced: bool = True, max_iter: int = 100):
+    """StandardScaler and multinomial logistic regression over rows of features and relevance_grade."""
+    check_parameters(c_grid=(c_value,), k=max_iter)
+    prepared = prepare_training(rows)
+    fitted = fit_reranker(prepared, c_value, balanced, max_iter)
+    prepared.table.unpersist()
+    return fitted
+
+
+def coefficients(model: LinearRelevance, spark: SparkSession) -> DataFrame:
+    """(class, feature, coefficient): a row for each class and feature."""
+    names, m = model.getFeatures(), model.getOrDefault("weights")
+    return spark.createDataFrame([(i // len(names), names[i % len(names)], float(w)) for i, w in enumerate(m)], "class int, feature string, coefficient double")

@@ -14,7 +14,7 @@ def missing_counts(df: DataFrame, blank: bool = False) -> DataFrame:
     kinds = dict(df.dtypes)
 
     def gone(c: str) -> Column:
-        return F.col(c).isNull() | (F.trim(c) == "") if blank and kinds[c] == "string" else F.col(c).isNull()
+        return T.blank(F.col(c)) if blank and kinds[c] == "string" else F.col(c).isNull()
 
     one = df.agg(*[F.count_if(gone(c)).alias(c) for c in df.columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("missing")) for c in df.columns])).alias("x")).select("x.*")
@@ -78,8 +78,9 @@ def global_place(rows: DataFrame, *order: str | Column, name: str = "place") ->
 def split_queries(queries: DataFrame, seed: int, proportions: tuple[float, float, float] = (0.7, 0.15, 0.15)) -> DataFrame:
     """(query_id, split): a seeded order by hash, cut by largest remainders (ties in the order of the splits). Ids decide,
     so input order does not matter."""
-    if abs(sum(proportions) - 1) > 1e-9 or any(isinstance(p, bool) or p < 0 for p in proportions):
-        raise ValueError("proportions are non-negative and sum to 1")
+    from gleaner.operators.contracts import check_parameters
+
+    check_parameters(proportions=proportions)
     ids = queries.select("query_id").distinct()
     n = ids.count()
     exact = [p * n for p in proportions]
@@ -101,12 +102,28 @@ def ordered_digest(rows: DataFrame, by: str, number: Column, block: int = 1000)
     return x.groupBy(by).agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias("ids_sha256"))
 
 
-def split_manifest(splits: DataFrame, seed: int, proportions: dict[str, float], sources: DataFrame) -> DataFrame:
-    """(split, n, requested, actual, seed, ids_sha256, source_rows): what a split was made of. sources: one row (source_rows)."""
+def keyed_digest(rows: DataFrame, key: Column, *by: str) -> DataFrame:
+    """(by, n, sha256) of text keys of any form, whatever their order: keys are dealt by the first three hex digits of their
+    SHA-256, each deal's keys are joined in order and digested, and the digests are digested."""
+    x = rows.select(*by, key.cast("string").alias("key")).withColumn("deal", F.substring(F.sha2("key", 256), 1, 3))
+    x = x.groupBy(*by, "deal").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("key")), ","), 256).alias("digest"), F.count("*").alias("n"))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("deal", "digest"))), lambda v: v["digest"]), ",")
+    return x.groupBy(*by).agg(F.sum("n").alias("n"), F.sha2(whole, 256).alias("sha256"))
+
+
+def source_digest(source: DataFrame) -> DataFrame:
+    """One row (source_rows, source_sha256): a table's rows, each as the digest of its columns' texts."""
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x1e")) for c in source.columns]
+    return keyed_digest(source, F.sha2(F.concat_ws("\x1f", *texts), 256)).select(F.coalesce("n", F.lit(0).cast("long")).alias("source_rows"), F.col("sha256").alias("source_sha256"))
+
+
+def split_manifest(splits: DataFrame, seed: int, proportions: dict[str, float], source: DataFrame) -> DataFrame:
+    """(split, n, requested, actual, seed, ids_sha256, source_rows, source_sha256): what a split was made of."""
     total = splits.agg(F.count("*").alias("total"))
-    x = ordered_digest(splits, "split", F.col("query_id")).crossJoin(F.broadcast(total)).crossJoin(F.broadcast(sources))
+    ids = keyed_digest(splits, F.col("query_id"), "split").withColumnRenamed("sha256", "ids_sha256")
+    x = ids.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(source_digest(source)))
     asked = F.element_at(F.create_map(*[F.lit(v) for p in proportions.items() for v in p]), F.col("split"))
-    return x.select("split", "n", asked.alias("requested"), F.round(F.col("n") / F.col("total"), 6).alias("actual"), F.lit(seed).alias("seed"), "ids_sha256", "source_rows")
+    return x.select("split", "n", asked.alias("requested"), F.round(F.col("n") / F.col("total"), 6).alias("actual"), F.lit(seed).alias("seed"), "ids_sha256", "source_rows", "source_sha256")
 
 
 def stratified_sample(queries: DataFrame, size: int, seed: int) -> DataFrame:
@@ -145,7 +162,7 @@ def provenance_mismatches(recorded: DataFrame, actual: DataFrame, tolerance: flo
 
 def validated_requests(requests: DataFrame, modes: tuple[str, ...], most: int = 100, longest: int = 500) -> DataFrame:
     """Requests with a reason: empty for those that can be run."""
-    q = F.trim(F.coalesce("query", F.lit("")))
+    q = T.stripped(F.col("query"))
     reason = F.when(q == "", "blank_query").when(F.length(q) > longest, "query_too_long").when(F.col("top_k").isNull() | (F.col("top_k") < 1) | (F.col("top_k") > most), "bad_top_k").when(~F.coalesce("mode", F.lit("")).isin(*modes), "unknown_mode").otherwise("")
     return requests.withColumn("reason", reason)
 

@@ -98,9 +98,11 @@ def five_number_summary(p) -> DataFrame:
 
 
 def search_errors(p) -> DataFrame:
-    """A row for each query whose ranking breaks the contract: every hundredth query's ranks start at 2 here."""
-    odd = p.lexical(10).withColumn("rank", F.when(F.col("query_id").cast("long") % 100 == 0, F.col("rank") + 1).otherwise(F.col("rank")))
-    return E.search_errors(odd, 10)
+    """A row for each query whose ranking breaks the contract. Here every hundredth query's ranks start at 2, the second
+    product of every 250th has rank 1, and the first score of every 350th is infinite."""
+    n, rank = F.col("query_id").cast("long"), F.col("rank")
+    odd = p.lexical(10).withColumn("score", F.when((n % 350 == 0) & (rank == 1), float("inf")).otherwise(F.col("score")))
+    return E.search_errors(odd.withColumn("rank", F.when(n % 100 == 0, rank + 1).when((n % 250 == 0) & (rank == 2), 1).otherwise(rank)), 10)
 
 
 def ranking_contract(p) -> DataFrame:
@@ -125,9 +127,11 @@ def judgment_contract(p) -> DataFrame:
 
 
 def catalog_contract(p) -> DataFrame:
-    """The documents as a catalog to index, each id of a multiple of 40 a second time."""
+    """The documents as a catalog to index, each id of a multiple of 40 a second time, with a text of white space, and once
+    more without an id but a tab."""
     c = D.catalog(p.spark, p.dir)
-    return C.catalog_contract(c.unionByName(c.where("cast(product_id AS bigint) % 40 = 0")))
+    again = c.where("cast(product_id AS bigint) % 40 = 0").withColumn("product_text", F.lit("\t\n"))
+    return C.catalog_contract(c.unionByName(again).unionByName(again.withColumn("product_id", F.lit("\t"))))
 
 
 def candidate_contract(p) -> DataFrame:
@@ -220,12 +224,10 @@ def reranker_grid(p) -> DataFrame:
 
 def rerank_trained(p) -> DataFrame:
     """The test queries' candidates ranked by the chosen model, which has seen none of them."""
-    from pyspark.ml.functions import vector_to_array
-
     splits = _query_splits(p)
     _, model = R.reranker_grid(p.pool_features(), p.queries(), p.judgments(), splits)
     scored = model.transform(C.split_filter(p.pool_features(), splits, "test"))
-    return R.rerank(scored, vector_to_array(F.col("probability"))).select(*_PAIR, "rank", F.round("expected_relevance", 6).alias("expected_relevance"))
+    return R.rerank(scored, F.col("probability")).select(*_PAIR, "rank", F.round("expected_relevance", 6).alias("expected_relevance"))
 
 
 def _requests(p) -> DataFrame:
@@ -238,7 +240,7 @@ def _requests(p) -> DataFrame:
 
 def _results(p) -> DataFrame:
     ranked = p.rankings()
-    return S.batch_search(_requests(p), {m: ranked.where(F.col("system") == m) for m in S.MODES})
+    return S.batch_search(_requests(p), {m: ranked.where(F.col("system") == m) for m in S.MODES}, 10)
 
 
 def batch_search(p) -> DataFrame:

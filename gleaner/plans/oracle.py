@@ -184,14 +184,14 @@ ORACLE = {
     "l2_normalize": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), u AS (SELECT vec_id, unnest(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))) AS x, unnest(range(len(v)))::INT AS place FROM e) SELECT vec_id, place, round(x, 6) AS x FROM u",
     "sample_hash": """WITH b AS (SELECT source, doc_id // 1000 AS block, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY ALL)
         SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(digest, ',' ORDER BY block)) AS ids_sha256 FROM b GROUP BY source""",
-    "missing_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL" + (f" OR trim({c}) = ''" if c in ("text", "lang", "source") else "") + ") AS missing FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
+    "missing_counts": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL" + (f" OR {_NORM.format(c)} = ''" if c in ("text", "lang", "source") else "") + (" OR doc_id % 25 = 0" if c == "text" else "") + ") AS missing FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")),
     "duplicate_counts": f"WITH {_LABELS}, p AS (SELECT query_id, product_id, count(*) AS n, count(DISTINCT label) AS d FROM labels_ GROUP BY ALL) SELECT sum(n)::BIGINT AS label_rows, sum(n - 1)::BIGINT AS repeated_pairs, count(*) FILTER (WHERE d > 1) AS conflicting_pairs FROM p",
     "invalid_labels": "SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('click', 'view', 'purchase') GROUP BY event_type",
     "fk_violations": """WITH a AS (SELECT DISTINCT doc_id::VARCHAR AS k FROM labels WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)), b AS (SELECT DISTINCT l_partkey::VARCHAR AS k FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part))
         SELECT 'label_vector' AS check_name, count(*) AS n, coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM a ORDER BY k LIMIT 5)), '') AS examples FROM a
         UNION ALL SELECT 'item_part', count(*), coalesce((SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM b ORDER BY k LIMIT 5)), '') FROM b""",
     "vector_contract": "SELECT CASE WHEN embedding IS NULL THEN 'missing' WHEN len(embedding) <> 64 THEN 'dimension' WHEN len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) > 0 THEN 'not_finite' WHEN list_inner_product(embedding, embedding) = 0 THEN 'zero' ELSE 'ok' END AS flaw, count(*) AS n FROM embeddings GROUP BY ALL",
-    "request_validation": """SELECT item_id::VARCHAR AS request_id, CASE WHEN item_id % 7 = 0 OR trim(text) = '' THEN 'blank_query' WHEN length(trim(text)) > 500 THEN 'query_too_long' WHEN item_id * 9 < 1 OR item_id * 9 > 100 THEN 'bad_top_k' WHEN item_id % 4 = 3 THEN 'unknown_mode' ELSE '' END AS reason FROM benchmark""",
+    "request_validation": """SELECT item_id::VARCHAR AS request_id, CASE WHEN item_id % 7 = 0 OR trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN 'blank_query' WHEN length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) > 500 THEN 'query_too_long' WHEN item_id * 9 < 1 OR item_id * 9 > 100 THEN 'bad_top_k' WHEN item_id % 4 = 3 THEN 'unknown_mode' ELSE '' END AS reason FROM benchmark""",
     "provenance_audit": """WITH a AS (SELECT lang AS owner, source AS key, count(*) AS recorded FROM documents GROUP BY ALL), b AS (SELECT lang AS owner, source AS key, count(*) AS actual FROM documents WHERE doc_id % 10 <> 0 GROUP BY ALL)
         SELECT owner, key, recorded, actual FROM a FULL JOIN b USING (owner, key) WHERE recorded IS DISTINCT FROM actual""",
     "source_manifest": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, (SELECT string_agg(column_name, ',' ORDER BY ordinal_position) FROM information_schema.columns WHERE table_name = '{t}') AS columns FROM {t}" for t in "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()),
@@ -203,8 +203,10 @@ ORACLE = {
     "class_distribution": f"WITH {_CAT} SELECT " + ", ".join(f"count(*) FILTER (WHERE grade = {g}) AS grade_{g}" for g in (0, 1, 2)) + " FROM judged",
     "latency_summary": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, CASE WHEN count(*) >= 100 THEN round(quantile_cont(value, 0.99), 6) END AS p99 FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value >= 0 GROUP BY event_type",
     "query_splits": f"WITH {_SPLITS} SELECT * FROM split",
-    "split_manifest": f"""WITH {_SPLITS}, b AS (SELECT split, query_id::BIGINT // 1000 AS block, sha256(string_agg(query_id, ',' ORDER BY query_id::BIGINT)) AS digest, count(*) AS n FROM split GROUP BY ALL)
-        SELECT split, sum(n)::BIGINT AS n, CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END::DOUBLE AS requested, round(sum(n) / (SELECT count(*) FROM split), 6) AS actual, 42 AS seed, sha256(string_agg(digest, ',' ORDER BY block)) AS ids_sha256, (SELECT count(*) FROM benchmark) AS source_rows FROM b GROUP BY split""",
+    "split_manifest": f"""WITH {_SPLITS}, b AS (SELECT split, substr(sha256(query_id), 1, 3) AS block, sha256(string_agg(query_id, ',' ORDER BY query_id)) AS digest, count(*) AS n FROM split GROUP BY ALL),
+        h AS (SELECT sha256(concat_ws(chr(31), coalesce(item_id::VARCHAR, chr(30)), coalesce(text, chr(30)))) AS key FROM benchmark), hb AS (SELECT substr(sha256(key), 1, 3) AS block, sha256(string_agg(key, ',' ORDER BY key)) AS digest FROM h GROUP BY ALL)
+        SELECT split, sum(n)::BIGINT AS n, CASE split WHEN 'train' THEN 0.7 ELSE 0.15 END::DOUBLE AS requested, round(sum(n) / (SELECT count(*) FROM split), 6) AS actual, 42 AS seed, sha256(string_agg(digest, ',' ORDER BY block)) AS ids_sha256, (SELECT count(*) FROM benchmark) AS source_rows,
+               (SELECT sha256(string_agg(digest, ',' ORDER BY block)) FROM hb) AS source_sha256 FROM b GROUP BY split""",
     "stratified_sample": f"""WITH q AS (SELECT p_partkey::VARCHAR AS query_id, {_BUCKET.format(_NORM.format('p_name'))} AS bucket FROM part), c AS (SELECT bucket, count(*) AS n, sum(count(*)) OVER () AS total FROM q GROUP BY bucket),
         f AS (SELECT *, least(100, total) AS take, (least(100, total) * n // total)::BIGINT AS lo, least(100, total) * n % total AS rest FROM c), g AS (SELECT *, row_number() OVER (ORDER BY rest DESC, bucket) AS place, take - sum(lo) OVER () AS more FROM f),
         h AS (SELECT bucket, lo + CASE WHEN place <= more THEN 1 ELSE 0 END AS quota FROM g)
@@ -302,15 +304,16 @@ ORACLE |= {
     + " UNION ALL ".join(f"SELECT system, '{m}' AS metric, {m} AS value FROM m" for m in ("ndcg", "precision", "recall", "rr"))
     + ") SELECT a.system, metric, b.value AS base_value, a.value, round(a.value - b.value, 6) AS delta FROM long a JOIN long b USING (metric) WHERE a.system <> 'lexical' AND b.system = 'lexical'",
     "five_number_summary": f"WITH {_RUNS} SELECT system, " + ", ".join(f"round(quantile_cont(ndcg, {x}), 4) AS {n}" for n, x in (("least", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("greatest", 1))) + f" FROM ({_JUDGED_10}) GROUP BY system",
-    "search_errors": f"WITH {_LEX}{_ranked('lex', 'lown', 10)} SELECT DISTINCT query_id, 'search_error' AS code, 'ranks_not_contiguous' AS message FROM lex WHERE query_id::BIGINT % 100 = 0",
+    "search_errors": f"""WITH {_LEX}{_ranked('lex', 'lown', 10)} SELECT DISTINCT query_id, 'search_error' AS code, CASE WHEN query_id::BIGINT % 100 = 0 OR query_id::BIGINT % 250 = 0 AND max(rank) OVER (PARTITION BY query_id) >= 2 THEN 'ranks_not_contiguous' ELSE 'score_not_finite' END AS message FROM lex
+        QUALIFY query_id::BIGINT % 100 = 0 OR query_id::BIGINT % 350 = 0 OR query_id::BIGINT % 250 = 0 AND max(rank) OVER (PARTITION BY query_id) >= 2""",
     "ranking_contract": f"WITH {_CAT}{_SEM}{_ranked('r', 'sscore', 10)} SELECT DISTINCT query_id, 'not_a_candidate' AS fault FROM r WHERE (query_id, product_id) NOT IN (SELECT (query_id, product_id) FROM judged WHERE grade >= 1)",
     "label_distribution": f"WITH {_LABELS}, d AS (SELECT unnest(['Exact', 'Partial', 'Irrelevant', 'Unknown']) AS label) SELECT label, (SELECT count(*) FROM labels_ l WHERE l.label = d.label) AS n FROM d",
     "classification_summary": ORACLE["classification_report"].replace("SELECT class, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS f1, support FROM y", "SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg((label = predicted)::INT), 6) FROM r) AS accuracy, round(avg(round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6)), 6) AS macro_f1 FROM y"),
     "judgment_contract": _checks(_LABELS, missing="SELECT count(*) FROM labels_ WHERE query_id IS NULL OR product_id IS NULL", repeated_pairs="SELECT count(*) - count(DISTINCT (query_id, product_id)) FROM labels_", bad_grade="0"),
     "catalog_contract": _checks(
-        f"c AS (SELECT doc_id::VARCHAR AS id, {_PRODUCT_TEXT} AS t FROM documents), a AS (SELECT * FROM c UNION ALL SELECT * FROM c WHERE id::BIGINT % 40 = 0)",
-        missing_id="SELECT count(*) FROM a WHERE id IS NULL", blank_id="SELECT count(*) FROM a WHERE trim(id) = ''", missing_text="SELECT count(*) FROM a WHERE t IS NULL",
-        blank_text="SELECT count(*) FROM a WHERE trim(t) = ''", repeated_id="SELECT count(*) - count(DISTINCT id) FROM a", no_rows="SELECT (count(*) = 0)::INT FROM a",
+        f"c AS (SELECT doc_id::VARCHAR AS id, {_PRODUCT_TEXT} AS t FROM documents), a AS (SELECT * FROM c UNION ALL SELECT id, chr(9) FROM c WHERE id::BIGINT % 40 = 0 UNION ALL SELECT chr(9), chr(9) FROM c WHERE id::BIGINT % 40 = 0)",
+        missing_id="SELECT count(*) FROM a WHERE id IS NULL", blank_id="SELECT count(*) FROM a WHERE trim(id, chr(9)) = ''", missing_text="SELECT count(*) FROM a WHERE t IS NULL",
+        blank_text="SELECT count(*) FROM a WHERE trim(t, chr(9)) = ''", repeated_id="SELECT count(*) - count(DISTINCT id) FROM a", no_rows="SELECT (count(*) = 0)::INT FROM a",
     ),
     "candidate_contract": _checks(_CAT, repeated_candidates="SELECT count(*) FROM judged WHERE grade = 2", unknown_candidates="SELECT count(*) FROM judged WHERE product_id NOT IN (SELECT product_id FROM cat WHERE label <> 3)"),
     "split_contract": _checks(

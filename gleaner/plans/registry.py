@@ -123,7 +123,7 @@ class _Plans:
 
     def requests(self) -> DataFrame:
         mode = F.element_at(F.array(*map(F.lit, ("lexical", "semantic", "hybrid", "fuzzy"))), (F.col("item_id") % 4 + 1).cast("int"))
-        q = F.when(F.col("item_id") % 7 == 0, "  ").otherwise(F.col("text"))
+        q = F.when(F.col("item_id") % 7 == 0, "\t \n").otherwise(F.col("text"))
         return self.table("benchmark").select(F.col("item_id").cast("string").alias("request_id"), q.alias("query"), (F.col("item_id") * 9).cast("int").alias("top_k"), mode.alias("mode"))
 
     def labelled(self) -> DataFrame:

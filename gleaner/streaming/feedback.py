@@ -12,11 +12,19 @@ def feedback_stream(spark: SparkSession, folder: str, schema, searches: DataFram
     return validated_feedback(spark.readStream.schema(schema).parquet(folder), searches)
 
 
-def append_feedback(stream: DataFrame, accepted: str, rejected: str, checkpoint: str):
-    """Appends accepted and rejected rows to two tables, batch by batch, until the folder is read."""
+def write_batch(rows: DataFrame, batch: int, accepted: str, rejected: str) -> None:
+    """Writes one batch's accepted and rejected rows to its own partition of two tables (batch_id). A batch that comes
+    again, as after a failure between the two writes, takes the place of what it left before."""
+    rows = rows.persist()
+    try:
+        rows.where("reason = ''").drop("reason").write.mode("overwrite").parquet(f"{accepted}/batch_id={batch}")
+        rows.where("reason <> ''").write.mode("overwrite").parquet(f"{rejected}/batch_id={batch}")
+    finally:
+        rows.unpersist()
 
-    def batch(df: DataFrame, _: int) -> None:
-        df.where("reason = ''").drop("reason").write.mode("append").parquet(accepted)
-        df.where("reason <> ''").write.mode("append").parquet(rejected)
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_feedback(stream: DataFrame, accepted: str, rejected: str, checkpoint: str):
+    """Adds accepted and rejected rows to two tables partitioned by batch_id, until the folder is read. Batches are numbered
+    by the checkpoint, so that a restart writes the batch it failed in over itself."""
+    sink = stream.writeStream.foreachBatch(lambda df, batch: write_batch(df, batch, accepted, rejected))
+    return sink.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -94,14 +94,14 @@ def test_serving(spark, tmp_path):
     resolved = S.resolved_requests(requests, "lexical", ("lexical", "hybrid"))
     assert {r.request_id: (r.resolved_mode, r.reason) for r in resolved.collect()} == {"r1": ("lexical", ""), "r2": ("lexical", "blank_query"), "r3": ("lexical", "bad_top_k"), "r4": ("fuzzy", "unknown_mode"), "r5": ("rerank", "mode_not_loaded"), "r6": ("lexical", "")}
     ranking = spark.createDataFrame([("q1", p, i + 1, 1.0 - i / 10) for i, p in enumerate("abc")], "query_id string, product_id string, rank int, score double")
-    found = S.batch_search(resolved, {"lexical": ranking, "hybrid": ranking.limit(0)})
+    found = S.batch_search(resolved, {"lexical": ranking, "hybrid": ranking.limit(0)}, 100)
     assert sorted((r.request_id, r.product_id, r.rank) for r in found.collect()) == [("r1", "a", 1), ("r1", "b", 2)]
     events = S.search_events(resolved, found)
     assert {r.search_id: (list(r.returned_product_ids), r.reason) for r in events.collect()} == {"r1": (["a", "b"], ""), "r6": ([], "bad_latency")}
     assert S.search_events(resolved, found, enabled=False).count() == 0
     for _ in range(2):
         S.append_events(events, f"{tmp_path}/log")
-    assert spark.read.parquet(f"{tmp_path}/log").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 1  # logged twice, held once
     catalog = spark.createDataFrame([("a", "Lamp", "Lighting", "x " * 200)], "product_id string, product_name string, product_class string, product_description string")
     rows = found.withColumn("query", F.lit("lamp"))
     one = S.enriched(rows.where("rank = 1"), catalog).first()
