@@ -2,11 +2,13 @@
 
 The best path maximises the sum of piece scores; of equal paths into a boundary that with the longest last piece wins.
 Spaces are as in SentencePiece (one is put before the text, and a piece's mark stands for a space), characters in no
-piece become byte pieces, so that decoding gives the text back, to the byte. The search keeps a window: a boundary is
-reached by pieces of at most `reach` characters, so as soon as the paths into the last `reach` boundaries all run
-through one boundary, the ids up to it are final and leave memory (Stream). No piece has a space behind another
-character, nor a line feed, so paths always meet there; batches of such stretches are searched in lockstep, one
-vectorised step per character (Pieces.search), and their ids are kept for the next time (up to KEPT stretches).
+piece become byte pieces, so that decoding gives the text back, to the byte.
+
+Every text goes through one search (Stream). It keeps a window: a boundary is reached by pieces of at most `reach`
+characters, so as soon as the paths into the last `reach` boundaries all run through one boundary, the ids up to it are
+final, and what lies before it leaves memory; the window grows only while paths stay apart. Where paths are known to meet beforehand - no piece has a space behind
+another character, or a line feed - the stream commits without looking, and a stretch between two such places that a
+worker has met before (it keeps up to KEPT) is not searched again. Pieces are looked up by their characters.
 
 A model made for byte-pair merges works as well, by its scores: the ids are then those of the best path, as the
 library's unigram search gives for the same pieces and scores, and not those of the merges.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,42 +26,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm import _blocks as B
 from gleaner.llm._shared import documents_of
 
-#: Stretches whose ids a worker keeps, some 200 bytes each.
-KEPT = 100_000
-_SHORT = 48  # characters of a stretch that is searched in lockstep
+#: Stretches whose ids a worker keeps, and characters of the longest that it keeps: some 200 bytes each, 2 kB at most.
+KEPT, LONGEST_KEPT = 300_000, 400
 _STRETCH = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-_ODD, _UNODD = np.uint64(0xA24BAED4963EE407), np.uint64(pow(0xA24BAED4963EE407, -1, 1 << 64))
 _LOADED: dict[str, Pieces] = {}
 
 
 class Stream:
-    """Ids of a text that comes in parts. feed() returns the ids that are final, end() the rest."""
+    """Ids of a text that comes in parts. feed() returns the ids that are final, end() the rest; peak is the most
+    characters that the window has held."""
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.text, self.best, self.back = pieces, "", [0.0], [(0, -1)]
         self.peak = 0
 
     def feed(self, part: str) -> list[int]:
-        p, out = self.pieces, []
-        for ch in part:
-            self.text += ch
-            e = len(self.text)
-            found, best = (e - 1, -1), self.best[e - 1] + p.unknown
-            first = True
-            for start in range(max(0, e - p.reach), e):
-                k = p.ids.get(self.text[start:e])
-                if k is not None and (first or self.best[start] + p.scores[k] > best):
-                    found, best, first = (start, k), self.best[start] + p.scores[k], False
-            self.best.append(best)
-            self.back.append(found)
-            self.peak = max(self.peak, e)
-            if e >= 2 * p.reach and e % 8 == 0:
+        reach, out = self.pieces.reach, []
+        for k in range(0, len(part), reach):
+            self._extend(part[k : k + reach])
+            if len(self.text) >= 2 * reach:
                 out += self._commit(self._meeting())
         return out
 
+    def _extend(self, part: str) -> None:
+        tails, scores, unknown = self.pieces.tails, self.pieces.scores, self.pieces.unknown
+        text, best, back = self.text + part, self.best, self.back
+        for e in range(len(self.text) + 1, len(text) + 1):
+            top, found, start = None, (e - 1, -1), e - 1
+            while start >= 0 and (k := tails.get(text[start:e])) is not None:
+                if k >= 0 and (top is None or best[start] + scores[k] >= top):
+                    top, found = best[start] + scores[k], (start, k)
+                start -= 1
+            best.append(best[e - 1] + unknown if top is None else top)
+            back.append(found)
+        self.text = text
+        self.peak = max(self.peak, len(text))
+
     def _meeting(self) -> int:
         """The last boundary that the paths into all boundaries still in reach run through."""
         alive = set(range(len(self.text) - self.pieces.reach + 1, len(self.text) + 1))
@@ -83,7 +88,7 @@ class Stream:
 
 
 class Pieces:
-    """The pieces of a model file, with a table of hashes for lockstep search."""
+    """The pieces of a model file by their text."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -93,7 +98,7 @@ class Pieces:
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         text = {i: sp.id_to_piece(i).replace("▁", " ") for i in plain}
         self.ids = {t: i for i, t in text.items()}
-        self.scores = np.array([sp.get_score(i) for i in range(n)], np.float64).tolist()
+        self.scores = [sp.get_score(i) for i in range(n)]
         self.unknown = min(self.scores[i] for i in plain) - 10
         self.reach = max(map(len, self.ids))
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
@@ -106,94 +111,30 @@ class Pieces:
             self.out[i] = t.encode()
         for b, i in self.bytes.items():
             self.out[i] = bytes([b])
+        # every end of a piece, with the piece that it is itself: what is no end can't be reached further back
+        self.tails = {t[k:]: -1 for t in self.ids for k in range(1, len(t))} | self.ids
         self.kept: dict[str, bytes] = {}
-        self._powers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SHORT, _ODD, np.uint64))))
-        self._unpowers = np.cumprod(np.concatenate(([np.uint64(1)], np.full(_SHORT, _UNODD, np.uint64))))
-        hashes = np.array([self._hash(t) for t in self.ids], np.uint64)
-        rank = np.argsort(hashes)
-        self._hashes, self._of = hashes[rank], np.array(list(self.ids.values()), np.int32)[rank]
-        self._maybe = np.zeros(1 << 21, bool)
-        self._maybe[self._hashes >> np.uint64(43)] = True
-        self._score = np.array(self.scores)
-
-    def _hash(self, t: str) -> int:
-        codes = np.array([ord(c) for c in t], np.uint64) + np.uint64(1)
-        return int(B.mix((codes * self._powers[: len(t)]).sum(keepdims=True), len(t))[0])
 
     def bytes_of(self, ch: str) -> list[int]:
         return [self.bytes[b] for b in ch.encode()]
 
-    def search(self, stretches: list[str]) -> None:
-        """Keeps the ids of short stretches. All advance a character a step; state is a row per boundary."""
-        for low, high in ((1, 6), (7, 10), (11, 15), (16, 24), (25, _SHORT)):
-            group = [s for s in stretches if low <= len(s) <= high]
-            for k in range(0, len(group), 20_000):
-                self._lockstep(group[k : k + 20_000], high)
-
-    def _lockstep(self, group: list[str], most: int) -> None:
-        n = len(group)
-        if not n:
-            return
-        size = np.array([len(s) for s in group])
-        codes = np.frombuffer("".join(s.ljust(most, "\0") for s in group).encode("utf-32-le"), np.uint32).reshape(n, most).T.astype(np.uint64)
-        sums = np.zeros((most + 1, n), np.uint64)
-        np.cumsum((codes + np.uint64(1)) * self._powers[:most, None], 0, out=sums[1:])
-        best, back, piece = np.zeros((most + 1, n)), np.zeros((most + 1, n), np.int8), np.full((most + 1, n), -1, np.int32)
-        for e in range(1, most + 1):
-            top = best[e - 1] + self.unknown
-            length, found, first = np.ones(n, np.int8), np.full(n, -1, np.int32), np.ones(n, bool)
-            for start in range(max(0, e - self.reach), e):
-                h = B.mix((sums[e] - sums[start]) * self._unpowers[start], e - start)
-                may = np.flatnonzero(self._maybe[h >> np.uint64(43)])
-                if not len(may):
-                    continue
-                at = np.searchsorted(self._hashes, h[may])
-                at[at == len(self._hashes)] = 0
-                hit = self._hashes[at] == h[may]
-                may, k = may[hit], self._of[at[hit]]
-                score = best[start][may] + self._score[k]
-                better = first[may] | (score > top[may])
-                may = may[better]
-                top[may], found[may], length[may], first[may] = score[better], k[better], e - start, False
-            best[e], back[e], piece[e] = top, length, found
-        at, steps = size.copy(), []
-        while (alive := at > 0).any():
-            where = np.flatnonzero(alive)
-            ids = np.full(n, -2, np.int32)
-            ids[where] = piece[at[where], where]
-            steps.append(ids)
-            at[where] -= back[at[where], where]
-        path = np.stack(steps[::-1]).T
-        used = path != -2
-        ends = np.cumsum(used.sum(1)) * 4
-        raw = path[used].astype("<i4").tobytes()
-        lost = (path == -1).any(1)
-        start = 0
-        for i, (s, end) in enumerate(zip(group, ends.tolist(), strict=True)):
-            self.kept[s] = raw[start:end] if not lost[i] else self._with_bytes(s, path[i][used[i]])
-            start = end
-
-    def _with_bytes(self, s: str, path: np.ndarray) -> bytes:
-        out, at = [], 0
-        for k in path.tolist():
-            out += self.bytes_of(s[at]) if k < 0 else [k]
-            at += 1 if k < 0 else len(self.out[k].decode())
-        return np.array(out, "<i4").tobytes()
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian int32."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        cut = [_STRETCH.findall(" " + t) if t else [] for t in texts]
-        new = set().union(*cut) - self.kept.keys()
-        self.search([s for s in new if len(s) <= _SHORT])
-        extra = {}
-        for s in new:
-            if len(s) > _SHORT:
-                stream = Stream(self)
-                extra[s] = np.array(stream.feed(s) + stream.end(), "<i4").tobytes()
-        kept = self.kept
-        return [b"".join([kept[s] if len(s) <= _SHORT else extra[s] for s in c]) for c in cut]
+        out = []
+        for t in texts:
+            found = []
+            for s in _STRETCH.findall(" " + t) if t else ():
+                ids = self.kept.get(s)
+                if ids is None:
+                    stream = Stream(self)
+                    ids = array("i", stream.feed(s) + stream.end()).tobytes()
+                    if len(s) <= LONGEST_KEPT:
+                        self.kept[s] = ids
+                found.append(ids)
+            out.append(b"".join(found))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.out[k] for k in ids])[1:]

@@ -143,6 +143,43 @@ def test_viterbi_by_a_plain_search(spark):
         assert got[r.doc_id] == path_ids, r.doc_id
 
 
+def test_window_of_a_text_without_spaces():
+    """A text of half a million characters without a space, in parts of any size: the window stays within a few reaches where
+    paths meet - a run of one letter keeps them apart, here for 400 characters - and the ids are those of a search that
+    keeps every boundary."""
+    from gleaner.llm.viterbi import Stream, pieces
+
+    p = pieces(Q.tokenizer("piece_bpe_32k.model"))
+    text = ("internationalisation" * 40 + "日本語テキスト😀" * 30 + "aaaaaaaaaaaaaaaaaaaa" * 20 + "xqzj#$%0123456789" * 20) * 300
+    assert len(text) > 500_000
+    stream, ids = Stream(p), []
+    for k in range(0, len(text), 997):
+        ids += stream.feed(text[k : k + 997])
+    ids += stream.end()
+    assert stream.peak < 400 + 4 * p.reach
+    plain = Stream(p)
+    plain.feed(text.replace("a" * 20, ""))
+    assert plain.peak <= 4 * p.reach
+    assert b"".join(p.out[k] for k in ids) == text.encode()
+    some = text[:3000]
+    best, back = [0.0], [(0, [])]
+    for e in range(1, len(some) + 1):
+        options = [(best[s] + p.scores[p.ids[some[s:e]]], -s) for s in range(max(0, e - p.reach), e) if some[s:e] in p.ids]
+        if options:
+            top, s = max(options)
+            best.append(top)
+            back.append((-s, [p.ids[some[-s:e]]]))
+        else:
+            best.append(best[-1] + p.unknown)
+            back.append((e - 1, p.bytes_of(some[e - 1])))
+    path, e = [], len(some)
+    while e:
+        path[:0] = back[e][1]
+        e = back[e][0]
+    one = Stream(p)
+    assert one.feed(some) + one.end() == path
+
+
 def test_repeated_passages_leave_none(spark):
     """No string of 51 words stays in two texts, or twice in one, and texts without one are as they were."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
