@@ -2,11 +2,14 @@
 
 Base figures of a text (words are runs of other characters than ASCII white space):
 word_chars, n_symbols, n_dup_lines and n_repeat_words as the columns say. Each rule of RULES votes 1 (good), 0 (bad) or
-abstains. Rules are taken as independent given the unknown label, which is good or one of the faults that rules look at;
-EM over the counts of the vote patterns (at most 3 ** rules rows, whatever the number of documents) finds the labels'
-priors and each rule's accuracy under each of them, from a start that trusts each vote for bad. All estimates depend on
-the shares of the patterns alone, not on the size of the table. A text is kept if the posterior probability of good is
-at least 0.5 and the base rules did not fail it.
+abstains, and abstaining says something, too. A text's unknown label is good or one of a few ways to be bad (KINDS), each
+looked at by several rules, so that it shows in votes that go together. Given the label the rules are taken as
+independent. EM over the counts of the vote patterns (at most 3 ** rules rows, whatever the number of documents) finds the
+labels' shares and, for each of them, how often each rule votes bad, good or not at all. Nothing binds these estimates but
+a start that trusts the rules of a kind on it, which also weighs in as PSEUDO of the table; so a rule that finds no
+company loses its say, and several good votes outvote a bad one. All estimates depend on the shares of the patterns
+alone, not on the size of the table. A text is kept if the posterior probability of good is at least 0.5 and the base
+rules did not fail it.
 
 DataFrame functions throughout. Cases: a null text has no words (all figures 0) and fails the base; a text of one line
 or of fewer than eight words has no repeats; with no documents nothing is estimated; repeated rows count each.
@@ -14,8 +17,9 @@ or of fewer than eight words has no repeats; with no documents nothing is estima
 
 from __future__ import annotations
 
-import math
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +63,8 @@ def figures(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct_words"),
         F.regexp_count("text", F.lit("[!?]")).cast("long").alias("n_shouts"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
+        F.regexp_count("text", F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+        F.regexp_count("text", F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])")).cast("long").alias("n_letterless"),
     )
 
 
@@ -68,10 +74,11 @@ def _vote(good: str, bad: str) -> Column:
 
 _SHOWN = ("100 * n_symbols {0} * n_words", "100 * n_shouts {1} * n_words", "100 * n_capitals {2} * word_chars", "100 * n_repeat_words {3} * n_words")
 
-#: name: (votes good where, votes bad where); abstains between the two. Each rule looks at a fault of its own kind, so that
-#: no threshold counts twice. Whole numbers, so that no rounding decides.
+#: name: (votes good where, votes bad where); abstains between the two. Whole numbers, so that no rounding decides.
 RULES = {
     "symbols": (_SHOWN[0].format("<= 2"), _SHOWN[0].format("> 10")),
+    "letters": ("n_words > 0 AND 100 * n_letters >= 90 * word_chars", "n_words > 0 AND 100 * n_letters < 80 * word_chars"),
+    "letterless": ("n_words > 0 AND 100 * n_letterless <= 10 * n_words", "100 * n_letterless > 25 * n_words"),
     "shouts": (_SHOWN[1].format("", "<= 5"), _SHOWN[1].format("", "> 20")),
     "capitals": (_SHOWN[2].format("", "", "<= 15"), _SHOWN[2].format("", "", "> 30")),
     "lines": ("10 * n_dup_lines <= n_lines", "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines"),
@@ -79,60 +86,57 @@ RULES = {
     "variety": ("n_words < 500 AND 100 * n_distinct_words >= 40 * n_words", "n_words < 500 AND 100 * n_distinct_words < 25 * n_words"),
     "word_length": ("word_chars >= 3 * n_words AND word_chars <= 9 * n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
 }
+#: Ways to be bad, each with the rules that look at it; word_length looks at none of its own.
+KINDS = (("symbols", "letters", "letterless"), ("shouts", "capitals"), ("lines", "windows", "variety"))
 
-#: How far a vote is trusted at the start; no estimate of a rule's accuracy on its own fault, or on good texts, is less.
+#: How far a vote is trusted at the start.
 TRUST = 0.8
-#: Pseudo-counts as shares of the table, so that a table and a hundred copies of it are estimated alike: of the start, which
-#: keeps rates off 0, and of right votes on good texts. Where a rule sees a fault alone, the data fit as well if it errs on
-#: good texts; the second decides for the rule.
-PSEUDO, RIGHT = 1e-6, 0.05
+#: Weight of the start as a share of the table, so that a table and a hundred copies of it are estimated alike.
+PSEUDO = 0.01
 Votes = tuple[int | None, ...]
 
 
-def estimate(counts: list[tuple[Votes, int]], steps: int = 50) -> tuple[list[float], list[list[float]]]:
-    """EM over (votes, count): the priors of the classes, and by class and rule the rate of bad among the votes given.
+class Model(NamedTuple):
+    """shares[label], and chances[label, rule, outcome] of the outcomes bad, good and no vote; label 0 is good."""
 
-    Class 0 is good, class r + 1 has the fault that rule r looks at: texts are bad in many ways, and with one class for all
-    of them the commonest way would make the others good. The first labels trust each vote for bad, and take texts without
-    one for good.
-    """
-    rules = len(counts[0][0]) if counts else 0
+    shares: np.ndarray
+    chances: np.ndarray
+
+    def posteriors(self, outcomes: np.ndarray) -> np.ndarray:
+        """The probability of each label for patterns of outcomes (0, 1, 2), a row each."""
+        logs = np.log(self.shares) + sum(np.log(self.chances[:, r, outcomes[:, r]]).T for r in range(outcomes.shape[1]))
+        parts = np.exp(logs - logs.max(1, keepdims=True))
+        return parts / parts.sum(1, keepdims=True)
+
+
+def first_model(rules: tuple[str, ...] = tuple(RULES), kinds: tuple[tuple[str, ...], ...] = KINDS) -> Model:
+    rest = (1 - TRUST) / 2
+    shares = np.array([TRUST] + [(1 - TRUST) / len(kinds)] * len(kinds))
+    chances = np.array([[[TRUST, rest, rest] if r in kind else [rest, TRUST, rest] for r in rules] for kind in ((), *kinds)])
+    return Model(shares, chances)
+
+
+def estimate(counts: list[tuple[Votes, int]], steps: int = 100, start: Model | None = None) -> Model:
+    """EM over (votes, count), from a start that weighs PSEUDO of the table."""
+    start = first_model() if start is None else start
     total = sum(n for _, n in counts)
-    start = [[1 - TRUST] * rules] + [[TRUST if r == c else 1 - TRUST for r in range(rules)] for c in range(rules)]
-    weights = [TRUST] + [(1 - TRUST) / max(1, rules)] * rules
     if not total:
-        return weights, start
-    shares = [(votes, n / total) for votes, n in sorted(counts, key=str)]
-    labels = []
-    for votes, _ in shares:
-        bad = [r for r, v in enumerate(votes) if v == 0]
-        labels.append([1 - TRUST if bad else 1.0] + [TRUST / len(bad) if r in bad else 0.0 for r in range(rules)])
+        return start
+    counts = sorted(counts, key=str)
+    outcomes = np.array([[2 if v is None else v for v in votes] for votes, _ in counts])
+    weight = np.array([n / total for _, n in counts])
+    model = start
     for _ in range(steps):
-        mass = [sum(label[c] * n for label, (_, n) in zip(labels, shares, strict=True)) for c in range(rules + 1)]
-        priors = [(m + PSEUDO * w) / (1 + PSEUDO) for m, w in zip(mass, weights, strict=True)]
-        rates = []
-        for c in range(rules + 1):
-            row = []
-            for r in range(rules):
-                cast = sum(label[c] * n for label, (votes, n) in zip(labels, shares, strict=True) if votes[r] is not None)
-                bad = sum(label[c] * n for label, (votes, n) in zip(labels, shares, strict=True) if votes[r] == 0)
-                rate = (bad + PSEUDO * start[c][r]) / (cast + PSEUDO + (0 if c else RIGHT))
-                row.append(min(rate, 1 - TRUST) if c == 0 else max(rate, TRUST) if c == r + 1 else rate)
-            rates.append(row)
-        labels = [class_posteriors(votes, priors, rates) for votes, _ in shares]
-    return priors, rates
-
-
-def class_posteriors(votes: Votes, priors: list[float], rates: list[list[float]]) -> list[float]:
-    """The probability of each class; a rule that abstains says nothing."""
-    logs = [math.log(p) + sum(math.log(b if v == 0 else 1 - b) for v, b in zip(votes, row, strict=True) if v is not None) for p, row in zip(priors, rates, strict=True)]
-    parts = [math.exp(x - max(logs)) for x in logs]
-    return [x / sum(parts) for x in parts]
+        mass = model.posteriors(outcomes) * weight[:, None]
+        seen = np.stack([mass.T @ (outcomes == o) for o in range(3)], 2)
+        share = mass.sum(0)
+        model = Model((share + PSEUDO * start.shares) / (1 + PSEUDO), (seen + PSEUDO * start.chances) / (share + PSEUDO)[:, None, None])
+    return model
 
 
-def posterior(votes: Votes, priors: list[float], rates: list[list[float]]) -> float:
-    """The probability of good."""
-    return class_posteriors(votes, priors, rates)[0]
+def posterior(votes: list[Votes], model: Model) -> list[float]:
+    """The probability of good of each pattern of votes."""
+    return model.posteriors(np.array([[2 if v is None else v for v in x] for x in votes]))[:, 0].tolist() if votes else []
 
 
 def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,8 +148,9 @@ def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     f = f.withColumn("base_failed", base).withColumn("pattern", pattern.cast("int"))
     counts = {r["pattern"]: r["count"] for r in f.groupBy("pattern").count().collect()}  # 3 ** rules rows at most
     cast = {k: tuple((0, 1, None)[k // 3**r % 3] for r in range(len(RULES))) for k in counts}
-    priors, rates = estimate([(cast[k], n) for k, n in counts.items()])
-    rows = [F.struct(F.lit(k).alias("pattern"), F.lit(posterior(v, priors, rates)).alias("posterior")) for k, v in sorted(cast.items())]
+    model = estimate([(cast[k], n) for k, n in counts.items()])
+    good = dict(zip(cast, posterior(list(cast.values()), model), strict=True))
+    rows = [F.struct(F.lit(k).alias("pattern"), F.lit(p).alias("posterior")) for k, p in sorted(good.items())]
     none = F.array().cast("array<struct<pattern:int,posterior:double>>")
     known = documents.sparkSession.range(1).select(F.inline(F.array(*rows) if rows else none))
     f = f.join(F.broadcast(known), "pattern")

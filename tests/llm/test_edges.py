@@ -49,36 +49,37 @@ def test_empty_tables(spark, tmp_path):
         assert stage(spark, none, SF).count() == 0
 
 
+def plain_em(votes, own, steps=100, trust=0.8, pseudo=0.01):
+    """EM text by text in plain Python: a dictionary for each label; votes are 0, 1 or 2 (none); own: rules of each label."""
+    n, k = len(votes), len(votes[0])
+    share = [trust] + [(1 - trust) / (len(own) - 1)] * (len(own) - 1)
+    chance = [[{0: trust, 1: (1 - trust) / 2, 2: (1 - trust) / 2} if r in o else {0: (1 - trust) / 2, 1: trust, 2: (1 - trust) / 2} for r in range(k)] for o in own]
+    first, now = (share, chance), (share, chance)
+
+    def labels(v):
+        p = [s * math.prod(c[r][x] for r, x in enumerate(v)) for s, c in zip(*now, strict=True)]
+        return [x / sum(p) for x in p]
+
+    kinds = collections.Counter(map(tuple, votes))
+    for _ in range(steps):
+        told = {v: labels(v) for v in kinds}
+        mass = [sum(told[v][j] * m for v, m in kinds.items()) / n for j in range(len(own))]
+        chance = [[{x: (sum(told[v][j] * m for v, m in kinds.items() if v[r] == x) / n + pseudo * first[1][j][r][x]) / (mass[j] + pseudo) for x in range(3)} for r in range(k)] for j in range(len(own))]
+        now = ([(m + pseudo * f) / (1 + pseudo) for m, f in zip(mass, first[0], strict=True)], chance)
+    return {v: labels(v)[0] for v in kinds}
+
+
 def test_kept_is_what_plain_em_gives(spark):
-    """EM text by text, without patterns, in another form: responsibilities as arrays."""
-    from gleaner.llm.quality_rules import PSEUDO, RIGHT, RULES, TRUST, figures, judged
+    from gleaner.llm.quality_rules import KINDS, RULES, figures, judged
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     cols = [F.when(F.expr(bad), 0).when(F.expr(good), 1).otherwise(2).alias(f"r{i}") for i, (good, bad) in enumerate(RULES.values())]
     rows = figures(docs).select("doc_id", *cols).orderBy("doc_id").collect()
-    votes = np.array([r[1:] for r in rows])
-    n, k = votes.shape
-    bad, cast = (votes == 0).astype(float), (votes < 2).astype(float)
-    some = bad.any(1)
-    resp = np.zeros((n, k + 1))
-    resp[:, 0] = np.where(some, 1 - TRUST, 1.0)
-    resp[:, 1:] = np.where(some[:, None], TRUST * bad / np.maximum(bad.sum(1, keepdims=True), 1), 0)
-    weights = np.array([TRUST] + [(1 - TRUST) / k] * k)
-    start = np.full((k + 1, k), 1 - TRUST)
-    start[np.arange(1, k + 1), np.arange(k)] = TRUST
-    for _ in range(50):
-        prior = (resp.mean(0) + PSEUDO * weights) / (1 + PSEUDO)
-        extra = np.zeros((k + 1, 1))
-        extra[0] = RIGHT
-        rate = (resp.T @ bad / n + PSEUDO * start) / (resp.T @ cast / n + PSEUDO + extra)
-        rate[0] = np.minimum(rate[0], 1 - TRUST)
-        own = np.arange(k)
-        rate[own + 1, own] = np.maximum(rate[own + 1, own], TRUST)
-        logs = np.log(prior) + bad @ np.log(rate.T) + (cast - bad) @ np.log(1 - rate.T)
-        resp = np.exp(logs - logs.max(1, keepdims=True))
-        resp /= resp.sum(1, keepdims=True)
+    names = list(RULES)
+    want = plain_em([tuple(r[1:]) for r in rows], [set(), *({names.index(x) for x in kind} for kind in KINDS)])
     got = {r.doc_id: r for r in judged(docs).collect()}
-    for r, p in zip(rows, resp[:, 0], strict=True):
+    for r in rows:
+        p = want[tuple(r[1:])]
         assert got[r.doc_id].posterior == pytest.approx(p, abs=1e-9)
         assert got[r.doc_id].kept == (not got[r.doc_id].base_failed and p >= 0.5)
     assert any(not r.kept and not r.base_failed for r in got.values())
@@ -89,6 +90,35 @@ def test_kept_is_what_plain_em_gives(spark):
     assert all(again[i].kept == got[i].kept and again[i].posterior == pytest.approx(got[i].posterior, abs=1e-9) for i in got)
 
 
+def test_votes_are_weighed_not_counted():
+    """Votes that go together make a bad text; a lone bad vote of a rule that errs is outvoted, one of a rule whose company
+    is known is not; and a rule that abstains on bad texts tells so by abstaining."""
+    from gleaner.llm.quality_rules import RULES, estimate, posterior
+
+    names = list(RULES)
+
+    def votes(**said):
+        return tuple(said.get(n, 1) for n in names)
+
+    noise, repeats = votes(symbols=0, letters=0, letterless=0), votes(lines=0, windows=0, variety=0)
+    errs, alone, silent = votes(word_length=0), votes(symbols=0, letters=0), votes(symbols=0, letters=None, letterless=0)
+    model = estimate([(votes(), 9000), (noise, 400), (repeats, 300), (errs, 200), (alone, 40), (silent, 40)])
+    good = dict(zip(("plain", "noise", "repeats", "errs", "alone", "silent", "one"), posterior([votes(), noise, repeats, errs, alone, silent, votes(variety=0)], model), strict=True))
+    assert good["plain"] > 0.99 and good["errs"] > 0.9 and good["one"] > 0.5
+    assert max(good[x] for x in ("noise", "repeats", "alone", "silent")) < 0.01
+
+
+def test_verdicts_agree_with_labels_never_learnt_from(spark):
+    """On the documents of sf0.01: quality labels, for this count alone."""
+    from gleaner.llm.quality_rules import judged
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    said = judged(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id").groupBy("kept", "quality").count().collect()
+    n = {(r.kept, r.quality): r["count"] for r in said}
+    right = n.get((True, 1), 0) + n.get((False, 0), 0)
+    assert right >= 0.97 * sum(n.values())
+
+
 def test_knn_votes(spark):
     """All cosines and votes in plain Python."""
     from gleaner.llm.knn_quality import Space, features

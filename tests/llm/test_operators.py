@@ -113,7 +113,7 @@ def test_empty_tables(spark):
 
 
 def test_quality_rules(docs):
-    from gleaner.llm.quality_rules import estimate, judged, posterior
+    from gleaner.llm.quality_rules import estimate, first_model, judged, posterior
 
     got = {r.doc_id: r for r in judged(docs).collect()}
     for k, t in texts(docs).items():
@@ -126,9 +126,12 @@ def test_quality_rules(docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again), failed)
         assert not (r.kept and failed)
     patterns = [((1, None), 900), ((0, 0), 90), ((None, 0), 10)]
-    priors, rates = estimate(patterns)
-    assert 0.8 < priors[0] < 1 and posterior((1, None), priors, rates) > 0.9 > 0.1 > posterior((0, 0), priors, rates)
-    assert estimate([(v, 100 * n) for v, n in patterns]) == (priors, rates)
+    start = first_model(("a", "b"), (("a", "b"),))
+    model = estimate(patterns, start=start)
+    good, bad = posterior([(1, None), (0, 0)], model)
+    assert 0.8 < model.shares[0] < 1 and good > 0.9 > 0.1 > bad
+    again = estimate([(v, 100 * n) for v, n in patterns], start=start)
+    assert (again.shares == model.shares).all() and (again.chances == model.chances).all()
 
 
 def test_decontamination(spark, docs):
