@@ -6,12 +6,13 @@ tree is the host's model, every other tree is aligned with it by simple tree mat
 of equal-labelled nodes from the root down), and each slot of the model gathers evidence over the aligned pages: how many
 have it, whether its texts are all one, its characters and how many of them lie in links.
 
-The slot with the most text outside links is the host's main slot and the section around it the content; element names
-are a prior only: an article (or else main) around the main slot widens the section to itself. In the section a slot is
-template if its texts are all one on `least` pages or more while the main slot varies (copies of one article stay
-whole), if it is another article than the main slot's, or if its name says menu, footer, sidebar, form or reader comments
-and it holds little of the text; without an article or main around it, links decide, too. Of what is outside, headings of
-their own text before the section belong to it. Applying a wrapper parses the page again, aligns its tree and returns the
+The slot with the most text outside links is the host's main slot and the section around it the content. Slots in an
+article or main come first, however much text there is elsewhere, and that element is the section: what it holds is
+content but for other articles, what by its name is a menu, header, footer, sidebar, advert, form or reader comments, and
+text that is the same at its slot on `least` pages or more while the main slot varies (copies of one article stay whole)
+and lies in no paragraph, heading or list; a name that may be an article's own (related, notice, menu) needs the pages'
+word: text of all pages, or links. Without an article or main the pages' evidence decides: texts that are all one, links,
+sections of little text. Of what is outside such a section, headings of their own text before it belong to it. Applying a wrapper parses the page again, aligns its tree and returns the
 text of the slots that are content. A node that the model lacks goes with the nearest one around it that it has, and by
 its own name.
 
@@ -52,11 +53,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _FURNITURE = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner promo promotion promoted sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside rail widget notice notices alert cookie cookies consent gdpr privacy popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus replies respond pagination pager toolbar copyright contentinfo complementary list box bar links area section container wrapper block".split()
 )
+#: Those of them that name what is never content, wherever it stands.
+_NEVER = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored comment comments disqus replies respond nav navbar navigation breadcrumb breadcrumbs sidebar cookie cookies consent gdpr newsletter subscribe subscription signup login share sharing pagination pager toolbar footer masthead".split())
 _NEUTRAL = frozenset("list box bar links area section container wrapper block".split())
 #: Elements that hold the text of a section, and are none.
 _TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hgroup details summary address".split())
-#: How much more a character counts inside an article or main where the main slot is looked for.
-ARTICLE = 4
+#: Elements whose text is an article's own though every page has the same: headings of a recipe, a closing line.
+_OWN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption blockquote pre figcaption summary".split())
 #: What a section holds directly, by the highest of its kinds: nothing, sections, lists, text.
 _KINDS = ("", "s", "l", "t")
 _HEADINGS = frozenset("h1 h2 h3 hgroup".split())
@@ -69,21 +72,23 @@ _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """The class as a label, and whether class, id or role say template."""
-    label, furniture = "", False
+def _names(attributes: str) -> tuple[str, int]:
+    """The class as a label, and whether class, id or role say template: 1, or 2 where they name what is never content."""
+    label, furniture = "", 0
     for m in _NAMED.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "class":
             label = _DIGITS.sub("0", " ".join(value.split()))
         for name in value.split():
             words = set(_WORD.findall(name))
-            furniture |= bool(words - _NEUTRAL) and words <= _FURNITURE
+            if words - _NEUTRAL and words <= _FURNITURE:
+                furniture = max(furniture, 2 if words & _NEVER else 1)
     return label, furniture
 
 
 class Page:
-    """blocks: (node, text, characters in links) in page order. Nodes: labels ("*" before one that says template), parents,
+    """blocks: (node, text, characters in links) in page order. Nodes: labels ("*" before one that says template, "**" before
+    one that names what is never content), parents,
     and whether they are dropped."""
 
     def __init__(self, html: str):
@@ -182,7 +187,7 @@ class Page:
         """Enters an element; returns the place behind its tag, or behind the whole of one whose content is no markup."""
         if tag == "a":
             self.link = True
-        label, furniture = _names(attributes) if attributes else ("", False)
+        label, furniture = _names(attributes) if attributes else ("", 0)
         block, stack = tag in _BLOCK, self.stack
         if not block and tag not in _DROPPED and tag not in _RAW:
             return at  # inline
@@ -198,7 +203,7 @@ class Page:
                     if stack[k][0] in _WALL:
                         break
         up = stack[-1][1]
-        furniture = furniture and tag not in ("html", "body", "article", "main", *_HEADINGS)
+        furniture = 0 if tag in ("html", "body", "article", "main", *_HEADINGS) else furniture
         name = "*" * furniture + (f"{tag}.{label}" if label else tag)
         node = self.children.get((up, name)) if tag in _TEXTUAL else None
         if node is None:
@@ -333,6 +338,11 @@ def says_template(label: str) -> bool:
     return label[0] == "*" or tag_of(label) in _NAMED_TEMPLATE
 
 
+def never(label: str) -> bool:
+    """Whether an element's name says what is no part of an article, wherever it stands."""
+    return label[:2] == "**" or tag_of(label) in _NAMED_TEMPLATE
+
+
 def tag_of(label: str) -> str:
     return label.lstrip("*").split("~", 1)[0].split(".", 1)[0]
 
@@ -347,10 +357,13 @@ def decide(labels: list[str], parents: list[int], n: list[int], constant: list[b
         named[k] = named[parents[k]] or says_template(labels[k])
         article[k] = article[parents[k]] or tags[k] in ("article", "main")
     mass, all_chars, all_links = list(text), list(chars), list(links)
+    one = [c or not x for c, x in zip(constant, chars, strict=True)]  # all that is in it is the same on every page
     for k in range(size - 1, 0, -1):
         for whole in (mass, all_chars, all_links):
             whole[parents[k]] += whole[k]
-    main = max(range(size), key=lambda k: (text[k] > 0, not named[k], text[k] * (ARTICLE if article[k] else 1), -k))
+        one[parents[k]] &= one[k]
+    # an article or main that holds text has the main slot, however much text there is elsewhere
+    main = max(range(size), key=lambda k: (text[k] > 0, not named[k], article[k], text[k], -k))
     if text[main] <= 0:
         main = max(range(size), key=lambda k: (chars[k], -k))
     around = [main]
@@ -366,7 +379,8 @@ def decide(labels: list[str], parents: list[int], n: list[int], constant: list[b
     keep, inside = [False] * size, [False] * size
     for k in range(size):
         headed[k] = k > 0 and (headed[parents[k]] or "head" in labels[k] and tags[k] not in _HEADINGS)
-        same = constant[k] and n[k] >= least and varies and chars[k] > 0
+        known = n[k] >= least and varies
+        same = constant[k] and known and chars[k] > 0 and not (bounded and tags[k] in _OWN)
         inside[k] = k == section or k > 0 and inside[parents[k]]
         if not inside[k]:
             # a heading before the section
@@ -374,11 +388,15 @@ def decide(labels: list[str], parents: list[int], n: list[int], constant: list[b
         elif k in on_path:
             keep[k] = not same
         else:
-            little = mass[k] < 0.3 * mass[section]
-            inside[k] = not (tags[k] == "article" or tags[k] in _NAMED_TEMPLATE or little and says_template(labels[k]))
-            if not bounded:
-                # no name tells the article: sections of little text and lists of links are no part of it
-                inside[k] &= not (little and (tags[k] not in _TEXTUAL or all_links[k] > 0.5 * all_chars[k]))
+            inside[k] &= not (tags[k] == "article" or never(labels[k]))
+            linked = all_links[k] > 0.5 * all_chars[k]
+            if bounded:
+                # a name that may be an article's own needs the pages' word: a text of all pages, or links
+                inside[k] &= not (says_template(labels[k]) and (linked or known and one[k]))
+            else:
+                # no element tells the article: sections of little text and lists of links are no part of it
+                little = mass[k] < 0.3 * mass[section]
+                inside[k] &= not (little and (says_template(labels[k]) or tags[k] not in _TEXTUAL or linked))
             keep[k] = inside[k] and not same
     return keep
 
@@ -459,9 +477,11 @@ def content(page: Page, model: str | None, keep: list[bool] | None, known: dict
         kept = None if known is None else known.get((tree, model))
         if kept is None:
             labels, parents = _nodes(tree)
-            kept = []
+            kept, bounded = [], []
             for k, slot in enumerate(aligned(tree, model)):
-                kept.append(keep[slot] if slot >= 0 else k > 0 and kept[parents[k]] and not says_template(labels[k]))
+                bounded.append(k > 0 and (bounded[parents[k]] or tag_of(labels[k]) in ("article", "main")))
+                odd = never(labels[k]) or not bounded[k] and says_template(labels[k])
+                kept.append(keep[slot] if slot >= 0 else k > 0 and kept[parents[k]] and not odd)
             if known is not None and len(tree) < 1 << 14:
                 if len(known) >= 2048:
                     known.clear()

@@ -64,3 +64,37 @@ def test_article_beside_longer_text():
     """Reader posts longer than the article, in a section of no telling name."""
     html = "<body><article><h1>Title</h1><p>" + "The article. " * 20 + "</p></article><div class='user-posts'><p>" + "A post. " * 60 + "</p></div></body>"
     assert content(Page(html), None, None) == "Title\n\n" + ("The article. " * 20).strip()
+
+
+def host(body, n=5):
+    return [(i, f"http://h.example/{i}", "<body><nav><a href='/'>Home</a></nav>" + body(i) + "<footer>Foot</footer></body>") for i in range(n)]
+
+
+def test_what_an_article_holds_is_its_own(spark):
+    """Short articles beside much other text, many reader comments, own text under names of furniture, headings that every
+    page has: on a page alone and on a host of five."""
+    body = "The article of page {0}. " * 12
+
+    def short(i):
+        return f"<article><h1>Title {i}</h1><p>{body.format(i)}</p><p>Closing line</p></article><div><p>" + f"A post of page {i}. " * 120 + "</p></div>"
+
+    def commented(i):
+        return f"<article><h1>Title {i}</h1><p>{body.format(i)}</p><div class='comments'><p>" + f"A comment of page {i}. " * 40 + "</p></div></article>"
+
+    def named(i):
+        return (
+            f"<main><h1>Title {i}</h1><p>{body.format(i)}</p><h2>Ingredients</h2><div class='related'><p>Own paragraph {i}</p></div><div class='notice'>Own notice {i}</div>"
+            f"<ul class='menu'><li>soup {i}</li></ul><div class='notice box'>Everywhere</div><div class='related'><a href='/x'>Link {i}</a></div><div class='ad'>Buy {i}</div></main>"
+        )
+
+    own = body.strip()
+    want = {
+        short: "Title {0}\n\n" + own + "\n\nClosing line",
+        commented: "Title {0}\n\n" + own,
+        named: "Title {0}\n\n" + own + "\n\nIngredients\n\nOwn paragraph {0}\n\nOwn notice {0}\n\nsoup {0}",
+    }
+    for page, text in want.items():
+        got = extracted(spark, host(page))
+        assert got == {i: text.format(i) for i in range(5)}, page
+    for page in (short, commented):
+        assert content(Page(host(page)[1][2]), None, None) == want[page].format(1)
