@@ -38,9 +38,11 @@ class Stream:
     """Ids of a text that comes in parts. feed() returns the ids that are final, end() the rest; peak is the most
     characters that the window has held."""
 
+    __slots__ = ("pieces", "text", "best", "back", "peak", "gone")
+
     def __init__(self, pieces: Pieces):
         self.pieces, self.text, self.best, self.back = pieces, "", [0.0], [(0, -1)]
-        self.peak = 0
+        self.peak, self.gone = 0, False
 
     def feed(self, part: str) -> list[int]:
         reach, out = self.pieces.reach, []
@@ -51,16 +53,22 @@ class Stream:
         return out
 
     def _extend(self, part: str) -> None:
-        tails, scores, unknown = self.pieces.tails, self.pieces.scores, self.pieces.unknown
+        tails, scores, unknown = self.pieces.tails.get, self.pieces.scores, self.pieces.unknown
         text, best, back = self.text + part, self.best, self.back
         for e in range(len(self.text) + 1, len(text) + 1):
-            top, found, start = None, (e - 1, -1), e - 1
-            while start >= 0 and (k := tails.get(text[start:e])) is not None:
-                if k >= 0 and (top is None or best[start] + scores[k] >= top):
-                    top, found = best[start] + scores[k], (start, k)
+            start, top, found = e - 1, None, None
+            k = tails(text[start])
+            while k is not None:
+                if k >= 0:
+                    score = best[start] + scores[k]
+                    if top is None or score >= top:
+                        top, found = score, (start, k)
+                if not start:
+                    break
                 start -= 1
+                k = tails(text[start:e])
             best.append(best[e - 1] + unknown if top is None else top)
-            back.append(found)
+            back.append(found or (e - 1, -1))
         self.text = text
         self.peak = max(self.peak, len(text))
 
@@ -73,18 +81,41 @@ class Stream:
             alive.add(self.back[last][0])
         return alive.pop()
 
+    def _path(self, at: int) -> list[int]:
+        """The ids of the best path to a boundary of the window."""
+        path, text, back = [], self.text, self.back
+        while at > 0:
+            start, k = back[at]
+            if k < 0:
+                path += reversed(self.pieces.bytes_of(text[start:at]))
+            else:
+                path.append(k)
+            at = start
+        path.reverse()
+        return path
+
     def _commit(self, at: int) -> list[int]:
-        path, e = [], at
-        while e > 0:
-            start, k = self.back[e]
-            path.append(self.pieces.bytes_of(self.text[start:e]) if k < 0 else [k])
-            e = start
+        path = self._path(at)
+        self.gone = True
         self.text, self.best = self.text[at:], [x - self.best[at] for x in self.best[at:]]
         self.back = [(0, -1), *((s - at, k) for s, k in self.back[at + 1 :])]
-        return [k for ids in reversed(path) for k in ids]
+        return path
 
     def end(self) -> list[int]:
-        return self._commit(len(self.text))
+        return self._path(len(self.text))
+
+    def begin(self, text: str) -> str:
+        """Begins another text, and returns what of it is still to be fed: what it shares with the start of the window stays
+        searched, if nothing of the text before has left the window."""
+        same, now = 0, self.text
+        if not self.gone:
+            most = min(len(now), len(text))
+            while same < most and now[same] == text[same]:
+                same += 1
+        self.text, self.gone = now[:same], False
+        del self.best[same + 1 :], self.back[same + 1 :]
+        self.best[0], self.back[0] = 0.0, (0, -1)
+        return text[same:]
 
 
 class Pieces:
@@ -122,18 +153,18 @@ class Pieces:
         """The ids of each text as little-endian int32."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        out = []
-        for t in texts:
-            found = []
-            for s in _STRETCH.findall(" " + t) if t else ():
-                ids = self.kept.get(s)
-                if ids is None:
-                    stream = Stream(self)
-                    ids = array("i", stream.feed(s) + stream.end()).tobytes()
-                    if len(s) <= LONGEST_KEPT:
-                        self.kept[s] = ids
-                found.append(ids)
-            out.append(b"".join(found))
+        cut = [_STRETCH.findall(" " + t) if t else [] for t in texts]
+        found = self.search(set().union(*cut) - self.kept.keys())
+        out = [b"".join([self.kept[s] if s in self.kept else found[s] for s in c]) for c in cut]
+        self.kept.update((s, ids) for s, ids in found.items() if len(s) <= LONGEST_KEPT)
+        return out
+
+    def search(self, stretches: set[str]) -> dict[str, bytes]:
+        """The ids of stretches. In order, so that a stream goes on from what each shares with the one before."""
+        stream, out = Stream(self), {}
+        for s in sorted(stretches):
+            ids = stream.feed(stream.begin(s))
+            out[s] = array("i", ids + stream.end()).tobytes()
         return out
 
     def decode(self, ids: list[int]) -> bytes:
