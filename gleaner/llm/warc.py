@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import _blocks as B
@@ -55,9 +55,28 @@ def _head(page: str, url: str | None, size: int, digest: str, refers: str | None
     return "\r\n".join([*lines, "", http]).encode()
 
 
+#: Schemes of Hadoop whose stores go by another name in Arrow.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def shared_uri(spark: SparkSession, folder: str) -> str:
+    """A folder as Hadoop resolves it - a path without a scheme lies in the default file system, on every executor - as a URI
+    that Arrow opens. A store that Arrow can't open is refused here, before a task runs."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.toUri().getScheme() is None:
+        path = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    scheme, rest = str(path.toUri()).split(":", 1)
+    uri = f"{_SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+    try:
+        fs.FileSystem.from_uri(uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"archives can't be kept in {folder}: {e}") from e
+    return uri
+
+
 def _writer(folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         out, path, records = None, "", 0
 
@@ -144,7 +163,7 @@ CHUNKS = "page_id long, record_type string, refers_to long, header_digest string
 
 def _reader(folder: str, payload: bool, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
+        store = fs.FileSystem.from_uri(folder)[0]
         rows: list[tuple] = []
         held = 0
 
@@ -185,7 +204,7 @@ def _reader(folder: str, payload: bool, size: int):
 def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", most: int = ARCHIVE_BYTES) -> tuple[DataFrame, str]:
     """Writes a record for every row; returns the table (path, records) of the archives, and their folder."""
     spark = pages.sparkSession
-    folder = folder or f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}"
+    folder = shared_uri(spark, folder or f"{scratch_root(spark)}/warc-{uuid.uuid4().hex}")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     large = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
@@ -198,7 +217,7 @@ def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None
 def read_archives(archives: DataFrame, folder: str, payload: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The chunked record table of archives (path). Their paths are dealt over a given number of tasks, which adaptive
     execution leaves apart: by the bytes of the paths it would read all archives in one."""
-    n = shuffle_partitions(archives.sparkSession)
+    n, folder = shuffle_partitions(archives.sparkSession), shared_uri(archives.sparkSession, folder)
     return archives.select("path").repartition(n, "path").mapInArrow(_reader(folder, payload, chunk), CHUNKS)
 
 

@@ -49,6 +49,23 @@ def test_empty_tables(spark, tmp_path):
         assert stage(spark, none, SF).count() == 0
 
 
+def test_archives_in_folders_of_any_form(spark, tmp_path):
+    """A path without a scheme, Hadoop's form of a local one, and a URI; a scheme that nothing opens is refused at once."""
+    from gleaner.llm.warc import read_archives, record_digests, shared_uri, write_archives
+
+    pages = spark.createDataFrame([(1, "http://a/", "x" * 200), (2, "http://b/", None), (3, "http://c/", "x" * 200)], "page_id long, url string, html string")
+    want = None
+    for k, form in enumerate(("{}", "file:{}", "file://{}")):
+        archives, folder = write_archives(pages, folder=form.format(f"{tmp_path}/archives-{k}"))
+        assert folder == f"file://{tmp_path}/archives-{k}" and list((tmp_path / f"archives-{k}").iterdir())
+        got = sorted(map(tuple, record_digests(read_archives(archives, folder)).collect()))
+        assert got[0][3:] == ("response", None) and got[2][3:] == ("revisit", 1) and (want is None or got == want)
+        want = got
+    with pytest.raises(ValueError, match="can't be kept"):
+        write_archives(pages, folder="nosuch://bucket/x")
+    assert shared_uri(spark, f"{tmp_path}/a b").startswith("file:///")
+
+
 def plain_em(votes, own, steps=100, trust=0.8, pseudo=0.01):
     """EM text by text in plain Python: a dictionary for each label; votes are 0, 1 or 2 (none); own: rules of each label."""
     n, k = len(votes), len(votes[0])
