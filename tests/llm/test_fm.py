@@ -73,12 +73,11 @@ def corpus(seed):
     return [*zip(ids, rows, strict=True), (None, common), (ids[9], rows[9]), (ids[9], f"{common} and more"), (3, common)]
 
 
-@pytest.mark.parametrize(("words", "gram", "hot", "shard"), [(13, 4, 20_000, 2 << 20), (13, 4, 20, 2000), (5, 2, 20_000, 5000), (6, 6, 3, 1)])
-def test_passages_of_earlier_texts(spark, monkeypatch, words, gram, hot, shard):
+@pytest.mark.parametrize(("words", "gram", "hot"), [(13, 4, 20_000), (13, 4, 20), (5, 2, 20_000), (6, 6, 3)])
+def test_passages_of_earlier_texts(spark, monkeypatch, words, gram, hot):
     from gleaner.llm import passage_index as P
 
     monkeypatch.setattr(P, "HOT", hot)
-    monkeypatch.setattr(P, "SHARD_BYTES", shard)
     rows = corpus(words)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("t", "place", "name", "key", "low", "n_words", "passages", "of_id")}).repartition(3)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.text) for r in P.without_earlier_passages(df, words, gram).collect())
@@ -98,3 +97,38 @@ def test_texts_over_a_block(spark):
     got = sorted((x.doc_id, x.n_words, x.n_removed, x.text) for x in without_earlier_passages(df).collect())
     assert got == brute(rows, 13)
     assert without_earlier_passages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 300, 2000, 1 << 20])
+def test_shards_hold_whole_names(monkeypatch, size):
+    """Shards of any size, whatever the batches: each stretch's passages against those of smaller id under its name."""
+    import pyarrow as pa
+
+    from gleaner.llm import passage_index as P
+
+    monkeypatch.setattr(P, "SHARD_BYTES", size)
+    monkeypatch.setattr(P, "_STEP_ROWS", 3)
+    r, words, rows = random.Random(6), 4, []
+    for name in range(20):
+        for k in range(r.randint(1, 9)):
+            before = r.randint(0, 3)
+            said = [f"n{name}é{r.randrange(2)}" for _ in range(before + words + r.randint(0, 3))]
+            rows.append((name, k, r.randrange(6), before, " ".join(said).encode()))
+    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)]
+    whole = pa.RecordBatch.from_arrays(columns, names=["name", "key", "low", "before", "stretch"])
+    got = {}
+    for rb in P._by_shard(words)(iter([whole.slice(0, 7), whole.slice(7, 40), whole.slice(47)])):
+        got |= {(n, k): p for n, k, p in zip(*(c.to_pylist() for c in rb.columns), strict=True)}
+    least = {}
+    for name, _, low, _, said in rows:
+        w = said.split()
+        for i in range(len(w) - words + 1):
+            p = (name, *w[i : i + words])
+            least[p] = min(least.get(p, low), low)
+    want = {}
+    for name, k, low, before, said in rows:
+        w = said.split()
+        d = [before - i for i in range(len(w) - words + 1) if least[name, *w[i : i + words]] < low and before >= i]
+        if d:
+            want[name, k] = sum(1 << x for x in d)
+    assert got == want and want

@@ -91,11 +91,10 @@ def quantised(rows, parts, entries, rounds):
     return {k: ("".join(f"{j:02x}" for _, j in x), sum(d for d, _ in x)) for k, x in out.items()}, books
 
 
-@pytest.mark.parametrize(("hot", "block", "entries"), [(0, 4096, 64), (80, 50, 20), (0, 7, 200)])
-def test_vector_codes(spark, monkeypatch, hot, block, entries):
+@pytest.mark.parametrize(("hot", "entries"), [(0, 64), (80, 20), (0, 200)])
+def test_vector_codes(spark, hot, entries):
     from gleaner.llm import vector_codes as V
 
-    monkeypatch.setattr(V, "BLOCK_ROWS", block)
     r = random.Random(9)
     rows = rows_of(300, hot=hot) + rows_of(5)[:3]
     rows += [(1000 + i, None if i % 9 == 0 else i % 4, [r.gauss(0, 0.2) for _ in range(16)], *rows[0][3:]) for i in range(500)]
@@ -149,3 +148,26 @@ def test_balls_own_points_without_distances():
     got[places] = nearest
     assert (got == ((now[:, None] - entries[None]) ** 2).sum(2).argmin(1)).all()
     assert taken < 4000 * len(entries) / 8
+
+
+@pytest.mark.parametrize("block", [1, 7, 4096])
+def test_blocks_of_any_size_give_the_same_codes(monkeypatch, block):
+    import pyarrow as pa
+
+    from gleaner.llm import vector_codes as V
+
+    monkeypatch.setattr(V, "BLOCK_ROWS", block)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 0.3, (120, 8)), np.repeat(rng.normal(0, 0.3, (1, 8)), 80, 0)])
+    books = np.floor(256 * x[:40]).astype(np.int64).reshape(40, 2, 4).transpose(1, 0, 2)
+    rb = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([1] * 200), pa.array(x.tolist())], names=["vec_id", "label", "vector"])
+    found = [r for out in V._coded(books)(V._built(2, 256)(iter([rb]))) for r in out.to_pylist()]
+    q = np.floor(256 * x).astype(np.int64).reshape(200, 2, 4)
+    d = ((q[:, :, None] - books[None]) ** 2).sum(3)
+    assert [r["vec_id"] for r in found] == list(range(200))
+    assert [r["code"] for r in found] == ["".join(f"{k:02x}" for k in row) for row in d.argmin(2).tolist()]
+    assert [r["error"] for r in found] == d.min(2).sum(1).tolist()
+    moved = [r for out in V._moved(books)(V._built(2, 256)(iter([rb]))) for r in out.to_pylist()]
+    for r in moved:
+        own = q[d[:, r["part"]].argmin(1) == r["entry"], r["part"]]
+        assert (r["n"], r["sums"]) == (len(own), own.sum(0).tolist())
