@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -54,6 +56,24 @@ def hashed_vector(text: Column, dimension: int) -> Column:
     return F.aggregate(F.array(places), F.array_repeat(F.lit(0.0), dimension), lambda _, held: counted(held))
 
 
+class HashedTokens:
+    """A provider without a model: each token of a-z and 0-9 adds 1 at the place that its MD5 names."""
+
+    def __init__(self, dimension: int = 32):
+        self.dimension = dimension
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            vector = [0.0] * self.dimension
+            for token in re.findall("[a-z0-9]+", text.lower()):
+                vector[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dimension] += 1
+            out.append(vector)
+        return out
+
+    embed_queries = embed_documents
+
+
 def dense_index(vectors: DataFrame, dimension: int, id_col: str = "product_id", column: str = "vector") -> DataFrame:
     """(id, vector) of unit length. A vector that is missing, of another dimension, not finite or zero is an error, when it
     runs, that names the row."""

@@ -191,6 +191,12 @@ def dense_index_hashed(p) -> DataFrame:
     return c.select("product_id", F.posexplode(l2_normalize(F.col("vector"))).alias("place", "x")).withColumn("x", F.round("x", 6))
 
 
+def dense_embedded(p) -> DataFrame:
+    """All documents' texts through an embedding provider, at unit length; blank texts and those without a token have none."""
+    made = N.embedded(D.catalog(p.spark, p.dir).select("product_id", "product_text"), N.HashedTokens)
+    return made.select("product_id", F.posexplode(l2_normalize(F.col("vector"))).alias("place", "x")).withColumn("x", F.round("x", 6))
+
+
 def dense_metadata(p) -> DataFrame:
     """What the dense index is."""
     return N.dense_metadata(N.dense_index(p.catalog().select("product_id", "vector"), 64), "given")
@@ -304,6 +310,7 @@ FOUND = {
         key_duplicates,
         dense_index,
         dense_index_hashed,
+        dense_embedded,
         dense_metadata,
         training_rows,
         precomputed_ranking,

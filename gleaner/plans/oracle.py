@@ -365,3 +365,4 @@ ORACLE |= {
     "hybrid_weighted_deep": _all(ORACLE["hybrid_weighted"]),
     "lexical_search_all": _all(ORACLE["lexical_search"]),
 }
+ORACLE["dense_embedded"] = ORACLE["dense_index_hashed"]
