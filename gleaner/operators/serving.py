@@ -39,7 +39,7 @@ def batch_search(requests: DataFrame, engines: dict[str, DataFrame | Callable[[D
     top_k that they ask for, and not at all if none does. A request that asks for more than `depth` results, or for a mode
     without an engine, is an error when it runs.
     """
-    good = requests.where("reason = ''").select("request_id", "query_id", "top_k", "resolved_mode")
+    good = requests.where("reason = ''").select("request_id", "query_id", "top_k", "resolved_mode", "reason")
     made = any(callable(e) for e in engines.values())
     asked = {r.resolved_mode: r.most for r in good.groupBy("resolved_mode").agg(F.max("top_k").alias("most")).collect()} if made else {}  # a row a mode
     parts, depths = [], {}
@@ -54,8 +54,9 @@ def batch_search(requests: DataFrame, engines: dict[str, DataFrame | Callable[[D
         parts.append(engine.select("query_id", "product_id", "rank", "score", F.lit(mode).alias("resolved_mode")))
     known = F.create_map(*[F.lit(x) for m in depths.items() if m[1] is not None for x in m]) if any(d is not None for d in depths.values()) else F.create_map().cast("map<string,int>")
     missing = ~F.col("resolved_mode").isin(*depths) if depths else F.lit(True)
-    told = F.when(missing, F.raise_error(F.concat(F.lit("no engine for the mode of request "), F.col("request_id")))).when(
-        F.col("top_k") > F.element_at(known, F.col("resolved_mode")), F.raise_error(F.concat(F.lit("the ranking is too short for request "), F.col("request_id")))
+    runs = F.col("reason") == ""  # said again: filters are evaluated in any order
+    told = F.when(runs & missing, F.raise_error(F.concat(F.lit("no engine for the mode of request "), F.col("request_id")))).when(
+        runs & (F.col("top_k") > F.element_at(known, F.col("resolved_mode"))), F.raise_error(F.concat(F.lit("the ranking is too short for request "), F.col("request_id")))
     )
     good = good.where(told.isNull())  # before the join, so that no request goes unread
     rows = reduce(DataFrame.unionByName, parts) if parts else good.sparkSession.createDataFrame([], "query_id string, product_id string, rank int, score double, resolved_mode string")
