@@ -215,6 +215,45 @@ def test_token_counts(docs):
                 assert c.text() == now and c.n_tokens == len(whole(now))
 
 
+def test_token_trees(spark, tmp_path):
+    """A second batch of edits starts from the written trees of the first and encodes its own regions alone."""
+    from pyspark.sql import functions as F
+
+    from gleaner.llm.token_counts import CountedText, count_tokens, counter, edited_trees, token_trees
+
+    path = Q.tokenizer("byte_bpe_50k.tiktoken")
+    whole = encoder(path)
+    r = random.Random(5)
+    rows = [(1, "one two three  four\n\nfive " * 400, "a"), (2, "", "b"), (3, None, None), (1, "x", "c"), (None, "lost", "d"), (4, "word " * 300_000, "e")]
+    trees = token_trees(spark.createDataFrame(rows, "doc_id long, text string, chars_of string"), path, carried=("chars_of",))
+    trees.write.parquet(f"{tmp_path}/0")
+    now = {k: t or "" for i, t, k in rows if i is not None}
+    for batch in range(3):
+        edits, after = [], {}
+        for k, t in now.items():
+            own = []
+            for _ in range(3):
+                a = r.randrange(len(t) + 1)
+                b, new = a + r.choice([0, 3, 40]), r.choice(["", " and", "\n \n", "it's so " * 90])
+                own.append((a, b, new))
+                t = t[:a] + new + t[b:]
+            edits.append((k, own if k != "b" else None))
+            after[k] = t if k != "b" else now[k]
+        given = spark.createDataFrame(edits, "k string, edits array<struct<start:int,stop:int,new:string>>")
+        kept = spark.read.parquet(f"{tmp_path}/{batch}")
+        found = edited_trees(kept.join(given, F.expr("chars_of <=> k"), "left"), path, F.col("edits"), carried=("chars_of",))
+        found.drop("n_edits", "n_chars_encoded").write.parquet(f"{tmp_path}/{batch + 1}")
+        now = after
+        got = {x.chars_of: x for x in found.collect()}
+        assert got.keys() == now.keys()
+        for k, t in now.items():
+            assert (got[k].text, got[k].tokens[1], got[k].chars[1]) == (t, len(whole(t)), len(t))
+            assert got[k].n_edits == (0 if k == "b" else 3)
+        assert got["e"].n_chars_encoded < 5_000
+    counted = {x.doc_id: x for x in count_tokens(spark.range(1, 40).selectExpr("id AS doc_id", "repeat('a ', int(id)) AS text"), path, size=1).collect()}
+    assert all(x.n_leaves == len(CountedText("a " * k, counter(path), 1).leaf) for k, x in counted.items())
+
+
 def test_token_counts_query(spark):
     """The registered edits against whole encodings of the edited texts, and what they had to encode again."""
     whole = encoder(Q.tokenizer("byte_bpe_50k.tiktoken"))
