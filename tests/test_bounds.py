@@ -1,8 +1,14 @@
 """What tasks hold does not grow with the rows of a block, a batch or a group."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
+from gleaner.operators import lexical as L
 from gleaner.sources.scratch import written
 
 
@@ -14,3 +20,22 @@ def test_long_rows_are_read_in_small_groups(spark):
     assert max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 8 << 20 and groups.num_rows == 400
     digest = F.expr("bit_xor(xxhash64(x))")
     assert t.select(digest).first() == rows.select(digest).first()
+
+
+def test_pairs_of_long_products_and_many_queries_are_made_in_pieces(monkeypatch):
+    n, terms, products = 400, 400, 32  # each product shares all terms with each query: 5 million entries
+    rng = np.random.default_rng(1)
+    query, term = np.repeat(np.arange(n), terms), np.tile(np.arange(terms), n)
+    q = L.Queries(pa.array([f"q{i}" for i in range(n)]), query, term, rng.random(len(term)))
+    row, own, weight = np.repeat(np.arange(products), terms), np.tile(np.arange(terms), products), rng.random(products * terms)
+    tracemalloc.start()
+    r, met = q.pairs(row, own, weight, np.full(n, -np.inf))
+    table = q.table(row, own, weight, products)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(r) == n * products and peak < 80 << 20
+    want = weight.reshape(products, terms) @ q.weight.reshape(n, terms).T
+    assert table.reshape(products, n) == pytest.approx(want, abs=2e-9)
+    monkeypatch.setattr(L, "_ENTRIES", 7_001)
+    r2, met2 = q.pairs(row, own, weight, np.full(n, -np.inf))
+    assert (r2 == r).all() and (met2 == met).all() and (q.table(row, own, weight, products) == table).all()
