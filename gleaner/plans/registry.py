@@ -45,6 +45,9 @@ class _Plans:
     def queries(self) -> DataFrame:
         return D.vector_queries(self.spark, self.dir)
 
+    def judged(self) -> E.ClassJudgments:
+        return D.judged(self.spark, self.dir)
+
     def judgments(self) -> DataFrame:
         return D.judgments(self.spark, self.dir)
 
@@ -112,7 +115,7 @@ class _Plans:
         return self.once("judged_rankings", make)
 
     def records(self) -> DataFrame:
-        return E.quality_records(self.queries(), self.judged_rankings(), self.judgments(), SYSTEMS, "rerank")
+        return E.quality_records(self.queries(), self.judged_rankings(), self.judged(), SYSTEMS, "rerank")
 
     def pairs(self) -> DataFrame:
         """Each document with one benchmark item, as a query and a text to measure."""
