@@ -11,6 +11,10 @@ subtree ends where no overlap can reach its bound with what remains, and a path
 array. Large clusters are cut in blocks by size and hash, and each pair of blocks
 that can hold similar sets is a task of its own; tasks emit spanning links only.
 
+Common lines chain sets that are not similar, and such a cluster grows with the table, so a large cluster is parted before
+its n-grams are sent to pairs of blocks: of each set only a bit for every n-gram goes there, the parities of the n-grams in
+as many buckets. In how many bits two sets differ is at most in how many n-grams they do, so that similar sets stay together.
+
 Cases: a null text is empty; a document without n-grams is linked with nothing; rows without an id are left out; rows
 that share an id are one node (their links add up, each row is returned); equal sets that are not empty are linked.
 """
@@ -30,6 +34,8 @@ from gleaner.llm._shared import documents_of, shuffle_partitions, written
 
 #: Distinct sets of a cluster, and n-grams of them all, that one task holds on either side (one set may have more).
 BLOCK_SETS, BLOCK_GRAMS = 2000, 4_000_000
+#: Sets of a block whose sketches meet, bits of a sketch at most (8 for a byte: 16 MB of one side), words compared at once.
+SKETCH_SETS, SKETCH_BITS, _WORDS = 4000, 1 << 15, 1 << 20
 #: Parts of the signatures for each shuffle partition: a task holds one of its parts at a time.
 PARTS = 8
 #: Signatures that a task holds before it sorts and passes them on.
@@ -306,6 +312,92 @@ def _placed(same: DataFrame, block_sets: int, block_grams: int = BLOCK_GRAMS) ->
     return sets.select("doc_id", "cluster", pairs.alias("x")).select("doc_id", "cluster", "x.i", "x.j", "x.side")
 
 
+def _sketch(grams: np.ndarray) -> np.ndarray:
+    """The parity of the n-grams in each bucket, a bit each; as many buckets as n-grams, up to a power of two. The sketch of
+    half the buckets is one half of it xor the other."""
+    bits = min(SKETCH_BITS, max(64, 1 << int(len(grams) - 1).bit_length())) if len(grams) else 64
+    counts = np.bincount((B.mix(grams, 13) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for i, j, data, offsets in B.blocks(*B.utf8(rb.column("text"))):
+                sets = B.shingle_sets(data, offsets, words)
+                yield pa.RecordBatch.from_arrays([rb.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s).tobytes() for s in sets], pa.binary())], names=["doc_id", "size", "sketch"])
+
+    return run
+
+
+def sketch_links(left: list[np.ndarray], left_size: np.ndarray, right: list[np.ndarray], right_size: np.ndarray, num: int, den: int, same: bool) -> list[tuple[int, int]]:
+    """Spanning links (index on the left, index on the right) of the pairs whose sketches can be those of similar sets; same:
+    both sides are one."""
+    shift = 0 if same else len(left)
+    label = np.arange(shift + len(right))
+    links: list[tuple[int, int]] = []
+
+    def levels(side: list[np.ndarray]) -> dict[int, np.ndarray]:
+        many = np.array([len(x) for x in side])
+        return {int(m): np.flatnonzero(many == m) for m in np.unique(many)}
+
+    def folded(rows: np.ndarray, to: int) -> np.ndarray:
+        while rows.shape[1] > to:
+            rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+        return rows
+
+    for wide_l, at_l in levels(left).items():
+        for wide_r, at_r in levels(right).items():
+            wide = min(wide_l, wide_r)
+            a, b = folded(np.array([left[i] for i in at_l]), wide), folded(np.array([right[i] for i in at_r]), wide)
+            step = max(1, _WORDS // b.size)
+            for low in range(0, len(a), step):
+                own = at_l[low : low + step]
+                differ = np.bitwise_count(a[low : low + step, None, :] ^ b[None]).sum(2, dtype=np.int64)
+                x, y = left_size[own][:, None], right_size[at_r][None]
+                fits = (differ * (den + num) <= (den - num) * (x + y)) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
+                for k in np.flatnonzero(fits.any(1)):
+                    met = at_r[np.flatnonzero(fits[k])]
+                    names, first = np.unique(label[met + shift], return_index=True)
+                    mine = label[own[k]]
+                    new = names != mine
+                    if new.any():
+                        links += [(int(own[k]), int(r)) for r in met[first[new]]]
+                        label[np.isin(label, names[new])] = mine
+    return links
+
+
+def _near(num: int, den: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side, doc, size = (rows.column(c).to_numpy() for c in ("side", "doc_id", "size"))
+        sketch = [np.frombuffer(x, np.uint64) for x in rows.column("sketch").to_pylist()]
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not len(right)
+        right = left if same else right
+        links = sketch_links([sketch[i] for i in left], size[left], [sketch[i] for i in right], size[right], num, den, same) if len(left) else []
+        return pa.table({"a": pa.array([int(doc[left[x]]) for x, _ in links], pa.int64()), "b": pa.array([int(doc[right[y]]) for _, y in links], pa.int64())})
+
+    return run
+
+
+def _parted(docs: DataFrame, same: DataFrame, words: int, num: int, den: int, block_sets: int) -> DataFrame:
+    """The distinct sets with the clusters of more than one block cut into those that sketches leave; sets that are like no
+    other are gone."""
+    sizes = written(same.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("grams")), "cluster-sizes")
+    large = sizes.where((F.col("n") > block_sets) | (F.col("grams") > BLOCK_GRAMS)).select("cluster")
+    if not large.limit(1).count():
+        return same
+    sets = written(same.join(large, "cluster"), "large-sets")
+    placed = written(_placed(sets, SKETCH_SETS, 1 << 60), "sketched")
+    # all texts are sketched where they lie, as sketches are a small part of what a shuffle of texts would carry
+    rows = docs.mapInArrow(_sketches(words), "doc_id long, size long, sketch binary").join(placed.hint("merge"), "doc_id")
+    pairs = rows.select("cluster", "doc_id", "size", "sketch", F.explode(F.arrays_zip("i", "j", "side")).alias("x")).select("cluster", "doc_id", "size", "sketch", "x.*")
+    found = components(pairs.groupBy("cluster", "i", "j").applyInArrow(_near(num, den), "a long, b long"))
+    parted = sets.drop("cluster").join(found.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    return same.join(large, "cluster", "left_anti").unionByName(parted.select(*same.columns))
+
+
 def ngram_jaccard_components(documents: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: size of its n-gram set, smallest id that links reach."""
     if not 4 * den <= 5 * num <= 5 * den:
@@ -324,7 +416,7 @@ def ngram_jaccard_components(documents: DataFrame, words: int = 4, num: int = 85
     members = sizes.join(clusters, "doc_id")
     same = members.groupBy(*kind).agg(F.min("doc_id").alias("rep"))
     equal = members.join(same, kind).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    placed = written(_placed(same, block_sets), "placed")
+    placed = written(_placed(_parted(docs, same, words, num, den, block_sets), block_sets), "placed")
     grams = docs.join(placed.hint("merge"), "doc_id").mapInArrow(_sets_of(words), "doc_id long, cluster long, i array<long>, j array<long>, side array<int>, grams binary")
     pairs = grams.select("cluster", "doc_id", "grams", F.explode(F.arrays_zip("i", "j", "side")).alias("x")).select("cluster", "doc_id", "grams", "x.*")
     links = pairs.groupBy("cluster", "i", "j").applyInArrow(_joined(num, den), "a long, b long")

@@ -298,3 +298,36 @@ def test_a_cluster_needs_a_shared_folder():
         _shared.scratch_root(Session)
     Context.master = "local[2]"
     assert _shared.scratch_root(Session)
+
+
+def test_large_cluster_of_common_lines_is_parted(spark, monkeypatch):
+    from collections import Counter
+
+    from gleaner.llm import ngram_join as N
+
+    common = [[f"c{g}w{i}" for i in range(90)] for g in range(2)]
+    texts = {i: " ".join([f"d{i}w{j}" for j in range(90)] + common[i % 2] + (common[1] if i == 0 else [])) for i in range(60)}
+    texts |= {100 + i: texts[i] + " more words here" for i in range(0, 60, 6)}  # similar to one other each
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    made, old = [], N.written
+    monkeypatch.setattr(N, "written", lambda df, label, *a: made.append((label, t := old(df, label, *a))) or t)
+    monkeypatch.setattr(N, "SKETCH_SETS", 13)
+    got = {r.doc_id: r.component_id for r in N.ngram_jaccard_components(docs, 5, 80, 100, block_sets=8).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i in texts}
+    assert [max(Counter(r.cluster for r in t.collect()).values()) for label, t in made if label == "sketched"][0] > 30  # chained by the common lines
+    placed = [t for label, t in made if label == "placed"][0].collect()
+    assert max(len(r.i) for r in placed) == 1 and len(placed) == 20  # each set with one like it goes to one task, no other to any
+
+
+def test_sketches_of_similar_sets_are_near():
+    import numpy as np
+
+    from gleaner.llm import ngram_join as N
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 5, 63, 64, 65, 130, 700, 700, 5000, 60000)]
+    near = [s[: max(1, len(s) * 9 // 10)] for s in sets]  # some of fewer buckets
+    size, few = (np.array([len(s) for s in x]) for x in (sets, near))
+    sketches = [N._sketch(s) for s in sets]
+    assert set(N.sketch_links(sketches, size, [N._sketch(s) for s in near], few, 80, 100, False)) >= {(i, i) for i in range(2, len(sets))}
+    assert N.sketch_links(sketches, size, sketches, size, 80, 100, True) == []
