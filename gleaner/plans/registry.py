@@ -97,10 +97,6 @@ class _Plans:
 
         return self.once("rankings", make)
 
-    def pool(self) -> DataFrame:
-        """All judged candidates with the components of both engines, and their hybrid score and rank."""
-        return self.once("pool", lambda: written(R.hybrid_candidates(self.index(), self.queries(), self.catalog(), self.judgments().select(*_PAIR), R.weighted(0.9)), "pool"))
-
     def judged_pool(self) -> JudgedPool:
         return self.once("judged_pool", lambda: JudgedPool(self.index(), self.queries(), self.catalog(), self.judged(), 0.9))
 
@@ -108,15 +104,30 @@ class _Plans:
         """Of the pool, the k best of either engine and the DEEP best of the fusion, without the pool's pairs."""
         return self.once(f"pool_best_{k}", lambda: written(self.judged_pool().best(k, DEEP), "pool-best"))
 
+    def pool_plain(self) -> DataFrame:
+        """Features of the DEEP best of the pool but for the engines' ranks, which count as absent."""
+        return R.rerank_features(self.pool_best().where(F.col("rank") <= DEEP), self.queries(), self.catalog(), DEEP)
+
     def pool_features(self) -> DataFrame:
-        return R.rerank_features(self.pool().where(F.col("rank") <= DEEP), self.queries(), self.catalog(), DEEP)
+        """The same with the ranks, which are counted for these pairs only."""
+
+        def make() -> DataFrame:
+            best = self.pool_best().where(F.col("rank") <= DEEP)
+            ranked = best.drop("lexical_rank", "semantic_rank").join(self.judged_pool().ranks(best), _PAIR)
+            return written(R.rerank_features(ranked, self.queries(), self.catalog(), DEEP), "pool-features")
+
+        return self.once("pool_features", make)
+
+    def judged_lexical(self, k: int = 10) -> DataFrame:
+        """The lexical ranking of judged_rankings() alone."""
+        return self.once(f"judged_lexical_{k}", lambda: written(self.judged_pool().lexical_best(k), "judged-lexical").withColumn("system", F.lit("lexical")))
 
     def judged_rankings(self, k: int = 10) -> DataFrame:
         """(system, query_id, product_id, rank) of the four systems over each query's judged candidates."""
 
         def make() -> DataFrame:
             c = self.pool_best(k)
-            deep = R.rerank_features(c.where(F.col("rank") <= DEEP), self.queries(), self.catalog(), DEEP)  # the fixed model looks at no rank
+            deep = self.pool_plain()  # the fixed model looks at no rank
             found = {s: c.where(f"{s}_rank BETWEEN 1 AND {k}").select(*_PAIR, F.col(f"{s}_rank").alias("rank")) for s in ("lexical", "semantic")}
             found |= {"hybrid": c.where(F.col("rank") <= k), "rerank": R.rerank(deep, fixed_model(), k)}
             return written(reduce(DataFrame.unionByName, [r.select(*_PAIR, "rank", F.lit(s).alias("system")) for s, r in found.items()]), "judged-rankings")
