@@ -126,3 +126,28 @@ def test_best_is_what_a_sort_gives():
             offered[q] += [(-s, n) for s, n in zip(scores[q].tolist(), names, strict=True) if s > -math.inf]
     for q in range(5):
         assert list(zip((-best.score[q]).tolist(), best.name[q], strict=True)) == sorted(offered[q])[:4]
+
+
+def test_blocks_of_queries_are_searched_one_after_another(spark, monkeypatch):
+    words = "oak table chair lamp sofa round red blue".split()
+    c = spark.createDataFrame([(f"p{i}", " ".join(words[(i * j + j) % 8] for j in range(1, 2 + i % 5))) for i in range(40)], "product_id string, text string")
+    q = spark.createDataFrame([(f"q{i}", f"{words[i]} {words[i - 3]}") for i in range(8)], "query_id string, query string")
+    index = L.LexicalIndex(c, F.col("text"), max_features=None)
+    want = index.search(q, 3)
+    assert "MapInArrow" in want._jdf.queryExecution().toString()
+    monkeypatch.setattr(L, "QUERY_BLOCK", 2)
+    found = index.search(q, 3)
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()  # nothing is left that holds a block
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and want.count() == 24
+
+
+def test_all_postings_are_those_of_the_index_without_its_tables(spark, monkeypatch):
+    c = spark.createDataFrame([("1", "Oak table oak"), ("2", "oak chair table"), ("3", None), ("4", "alone"), ("5", "oak table " * 50)], "product_id string, text string").repartition(2)
+    want = L.LexicalIndex(c, F.col("text"), max_features=None).postings
+    made, old = [], L.written
+    monkeypatch.setattr(L, "written", lambda df, label, **k: made.append(label) or old(df, label, **k))
+    monkeypatch.setattr(L, "_POSTINGS", 2)
+    rows = lambda df: sorted((r.product_id, r.term, r.tf, round(r.weight, 9)) for r in df.collect())
+    found = L.all_postings(c, "product_id", F.col("text"))
+    assert rows(found) == rows(want) and len(rows(want)) == 10 and made == ["term-blocks"]
+    assert rows(L.all_postings(c.limit(0), "product_id", F.col("text"))) == []
